@@ -104,7 +104,7 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, fit_rows: int = FIT_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             profile = Profile(batch.column("text").to_pylist())
             codes, at = profile.distinct()
             names, lang = np.unique(np.array(batch.column("lang").to_pylist(), object), return_inverse=True)
@@ -148,7 +148,7 @@ def with_language(
     names = np.array([*langs, UNKNOWN], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 4 << 20):
+        for batch in slices(batches, text_col, 2 << 20):
             profile = Profile(batch.column(at).to_pylist())
             best, score = np.full(profile.n, len(langs)), np.zeros(profile.n)
             full = np.flatnonzero(profile.letters)
