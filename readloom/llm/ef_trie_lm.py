@@ -38,9 +38,9 @@ MU = 300.0
 #: There can't be more hot words than this.
 HOT = 50_000
 #: Tokens of a shard, about.
-SHARD = 1_500_000
+SHARD = 1_000_000
 #: Bytes of text whose tokens are sent together.
-BATCH = 6 << 20
+BATCH = 4 << 20
 
 
 def _hash(word: bytes) -> int:
@@ -199,11 +199,11 @@ def fit_score(
             owners.append(own + sizes[-1])
             numbers.append(_back(number))
             sizes.append(sizes[-1] + len(flags))
-        w, h, own, number = map(_join, (words, contexts, owners, numbers))
-        learnt = _join(train, bool)
+        own, number, learnt = _join(owners), _join(numbers), _join(train, bool)
         # pairs as numbers, and the counts of the training texts
-        kinds, wi = np.unique(w, return_inverse=True)
-        ctxs, hi = np.unique(h, return_inverse=True)
+        kinds, wi = np.unique(_join(words), return_inverse=True)
+        ctxs, hi = np.unique(_join(contexts), return_inverse=True)
+        del words, contexts, owners, numbers, train, cols
         pairs, at = np.unique(wi * len(ctxs) + hi, return_inverse=True)
         c_pair = np.bincount(at, number * learnt, len(pairs))
         c_word = np.bincount(wi, number * learnt, len(kinds))
@@ -230,7 +230,7 @@ def fit_score(
         blocks, rows_ = group.column("block").to_pylist(), []
         for i, (a, b) in enumerate(zip(sizes[:-1], sizes[1:])):
             some = np.flatnonzero(there[a:b]) + a
-            rows_.append((blocks[i], _smallest(some - a), base[some].tobytes(), total[some].tobytes(), _smallest(known[some])))
+            rows_.append((blocks[i], _smallest(some - a), base[some].tobytes(), total[some].astype(np.float32).tobytes(), _smallest(known[some])))
         return pa.table(
             {
                 "block": pa.array([r[0] for r in rows_], pa.int64()),
@@ -254,7 +254,7 @@ def fit_score(
         for d, b, t, k in zip(*parts.values()):
             if d is not None:
                 at = _back(d)
-                for i, x in enumerate((np.frombuffer(b), np.frombuffer(t), _back(k))):
+                for i, x in enumerate((np.frombuffer(b), np.frombuffer(t, np.float32), _back(k))):
                     sums[i, at] += x
         flags = np.frombuffer(group.column("train")[head].as_py(), np.uint8).astype(bool)
         return pa.table(
