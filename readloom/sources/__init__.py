@@ -1 +1,13 @@
+"""Readers and writers of the formats around labelled reads."""
 
+from readloom.sources.fasta import FastaSource
+from readloom.sources.fastq import FastqSource
+
+
+def register(spark) -> None:
+    """Makes ``spark.read.format("fastq")`` and ``("fasta")`` known to a session."""
+    spark.dataSource.register(FastqSource)
+    spark.dataSource.register(FastaSource)
+
+
+__all__ = ["FastaSource", "FastqSource", "register"]
