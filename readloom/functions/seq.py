@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +11,11 @@ from readloom.functions.draws import pick
 from readloom.schema import ENCODINGS, IUPAC, LABELS
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def letters(seq: Column) -> Column:
     """One element a character; an empty sequence has none."""
     return F.when(F.length(seq) > 0, F.split(seq, "")).otherwise(F.array().cast("array<string>"))

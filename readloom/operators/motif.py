@@ -93,7 +93,7 @@ def probabilities(seq: Column, m: Matrix) -> Column:
     found = F.transform(letters(F.upper(seq)), lambda c, i: F.try_element_at(F.try_element_at(cells, i + 1), c))
     known = F.filter(found, lambda x: x.isNotNull())
     p, n = F.transform(known, lambda x: x["p"]), F.size(known)
-    geometric = F.when(F.array_min(p) == 0, 0.0).otherwise(F.exp(_sum(F.transform(p, F.log)) / len(m)))
+    geometric = F.when(F.array_min(p) == 0, 0.0).otherwise(F.exp(_sum(F.transform(p, lambda x: F.log(x))) / len(m)))
     fields = F.struct(
         _sum(F.transform(p, lambda x: F.log(x + EPSILON))).alias("log_likelihood"),
         F.coalesce(F.try_divide(_sum(p), n), F.lit(0.0)).alias("mean"),

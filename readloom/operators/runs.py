@@ -6,12 +6,12 @@ form (read, position, label) it is two windows over the same partitioning, hence
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.functions.seq import letters
+from readloom.functions.seq import let, letters
 from readloom.schema import ARCHITECTURAL, BENIGN
 
 RUN = "struct<label:string,start:int,end:int>"
@@ -33,33 +33,40 @@ def ghosted(labels: Column, through: Sequence[str] = BENIGN, exclude: Sequence[s
 
 
 def run_lengths(labels: Column) -> Column:
-    """array<struct<label, start, end>> of maximal runs, half-open."""
-    fold = F.aggregate(
-        labels,
-        F.struct(F.array().cast(f"array<{RUN}>").alias("runs"), F.lit(0).alias("n")),
-        lambda s, x: F.struct(
-            F.when(
-                (F.size(s["runs"]) > 0) & F.try_element_at(s["runs"], F.lit(-1))["label"].eqNullSafe(x),
-                F.concat(
-                    F.slice(s["runs"], F.lit(1), F.size(s["runs"]) - 1),
-                    F.array(_run(x, F.try_element_at(s["runs"], F.lit(-1))["start"], s["n"] + 1)),
-                ),
+    """array<struct<label, start, end>> of maximal runs, half-open; linear in the labels."""
+    return let(labels, lambda own: _merged(own, lambda i: F.get(own, i), lambda i: i, F.size(own)))
+
+
+def _merged(items: Column, label: Callable[[Column], Column], start: Callable[[Column], Column], end: Column) -> Column:
+    """Runs of neighbouring items with one label, where an item's place is its start and the last one ends at ``end``."""
+    n = F.size(items)
+    every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    firsts = F.filter(every, lambda i: (i == 0) | ~label(i).eqNullSafe(label(i - 1)))
+
+    def build(at: Column) -> Column:
+        def run(i: Column, k: Column) -> Column:
+            after = F.get(at, k + 1)
+            return F.struct(
+                label(i).alias("label"), start(i).cast("int").alias("start"), F.coalesce(start(after), end).cast("int").alias("end")
             )
-            .otherwise(F.concat(s["runs"], F.array(_run(x, s["n"], s["n"] + 1))))
-            .alias("runs"),
-            (s["n"] + 1).alias("n"),
-        ),
-    )
-    return fold["runs"]
 
+        return F.transform(at, run)
 
-def _run(label: Column, start: Column, end: Column) -> Column:
-    return F.struct(label.alias("label"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+    return let(firsts, build)
 
 
 def regions(labels: Column, through: Sequence[str] = BENIGN, exclude: Sequence[str] = ARCHITECTURAL) -> Column:
-    """Runs after ghost resolution; excluded labels, and benign ones with nothing before them, break runs and are left out."""
-    return F.filter(run_lengths(ghosted(labels, through, exclude)), lambda r: ~r["label"].isin(*through, *exclude))
+    """Runs after ghost resolution; excluded labels, and benign ones with nothing before them, break runs and are left out.
+
+    Labels are first put into runs, so the fold that resolves ghosts goes over runs and not over bases.
+    """
+
+    def filled(first: Column) -> Column:
+        names = ghosted(F.transform(first, lambda r: r["label"]), through, exclude)
+        end = F.coalesce(F.try_element_at(first, F.lit(-1))["end"], F.lit(0))
+        return let(names, lambda x: _merged(x, lambda i: F.get(x, i), lambda i: F.get(first, i)["start"], end))
+
+    return F.filter(let(run_lengths(labels), filled), lambda r: ~r["label"].isin(*through, *exclude))
 
 
 def segments(labels: Column, n: Column, drop: Sequence[str] = ("PAD",)) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom.functions.draws import normal, pick, uniform
-from readloom.functions.seq import letters, reverse_complement
+from readloom.functions.seq import let, letters, reverse_complement
 from readloom.operators.motif import Matrix, sample
 from readloom.operators.runs import run_lengths
 
@@ -97,7 +97,7 @@ def whitelisted(rows: DataFrame, whitelist: DataFrame, seed: int, column: str) -
 
 
 def fragments(rows: DataFrame, transcripts: DataFrame, seed: int, low: int, high: int, column: str = "fragment", weighted: bool = True) -> DataFrame:
-    """A fragment of a transcript (id, seq) for each row: transcript by length (or evenly), place and length evenly.
+    """A fragment and the id (``transcript``) of a transcript (id, seq) for each row: transcript by length (or evenly), place and length evenly.
 
     Choosing by length is a point in the cumulative lengths: transcripts are cut into buckets of about equal
     length, so the range join is an equi-join on the bucket.
@@ -115,7 +115,7 @@ def fragments(rows: DataFrame, transcripts: DataFrame, seed: int, low: int, high
     buckets = placed.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
     point = F.floor(uniform(seed, F.col("read_id"), "transcript") * base).cast("long")
     drawn = rows.withColumn("_p", point).withColumn("bucket", F.floor(F.col("_p") / width))
-    found = drawn.join(buckets.select("bucket", "start", "end", "seq"), "bucket").filter((F.col("_p") >= F.col("start")) & (F.col("_p") < F.col("end")))
+    found = drawn.join(buckets.select("bucket", "start", "end", "seq", F.col("id").alias("transcript")), "bucket").filter((F.col("_p") >= F.col("start")) & (F.col("_p") < F.col("end")))
     n = F.least(F.length("seq"), low + pick(seed, high - low + 1, F.col("read_id"), "length"))
     at = pick(seed, F.length("seq") - n + 1, F.col("read_id"), "place")
     cut = F.substring("seq", at + 1, n)
@@ -132,7 +132,7 @@ def sequencing_errors(reads: DataFrame, seed: int, rate: float, substitution: fl
     def one(i: Column) -> Column:
         base, label = F.get(bases, i), F.get(labels, i)
         u, kind = uniform(seed, row, "error", i), uniform(seed, row, "kind", i)
-        other = F.substring(F.translate(F.lit(BASES), base, ""), pick(seed, 3, row, "base", i) + 1, F.lit(1))
+        other = F.substring(F.replace(F.lit(BASES), base, F.lit("")), pick(seed, 3, row, "base", i) + 1, F.lit(1))
         extra = F.substring(F.lit(BASES), pick(seed, 4, row, "base", i) + 1, F.lit(1))
 
         def pair(b: Column, v: Column) -> Column:
@@ -168,18 +168,21 @@ def _joined(seq: Column, labels: Column, runs: Column) -> Column:
 
 def lost(seq: Column, labels: Column, seed: int, row: Column, among: Sequence[str] = ("UMI", "ACC", "CBC")) -> Column:
     """Without any run of one of the labels ``among`` that the read has; reads with none stay."""
-    runs = run_lengths(labels)
     there = F.array_sort(F.array_intersect(F.array(*map(F.lit, among)), labels))
     gone = F.get(there, pick(seed, F.greatest(F.size(there), F.lit(1)), row, "lost"))
-    return F.when(F.size(there) > 0, _joined(seq, labels, F.filter(runs, lambda r: r["label"] != gone))).otherwise(_read(seq, labels))
+    kept = let(gone, lambda g: F.filter(run_lengths(labels), lambda r: r["label"] != g))
+    return F.when(F.size(there) > 0, let(kept, lambda k: _joined(seq, labels, k))).otherwise(_read(seq, labels))
 
 
 def duplicated(seq: Column, labels: Column, seed: int, row: Column) -> Column:
     """One run repeated in place, one to three times more."""
-    runs = run_lengths(labels)
-    at = pick(seed, F.greatest(F.size(runs), F.lit(1)), row, "doubled")
     copies = 2 + pick(seed, 3, row, "copies")
-    return _joined(seq, labels, F.flatten(F.transform(runs, lambda r, i: F.array_repeat(r, F.when(i == at, copies).otherwise(1)))))
+
+    def more(runs: Column) -> Column:
+        at = pick(seed, F.greatest(F.size(runs), F.lit(1)), row, "doubled")
+        return F.flatten(F.transform(runs, lambda r, i: F.array_repeat(r, F.when(i == at, copies).otherwise(1))))
+
+    return let(let(run_lengths(labels), more), lambda k: _joined(seq, labels, k))
 
 
 def cut(seq: Column, labels: Column, seed: int, row: Column) -> Column:
@@ -196,16 +199,17 @@ def cut(seq: Column, labels: Column, seed: int, row: Column) -> Column:
 
 def scrambled(seq: Column, labels: Column, seed: int, row: Column) -> Column:
     """The runs in an order drawn by hash; the first base of a run that isn't in its old place is ERROR_ORDER."""
-    runs = run_lengths(labels)
-    keyed = F.transform(runs, lambda r, i: F.struct(uniform(seed, row, "order", i).alias("k"), i.alias("i"), r.alias("r")))
-    mixed = F.array_sort(keyed)
-    text = F.array_join(F.transform(mixed, lambda x: F.substring(seq, x["r"]["start"] + 1, x["r"]["end"] - x["r"]["start"])), "")
+    keyed = F.transform(run_lengths(labels), lambda r, i: F.struct(uniform(seed, row, "order", i).alias("k"), i.alias("i"), r.alias("r")))
 
     def own(x: Column, i: Column) -> Column:
         part = F.slice(labels, x["r"]["start"] + 1, x["r"]["end"] - x["r"]["start"])
         return F.when(x["i"] == i, part).otherwise(F.concat(F.array(F.lit("ERROR_ORDER")), F.slice(part, F.lit(2), F.size(part))))
 
-    return _read(text, F.flatten(F.transform(mixed, own)))
+    def build(mixed: Column) -> Column:
+        text = F.array_join(F.transform(mixed, lambda x: F.substring(seq, x["r"]["start"] + 1, x["r"]["end"] - x["r"]["start"])), "")
+        return _read(text, F.flatten(F.transform(mixed, own)))
+
+    return let(F.array_sort(keyed), build)
 
 
 def chimeric(seq: Column, labels: Column, other: Column, seed: int, row: Column) -> Column:
@@ -237,14 +241,13 @@ def corrupt(reads: DataFrame, seed: int, fraction: float, kinds: Mapping[str, fl
         kind = F.when(u < upto, name) if kind is None else kind.when(u < upto, name)
     kind = kind.otherwise(list(kinds)[-1])
     chosen = uniform(seed, row, "corrupted") < fraction
-    mixed = scrambled(seq, labels, seed, row)
     marked = reads.withColumn("_kind", F.when(chosen, kind))
     changed = (
         F.when(F.col("_kind") == "segment_loss", lost(seq, labels, seed, row))
         .when(F.col("_kind") == "segment_duplication", duplicated(seq, labels, seed, row))
         .when(F.col("_kind") == "truncation", cut(seq, labels, seed, row))
-        .when(F.col("_kind") == "chimeric", chimeric(seq, labels, mixed, seed, row))
-        .when(F.col("_kind") == "scrambled", mixed)
+        .when(F.col("_kind") == "chimeric", let(scrambled(seq, labels, seed, row), lambda other: chimeric(seq, labels, other, seed, row)))
+        .when(F.col("_kind") == "scrambled", scrambled(seq, labels, seed, row))
         .otherwise(_read(seq, labels))
     )
     out = marked.withColumn("_new", changed)

@@ -68,6 +68,8 @@ TRUTH_SQL = """truth AS (SELECT doc_id AS read_id, pos, (instr('0123456789abcdef
   FROM (SELECT *, unnest(range(8)) AS pos FROM documents))"""
 COMBINED_SQL = PRED_SQL + ", " + WEIGHTS_SQL + """, sums AS (SELECT read_id, pos, label, sum(weight * p) AS x FROM pred JOIN weights USING (model) GROUP BY ALL),
   combined AS (SELECT read_id, pos, label, x / (sum(x) OVER (PARTITION BY read_id, pos) + 1e-10) AS p FROM sums)"""
+# sums in another order differ in the last bits; rounded, ties and bins are the same in any order
+ROUNDED_SQL = COMBINED_SQL.replace("x / (sum(x) OVER (PARTITION BY read_id, pos) + 1e-10) AS p", "round(x / (sum(x) OVER (PARTITION BY read_id, pos) + 1e-10), 12) AS p")
 WINNERS_SQL = """won AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY read_id, pos ORDER BY p DESC, label) AS k FROM combined) WHERE k = 1)"""
 SHEET_SQL = """sheet AS (SELECT s_suppkey AS k, 'S' || s_suppkey AS sample_name, substr(h, 1, 8) AS cbc, substr(h, 9, 8) AS i5, substr(h, 17, 8) AS i7
   FROM (SELECT *, translate(md5(s_suppkey || '-s'), '0123456789abcdef', 'ACGTACGTACGTACGT') AS h FROM supplier))"""
@@ -167,7 +169,7 @@ def pad_truncate(spark, sf):
 
 
 @query(
-    f"""WITH {MOTIFS_SQL} SELECT read_id, list_aggregate(list_transform(string_split(motif, ''), lambda b: chr(33 + 10 * instr('ACGT', b))), 'string_agg', '') AS quality,
+    f"""WITH {MOTIFS_SQL} SELECT read_id, list_aggregate(list_transform(string_split(motif, ''), lambda b: chr(CAST(33 + 10 * instr('ACGT', b) AS INTEGER))), 'string_agg', '') AS quality,
       {_r("list_sum(list_transform(string_split(motif, ''), lambda b: pow(10.0, -instr('ACGT', b))))")} AS errors FROM motifs"""
 )
 def phred(spark, sf):
@@ -221,7 +223,7 @@ def ghost_fill(spark, sf):
     return runs.ghost_fill(inputs.states(spark, sf), ["error"])
 
 
-@query(f"""WITH {GHOST_SQL}, {runs_sql("ghosts")} SELECT read_id, label, "start", "end" FROM runs WHERE label NOT IN ('error', 'signup')""")
+@query(f"""WITH {GHOST_SQL.replace("CASE WHEN label <> 'error' THEN label END", "CASE WHEN label NOT IN ('error', 'signup') THEN label END")}, {runs_sql("ghosts")} SELECT read_id, label, "start", "end" FROM runs WHERE label NOT IN ('error', 'signup')""")
 def regions_fold(spark, sf):
     """The array form: one fold a read over its labels in order."""
     rows = inputs.states(spark, sf).groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("pos", "label")))["label"].alias("labels"))
@@ -673,12 +675,13 @@ def ensemble_diversity(spark, sf):
 
 
 @query(
-    f"""WITH {COMBINED_SQL}, {TRUTH_SQL}, {WINNERS_SQL}, c AS (SELECT won.p, (won.label = truth.label)::INT AS ok FROM won JOIN truth USING (read_id, pos)),
+    f"""WITH {ROUNDED_SQL}, {TRUTH_SQL}, {WINNERS_SQL}, c AS (SELECT won.p, (won.label = truth.label)::INT AS ok FROM won JOIN truth USING (read_id, pos)),
     b AS (SELECT ceil(p * 10) AS bin, count(*) AS n, avg(p) AS conf, avg(ok) AS acc FROM c GROUP BY bin)
     SELECT {_r('sum(abs(conf - acc) * n) / sum(n)')} AS ece, (SELECT {_r('sum(pow(c.p - (c.label = t.label)::INT, 2)) / count(DISTINCT (read_id, pos))')} FROM combined c JOIN truth t USING (read_id, pos)) AS brier FROM b"""
 )
 def ece_brier(spark, sf):
     combined, truth = ensemble.average(inputs.predictions(spark, sf), _weights(spark)), inputs.truth(spark, sf)
+    combined = combined.withColumn("p", F.round("p", 12))
     chosen = ensemble.winners(combined).join(truth.withColumnRenamed("label", "truth"), ["read_id", "pos"])
     ece = ensemble.calibration(chosen.select("p", (F.col("label") == F.col("truth")).alias("correct")))
     return ece.crossJoin(ensemble.brier(combined, truth))  # one row each
@@ -794,7 +797,7 @@ def corrupt_reads(spark, sf):
 def sim_fragments(spark, sf):
     docs = inputs.reads(spark, sf).select(F.col("read_id").alias("id"), F.col("sequence").alias("seq"))
     rows = spark.range(inputs.table(spark, sf, "orders").count()).withColumnRenamed("id", "read_id")
-    return simulate.fragments(rows, docs, 11, 20, 40).select("read_id", F.col("id").alias("transcript"), "fragment")
+    return simulate.fragments(rows, docs, 11, 20, 40).select("read_id", "transcript", "fragment")
 
 
 # --- sets, order, samples -----------------------------------------------------------------------------
