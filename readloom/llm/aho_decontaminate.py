@@ -68,7 +68,7 @@ class _Scanner:
     def scan(self, text: bytes | None) -> tuple[int, list[tuple[int, int, int, int]], set[str]]:
         """Words; merged hit spans (first word, word after, first byte, byte after); items that occur."""
         words = words_of(text)
-        found = list(self.automaton().iter(f" {b' '.join(words).decode('latin-1')} ")) if words else []
+        found = list(self.automaton().iter(f" {b' '.join(words).decode('latin-1')} ")) if words and self.patterns else []
         if not found:
             return len(words), [], set()
         last = np.cumsum([len(w) + 1 for w in words])  # where the space after each word stands

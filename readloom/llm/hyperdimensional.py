@@ -23,7 +23,7 @@ from readloom.llm.common import slices
 
 DIMENSIONS = 2_048
 SEED = 10
-#: Labelled rows that prototypes are learnt from, at most about so many (a hash decides which).
+#: Labelled rows that prototypes are learnt from, at most about so many (drawn evenly).
 FIT_ROWS = 20_000
 #: Predictions whose cosine is lower are no language that was learnt.
 LEAST_SCORE = 0.05
@@ -95,12 +95,12 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, fit_rows: int = FIT_ROWS)
     """Languages, sorted, and their prototypes as unit vectors.
 
     Learns from rows with a text and a language; of more than ``fit_rows`` such rows, from a share of
-    them that a hash of the text picks. Bounded: one vector for each language of these rows.
+    them drawn with a fixed seed. Bounded: one vector for each language of these rows.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
     n = rows.count()
     if n > fit_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(fit_rows / n * (1 << 30)))
+        rows = rows.filter(F.rand(SEED) < fit_rows / n)  # copies of one text are drawn one by one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, fit_rows: int = FIT_ROWS)
     parts = rows.mapInArrow(run, "lang string, sums array<long>").select("lang", F.posexplode("sums"))
     found = parts.groupBy("lang", "pos").agg(F.sum("col").alias("x"))
     found = found.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("pos", "x")))["x"].alias("x")).orderBy("lang").collect()
-    vectors = np.array([r["x"] for r in found], float).reshape(len(found), -1)
+    vectors = np.array([r["x"] for r in found], float).reshape(len(found), DIMENSIONS)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True) if len(found) else vectors
     return [r["lang"] for r in found], (vectors / np.maximum(norms, 1e-9)).astype(np.float32)
 
