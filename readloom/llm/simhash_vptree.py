@@ -30,7 +30,11 @@ SEED = 42
 #: Distinct fingerprints that the tree is fitted on, at most about so many.
 TREE_SAMPLE = 65_536
 #: Home fingerprints that a leaf should hold, and the most that are compared within one task.
-LEAF_HOME, LEAF_MOST = 1_024, 16_384
+LEAF_HOME, LEAF_MOST = 8_192, 65_536
+#: Vantage points that are tried for a node; the one whose distances spread most is taken.
+TRIALS = 8
+#: Fingerprints of content words that a text gets besides that of its shingles, and what makes a text short.
+WORD_PRINTS, SHORT = 16, 40
 
 _LANES = np.zeros((256, 2), np.uint64)
 for _b in range(256):
@@ -84,20 +88,53 @@ def text_fingerprints(texts: list[bytes | None], k: int) -> np.ndarray:
     return majorities(flat, counts)
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text", k: int = 3, name: str = "fingerprint") -> DataFrame:
+def _mixed(x: np.ndarray, i: int) -> np.ndarray:
+    """Hash values as another hash function, number i, would give them (the finaliser of SplitMix64)."""
+    x = x + np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_fingerprints(texts: list[bytes | None], n: int = WORD_PRINTS) -> list[np.ndarray]:
+    """n fingerprints of each text by as many hash functions, over its distinct words of over three bytes.
+
+    A few changed words turn few bits of such a fingerprint, so of near copies some of the n are within two
+    bits. A text with under ``SHORT`` words, or too few distinct ones, is one feature: only copies link.
+    """
+    features = []
+    for t in texts:
+        words = (t or b"").lower().split()
+        kept = {w for w in words if len(w) > 3} if len(words) >= SHORT else ()
+        features.append(kept if len(kept) >= SHORT // 2 else {b" ".join(words)})
+    counts = np.fromiter(map(len, features), np.int64, len(features))
+    flat = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for f in features for w in f), np.uint64, int(counts.sum()))
+    return [majorities(_mixed(flat, i), counts) for i in range(n)]
+
+
+def with_fingerprint(docs: DataFrame, text_col: str = "text", k: int = 3, name: str = "fingerprint", more: int = 0) -> DataFrame:
     """``docs`` and a long column: the 64-bit SimHash of the text's k-word shingles, as a signed number.
 
     Words are runs of anything but ASCII white space, with A-Z lower-cased. Null, empty and blank
-    texts have fingerprint 0. A column of ``docs`` with that name gives way. No shuffle.
+    texts have fingerprint 0. A column of ``docs`` with that name gives way. No shuffle. With ``more``, the
+    column is an array: that fingerprint and as many of the text's words.
     """
     docs = docs.drop(name)
     at = docs.columns.index(text_col)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` long"])
+    kind = "array<long>" if more else "long"
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` {kind}"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, 8 << 20):
-            prints = text_fingerprints(as_bytes(batch.column(at)), k).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], [*batch.schema.names, name])
+            texts = as_bytes(batch.column(at))
+            prints = text_fingerprints(texts, k).view(np.int64)
+            if more:
+                every = np.stack([prints, *(p.view(np.int64) for p in word_fingerprints(texts, more))], 1)
+                offsets = np.arange(len(texts) + 1, dtype=np.int32) * every.shape[1]
+                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(every.ravel()))
+            else:
+                column = pa.array(prints)
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
@@ -113,7 +150,9 @@ def fit_tree(sample: np.ndarray, leaf_size: int) -> dict[str, np.ndarray]:
     def grow(part: np.ndarray) -> int:
         nonlocal leaves
         if len(part) > leaf_size:
-            vantage = part[rng.integers(len(part))]
+            tried = part[rng.integers(len(part), size=TRIALS)]
+            spread = [np.bitwise_count(part[:4096] ^ v).astype(float).std() for v in tried]
+            vantage = tried[int(np.argmax(spread))]
             d = np.bitwise_count(part ^ vantage)
             border = int(np.median(d))
             if d.max() <= border:
@@ -205,52 +244,73 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hamming_links(prints: DataFrame, radius: int = 2, leaf_home: int = LEAF_HOME, leaf_most: int = LEAF_MOST) -> DataFrame:
-    """Links (a, b) that connect what the pairs within ``radius`` bits connect.
+    """Links (a, b) of nodes that connect what the pairs within ``radius`` bits connect.
 
-    ``prints`` has one long column of distinct fingerprints, already written down. The result is a
-    spanning forest of each leaf's links: it has the same components as all pairs together.
+    ``prints``: (kind, fingerprint, node) rows, already written down, with one row for each distinct
+    fingerprint of a kind; only fingerprints of one kind are compared. The result is a spanning forest of
+    each leaf's links: it has the same components as all pairs together.
     """
     if radius > 2:
         raise ValueError("crowded leaves are linked through 1-bit neighbours, which covers a radius of 2 at most")
-    column = prints.columns[0]
-    n = prints.count()
-    share = min(1.0, TREE_SAMPLE / max(1, n))
-    taken = prints.filter(F.pmod(F.xxhash64(column), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    sample = np.array([r[0] for r in taken.limit(2 * TREE_SAMPLE).collect()], np.int64).view(np.uint64)
-    tree = fit_tree(sample, max(8, int(len(sample) * leaf_home / max(1, n))))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sizes = {r["kind"]: r["count"] for r in prints.groupBy("kind").count().collect()}  # a row for each kind
+    most = TREE_SAMPLE // max(1, len(sizes))
+    n = max(sizes.values(), default=0)
+    taken = prints.filter(F.pmod(F.xxhash64("fingerprint"), F.lit(1 << 20)) < int(min(1.0, most / max(1, n)) * (1 << 20)) + 1)
+    sample: dict[int, list[int]] = {k: [] for k in sizes}
+    for r in taken.limit(2 * TREE_SAMPLE).select("kind", "fingerprint").collect():
+        sample[r[0]].append(r[1])
+    trees = {}
+    for kind, x in sample.items():
+        x = np.array(x, np.int64).view(np.uint64)
+        trees[kind] = fit_tree(x, max(8, int(len(x) * leaf_home / sizes[kind])))
+
+    def routed(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(0).to_numpy().view(np.uint64)
-            home = np.empty(len(x), np.int64)
-            row, leaf = route(tree, x, 0)
-            home[row] = leaf
-            row, leaf = route(tree, x, radius)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(leaf), pa.array(x[row].view(np.int64)), pa.array(home[row] == leaf)], ["leaf", "print", "home"]
-            )
-
-    sent = written(prints.select(column).mapInArrow(send, "leaf long, print long, home boolean"), "leaves")
+            kinds = batch.column("kind").to_numpy()
+            for kind in np.unique(kinds).tolist():
+                part = batch.filter(pa.array(kinds == kind))
+                x = part.column("fingerprint").to_numpy().view(np.uint64)
+                home = np.empty(len(x), np.int64)
+                row, leaf = route(trees[kind], x, 0)
+                home[row] = leaf
+                if radius:
+                    row, leaf = route(trees[kind], x, radius)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array((kind << 32) + leaf),
+                        pa.array(x[row].view(np.int64)),
+                        part.column("node").take(pa.array(row)),
+                        pa.array(home[row] == leaf),
+                    ],
+                    ["leaf", "print", "node", "home"],
+                )
+
+    shape = "leaf long, print long, node long, home boolean"
+    homes = prints.mapInArrow(lambda b: routed(b, 0), shape)
     # at most as many leaves as the sample has points, so this list is small by construction
-    crowded = [r[0] for r in sent.filter("home").groupBy("leaf").count().filter(F.col("count") > leaf_most).collect()]
+    crowded = [r[0] for r in homes.groupBy("leaf").count().filter(F.col("count") > leaf_most).collect()]
+    sent = prints.mapInArrow(lambda b: routed(b, radius), shape)
 
     def compare(group: pa.Table) -> pa.Table:
         x, home = group.column("print").to_numpy().view(np.uint64), group.column("home").to_numpy()
+        order = np.argsort(x)
+        node = group.column("node").to_numpy()[order]
         a, b = links_within(x[home], x, radius)
-        node, root = forest(a, b)
-        return pa.table({"a": node.view(np.int64), "b": root.view(np.int64)})
+        own, root = (np.searchsorted(x, v, sorter=order) for v in forest(a, b))
+        return pa.table({"a": node[own], "b": node[root]})
 
     usual = sent if not crowded else sent.filter(~F.col("leaf").isin(crowded))
     links = usual.groupBy("leaf").applyInArrow(compare, "a long, b long").filter("a <> b")
     if crowded:
         keys = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(64)])
-        tight = sent.filter(F.col("leaf").isin(crowded)).select("print").distinct()
-        near = tight.select("print", F.explode(keys).alias("bit")).select("print", F.col("print").bitwiseXOR(F.col("bit")).alias("key"))
-        least = near.groupBy("key").agg(F.min("print").alias("b"))
-        wide = near.join(least, "key").filter("print <> b").select(F.col("print").alias("a"), "b")
+        tight = sent.filter(F.col("leaf").isin(crowded)).select(F.shiftright("leaf", 32).alias("kind"), "print", "node").distinct()
+        near = tight.select("kind", "print", "node", F.explode(keys).alias("bit"))
+        near = near.select("kind", "print", "node", F.col("print").bitwiseXOR(F.col("bit")).alias("key"))
+        least = near.groupBy("kind", "key").agg(F.min(F.struct("print", "node")).alias("x"))
+        wide = near.join(least, ["kind", "key"]).filter(F.col("print") != F.col("x.print"))
         if radius < 2:
-            wide = wide.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-        links = links.union(wide)
+            wide = wide.filter(F.bit_count(F.col("print").bitwiseXOR(F.col("x.print"))) <= radius)
+        links = links.union(wide.select(F.col("node").alias("a"), F.col("x.node").alias("b")))
     return links
 
 
@@ -273,8 +333,8 @@ def near_duplicates(
 def roots_of(rows: DataFrame, radius: int = 2) -> DataFrame:
     """(fingerprint, root): the component of each distinct fingerprint of ``rows``, by its least member."""
     prints = written(rows.select("fingerprint").distinct(), "prints")
-    roots = connected_components(hamming_links(prints, radius))
-    placed = prints.join(roots.select(F.col("node").alias("fingerprint"), "root"), "fingerprint", "left")
+    links = hamming_links(prints.select(F.lit(0).alias("kind"), "fingerprint", F.col("fingerprint").alias("node")), radius)
+    placed = prints.join(connected_components(links).withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     return written(placed.withColumn("root", F.coalesce("root", "fingerprint")), "roots")
 
 
@@ -287,21 +347,32 @@ def components_of(rows: DataFrame, radius: int = 2) -> DataFrame:
     return rows.join(found, "fingerprint").select("id", "fingerprint", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay when one row of each component is kept: the one with the least id.
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, radius: int = 2, more: int = WORD_PRINTS
+) -> DataFrame:
+    """The rows of ``docs`` that stay when one row of each group of near duplicates is kept: the one with the least id.
 
-    Rows with an id come before rows without; equal ids are told apart by a hash of the whole row, and
-    of rows that repeat as a whole one stays. All columns stay, whatever their names.
+    Rows are linked if their shingle fingerprints, or two of the same number of their ``more`` word
+    fingerprints, differ in at most ``radius`` bits; groups are what links reach. Rows with an id come
+    before rows without; equal ids are told apart by a hash of the whole row, and of rows that repeat as a
+    whole one stays. Null, empty and blank texts are one group. All columns stay, whatever their names.
     """
     hashed = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    prints = with_fingerprint(hashed.select(F.col(id_col).alias("id"), "_row", F.col(text_col).alias("text")), "text", k)
-    prints = written(prints.select("id", "_row", "fingerprint"), "fingerprints")
+    rows = hashed.select(F.col(id_col).alias("id"), "_row", F.col(text_col).alias("text"))
+    rows = with_fingerprint(rows, "text", k, "prints", more).withColumn("node", F.monotonically_increasing_id())
+    rows = written(rows.select("node", "id", "_row", "prints" if more else F.array("prints").alias("prints")), "fingerprints")
+    every = rows.select("node", F.posexplode("prints").alias("kind", "fingerprint"))
+    prints = written(every.groupBy("kind", "fingerprint").agg(F.min("node").alias("node"), F.count("*").alias("n")), "prints")
+    copies = every.withColumnRenamed("node", "a").join(prints.filter("n > 1"), ["kind", "fingerprint"])
+    copies = copies.select("a", F.col("node").alias("b")).filter("a <> b")
+    found = connected_components(copies.union(hamming_links(prints.select("kind", "fingerprint", "node"), radius)))
+    placed = rows.select("node", "id", "_row").join(found, "node", "left")
     first = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "_row")).alias("first")
-    kept = prints.join(roots_of(prints, radius), "fingerprint").groupBy("root").agg(first)
+    kept = placed.groupBy(F.coalesce("root", "node").alias("root")).agg(first)
     kept = written(kept.select(F.col("first.id").alias("_id"), F.col("first._row").alias("_kept")), "kept")
     same = (hashed["_row"] == kept["_kept"]) & hashed[id_col].eqNullSafe(kept["_id"])
     out = hashed.join(kept, same, "left_semi")
-    repeated = prints.groupBy("id", "_row").count().filter("count > 1").select("_row").distinct()
+    repeated = rows.groupBy("id", "_row").count().filter("count > 1").select("_row").distinct()
     if not repeated.isEmpty():  # only rows that repeat as a whole are brought together
         once = out.join(repeated, "_row", "left_semi").dropDuplicates(["_row", id_col])
         out = out.join(repeated, "_row", "left_anti").unionByName(once)

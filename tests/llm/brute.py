@@ -28,8 +28,25 @@ def simhash(text, k=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def word_simhashes(text, n=16, short=40):
+    mask = (1 << 64) - 1
+    words = SPACED.findall(lower(text))
+    kept = {w for w in words if len(w.encode()) > 3} if len(words) >= short else set()
+    out = []
+    for i in range(n):
+        hashes = []
+        for w in kept if len(kept) >= short // 2 else {" ".join(words)}:
+            x = xxhash.xxh64_intdigest(w.encode(), 42) + 0x9E3779B97F4A7C15 * (i + 1) & mask
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+            hashes.append(x ^ x >> 31)
+        out.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    return out
+
+
 def components(prints, radius=2):
-    """prints: (id, fingerprint) -> component id of each row."""
+    """prints: (id, fingerprint or several) -> component id of each row."""
+    prints = [(i, p if isinstance(p, list) else [p]) for i, p in prints]
     root = list(range(len(prints)))
 
     def find(i):
@@ -39,7 +56,7 @@ def components(prints, radius=2):
 
     for i, (_, a) in enumerate(prints):
         for j in range(i):
-            if (a ^ prints[j][1]).bit_count() <= radius:
+            if any((x ^ y).bit_count() <= radius for x, y in zip(a, prints[j][1])):
                 root[find(i)] = find(j)
     least = defaultdict(list)
     for i, (id_, _) in enumerate(prints):

@@ -105,6 +105,7 @@ def test_links_connect_what_pairs_connect(spark, most):
     near = [v ^ np.uint64(1 << int(a)) ^ np.uint64(1 << int(b)) for v, a, b in zip(x[:200], rng.integers(0, 64, 200), rng.integers(0, 64, 200))]
     prints = np.unique(np.concatenate([x, chain, near]).astype(np.uint64))
     df = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fingerprint long")
+    df = df.select(F.lit(3).alias("kind"), "fingerprint", F.col("fingerprint").alias("node"))
     links = simhash_vptree.hamming_links(df, 2, leaf_home=16, leaf_most=most)
     root = {r["node"]: r["root"] for r in connected_components(links).collect()}
     groups = brute.components([(int(p), int(p) & (1 << 64) - 1) for p in prints.view(np.int64)])
@@ -131,9 +132,24 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_near_copies_go(spark, sf):
+    docs = documents(spark, sf.replace("0.001", "0.01")).filter(F.size(F.split("text", r"\s+")) >= 100)
+    rng = random.Random(7)
+    rows, n = [], 0
+    for i, t in table(docs.limit(150)):
+        words = t.split()
+        rows.append((i, t))
+        for at in rng.sample(range(len(words)), max(1, len(words) // 60)):
+            words[at] = "changed" + str(rng.randrange(1000))
+        rows.append((10_000 + i, " ".join(words)))
+        n += 1
+    kept = simhash_vptree.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert kept.filter("doc_id >= 10000").count() <= 0.05 * n
+
+
 def test_one_of_each_keeps_the_least_id(spark, odd_docs, empty_docs):
     rows = table(odd_docs)
-    prints = [(i, brute.simhash(t)) for i, t in rows]
+    prints = [(i, [brute.simhash(t), *brute.word_simhashes(t)]) for i, t in rows]
     kept = simhash_vptree.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
     groups = defaultdict(list)
