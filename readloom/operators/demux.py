@@ -11,9 +11,9 @@ from readloom.functions.seq import lcs_length
 from readloom.operators.runs import last_boundaries, segments, slice_of
 from readloom.schema import EXPECTED, OPTIONAL, REQUIRED
 
-#: Distinct unmatched barcode triples are compared with every sample of the sheet; beyond this many
-#: samples the sheet isn't sent to every task, but joined on shared pieces of the barcodes.
-SHEET_EVERYWHERE = 20_000
+#: Up to this many samples, each distinct unmatched barcode triple is compared with the whole sheet; a larger
+#: sheet is joined on shared pieces of the barcodes, so the work follows the matches and not the product.
+SHEET_EVERYWHERE = 64
 
 
 def order_score(found: Column, expected: Sequence[str], strict: bool = False) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom.functions.draws import uniform
-from readloom.functions.seq import letters
+from readloom.functions.seq import let, letters
 from readloom.schema import IUPAC, PWM
 
 EPSILON = 1e-10
@@ -47,6 +47,11 @@ def log_odds(m: Matrix) -> list[dict[str, float]]:
     return [{b: math.log(p[b] + EPSILON) - math.log(0.25) for b in BASES} for p in m]
 
 
+def _codes(seq: Column) -> Column:
+    """0 to 3 for A, C, G, T, 4 for anything else."""
+    return F.transform(letters(F.translate(F.regexp_replace(F.upper(seq), "[^ACGT]", "N"), BASES + "N", "01234")), lambda c: c.cast("int"))
+
+
 def _cells(values: Sequence[Mapping[str, float]]) -> Column:
     return F.array(*[F.create_map(*[F.lit(x) for b in BASES for x in (b, float(v[b]))]) for v in values])
 
@@ -55,15 +60,22 @@ def _sum(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
 
 
-def score(seq: Column, m: Matrix) -> Column:
-    """Log-odds of the bases, scaled to [0, 1] by the best and worst motif; null for another length, 0 without a base."""
+def _window(codes: Column, at: Column, m: Matrix) -> Column:
+    """The score of the window of a code array that starts at ``at``: one array access a position."""
     odds = log_odds(m)
     low, high = sum(min(o.values()) for o in odds), sum(max(o.values()) for o in odds)
-    cells = _cells(odds)
-    parts = F.transform(letters(F.upper(seq)), lambda c, i: F.try_element_at(F.try_element_at(cells, i + 1), c))
-    known = F.filter(parts, lambda x: x.isNotNull())
-    scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (_sum(known) - low) / (high - low if high > low else 1.0)))
-    return F.when(F.length(seq) == len(m), F.when(F.size(known) > 0, scaled).otherwise(0.0))
+    own = [F.get(codes, at + k) for k in range(len(m))]
+    total, known = F.lit(0.0), F.lit(False)
+    for c, o in zip(own, odds):
+        total = total + F.get(F.array(*[F.lit(o[b]) for b in BASES], F.lit(0.0)), c)
+        known = known | (c < 4)
+    scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (total - low) / (high - low if high > low else 1.0)))
+    return F.when(known, scaled).otherwise(0.0)
+
+
+def score(seq: Column, m: Matrix) -> Column:
+    """Log-odds of the bases, scaled to [0, 1] by the best and worst motif; null for another length, 0 without a base."""
+    return F.when(F.length(seq) == len(m), let(_codes(seq), lambda codes: _window(codes, F.lit(0), m)))
 
 
 def best_match(seq: Column, m: Matrix, start: Column | int = 0, end: Column | None = None) -> Column:
@@ -73,12 +85,15 @@ def best_match(seq: Column, m: Matrix, start: Column | int = 0, end: Column | No
     stop = F.length(seq) - n + 1
     stop = stop if end is None else F.least(end, stop)
     places = F.when(stop > first, F.sequence(first, stop - 1)).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(places, lambda i: F.substring(seq, i + 1, F.lit(n)))
-    found = F.zip_with(windows, places, lambda w, i: F.struct(score(w, m).alias("score"), (-i).alias("back"), w.alias("motif")))
-    best = F.array_max(F.filter(found, lambda x: x["score"] > 0))
-    return F.when(best.isNotNull(), F.struct(best["score"].alias("score"), (-best["back"]).alias("pos"), best["motif"].alias("motif"))).otherwise(
-        F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("pos"), F.lit("").alias("motif"))
-    )
+    found = let(_codes(seq), lambda codes: F.transform(places, lambda i: F.struct(_window(codes, i, m).alias("score"), (-i).alias("back"))))
+    none = F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("pos"), F.lit("").alias("motif"))
+
+    def shown(best: Column) -> Column:
+        pos = -best["back"]
+        hit = F.struct(best["score"].alias("score"), pos.alias("pos"), F.substring(seq, pos + 1, F.lit(n)).alias("motif"))
+        return F.when(best["score"] > 0, hit).otherwise(none)
+
+    return let(F.array_max(found), shown)
 
 
 def probabilities(seq: Column, m: Matrix) -> Column:
