@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -251,19 +252,62 @@ def weight_grid(models: list[str], step: float = 0.1) -> list[dict[str, float]]:
     return [dict(zip(models, [i / n for i in r])) for r in rest(len(models), n)]
 
 
-def best_grid_weights(predictions: DataFrame, truth: DataFrame, models: list[str], step: float = 0.1) -> DataFrame:
-    """(candidate, log_likelihood) of every mixture of the grid: one shuffle, a column for each candidate."""
+def dirichlet_candidates(models: list[str], n: int = 100, seed: int = 7) -> list[dict[str, float]]:
+    """n mixtures drawn evenly from all mixtures."""
+    draws = np.random.default_rng(seed).dirichlet(np.ones(len(models)), n)
+    return [dict(zip(models, map(float, row))) for row in draws]
+
+
+def candidate_likelihoods(predictions: DataFrame, truth: DataFrame, candidates: list[dict[str, float]]) -> DataFrame:
+    """(weights, log_likelihood) of every candidate mixture: one shuffle, a column for each candidate."""
+    models = sorted(candidates[0])
     right = predictions.join(truth.select(*PLACE, "label"), [*PLACE, "label"])
     places = right.groupBy(*PLACE).agg(*[F.sum(F.when(F.col("model") == m, F.col("p"))).alias(f"p{i}") for i, m in enumerate(models)])
-    grid = weight_grid(models, step)
 
     def mixed(w: dict[str, float]) -> Column:
         return sum((F.coalesce(f"p{i}", F.lit(0.0)) * w[m] for i, m in enumerate(models)), F.lit(0.0))
 
-    sums = places.agg(*[F.sum(F.log(mixed(w) + EPSILON)).alias(f"g{i}") for i, w in enumerate(grid)])
+    sums = places.agg(*[F.sum(F.log(mixed(w) + EPSILON)).alias(f"g{i}") for i, w in enumerate(candidates)])
     stacked = F.explode(
-        F.array(*[F.struct(F.array(*[F.lit(w[m]) for m in models]).alias("weights"), F.col(f"g{i}").alias("log_likelihood")) for i, w in enumerate(grid)])
+        F.array(*[F.struct(F.array(*[F.lit(w[m]) for m in models]).alias("weights"), F.col(f"g{i}").alias("log_likelihood")) for i, w in enumerate(candidates)])
     )
     return sums.select(stacked.alias("x")).select("x.*")
 
 
+def best_weights(likelihoods: DataFrame) -> DataFrame:
+    """One row: the weights with the highest likelihood, the first ones of equal."""
+    best = F.max(F.struct("log_likelihood", F.transform("weights", lambda w: -w).alias("back"))).alias("x")
+    return likelihoods.agg(best).select(F.transform("x.back", lambda w: -w).alias("weights"), "x.log_likelihood")
+
+
+def agreement(predictions: DataFrame, first: str) -> DataFrame:
+    """(model, same): whether a model chooses the same label as ``first`` at every place."""
+    won = winners(predictions, ("model", *PLACE))
+    base = won.filter(F.col("model") == first).select(*PLACE, F.col("label").alias("base"))
+    return won.join(base, [*PLACE]).groupBy("model").agg(F.bool_and(F.col("label") == F.col("base")).alias("same"))
+
+
+def stacker(predictions: DataFrame, truth: DataFrame, labels: list[int]):
+    """A multinomial logistic model on all models' probabilities; returns a function that combines predictions.
+
+    Features are ordered by model and label, when learning and when combining alike.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    models = sorted(r["model"] for r in predictions.select("model").distinct().limit(MOST_MODELS).collect())
+    cells = [(m, k) for m in models for k in labels]
+
+    def wide(df: DataFrame) -> DataFrame:
+        columns = [F.coalesce(F.max(F.when((F.col("model") == m) & (F.col("label") == k), F.col("p"))), F.lit(0.0)).alias(f"c{i}") for i, (m, k) in enumerate(cells)]
+        return VectorAssembler(inputCols=[f"c{i}" for i in range(len(cells))], outputCol="_features").transform(df.groupBy(*PLACE).agg(*columns))
+
+    rows = wide(predictions).join(truth.select(*PLACE, F.col("label").cast("double").alias("_label")), [*PLACE])
+    model = LogisticRegression(featuresCol="_features", labelCol="_label", family="multinomial").fit(rows)
+
+    def combine(df: DataFrame) -> DataFrame:
+        out = model.transform(wide(df)).select(*PLACE, F.posexplode(vector_to_array("probability")).alias("label", "p"))
+        return out.filter(F.col("label").isin(*labels))
+
+    return combine

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.operators.runs import duplicate_segment, remove_segment, truncate
+from readloom.operators.runs import duplicate_segment, remove_segment, shuffle_middle, truncate
 
 
 def confusion(pairs: DataFrame, normalize: bool = False) -> DataFrame:
@@ -100,15 +100,16 @@ def distribution(rows: DataFrame, col: str) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # a row for each distinct value
 
 
-def variants(reads: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Reads and their corrupted forms, told apart by ``variant``: each label's segment lost or doubled, and cut reads."""
+def variants(reads: DataFrame, labels: Sequence[str], seed: int = 0) -> DataFrame:
+    """Reads and their corrupted forms, told apart by ``variant``: each label's segment
+    lost or doubled, cut reads, and reads whose middle is shuffled."""
     out = reads.withColumn("variant", F.lit("valid"))
     for label in labels:
         out = out.unionByName(remove_segment(reads, label).withColumn("variant", F.lit(f"missing_{label}")))
         out = out.unionByName(duplicate_segment(reads, label).withColumn("variant", F.lit(f"duplicated_{label}")))
     for fraction in (0.5, 0.75):
         out = out.unionByName(truncate(reads, fraction).withColumn("variant", F.lit(f"truncated_{fraction}")))
-    return out
+    return out.unionByName(shuffle_middle(reads, seed).withColumn("variant", F.lit("chimera")))
 
 
 def degradation(accuracies: DataFrame, baseline: str = "valid") -> DataFrame:

@@ -251,3 +251,14 @@ def ks_statistic(scored: DataFrame, group: str = "grp", value: str = "score") ->
         F.try_divide(F.sum("a").over(upto), F.sum("a").over(whole)) - F.try_divide(F.sum("b").over(upto), F.sum("b").over(whole))
     )
     return steps.select(gap.alias("gap"), "a", "b").agg(F.max("gap").alias("ks"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+
+
+def ks_pvalue(ks: float, n_a: int, n_b: int, terms: int = 100) -> float:
+    """The asymptotic probability of a gap as large, if both samples come from one distribution."""
+    if not n_a or not n_b:
+        return 1.0
+    n = n_a * n_b / (n_a + n_b)
+    x = (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)) * ks
+    if x < 0.2:
+        return 1.0
+    return min(1.0, max(0.0, 2 * sum((-1) ** (i - 1) * math.exp(-2 * i * i * x * x) for i in range(1, terms))))

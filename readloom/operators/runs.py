@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.functions.draws import uniform
 from readloom.functions.seq import let, letters
 from readloom.schema import ARCHITECTURAL, BENIGN
 
@@ -116,6 +117,28 @@ def duplicate_segment(reads: DataFrame, label: str, copies: int = 1) -> DataFram
     return _both(reads, lambda v: _cut(v, run, 1 + copies))
 
 
+def shuffle_middle(reads: DataFrame, seed: int) -> DataFrame:
+    """The first and last run stay, those between are put into an order drawn by hash; under four runs nothing changes."""
+    row = F.col("read_id")
+
+    def mixed(found: Column) -> Column:
+        n = F.size(found)
+        key = F.transform(
+            found,
+            lambda r, i: F.struct(
+                F.when(i == 0, -1.0).when(i == n - 1, 2.0).otherwise(uniform(seed, row, "middle", i)).alias("k"), i.alias("i"), r.alias("r")
+            ),
+        )
+        return F.when(n >= 4, F.transform(F.array_sort(key), lambda x: x["r"])).otherwise(found)
+
+    order = let(run_lengths(F.col("labels")), mixed)
+
+    def change(values: Column) -> Column:
+        return F.flatten(F.transform(order, lambda r: F.slice(values, r["start"] + 1, r["end"] - r["start"])))
+
+    return _both(reads, change)
+
+
 def truncate(reads: DataFrame, fraction: float) -> DataFrame:
     n = F.floor(F.size("labels") * F.lit(fraction)).cast("int")
     return _both(reads, lambda v: F.slice(v, F.lit(1), n))

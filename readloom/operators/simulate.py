@@ -30,6 +30,9 @@ class Source:
     std: float = 20.0
     low: int = 20
     high: int = 500
+    #: With ``polya``: normal, gamma, uniform, fixed or empirical (one of ``lengths``).
+    spread: str = "normal"
+    lengths: Sequence[int] = ()
     #: With ``whitelist`` or ``transcript``: the column of the read that holds the chosen sequence.
     column: str = ""
     #: Quality of the segment's bases.
@@ -41,9 +44,24 @@ def random_bases(n: Column, seed: int, row: Column, purpose: str) -> Column:
     return F.array_join(F.transform(places, lambda i: F.substring(F.lit(BASES), pick(seed, 4, row, F.lit(purpose), i) + 1, F.lit(1))), "")
 
 
+def tail_length(source: Source, seed: int, row: Column) -> Column:
+    """normal, gamma (Wilson and Hilferty's cube of a normal draw), uniform, fixed, or one of the given lengths."""
+    if source.spread == "fixed":
+        return F.lit(source.mean)
+    if source.spread == "uniform":
+        return source.low + uniform(seed, row, "tail") * (source.high - source.low)
+    if source.spread == "empirical":
+        return F.get(F.array(*map(F.lit, source.lengths)), pick(seed, len(source.lengths), row, "tail"))
+    z = normal(seed, row, "tail")
+    if source.spread == "gamma":
+        shape = (source.mean / source.std) ** 2
+        return source.mean * F.pow(1 - 1 / (9 * shape) + z / (3 * shape**0.5), F.lit(3))
+    return source.mean + source.std * z
+
+
 def polya_tail(source: Source, seed: int, row: Column, purity: float = 0.95) -> Column:
-    """A tail of normally distributed length within bounds; a base is A with probability ``purity``."""
-    n = F.least(F.greatest(F.round(source.mean + source.std * normal(seed, row, "tail")), F.lit(source.low)), F.lit(source.high)).cast("int")
+    """A tail of a length drawn from ``source.spread``, within bounds; a base is A with probability ``purity``."""
+    n = F.least(F.greatest(F.round(tail_length(source, seed, row)), F.lit(source.low)), F.lit(source.high)).cast("int")
     one = lambda i: F.when(uniform(seed, row, "pure", i) < purity, "A").otherwise(F.substring(F.lit("CGT"), pick(seed, 3, row, "other", i) + 1, F.lit(1)))
     return F.array_join(F.transform(F.sequence(F.lit(1), n), one), "")
 
@@ -260,6 +278,19 @@ def corrupt(reads: DataFrame, seed: int, fraction: float, kinds: Mapping[str, fl
     )
 
 
+def transcripts(spark: SparkSession, n: int, seed: int, low: int = 200, high: int = 5000) -> DataFrame:
+    """(id, seq): n random transcripts of evenly drawn lengths."""
+    rows = spark.range(n)
+    size = low + pick(seed, high - low + 1, F.col("id"), "transcript length")
+    return rows.select("id", random_bases(size, seed, F.col("id"), "transcript").alias("seq"))
+
+
+def capped(rows: DataFrame, per_file: int, in_all: int, order: str = "read_id") -> DataFrame:
+    """The first ``per_file`` rows of each file, ``in_all`` of them together; both are what is asked for."""
+    first = Window.partitionBy("file").orderBy(order)
+    return rows.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_file).drop("_n").orderBy("file", order).limit(in_all)
+
+
 def schedule(n: int, kind: str = "increasing", seed: int = 0) -> Column:
     """Diversity of the read with a given ``read_id`` out of n: rising or falling between 0.5 and 2, drawn, or 1."""
     share = F.col("read_id") / max(1, n)

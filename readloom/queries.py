@@ -693,7 +693,7 @@ def ece_brier(spark, sf):
     SELECT concat_ws(',', i, j, k) AS candidate, {_r('sum(ln((a * i + b * j + c * k) / 10 + 1e-10))')} AS log_likelihood FROM t, g GROUP BY i, j, k"""
 )
 def grid_weights(spark, sf):
-    found = ensemble.best_grid_weights(inputs.predictions(spark, sf), inputs.truth(spark, sf), list(inputs.MODELS))
+    found = ensemble.candidate_likelihoods(inputs.predictions(spark, sf), inputs.truth(spark, sf), ensemble.weight_grid(list(inputs.MODELS)))
     candidate = F.concat_ws(",", *[F.round(F.col("weights")[i] * 10).cast("int").cast("string") for i in range(3)])
     return found.select(candidate.alias("candidate"), "log_likelihood")
 
@@ -708,6 +708,30 @@ def temperature_grid(spark, sf):
     return ensemble.temperatures(combined, inputs.truth(spark, sf), steps=10)
 
 
+@query(
+    f"""WITH m(model, kind, accuracy, loss) AS (VALUES ('m0', 'a', 0.9, 0.2), ('m1', 'b', 0.8, 0.5), ('m2', 'a', 0.6, 0.9)),
+    w AS (SELECT model, greatest(pow(accuracy, 2.0) * CASE kind WHEN 'a' THEN 1.1 ELSE 1 END, 0.05) AS w FROM m) SELECT model, {_r('w / sum(w) OVER ()')} AS weight FROM w"""
+)
+def performance_weights(spark, sf):
+    rows = [("m0", "a", 0.9, 0.2), ("m1", "b", 0.8, 0.5), ("m2", "a", 0.6, 0.9)]
+    models = spark.createDataFrame(rows, "model string, kind string, accuracy double, loss double")
+    return ensemble.performance_weights(models, "accuracy", 2.0, {"a": 0.1}, 0.05)
+
+
+@query(
+    f"""WITH {PRED_SQL}, w AS (SELECT * FROM pred QUALIFY row_number() OVER (PARTITION BY model, read_id, pos ORDER BY p DESC, label) = 1)
+    SELECT a.model, bool_and(a.label = b.label) AS same FROM w a JOIN w b ON b.model = 'm0' AND a.read_id = b.read_id AND a.pos = b.pos GROUP BY a.model"""
+)
+def model_agreement(spark, sf):
+    return ensemble.agreement(inputs.predictions(spark, sf), "m0")
+
+
+@query()
+def stacked(spark, sf):
+    p, t = inputs.predictions(spark, sf), inputs.truth(spark, sf)
+    return ensemble.stacker(p, t, list(range(inputs.CLASSES)))(p)
+
+
 @query()
 def bootstrap_intervals(spark, sf):
     return ensemble.intervals(inputs.predictions(spark, sf), _weights(spark))
@@ -803,6 +827,36 @@ def sim_fragments(spark, sf):
 # --- sets, order, samples -----------------------------------------------------------------------------
 
 
+@query("SELECT lang, mode(n_chars // 1000 ORDER BY n_chars // 1000) AS thousands FROM documents GROUP BY lang")
+def mode_length(spark, sf):
+    rows = inputs.table(spark, sf, "documents").select("lang", F.floor(F.col("n_chars") / 1000).alias("k"))
+    return rows.groupBy("lang").agg(F.mode("k", True).alias("thousands"))
+
+
+@query(
+    """SELECT doc_id AS read_id, source AS file FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)
+    WHERE n <= 5 ORDER BY file, read_id LIMIT 60"""
+)
+def capped_per_file(spark, sf):
+    rows = inputs.table(spark, sf, "documents").select(F.col("doc_id").alias("read_id"), F.col("source").alias("file"))
+    return simulate.capped(rows, 5, 60)
+
+
+@query(f"WITH {READS_SQL} SELECT read_id, '1 3 4 5 7 9 10' AS codes FROM reads")
+def label_encode(spark, sf):
+    codes = seq.encode_labels(F.array_distinct("labels"))
+    return inputs.reads(spark, sf).select("read_id", F.array_join(F.transform(codes, lambda x: x.cast("string")), " ").alias("codes"))
+
+
+@query()
+def robustness_variants(spark, sf):
+    """How many reads of each corrupted form differ from the read they were made of."""
+    reads = inputs.reads(spark, sf)
+    forms = evaluate.variants(reads, ["UMI", "CBC"], seed=3).select("read_id", "variant", F.col("sequence").alias("s"))
+    both = forms.join(reads.select("read_id", "sequence"), "read_id")
+    return both.groupBy("variant").agg(F.count("*").alias("n"), F.count_if(F.col("s") != F.col("sequence")).alias("changed"))
+
+
 @query("SELECT doc_id, md5(text) AS digest FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
 def dedupe_first(spark, sf):
     docs = inputs.table(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
