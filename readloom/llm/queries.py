@@ -161,6 +161,49 @@ def op5_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_diagonals.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def _gram_values() -> str:
+    rows = []
+    templates = [*((t, label, True) for t, label in license_diagonals.PHRASES), *((t, label, False) for t, label in license_diagonals.NOTICES)]
+    for i, (text, label, phrase) in enumerate(templates):
+        words = [w.decode() for w in license_diagonals.words_of(text.encode())]
+        rows += [f"({i}, '{label}', {phrase}, {len(words) - 1}, {n}, '{a} {b}')" for n, (a, b) in enumerate(zip(words, words[1:]))]
+    return ", ".join(rows)
+
+
+OP5_SQL = (
+    r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t(template, label, phrase, grams, place, g) AS (VALUES """
+    + _gram_values()
+    + """),
+places AS (SELECT r, i - 1 AS p, w[i] || ' ' || w[i + 1] AS g FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM d)),
+votes AS (
+  SELECT r, template, label, phrase, grams, p - place AS diagonal, count(*) AS votes, min(p) AS low, max(p) AS high
+  FROM places JOIN t USING (g) GROUP BY ALL HAVING CASE WHEN phrase THEN count(*) = grams ELSE count(*) > 1 END),
+steps AS (
+  SELECT *, CASE WHEN NOT phrase AND diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= 4 THEN 0 ELSE 1 END AS step
+  FROM votes),
+marked AS (SELECT *, sum(step) OVER (PARTITION BY r, template ORDER BY diagonal) AS stretch FROM steps),
+spans AS (
+  SELECT r, label, phrase, least(sum(votes) / grams, 1.0) AS coverage, min(low) AS low, (max(high) - min(low) + 1) / grams AS length
+  FROM marked GROUP BY r, template, label, phrase, grams, stretch),
+rated AS (SELECT *, phrase OR (coverage >= 0.5 AND length BETWEEN 0.5 AND 2.0) AS verified FROM spans),
+found AS (
+  SELECT r, count_if(phrase) AS n_base, min(low) FILTER (phrase) AS first_word, max(low) FILTER (phrase) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (verified) AS labels,
+    max(CASE WHEN phrase THEN 1.0 ELSE coverage END) AS score
+  FROM rated GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+  CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN found USING (r)
+"""
+)
+
+
 def op6_ef_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ef_trie_lm.fit_score(table(spark, sf_dir, "documents"))
 
@@ -217,4 +260,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_merkle_fixity": OP1_SQL, "op3_url_rules": OP3_SQL, "op4_aho_decontaminate": OP4_SQL}
+    return {"op1_merkle_fixity": OP1_SQL, "op3_url_rules": OP3_SQL, "op4_aho_decontaminate": OP4_SQL, "op5_license_diagonals": OP5_SQL}
