@@ -14,7 +14,7 @@ texts are scored with one shuffle of their tokens.
 2. Each batch of texts sends every shard its distinct (word, context, document) with their numbers: words and
    hot contexts coded, so a token takes a few bytes. A hot word's contexts are dealt over several shards.
 3. A shard counts its pairs, builds its trie (words, contexts, ranges and pairs in Elias-Fano levels of
-   a memory-mapped file, values quantised to 16 bits), scores its tokens and adds them up by document.
+   one memory map, values quantised to 16 bits), scores its tokens and adds them up by document.
 
 Words are told apart by the 63 lower bits of their XXH64.
 """
@@ -219,7 +219,6 @@ def fit_score(
             kinds[known_w], ctxs[known_h], key_w * max(1, len(known_h)) + key_h, np.log10(c_pair[seen] + mu * prior[of[seen]])
         )
         joint = trie.values(kinds[of], ctxs[pairs % len(ctxs)])
-        trie.close()
         joint = np.where(np.isnan(joint), np.log10(mu * prior[of]), joint)
         after = np.where(kinds == END, 0.0, -np.log10(c_word + mu))  # the word as the next token's context
         texts_ = sizes[-1]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import mmap
 
 import numpy as np
 
@@ -75,7 +75,7 @@ class Trie:
     """Words, each with a range of contexts, and a quantised value for each pair.
 
     A level's entries are monotone: word numbers, range starts, and word * contexts + context, whose
-    successor search is relative to the word's range. The levels lie in one memory-mapped file.
+    successor search is relative to the word's range. The levels lie in one memory map.
     """
 
     LEVELS = 65_535
@@ -88,17 +88,15 @@ class Trie:
         codes = np.rint((values - self.least) / self.step).astype(np.uint16)
         starts = np.searchsorted(pairs, np.arange(len(words) + 1) * self.n_contexts)
         levels = [EliasFano.build(x) for x in (words, contexts, starts, pairs)]
-        self.file = tempfile.TemporaryFile()
         arrays = [part for level in levels for part in level.parts()] + [codes]
-        for a in arrays:
-            self.file.write(a.tobytes())
-            self.file.write(b"\0" * (-a.nbytes % 8))
-        self.file.flush()
-        at, mapped = 0, []
-        for a in arrays:
-            mapped.append(np.memmap(self.file, a.dtype, "r", at, a.shape) if a.size else a)
-            at += a.nbytes + -a.nbytes % 8
-        self.bytes = at
+        places = np.cumsum([0, *(a.nbytes + -a.nbytes % 8 for a in arrays)]).tolist()
+        self.bytes = places[-1]
+        # one anonymous map holds all levels: nothing is left on the machine's disk
+        self.map = mmap.mmap(-1, max(1, self.bytes))
+        mapped = []
+        for at, a in zip(places, arrays):
+            self.map[at : at + a.nbytes] = a.tobytes()
+            mapped.append(np.frombuffer(self.map, a.dtype, a.size, at))
         self.words, self.contexts, self.starts, self.pairs = (
             EliasFano(*mapped[3 * i : 3 * i + 3], level.shift) for i, level in enumerate(levels)
         )
@@ -113,6 +111,3 @@ class Trie:
         hit = at >= 0
         out[known[hit]] = self.least + self.step * self.codes[at[hit]].astype(float)
         return out
-
-    def close(self) -> None:
-        self.file.close()

@@ -261,7 +261,6 @@ def test_trie_returns_quantised_values():
     got = t.values(words[pairs // len(ctx)], ctx[pairs % len(ctx)])
     assert np.abs(got - values).max() <= t.step
     assert np.isnan(t.values(words[:3] + 1, ctx[:3])).all() and t.bytes < 16 * len(pairs)
-    t.close()
 
 
 def test_language_model_equals_brute_force(spark, sf, odd_docs, empty_docs, monkeypatch):
