@@ -37,8 +37,8 @@ from readloom.llm.elias_fano import Trie
 MU = 300.0
 #: There can't be more hot words than this.
 HOT = 50_000
-#: Tokens of a shard, about.
-SHARD = 1_000_000
+#: Tokens of a shard, about, and shards that one call scores one after another, adding up as it goes.
+SHARD, BIN = 1_000_000, 4
 #: Bytes of text whose tokens are sent together.
 BATCH = 4 << 20
 
@@ -135,6 +135,7 @@ def fit_score(
         task, block = TaskContext.get().partitionId(), 0
         for batch in slices(batches, "text", BATCH):
             tokens = Tokens(as_bytes(batch.column("text")))
+            flags = ~batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
             d, k = len(tokens.sizes), len(tokens.hashes)
             # one entry for each word, context and document, with its number
             if k * k * d < 1 << 62:
@@ -153,6 +154,7 @@ def fit_score(
             shard = (tokens.hashes[w] + tokens.hashes[h] % parts[w]) % shards
             order = np.argsort(shard, kind="stable")
             w, h, doc, number, shard = w[order], h[order], doc[order], number[order], shard[order]
+            doc = doc * 2 + flags[doc]
             edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
             out: dict[str, list] = {c: [] for c in ("shard", "words", "runs", "hot", "cold", "docs", "numbers")}
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -176,77 +178,49 @@ def fit_score(
                     *(pa.array([*out[c], None], pa.binary()) for c in ("words", "runs", "hot", "cold", "docs", "numbers")),
                     pa.array([*none, batch.column("id").to_pylist()], pa.list_(batch.column("id").type)),
                     pa.array([*none, tokens.sizes.tolist()], pa.list_(pa.int64())),
-                    pa.array([_train(batch.column("held"))] * (m + 1), pa.binary()),
+                    pa.array([*none, flags.tolist()], pa.list_(pa.bool_())),
                 ],
                 ["shard", "block", "words", "runs", "hot", "cold", "docs", "numbers", "ids", "sizes", "train"],
             )
 
     def score(key: tuple, group: pa.Table) -> pa.Table:
-        hot_words, hot_counts = sent.value
         if key[0].as_py() < 0:
-            return _totals(group.column("block"), group.column("ids"), group.column("sizes"), group.column("train"))
-        words, contexts, owners, numbers, train, sizes = [], [], [], [], [], [0]
-        cols = [group.column(c).to_pylist() for c in ("words", "runs", "hot", "cold", "docs", "numbers", "train")]
-        for w, runs, h, cold, docs_, number, flags in zip(*cols):
-            words.append(np.repeat(np.frombuffer(w, np.int64), _back(runs)))
-            place = _back(h)
-            ctx = np.empty(len(place), np.int64)
-            ctx[place > 0] = hot_words[place[place > 0] - 1]
-            ctx[place == 0] = np.frombuffer(cold, np.int64)
-            contexts.append(ctx)
-            own, flags = _back(docs_), np.frombuffer(flags, np.uint8).astype(bool)
-            train.append(flags[own])
-            owners.append(own + sizes[-1])
-            numbers.append(_back(number))
-            sizes.append(sizes[-1] + len(flags))
-        own, number, learnt = _join(owners), _join(numbers), _join(train, bool)
-        # pairs as numbers, and the counts of the training texts
-        kinds, wi = np.unique(_join(words), return_inverse=True)
-        ctxs, hi = np.unique(_join(contexts), return_inverse=True)
-        del words, contexts, owners, numbers, train, cols
-        pairs, at = np.unique(wi * len(ctxs) + hi, return_inverse=True)
-        c_pair = np.bincount(at, number * learnt, len(pairs))
-        c_word = np.bincount(wi, number * learnt, len(kinds))
-        place = np.minimum(np.searchsorted(hot_words, kinds), max(0, len(hot_words) - 1))
-        is_hot = hot_words[place] == kinds if len(hot_words) else np.zeros(len(kinds), bool)
-        c_word[is_hot] = hot_counts[place[is_hot]]
-        prior = (c_word + 1) / (n + v + 1)
-        of = pairs // len(ctxs)
-        seen = np.flatnonzero(c_pair)
-        known_w, known_h = np.unique(of[seen]), np.unique(pairs[seen] % len(ctxs))
-        key_w, key_h = np.searchsorted(known_w, of[seen]), np.searchsorted(known_h, pairs[seen] % len(ctxs))
-        trie = Trie(
-            kinds[known_w], ctxs[known_h], key_w * max(1, len(known_h)) + key_h, np.log10(c_pair[seen] + mu * prior[of[seen]])
-        )
-        joint = trie.values(kinds[of], ctxs[pairs % len(ctxs)])
-        joint = np.where(np.isnan(joint), np.log10(mu * prior[of]), joint)
-        after = np.where(kinds == END, 0.0, -np.log10(c_word + mu))  # the word as the next token's context
-        texts_ = sizes[-1]
-        base = np.bincount(own, number * np.log10(prior)[wi], texts_)
-        total = np.bincount(own, number * (joint[at] + after[wi]), texts_)
-        known = np.bincount(own, number * (c_word > 0)[wi], texts_)
-        there = np.bincount(own, minlength=texts_) > 0
-        blocks, rows_ = group.column("block").to_pylist(), []
-        for i, (a, b) in enumerate(zip(sizes[:-1], sizes[1:])):
-            some = np.flatnonzero(there[a:b]) + a
-            rows_.append((blocks[i], _smallest(some - a), base[some].tobytes(), total[some].astype(np.float32).tobytes(), _smallest(known[some])))
+            return _partial(group.column("block"), {}, group.column("ids"), group.column("sizes"), group.column("train"))
+        shard = group.column("shard").to_numpy()
+        names = np.unique(group.column("block").to_numpy())
+        parts = []
+        for x in np.unique(shard):
+            part = group.filter(pa.array(shard == x))
+            own, *sums = _score_shard(part, sent.value, n, v, mu)
+            block = np.searchsorted(names, part.column("block").to_numpy())[own >> 32]
+            parts.append(((block << 32) + (own & 0xFFFFFFFF), *sums))
+        texts_, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        base, total, known = (np.bincount(at, np.concatenate([p[i] for p in parts]), len(texts_)) for i in (1, 2, 3))
+        block, doc = texts_ >> 32, texts_ & 0xFFFFFFFF
+        edges = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
+        sums: dict[str, list[bytes]] = {c: [] for c in ("docs", "base", "total", "known")}
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            sums["docs"].append(_smallest(doc[a:b]))
+            sums["base"].append(base[a:b].tobytes())
+            sums["total"].append(total[a:b].astype(np.float32).tobytes())
+            sums["known"].append(_smallest(known[a:b].astype(np.int64)))
+        return _partial(pa.array(names[block[edges[:-1]]]), sums)
+
+    def _partial(block, sums: dict, ids=None, sizes=None, train=None) -> pa.Table:
+        rows_ = len(block)
         return pa.table(
             {
-                "block": pa.array([r[0] for r in rows_], pa.int64()),
-                **{c: pa.array([r[j] for r in rows_], pa.binary()) for j, c in enumerate(("docs", "base", "total", "known"), 1)},
-                "ids": pa.array([None] * len(rows_), pa.list_(id_type)),
-                "sizes": pa.array([None] * len(rows_), pa.list_(pa.int64())),
-                "train": pa.array([None] * len(rows_), pa.binary()),
+                "block": block,
+                **{c: pa.array(sums.get(c, [None] * rows_), pa.binary()) for c in ("docs", "base", "total", "known")},
+                "ids": pa.nulls(rows_, pa.list_(id_type)) if ids is None else ids,
+                "sizes": pa.nulls(rows_, pa.list_(pa.int64())) if sizes is None else sizes,
+                "train": pa.nulls(rows_, pa.list_(pa.bool_())) if train is None else train,
             }
         )
 
-    def _totals(block, ids, sizes, train) -> pa.Table:
-        none = pa.array([None] * len(block), pa.binary())
-        return pa.table({"block": block, "docs": none, "base": none, "total": none, "known": none, "ids": ids, "sizes": sizes, "train": train})
-
     def add_up(group: pa.Table) -> pa.Table:
         parts = {c: group.column(c).to_pylist() for c in ("docs", "base", "total", "known")}
-        head = next(i for i, x in enumerate(group.column("ids").to_pylist()) if x is not None)
+        head = next(i for i, x in enumerate(group.column("sizes").to_pylist()) if x is not None)
         ids, sizes = group.column("ids")[head].values, np.array(group.column("sizes")[head].as_py(), np.int64)
         sums = np.zeros((3, len(sizes)))
         sums[1] -= np.log10(texts + mu)  # the start as the first token's context
@@ -255,11 +229,10 @@ def fit_score(
                 at = _back(d)
                 for i, x in enumerate((np.frombuffer(b), np.frombuffer(t, np.float32), _back(k))):
                     sums[i, at] += x
-        flags = np.frombuffer(group.column("train")[head].as_py(), np.uint8).astype(bool)
         return pa.table(
             {
                 "id": ids,
-                "held_out": pa.array(~flags),
+                "held_out": pa.array([not x for x in group.column("train")[head].as_py()], pa.bool_()),
                 "n_tokens": pa.array(sizes),
                 "n_known": pa.array(sums[2].astype(np.int64)),
                 "train_tokens": pa.array(np.full(len(sizes), n, np.int64)),
@@ -269,11 +242,12 @@ def fit_score(
         )
 
     id_type = pa.schema(_arrow_schema(docs.select(id_col))).field(0).type
-    tail = f"ids array<{kind}>, sizes array<long>, train binary"
+    tail = f"ids array<{kind}>, sizes array<long>, train array<boolean>"
     tokens = rows.mapInArrow(
         send, f"shard long, block long, words binary, runs binary, hot binary, cold binary, docs binary, numbers binary, {tail}"
     )
-    scored = tokens.groupBy("shard").applyInArrow(score, f"block long, docs binary, base binary, total binary, known binary, {tail}")
+    bins = F.when(F.col("shard") < 0, F.col("shard")).otherwise(F.floor(F.col("shard") / BIN))
+    scored = tokens.withColumn("bin", bins.cast("long")).groupBy("bin").applyInArrow(score, f"block long, docs binary, base binary, total binary, known binary, {tail}")
     out = scored.groupBy("block").applyInArrow(
         add_up,
         f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
@@ -281,8 +255,48 @@ def fit_score(
     return out.withColumnRenamed("id", id_col)
 
 
-def _train(held: pa.Array) -> bytes:
-    return (~held.to_numpy(zero_copy_only=False).astype(bool)).astype(np.uint8).tobytes()
+def _score_shard(group: pa.Table, hot: tuple[np.ndarray, np.ndarray], n: int, v: int, mu: float) -> tuple[np.ndarray, ...]:
+    """(text, base, total, known): sums over one shard's tokens for each text that has some.
+
+    A text is its row number in ``group``, and its place in that row's block, as one number.
+    """
+    hot_words, hot_counts = hot
+    words, contexts, owners, numbers = [], [], [], []
+    cols = [group.column(c).to_pylist() for c in ("words", "runs", "hot", "cold", "docs", "numbers")]
+    for i, (w, runs, h, cold, docs, number) in enumerate(zip(*cols)):
+        words.append(np.repeat(np.frombuffer(w, np.int64), _back(runs)))
+        place = _back(h)
+        ctx = np.empty(len(place), np.int64)
+        ctx[place > 0] = hot_words[place[place > 0] - 1]
+        ctx[place == 0] = np.frombuffer(cold, np.int64)
+        contexts.append(ctx)
+        owners.append(_back(docs) + (i << 33))  # the lowest bit tells whether the text is learnt from
+        numbers.append(_back(number))
+    own, number = _join(owners), _join(numbers)
+    # pairs as numbers, and the counts of the training texts
+    kinds, wi = np.unique(_join(words), return_inverse=True)
+    ctxs, hi = np.unique(_join(contexts), return_inverse=True)
+    del words, contexts, owners, numbers, cols
+    pairs, at = np.unique(wi * len(ctxs) + hi, return_inverse=True)
+    learnt = number * (own & 1)
+    c_pair, c_word = np.bincount(at, learnt, len(pairs)), np.bincount(wi, learnt, len(kinds))
+    place = np.minimum(np.searchsorted(hot_words, kinds), max(0, len(hot_words) - 1))
+    is_hot = hot_words[place] == kinds if len(hot_words) else np.zeros(len(kinds), bool)
+    c_word[is_hot] = hot_counts[place[is_hot]]
+    prior = (c_word + 1) / (n + v + 1)
+    of, seen = pairs // len(ctxs), np.flatnonzero(c_pair)
+    known_w, known_h = np.unique(of[seen]), np.unique(pairs[seen] % len(ctxs))
+    key_w, key_h = np.searchsorted(known_w, of[seen]), np.searchsorted(known_h, pairs[seen] % len(ctxs))
+    value = np.log10(c_pair[seen] + mu * prior[of[seen]])
+    trie = Trie(kinds[known_w], ctxs[known_h], key_w * max(1, len(known_h)) + key_h, value)
+    joint = trie.values(kinds[of], ctxs[pairs % len(ctxs)])
+    joint = np.where(np.isnan(joint), np.log10(mu * prior[of]), joint)
+    after = np.where(kinds == END, 0.0, -np.log10(c_word + mu))  # the word as the next token's context
+    texts, owner = np.unique(own >> 1, return_inverse=True)
+    base = np.bincount(owner, number * np.log10(prior)[wi])
+    total = np.bincount(owner, number * (joint[at] + after[wi]))
+    known = np.bincount(owner, number * (c_word > 0)[wi])
+    return texts, base, total, known
 
 
 def _arrow_schema(df: DataFrame) -> pa.Schema:
