@@ -38,7 +38,7 @@ MU = 300.0
 #: There can't be more hot words than this.
 HOT = 50_000
 #: Tokens of a shard, about, and shards that one call scores one after another, adding up as it goes.
-SHARD, BIN = 1_000_000, 4
+SHARD, BIN = 750_000, 4
 #: Bytes of text whose tokens are sent together.
 BATCH = 4 << 20
 
