@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readloom.functions.seq import let
+
 
 def viterbi(scores: np.ndarray, moves: np.ndarray) -> list[int]:
     """The best path of labels; of equal ones, that with the lower label at the latest place where they differ."""
@@ -128,6 +130,30 @@ def agreement(a: Column, b: Column) -> tuple[Column, Column]:
     return F.coalesce(F.try_divide(hits.cast("double"), F.size(same)), F.lit(1.0)), F.size(same) - hits
 
 
+def path_score(scores: Column, path: Column, transitions: list[list[float]]) -> Column:
+    """The sum of a path's own scores and of its moves from label to label; an empty path has 0."""
+    moves = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in transitions])
+    own = F.zip_with(scores, path, lambda s, j: F.get(s, j))
+    before = F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0)))
+    after = F.slice(path, F.lit(2), F.greatest(F.size(path) - 1, F.lit(0)))
+    steps = F.zip_with(before, after, lambda a, b: F.get(F.get(moves, a), b))
+    return F.aggregate(F.concat(own, steps), F.lit(0.0), lambda a, x: a + x)
+
+
+def log_partition(scores: Column, transitions: list[list[float]]) -> Column:
+    """log of the summed exponentials of all paths' scores: the forward algorithm as a fold over a read's places."""
+    into = F.array(*[F.array(*[F.lit(float(row[b])) for row in transitions]) for b in range(len(transitions))])
+
+    def log_sum(x: Column) -> Column:
+        high = F.array_max(x)
+        return high + F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - high)))
+
+    def step(alpha: Column, row: Column) -> Column:
+        return F.transform(row, lambda s, b: s + let(F.zip_with(alpha, F.get(into, b), lambda x, m: x + m), log_sum))
+
+    return let(F.aggregate(F.slice(scores, F.lit(2), F.size(scores)), F.get(scores, F.lit(0)), step), log_sum)
+
+
 def log_likelihood(scores: np.ndarray, moves: np.ndarray, path: list[int]) -> float:
     """log p(path) of a linear-chain model: the path's score less the log partition (forward algorithm)."""
     alpha = scores[0].astype(float)

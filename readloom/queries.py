@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from readloom.functions import seq
 from readloom.operators import decode, demux, ensemble, evaluate, motif, runs, simulate
 from readloom.plans import inputs
-from readloom.sources import sinks
+from readloom.sources import fasta, sinks, tables
+from readloom.streaming import demux_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -888,6 +889,356 @@ def label_vocabulary(spark, sf):
     return labels.select((F.row_number().over(Window.orderBy("label")) - 1).alias("label_id"), "label")  # a row a label
 
 
+# --- chains, distances and matrices -------------------------------------------------------------------
+
+
+def _chain_sql(combine: str) -> str:
+    """The first model's places as a chain of tables v0 to v7 of (read_id, label, x), combined over the label before."""
+    steps = [
+        "e AS (SELECT read_id, pos, label, ln(p) AS s FROM pred WHERE model = 'm0')",
+        "moves(a, b, w) AS (SELECT a, b, CASE WHEN a = b THEN -0.1::DOUBLE ELSE -1.5::DOUBLE - 0.1::DOUBLE * b END FROM range(4) x(a), range(4) y(b))",
+        "v0 AS (SELECT read_id, label, s AS x FROM e WHERE pos = 0)",
+    ]
+    steps += [
+        f"v{i} AS (SELECT e.read_id, e.label, {combine.format(f'v{i - 1}.x + w')} + max(e.s) AS x FROM e JOIN v{i - 1} USING (read_id) "
+        f"JOIN moves ON a = v{i - 1}.label AND b = e.label WHERE e.pos = {i} GROUP BY e.read_id, e.label)"
+        for i in range(1, inputs.PLACES)
+    ]
+    return ", ".join(steps)
+
+
+@query(f"WITH {PRED_SQL}, {_chain_sql('max({})')} SELECT read_id, {_r('max(x)')} AS score FROM v{inputs.PLACES - 1} GROUP BY read_id")
+def viterbi_score(spark, sf):
+    """The score of each read's best path, which no other path exceeds."""
+    found = decode.decode(_matrices(spark, sf), MOVES)
+    return found.select("read_id", decode.path_score(F.col("scores"), F.col("path"), MOVES).alias("score"))
+
+
+@query(
+    f"""WITH {PRED_SQL}, {TRUTH_SQL}, {_chain_sql('ln(sum(exp({})))')}, z AS (SELECT read_id, ln(sum(exp(x))) AS z FROM v{inputs.PLACES - 1} GROUP BY read_id),
+    t AS (SELECT read_id, pos, truth.label, lag(truth.label) OVER (PARTITION BY read_id ORDER BY pos) AS a, e.s FROM truth JOIN e USING (read_id, pos, label)),
+    own AS (SELECT read_id, sum(s + coalesce(w, 0)) AS x FROM t LEFT JOIN moves ON t.a = moves.a AND t.label = moves.b GROUP BY read_id)
+    SELECT read_id, {_r('z - x')} AS nll FROM z JOIN own USING (read_id)"""
+)
+def chain_nll(spark, sf):
+    """Negative log-likelihood of the true labels under a linear chain."""
+    true = inputs.truth(spark, sf).groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("pos", "label")))["label"].alias("path"))
+    both = _matrices(spark, sf).join(true, "read_id")
+    own = decode.path_score(F.col("scores"), F.col("path"), MOVES)
+    return both.select("read_id", (decode.log_partition(F.col("scores"), MOVES) - own).alias("nll"))
+
+
+_ANCHOR = "ACCGGG"
+_PARTS = sorted({"".join(c for i, c in enumerate(_ANCHOR) if mask >> i & 1) for mask in range(1 << len(_ANCHOR))})
+_PARTS_SQL = "parts(part, re) AS (VALUES " + ", ".join(f"('{p}', '{'.*'.join(p)}')" for p in _PARTS) + ")"
+
+
+@query(
+    f"""WITH {MOTIFS_SQL}, {_PARTS_SQL} SELECT read_id, levenshtein(motif, '{_ANCHOR}') AS edits, hamming(motif, '{_ANCHOR}') AS differing,
+    max(length(part)) AS common FROM motifs JOIN parts ON regexp_matches(motif, re) GROUP BY read_id, motif"""
+)
+def motif_distances(spark, sf):
+    m, anchor = F.col("motif"), F.lit(_ANCHOR)
+    common = seq.lcs_length(seq.letters(m), seq.letters(anchor))
+    return inputs.motifs(spark, sf).select(
+        "read_id", F.levenshtein(m, anchor).alias("edits"), seq.hamming(m, anchor).alias("differing"), common.alias("common")
+    )
+
+
+@query(f"WITH {PWM_SQL} SELECT pos, base, {_r('ln(prob + 1e-10) - ln(0.25)')} AS prob FROM pwm")
+def log_odds_table(spark, sf):
+    return motif.table(spark, motif.log_odds(MATRIX))
+
+
+@query(
+    f"""WITH c(pos, code) AS (VALUES (0, 'A'), (1, 'C'), (2, 'C'), (3, 'CG'), (4, 'CG'), (5, 'ACG')), b(base) AS (VALUES ('A'), ('C'), ('G'), ('T'))
+    SELECT pos, base, {_r("(CASE WHEN contains(code, base) THEN 1.0::DOUBLE / length(code) ELSE 0 END + 0.1::DOUBLE) / 1.4::DOUBLE")} AS prob FROM c, b"""
+)
+def pattern_matrix(spark, sf):
+    return motif.table(spark, motif.from_pattern("ACCSSV", 0.1))
+
+
+@query(
+    f"""WITH {PWM_SQL}, x AS (SELECT pos, base, exp(ln(prob + 1e-10) / 0.5) AS x FROM pwm), n AS (SELECT pos, base, x / sum(x) OVER (PARTITION BY pos) AS p FROM x),
+    h AS (SELECT *, -sum(p * ln(p + 1e-10)) OVER (PARTITION BY pos) / ln(4) AS h FROM n),
+    m AS (SELECT *, CASE WHEN h < 0.3 THEN least(0.5, (0.3 - h) / greatest(1e-10, 1 - h)) ELSE 0 END AS mix FROM h)
+    SELECT pos, base, {_r('(1 - mix) * p + mix / 4')} AS prob FROM m"""
+)
+def tempered_matrix(spark, sf):
+    return motif.table(spark, motif.tempered(MATRIX, 0.5, 0.3))
+
+
+@query()
+def motif_sampling(spark, sf):
+    """A motif drawn from the matrix for each document, with a quality for each base."""
+    rows = inputs.table(spark, sf, "documents").select("doc_id", motif.sample(MATRIX, 5, F.col("doc_id")).alias("motif"))
+    quality = motif.sample_quality(F.col("motif"), MATRIX)
+    return rows.select("doc_id", "motif", F.array_join(F.transform(quality, lambda q: q.cast("string")), " ").alias("quality"))
+
+
+# --- more of ensembles and evaluation -----------------------------------------------------------------
+
+
+@query(
+    f"""WITH {PRED_SQL}, {WEIGHTS_SQL}, c AS (SELECT *, max(p) OVER (PARTITION BY model, read_id, pos) AS top FROM pred JOIN weights USING (model)),
+    s AS (SELECT read_id, pos, label, sum(weight * top * p) AS x FROM c GROUP BY ALL) SELECT read_id, pos, label, {_r('x / (sum(x) OVER (PARTITION BY read_id, pos) + 1e-10)')} AS p FROM s"""
+)
+def confidence_average(spark, sf):
+    return ensemble.average(inputs.predictions(spark, sf), _weights(spark), by_confidence=True)
+
+
+@query(
+    f"""WITH {COMBINED_SQL}, t AS (SELECT read_id, pos, label, exp(ln(p + 1e-10) / 1.7) AS x FROM combined)
+    SELECT read_id, pos, label, {_r('x / sum(x) OVER (PARTITION BY read_id, pos)')} AS p FROM t"""
+)
+def temperature_calibrated(spark, sf):
+    return ensemble.with_temperature(ensemble.average(inputs.predictions(spark, sf), _weights(spark)), 1.7)
+
+
+def _hits(spark, sf):
+    """(read_id, pos, p, hit): the combined winner's probability, and whether it is right."""
+    won = ensemble.winners(ensemble.average(inputs.predictions(spark, sf), _weights(spark)))
+    both = won.join(inputs.truth(spark, sf).withColumnRenamed("label", "truth"), ["read_id", "pos"])
+    return both.select("read_id", "pos", "p", (F.col("label") == F.col("truth")).alias("hit"))
+
+
+@query()
+def platt_calibrated(spark, sf):
+    rows = _hits(spark, sf)
+    return ensemble.platt(rows)(rows).select("read_id", "pos", "p")
+
+
+@query()
+def isotonic_calibrated(spark, sf):
+    rows = _hits(spark, sf)
+    return ensemble.isotonic(rows)(rows).select("read_id", "pos", "p")
+
+
+_KINDS = [("m0", 10), ("m1", 20), ("m2", 40)]
+
+
+@query(
+    f"""WITH m(model, k, given) AS (VALUES ('m0', 10, 2), ('m1', 20, 1), ('m2', 40, 1)) SELECT model, {_r('ln(1 / 3)')} AS uniform,
+    {_r('ln(1.0::DOUBLE * given / sum(given) OVER ())')} AS informative, {_r('ln((1.0::DOUBLE / k) / sum(1.0::DOUBLE / k) OVER ())')} AS adaptive FROM m"""
+)
+def model_priors(spark, sf):
+    models = spark.createDataFrame(_KINDS, "model string, parameters long")
+    given = {"m0": 2.0, "m1": 1.0, "m2": 1.0}
+    out = models.select("model")
+    for kind in ("uniform", "informative", "adaptive"):
+        out = out.join(ensemble.log_priors(models, kind, given).withColumnRenamed("log_prior", kind), "model")
+    return out
+
+
+@query(
+    f"""WITH m(model, loss) AS (VALUES ('m0', 0.2::DOUBLE), ('m1', 0.5::DOUBLE), ('m2', 0.9::DOUBLE)),
+    w AS (SELECT model, greatest(pow(max(loss) OVER () - loss, 2), 0.05) AS w FROM m) SELECT model, {_r('w / sum(w) OVER ()')} AS weight FROM w"""
+)
+def loss_weights(spark, sf):
+    rows = [("m0", "a", 0.9, 0.2), ("m1", "b", 0.8, 0.5), ("m2", "a", 0.6, 0.9)]
+    models = spark.createDataFrame(rows, "model string, kind string, accuracy double, loss double")
+    return ensemble.performance_weights(models, "loss", 2.0, least=0.05)
+
+
+_MODEL_SQL = f"""{PRED_SQL}, {TRUTH_SQL}, w AS (SELECT * FROM pred QUALIFY row_number() OVER (PARTITION BY model, read_id, pos ORDER BY p DESC, label) = 1),
+  scores AS (SELECT model, avg((w.label = truth.label)::INT) AS accuracy, avg(p) AS confidence FROM w JOIN truth USING (read_id, pos) GROUP BY model)"""
+
+
+def _model_scores(spark, sf):
+    won = ensemble.winners(inputs.predictions(spark, sf), ("model", "read_id", "pos"))
+    both = won.join(inputs.truth(spark, sf).withColumnRenamed("label", "truth"), ["read_id", "pos"])
+    return both.groupBy("model").agg(F.avg((F.col("label") == F.col("truth")).cast("int")).alias("accuracy"), F.avg("p").alias("confidence"))
+
+
+@query(f"WITH {_MODEL_SQL} SELECT model, {_r('accuracy')} AS accuracy, {_r('confidence')} AS confidence, row_number() OVER (ORDER BY accuracy DESC, model) AS rank FROM scores")
+def model_ranking(spark, sf):
+    return demux.ranked(_model_scores(spark, sf), [], [F.desc("accuracy"), F.col("model")])  # a row a model
+
+
+@query(
+    f"""WITH {_MODEL_SQL} SELECT 'accuracy' AS criterion, arg_max(model, accuracy) AS model, {_r('max(accuracy)')} AS value FROM scores
+    UNION ALL SELECT 'confidence', arg_min(model, confidence), {_r('min(confidence)')} FROM scores"""
+)
+def best_models(spark, sf):
+    return evaluate.best_models(_model_scores(spark, sf), {"accuracy": True, "confidence": False})
+
+
+@query(
+    f"""SELECT doc_id, {_r('2.5 - 2 * (doc_id % 10) / 10')} AS temperature, {_r('0.01::DOUBLE * least((doc_id % 20) / 10, 1)')} AS weight,
+    concat(n_chars // 100 * 100, '-', n_chars // 100 * 100 + 100) AS bin FROM documents"""
+)
+def training_scalars(spark, sf):
+    k = F.col("doc_id")
+    return inputs.table(spark, sf, "documents").select(
+        "doc_id",
+        seq.temperature_from_threshold(k % 10 / 10).alias("temperature"),
+        seq.ramped_weight(0.01, k % 20, 10).alias("weight"),
+        seq.length_bin(F.col("n_chars")).alias("bin"),
+    )
+
+
+@query(
+    f"""WITH c AS (SELECT lang, n_chars, count(*) AS n FROM documents GROUP BY ALL)
+    SELECT lang, n_chars, {_r('sum(n) OVER (PARTITION BY lang ORDER BY n_chars) / sum(n) OVER (PARTITION BY lang)')} AS share FROM c"""
+)
+def length_distribution(spark, sf):
+    """Cumulative share of each length; lengths are counted before they are put in order."""
+    counts = inputs.table(spark, sf, "documents").groupBy("lang", "n_chars").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("lang")
+    return counts.select("lang", "n_chars", (F.sum("n").over(own.orderBy("n_chars")) / F.sum("n").over(own)).alias("share"))
+
+
+# --- sources, sinks and the sheet ---------------------------------------------------------------------
+
+_LABELS = " ".join(name for name, start, end in inputs.LAYOUT for _ in range(end - start))
+
+
+@query(f"WITH {READS_SQL} SELECT sequence || chr(9) || '{_LABELS}' AS value FROM reads")
+def labelled_text(spark, sf):
+    return sinks.labelled_rows(inputs.reads(spark, sf))
+
+
+@query(f"""WITH {SHEET_SQL} SELECT '{{"sample_name":"' || sample_name || '","cbc":"' || cbc || '"}}' AS value FROM sheet""")
+def sample_json(spark, sf):
+    return sinks.json_rows(inputs.sheet(spark, sf).select("sample_name", "cbc"))
+
+
+@query(
+    f"""WITH {READS_SQL}, h AS (SELECT read_id % 10 = 0 AS bad, 20 + read_id % 40 AS n FROM reads ORDER BY read_id LIMIT 100)
+    SELECT count(*) AS reads, count_if(bad) AS invalid, {_r('avg(n)')} AS mean_length, min(n) AS shortest, max(n) AS longest FROM h"""
+)
+def read_preview(spark, sf):
+    k = F.col("read_id")
+    cut = inputs.reads(spark, sf).select("read_id", F.substring("sequence", F.lit(1), (20 + k % 40).cast("int")).alias("sequence"), (k % 10 == 0).alias("is_invalid"))
+    return sinks.preview(cut, 100)
+
+
+def _entries(spark, sf):
+    """Index entries of the documents' reads, some wrong: (name, length, line_bases, line_width)."""
+    k = F.col("doc_id")
+    return inputs.table(spark, sf, "documents").select(
+        F.concat(F.lit("r"), (k % 190).cast("string")).alias("name"),
+        F.when(k % 7 == 0, 0).otherwise(64).cast("long").alias("length"),
+        F.lit(60).alias("line_bases"),
+        F.when(k % 9 == 0, 60).otherwise(61).alias("line_width"),
+    )
+
+
+_ENTRIES_SQL = """entries AS (SELECT 'r' || doc_id % 190 AS name, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 64 END AS length, 60 AS line_bases,
+  CASE WHEN doc_id % 9 = 0 THEN 60 ELSE 61 END AS line_width FROM documents)"""
+
+
+@query(
+    f"""WITH {_ENTRIES_SQL} SELECT 'duplicate' AS rule, name, count(*) AS n FROM entries GROUP BY name HAVING count(*) > 1
+    UNION ALL SELECT 'length', name, 1 FROM entries WHERE length <= 0 UNION ALL SELECT 'line_width', name, 1 FROM entries WHERE line_width <= line_bases"""
+)
+def index_issues(spark, sf):
+    return fasta.index_issues(_entries(spark, sf))
+
+
+@query(
+    f"""WITH {_ENTRIES_SQL}, {READS_SQL}, own AS (SELECT 'r' || read_id AS name, length(sequence) AS found FROM reads WHERE read_id % 11 <> 0)
+    SELECT name, length, found FROM entries LEFT JOIN own USING (name) WHERE found IS NULL OR found <> length"""
+)
+def index_verified(spark, sf):
+    records = inputs.reads(spark, sf).filter("read_id % 11 <> 0").select(F.concat(F.lit("r"), F.col("read_id").cast("string")).alias("name"), "sequence")
+    return fasta.verify_index(_entries(spark, sf), records)
+
+
+@query(
+    f"""WITH {READS_SQL}, wanted AS (SELECT o_orderkey, 'r' || o_custkey % 300 AS name FROM orders)
+    SELECT o_orderkey, name, sequence FROM wanted LEFT JOIN (SELECT 'r' || read_id AS name, sequence FROM reads WHERE read_id % 11 <> 0) USING (name)"""
+)
+def sequences_by_name(spark, sf):
+    """A sequence for every name that is asked for, null where there is none."""
+    records = inputs.reads(spark, sf).filter("read_id % 11 <> 0").select(F.concat(F.lit("r"), F.col("read_id").cast("string")).alias("name"), "sequence")
+    orders = inputs.table(spark, sf, "orders")
+    return fasta.fetch(orders.select("o_orderkey", F.concat(F.lit("r"), (F.col("o_custkey") % 300).cast("string")).alias("name")), records)
+
+
+@query(
+    f"""WITH p AS (SELECT s_suppkey AS pos, base, CASE WHEN s_suppkey % 3 = 0 AND base = 'A' THEN 0.3::DOUBLE ELSE 0.25::DOUBLE END AS prob FROM supplier, (VALUES ('A'), ('C'), ('G'), ('T')) b(base))
+    SELECT pos, {_r('sum(prob)')} AS total FROM p GROUP BY pos HAVING abs(sum(prob) - 1) > 1e-5"""
+)
+def matrix_issues(spark, sf):
+    cells = inputs.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("pos"), F.explode(F.array(*map(F.lit, "ACGT"))).alias("base"))
+    prob = F.when((F.col("pos") % 3 == 0) & (F.col("base") == "A"), 0.3).otherwise(0.25)
+    return tables.pwm_issues(cells.withColumn("prob", prob))
+
+
+@query(f"WITH {CODED_SQL} SELECT classification, count(*) AS n FROM coded WHERE cbc IN (SELECT cbc FROM sheet) GROUP BY classification")
+def whitelist_members(spark, sf):
+    known = inputs.sheet(spark, sf).select("cbc")
+    return inputs.coded(spark, sf).join(known, "cbc", "left_semi").groupBy("classification").agg(F.count("*").alias("n"))
+
+
+@query()
+def whitelist_sampling(spark, sf):
+    """A barcode of the sheet for each customer, drawn by hash."""
+    rows = inputs.table(spark, sf, "customer").select(F.col("c_custkey").alias("read_id"))
+    first = F.min("sheet_ordinal").over(Window.partitionBy())  # a row a sample
+    known = inputs.sheet(spark, sf).select((F.col("sheet_ordinal") - first).alias("ordinal"), F.col("cbc").alias("seq"))
+    return simulate.whitelisted(rows, known, 13, "cbc")
+
+
+@query(
+    """SELECT doc_id AS read_id, CASE WHEN (doc_id % 100) / 100 < 0.85 THEN 'invalid' ELSE 'valid' END AS classification,
+    CASE WHEN (doc_id % 100) / 100 < 0.85 THEN 'short;low_confidence' ELSE 'short' END AS issues FROM documents"""
+)
+def confidence_threshold(spark, sf):
+    given = F.struct(F.lit("valid").alias("classification"), F.lit("forward").alias("orientation"), F.array(F.lit("short")).alias("issues"))
+    k = F.col("doc_id")
+    rows = inputs.table(spark, sf, "documents").select(k.alias("read_id"), demux.threshold(given, k % 100 / 100).alias("v"))
+    return rows.select("read_id", "v.classification", F.array_join("v.issues", ";").alias("issues"))
+
+
+@query(
+    """WITH i AS (SELECT event_type AS issue FROM events UNION ALL SELECT 'user ' || user_id % 5 FROM events)
+    SELECT issue, count(*) AS n FROM i GROUP BY issue ORDER BY n DESC, issue LIMIT 4"""
+)
+def top_issues(spark, sf):
+    flagged = F.array(F.col("event_type"), F.concat(F.lit("user "), (F.col("user_id") % 5).cast("string")))
+    return demux.issues(inputs.table(spark, sf, "events").select(flagged.alias("issues")), 4)
+
+
+@query(
+    """WITH w AS (SELECT event_type AS sample_name, time_bucket(INTERVAL 5 MINUTE, ts::TIMESTAMP) AS w, count(*) AS reads FROM events GROUP BY ALL)
+    SELECT sample_name, reads, count(*) AS windows FROM w GROUP BY ALL"""
+)
+def window_rates(spark, sf):
+    """How many five-minute windows had so many reads; the same function serves arriving reads, with a watermark."""
+    timed = inputs.table(spark, sf, "events").select("ts", F.col("event_type").alias("sample_name"))
+    return demux_stream.late_rates(timed).groupBy("sample_name", "reads").agg(F.count("*").alias("windows"))
+
+
+@query(f"WITH r AS (SELECT doc_id AS read_id, doc_id / (SELECT count(*) FROM documents) AS x FROM documents) SELECT read_id, {_r('0.5 + 1.5 * x')} AS rising, {_r('2.0 - 1.5 * x')} AS falling FROM r")
+def diversity_schedule(spark, sf):
+    docs = inputs.table(spark, sf, "documents").select(F.col("doc_id").alias("read_id"))
+    n = docs.count()
+    return docs.select("read_id", simulate.schedule(n, "increasing").alias("rising"), simulate.schedule(n, "decreasing").alias("falling"))
+
+
+def _label_arrays(spark, sf):
+    """(read_id, labels): each user's first forty event types in order."""
+    rows = inputs.states(spark, sf).filter("pos < 40")
+    return rows.groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("pos", "label")))["label"].alias("labels"))
+
+
+_EARLY_SQL = f"{STATES_SQL}, early AS (SELECT * FROM states WHERE pos < 40), {runs_sql('early')}"
+
+
+@query(f"""WITH {_EARLY_SQL} SELECT read_id, coalesce(string_agg(n, ' ' ORDER BY "start") FILTER (label = 'view'), '') AS lengths FROM runs GROUP BY read_id""")
+def lengths_of_label(spark, sf):
+    own = runs.lengths_of(runs.run_lengths(F.col("labels")), "view")
+    return _label_arrays(spark, sf).select("read_id", F.array_join(F.transform(own, lambda n: n.cast("string")), " ").alias("lengths"))
+
+
+@query(f"""WITH {_EARLY_SQL} SELECT read_id, label, "start", "end" FROM runs QUALIFY row_number() OVER (PARTITION BY read_id, label ORDER BY "start" DESC) = 1""")
+def last_run_of_label(spark, sf):
+    found = _label_arrays(spark, sf).select("read_id", F.explode(runs.last_boundaries(runs.run_lengths(F.col("labels")))).alias("label", "at"))
+    return found.select("read_id", "label", "at.start", "at.end")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

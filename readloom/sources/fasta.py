@@ -113,6 +113,11 @@ def verify_index(entries: DataFrame, records_: DataFrame) -> DataFrame:
     return entries.join(own, "name", "left").filter(F.col("found").isNull() | (F.col("found") != F.col("length"))).select("name", "length", "found")
 
 
+def fetch(wanted: DataFrame, records_: DataFrame) -> DataFrame:
+    """``wanted`` (with a ``name``) and the sequence of that name; null where no record has it."""
+    return wanted.join(records_.select("name", "sequence"), "name", "left")
+
+
 def transcripts(records_: DataFrame, low: int = 200, high: int = 5000) -> DataFrame:
     """Upper-case sequences of a length within bounds, anything but A, C, G, T made N."""
     clean = F.regexp_replace(F.upper("sequence"), "[^ACGT]", "N")

@@ -40,3 +40,28 @@ def test_empty_scores(spark):
     df = spark.createDataFrame([(1, None), (2, []), (3, [[0.0, 1.0], [2.0, 1.0]])], "read_id long, scores array<array<double>>")
     got = {r["read_id"]: r["path"] for r in decode.decode(df, [[0.0, 0.0], [0.0, 0.0]]).collect()}
     assert got == {1: [], 2: [], 3: [1, 0]}
+
+
+def test_path_scores_and_partition_equal_enumeration(spark):
+    import itertools
+    import math
+
+    from pyspark.sql import functions as F
+
+    from readloom.operators import decode
+
+    moves = [[-0.2, -1.0, -2.0], [-1.5, -0.1, -0.7], [-0.3, -2.5, -0.4]]
+    scores = [[0.5, -1.0, 2.0], [1.5, 0.0, -0.5], [-2.0, 0.3, 0.1], [0.0, 1.0, 0.9]]
+
+    def total(path):
+        return sum(scores[i][j] for i, j in enumerate(path)) + sum(moves[a][b] for a, b in zip(path, path[1:]))
+
+    rows = spark.createDataFrame([(1, scores, [2, 0, 0, 1]), (2, scores[:1], [1]), (3, [], [])], "id int, scores array<array<double>>, path array<int>")
+    out = {
+        r[0]: r[1:]
+        for r in rows.select("id", decode.path_score(F.col("scores"), F.col("path"), moves), decode.log_partition(F.col("scores"), moves)).collect()
+    }
+    every = [total(p) for p in itertools.product(range(3), repeat=4)]
+    assert math.isclose(out[1][0], total([2, 0, 0, 1])) and math.isclose(out[1][1], math.log(sum(map(math.exp, every))))
+    assert math.isclose(out[2][0], -1.0) and math.isclose(out[2][1], math.log(sum(map(math.exp, scores[0]))))
+    assert out[3][0] == 0.0 and out[3][1] is None
