@@ -12,7 +12,7 @@ records are counted before a stretch is put together, so repeats take no room.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.llm.common import written
@@ -79,11 +79,13 @@ def audit(
     stretch: int = STRETCH,
     fanout: int = FANOUT,
 ) -> DataFrame:
-    """One row for each place (archive, offset) where the replicas differ.
+    """One row for each record that differs: a place (archive, offset) has as many as it lost or won.
 
     Returns archive, offset, the primary's ``keys``, lengths and digests of both, and kind: ``missing``
     (not in the replica), ``extra`` (only there), ``resized`` (another length) or ``altered`` (another
-    payload). Several records that claim one place are compared as they sort by length and digest.
+    payload). Of several records that claim one place, those of equal length are paired first, by digest,
+    then the others, the longest first. Each lost copy of equal records is a row; their ``keys`` are null
+    where other copies are still there, as nothing tells which of them was lost.
     Null archives are the archive ''; null offsets and lengths are -1; null payloads differ from empty
     ones. Empty replicas make every record missing or extra; equal replicas give no rows.
     """
@@ -109,15 +111,30 @@ def audit(
     def records(x: DataFrame) -> DataFrame:
         return x.join(nodes, (x["archive"] == nodes["a"]) & (at == nodes["n"]), "left_semi")
 
-    # records of one place are paired by their order; equal ones are counted, not listed
+    # equal records are counted, and only those whose counts differ are listed, a row for each copy
     own = ["archive", "offset", "length", "digest"]
-    a = records(mine).groupBy(*own).agg(F.count("*").alias("n"), *[F.min(k).alias(k) for k in keys])
+    a = records(mine).groupBy(*own).agg(F.count("*").alias("n"))
     b = records(theirs).groupBy(*own).agg(F.count("*").alias("m"))
-    odd = a.join(b, own, "full").filter(~F.col("n").eqNullSafe(F.col("m")))
-    sides = odd.groupBy("archive", "offset").agg(
-        F.min(F.when(F.col("n") > F.coalesce("m", F.lit(0)), F.struct("length", "digest", *keys))).alias("a"),
-        F.min(F.when(F.col("m") > F.coalesce("n", F.lit(0)), F.struct("length", "digest"))).alias("b"),
-    )
+    over = F.coalesce("n", F.lit(0)) - F.coalesce("m", F.lit(0))
+    odd = written(a.join(b, own, "full").withColumn("over", over).filter("over <> 0"), "odd")
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.abs("over"))).alias("copy")
+    lost = records(mine).join(odd.filter("m IS NULL").select(*own), own, "left_semi").select(*own, *keys)
+    some = odd.filter("over > 0 AND m IS NOT NULL").select(*own, copy)
+    lost = lost.union(some.select(*own, *[F.lit(None).cast(mine.schema[k].dataType).alias(k) for k in keys]))
+    more = odd.filter("over < 0").select(*own, copy).drop("copy")
+
+    def paired(x: DataFrame, y: DataFrame, by: list[str], x_by: list, y_by: list) -> DataFrame:
+        x = x.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(*x_by)))
+        y = y.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(*y_by)))
+        return x.join(y, [*by, "k"], "full").drop("k")
+
+    # first those of one length at a place, then what is left there, the longest first
+    x = lost.select("archive", "offset", "length", F.struct("length", "digest", *keys).alias("a"))
+    y = more.select("archive", "offset", "length", F.struct("length", "digest").alias("b"))
+    first = written(paired(x, y, ["archive", "offset", "length"], ["a"], ["b"]).drop("length"), "paired")
+    x, y = first.filter("b IS NULL").drop("b"), first.filter("a IS NULL").drop("a")
+    rest = paired(x, y, ["archive", "offset"], [F.desc("a.length"), "a"], [F.desc("b.length"), "b"])
+    sides = first.filter("a IS NOT NULL AND b IS NOT NULL").unionByName(rest)
     kind = (
         F.when(F.col("b").isNull(), "missing")
         .when(F.col("a").isNull(), "extra")
