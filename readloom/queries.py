@@ -443,7 +443,7 @@ _ARCH = {"click": "UMI", "error": "XX", "purchase": "ACC", "signup": "CBC", "vie
 def architecture_validate(spark, sf):
     """Each user's runs, named as segments, held against an expected order (LCS fold)."""
     named = inputs.states(spark, sf).withColumn("label", seq.map_lookup(_ARCH, F.col("label"), "XX"))
-    found = runs.long_runs(named.filter("pos < 12")).groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("start", "label")))["label"].alias("found"))
+    found = runs.long_runs(named).groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("start", "label")))["label"].alias("found"))
     checked = demux.validate(F.col("found"), expected=("UMI", "ACC", "cDNA", "CBC"), required=("UMI", "CBC"), optional=("ACC",), least=0.6)
     scored = demux.order_score(F.col("found"), ("UMI", "ACC", "cDNA", "CBC"))
     return found.select("read_id", checked.alias("v"), scored.alias("order_score")).select(
