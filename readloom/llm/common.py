@@ -44,6 +44,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until it is none of ``taken`` (letter case aside)."""
+    there = {t.lower() for t in taken}
+    while name.lower() in there:
+        name = "_" + name
+    return name
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     return column.cast(pa.binary()).to_pylist()

@@ -1,15 +1,17 @@
 """SimHash near-duplicates (operator 2): vantage-point-tree shards and exact pairs within a Hamming radius.
 
 1. ``fingerprints``: one 64-bit SimHash a document, over word shingles (no shuffle).
-2. A vantage-point tree is fitted on a bounded sample of distinct fingerprints. Every distinct
-   fingerprint has one home leaf; it is also sent to each leaf that the triangle bound can't exclude
+2. Distinct fingerprints begin as one shard. A shard that holds too many is divided by a vantage-point
+   tree fitted on a bounded sample of its own; shards that are still too large are divided again in the
+   same way, so the tree grows with the data and no part of it is collected or broadcast. Every
+   fingerprint has one home shard; it is also sent to each shard that the triangle bound can't exclude
    (|d(x, vantage point) - border| within the radius), so a pair within the radius always meets in
-   the home leaf of either one.
-3. Within a leaf, pairs are compared only where their distances to two local vantage points differ by
-   at most the radius. A leaf passes on a spanning forest of its links, never all pairs.
-4. Leaves that hold too many home fingerprints (a tight cluster that no sphere cuts) are linked
-   exactly in another way, linear in their size: two fingerprints within 2 bits share a neighbour at
-   distance 1 or less, so 65 keys each and a grouped minimum connect them.
+   the home shard of either one.
+3. Within a shard, pairs are compared only where their distances to two local vantage points differ by
+   at most the radius. A shard passes on a spanning forest of its links, never all pairs.
+4. A ball that no sphere divides (every border would copy most of it to both sides) is linked exactly in
+   another way, linear in its size: two fingerprints within 2 bits share a neighbour at distance 1
+   or less, so 65 keys each and a grouped minimum connect them.
 5. Links make components (see components.py); every document gets its component's least id.
 """
 
@@ -23,20 +25,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import as_bytes, slices, written
+from readloom.llm.common import as_bytes, free_name, slices, written
 from readloom.llm.components import connected_components
 
 SEED = 42
-#: Distinct fingerprints that the tree is fitted on, at most about so many.
+#: Fingerprints that the tree of one shard is fitted on, at most about so many.
 TREE_SAMPLE = 65_536
-#: Home fingerprints that a leaf should hold, and the most that are compared within one task.
+#: Home fingerprints that a shard should hold, and the most that are compared within one task.
 LEAF_HOME, LEAF_MOST = 8_192, 65_536
 #: Vantage points that are tried for a node; the one whose distances spread most is taken.
 TRIALS = 8
-#: Fingerprints of content words that a text gets besides that of its shingles, and what makes a text short.
-WORD_PRINTS, SHORT = 16, 40
+#: A border isn't drawn where it would copy more than this share to both sides.
+MOST_COPIED = 0.75
 #: Near copies of the stage: words of a shingle, least similarity in fifths, bands of so many MinHash values, rounds of representatives.
-NEAR_SHINGLE, NEAR_FIFTHS, BANDS, BAND_ROWS, ROUNDS = 5, 4, 20, 5, 2
+NEAR_SHINGLE, NEAR_FIFTHS, BANDS, BAND_ROWS, ROUNDS = 5, 4, 20, 5, 4
 
 _LANES = np.zeros((256, 2), np.uint64)
 for _b in range(256):
@@ -98,45 +100,20 @@ def _mixed(x: np.ndarray, i: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_fingerprints(texts: list[bytes | None], n: int = WORD_PRINTS) -> list[np.ndarray]:
-    """n fingerprints of each text by as many hash functions, over its distinct words of over three bytes.
-
-    A few changed words turn few bits of such a fingerprint, so of near copies some of the n are within two
-    bits. A text with under ``SHORT`` words, or too few distinct ones, is one feature: only copies link.
-    """
-    features = []
-    for t in texts:
-        words = (t or b"").lower().split()
-        kept = {w for w in words if len(w) > 3} if len(words) >= SHORT else ()
-        features.append(kept if len(kept) >= SHORT // 2 else {b" ".join(words)})
-    counts = np.fromiter(map(len, features), np.int64, len(features))
-    flat = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for f in features for w in f), np.uint64, int(counts.sum()))
-    return [majorities(_mixed(flat, i), counts) for i in range(n)]
-
-
-def with_fingerprint(docs: DataFrame, text_col: str = "text", k: int = 3, name: str = "fingerprint", more: int = 0) -> DataFrame:
+def with_fingerprint(docs: DataFrame, text_col: str = "text", k: int = 3, name: str = "fingerprint") -> DataFrame:
     """``docs`` and a long column: the 64-bit SimHash of the text's k-word shingles, as a signed number.
 
     Words are runs of anything but ASCII white space, with A-Z lower-cased. Null, empty and blank
-    texts have fingerprint 0. A column of ``docs`` with that name gives way. No shuffle. With ``more``, the
-    column is an array: that fingerprint and as many of the text's words.
+    texts have fingerprint 0. A column of ``docs`` with that name gives way. No shuffle.
     """
     docs = docs.drop(name)
     at = docs.columns.index(text_col)
-    kind = "array<long>" if more else "long"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` {kind}"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, 8 << 20):
-            texts = as_bytes(batch.column(at))
-            prints = text_fingerprints(texts, k).view(np.int64)
-            if more:
-                every = np.stack([prints, *(p.view(np.int64) for p in word_fingerprints(texts, more))], 1)
-                offsets = np.arange(len(texts) + 1, dtype=np.int32) * every.shape[1]
-                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(every.ravel()))
-            else:
-                column = pa.array(prints)
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, name])
+            prints = text_fingerprints(as_bytes(batch.column(at)), k).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
@@ -144,7 +121,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", k: int = 3, name:
 # --- the tree -------------------------------------------------------------------------------------
 
 
-def fit_tree(sample: np.ndarray, leaf_size: int) -> dict[str, np.ndarray]:
+def fit_tree(sample: np.ndarray, leaf_size: int, radius: int = 2) -> dict[str, np.ndarray]:
     """Nodes: vantage point, border (inside: distance <= border), and children; ~leaf for leaves."""
     points, borders, kids, leaves = [], [], [], 0
     rng = np.random.default_rng(SEED)
@@ -155,12 +132,13 @@ def fit_tree(sample: np.ndarray, leaf_size: int) -> dict[str, np.ndarray]:
             tried = part[rng.integers(len(part), size=TRIALS)]
             spread = [np.bitwise_count(part[:4096] ^ v).astype(float).std() for v in tried]
             vantage = tried[int(np.argmax(spread))]
-            d = np.bitwise_count(part ^ vantage)
+            d = np.bitwise_count(part ^ vantage).astype(np.int64)
             border = int(np.median(d))
             if d.max() <= border:
                 border -= 1
             inside = d <= border
-            if 0 < inside.sum() < len(part):
+            copied = ((d > border - radius) & (d <= border + radius)).mean()
+            if 0 < inside.sum() < len(part) and copied <= MOST_COPIED:
                 node = len(points)
                 points.append(vantage)
                 borders.append(border)
@@ -180,6 +158,18 @@ def fit_tree(sample: np.ndarray, leaf_size: int) -> dict[str, np.ndarray]:
     }
 
 
+def tree_bytes(tree: dict[str, np.ndarray]) -> bytes:
+    parts = [np.array([len(tree["points"]), tree["root"], tree["leaves"]]), tree["points"].view(np.int64), tree["borders"], tree["kids"].ravel()]
+    return np.concatenate(parts).astype(np.int64).tobytes()
+
+
+def tree_of(stored: bytes) -> dict[str, np.ndarray]:
+    x = np.frombuffer(stored, np.int64)
+    n = int(x[0])
+    points, borders, kids = np.split(x[3:], [n, 2 * n])
+    return {"points": points.view(np.uint64), "borders": borders, "kids": kids.reshape(-1, 2), "root": x[1], "leaves": x[2]}
+
+
 def route(tree: dict[str, np.ndarray], prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, leaf) for every leaf that may hold something within ``radius``; radius 0: the home leaf."""
     row, node = np.arange(len(prints)), np.full(len(prints), tree["root"])
@@ -245,75 +235,124 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def hamming_links(prints: DataFrame, radius: int = 2, leaf_home: int = LEAF_HOME, leaf_most: int = LEAF_MOST) -> DataFrame:
-    """Links (a, b) of nodes that connect what the pairs within ``radius`` bits connect.
-
-    ``prints``: (kind, fingerprint, node) rows, already written down, with one row for each distinct
-    fingerprint of a kind; only fingerprints of one kind are compared. The result is a spanning forest of
-    each leaf's links: it has the same components as all pairs together.
+def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of links a-b that connect what all of them connect, without a cycle."""
+    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = flat[: len(a)], flat[len(a) :]
+    label, taken = np.arange(len(nodes)), []
+    while len(apart := np.flatnonzero(label[i] != label[j])):
+        first = np.full(len(nodes), len(a))  # each component takes its first link to another one
+        np.minimum.at(first, label[i[apart]], apart)
+        np.minimum.at(first, label[j[apart]], apart)
+        new = np.unique(first[first < len(a)])
+        taken.append(new)
+        own, root = forest(label[i[new]], label[j[new]])
+        to = np.arange(len(nodes))
+        to[own] = root
+        label = to[label]
+    return np.sort(np.concatenate(taken)) if taken else np.empty(0, np.int64)
+
+
+def divided(rows: DataFrame, large: DataFrame, radius: int, leaf_home: int, leaf_most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (leaf, print, node, home) of the ``large`` shards (leaf, n, homes), in smaller shards, and those of undivided ones.
+
+    The tree of a shard is fitted in one task on a bounded sample of it. A shard's rows are dealt over
+    as many tasks as its size asks for; each of them reads the tree first and then lets its rows pass.
     """
-    if radius > 2:
-        raise ValueError("crowded leaves are linked through 1-bit neighbours, which covers a radius of 2 at most")
-    sizes = {r["kind"]: r["count"] for r in prints.groupBy("kind").count().collect()}  # a row for each kind
-    most = TREE_SAMPLE // max(1, len(sizes))
-    n = max(sizes.values(), default=0)
-    taken = prints.filter(F.pmod(F.xxhash64("fingerprint"), F.lit(1 << 20)) < int(min(1.0, most / max(1, n)) * (1 << 20)) + 1)
-    sample: dict[int, list[int]] = {k: [] for k in sizes}
-    for r in taken.limit(2 * TREE_SAMPLE).select("kind", "fingerprint").collect():
-        sample[r[0]].append(r[1])
-    trees = {}
-    for kind, x in sample.items():
-        x = np.array(x, np.int64).view(np.uint64)
-        trees[kind] = fit_tree(x, max(8, int(len(x) * leaf_home / sizes[kind])))
-
-    def routed(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    salts = F.greatest(F.ceil(F.col("n") / leaf_most), F.lit(1)).cast("long")
+    inside = rows.join(large.withColumn("salts", salts), "leaf")
+    rate = F.least(F.lit(1.0), F.lit(float(TREE_SAMPLE)) / F.col("homes"))
+    drawn = inside.filter(F.col("home") & (F.pmod(F.xxhash64("print", "leaf"), F.lit(1 << 20)) <= rate * (1 << 20)))
+
+    def fit(key: tuple, group: pa.Table) -> pa.Table:
+        x = group.column("print").to_numpy().view(np.uint64)
+        tree = fit_tree(x, max(8, int(len(x) * leaf_home / key[2].as_py())), radius)
+        return pa.table({"leaf": [key[0].as_py()], "salts": [key[1].as_py()], "leaves": [int(tree["leaves"])], "tree": [tree_bytes(tree)]})
+
+    trees = written(drawn.groupBy("leaf", "salts", "homes").applyInArrow(fit, "leaf long, salts long, leaves long, tree binary"), "trees")
+    good = trees.filter("leaves > 1")
+    heads = good.select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "tree")
+    heads = heads.select("*", F.lit(0).cast("long").alias("print"), F.lit(0).cast("long").alias("node"), F.lit(False).alias("home"))
+    tails = inside.join(good.select("leaf"), "leaf", "left_semi")
+    tails = tails.select("leaf", F.pmod(F.xxhash64("print"), F.col("salts")).alias("salt"), F.lit(None).cast("binary").alias("tree"), "print", "node", "home")
+
+    def pass_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
         for batch in batches:
-            kinds = batch.column("kind").to_numpy()
-            for kind in np.unique(kinds).tolist():
-                part = batch.filter(pa.array(kinds == kind))
-                x = part.column("fingerprint").to_numpy().view(np.uint64)
-                home = np.empty(len(x), np.int64)
-                row, leaf = route(trees[kind], x, 0)
-                home[row] = leaf
-                if radius:
-                    row, leaf = route(trees[kind], x, radius)
+            head = batch.column("tree").is_valid().to_numpy(zero_copy_only=False)
+            edges = [0, *np.flatnonzero(head).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                if a < b and head[a]:
+                    tree, a = tree_of(batch.column("tree")[a].as_py()), a + 1
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                x = part.column("print").to_numpy().view(np.uint64)
+                own = np.empty(len(x), np.int64)
+                row, leaf = route(tree, x, 0)
+                own[row] = leaf
+                row, leaf = route(tree, x, radius)
+                # a shard's name is a mix of its parent's and its number there
+                name = _mixed(part.column("leaf").to_numpy()[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + leaf.astype(np.uint64), 1)
+                home = part.column("home").to_numpy(zero_copy_only=False)[row] & (own[row] == leaf)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array((kind << 32) + leaf),
-                        pa.array(x[row].view(np.int64)),
-                        part.column("node").take(pa.array(row)),
-                        pa.array(home[row] == leaf),
-                    ],
+                    [pa.array(name.view(np.int64)), pa.array(x[row].view(np.int64)), part.column("node").take(pa.array(row)), pa.array(home)],
                     ["leaf", "print", "node", "home"],
                 )
 
-    shape = "leaf long, print long, node long, home boolean"
-    homes = prints.mapInArrow(lambda b: routed(b, 0), shape)
-    # at most as many leaves as the sample has points, so this list is small by construction
-    crowded = [r[0] for r in homes.groupBy("leaf").count().filter(F.col("count") > leaf_most).collect()]
-    sent = prints.mapInArrow(lambda b: routed(b, radius), shape)
+    stream = heads.unionByName(tails).repartition("leaf", "salt").sortWithinPartitions("leaf", "salt", F.col("tree").isNull())
+    solid = inside.join(trees.filter("leaves = 1").select("leaf"), "leaf", "left_semi").select("print", "node").distinct()
+    return written(stream.mapInArrow(pass_, "leaf long, print long, node long, home boolean"), "shards"), solid
+
+
+def hamming_links(prints: DataFrame, radius: int = 2, leaf_home: int = LEAF_HOME, leaf_most: int = LEAF_MOST) -> DataFrame:
+    """Links (a, b) of nodes that connect what the pairs within ``radius`` bits connect.
+
+    ``prints``: (fingerprint, node) rows, already written down, with one row for each distinct
+    fingerprint. The result is a spanning forest of each shard's links, each within the radius: it has
+    the same components as all pairs together.
+    """
+    if radius > 2:
+        raise ValueError("undivided balls are linked through 1-bit neighbours, which covers a radius of 2 at most")
+    rows = prints.select(F.lit(0).cast("long").alias("leaf"), F.col("fingerprint").alias("print"), "node", F.lit(True).alias("home"))
 
     def compare(group: pa.Table) -> pa.Table:
         x, home = group.column("print").to_numpy().view(np.uint64), group.column("home").to_numpy()
         order = np.argsort(x)
         node = group.column("node").to_numpy()[order]
         a, b = links_within(x[home], x, radius)
-        own, root = (np.searchsorted(x, v, sorter=order) for v in forest(a, b))
-        return pa.table({"a": node[own], "b": node[root]})
-
-    usual = sent if not crowded else sent.filter(~F.col("leaf").isin(crowded))
-    links = usual.groupBy("leaf").applyInArrow(compare, "a long, b long").filter("a <> b")
-    if crowded:
-        keys = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(64)])
-        tight = sent.filter(F.col("leaf").isin(crowded)).select(F.shiftright("leaf", 32).alias("kind"), "print", "node").distinct()
-        near = tight.select("kind", "print", "node", F.explode(keys).alias("bit"))
-        near = near.select("kind", "print", "node", F.col("print").bitwiseXOR(F.col("bit")).alias("key"))
-        least = near.groupBy("kind", "key").agg(F.min(F.struct("print", "node")).alias("x"))
-        wide = near.join(least, ["kind", "key"]).filter(F.col("print") != F.col("x.print"))
-        if radius < 2:
-            wide = wide.filter(F.bit_count(F.col("print").bitwiseXOR(F.col("x.print"))) <= radius)
-        links = links.union(wide.select(F.col("node").alias("a"), F.col("x.node").alias("b")))
-    return links
+        kept = spanning(a, b)
+        own, other = (np.searchsorted(x, v[kept], sorter=order) for v in (a, b))
+        return pa.table({"a": node[own], "b": node[other]})
+
+    links, most = [], leaf_home
+    while True:
+        sizes = rows.groupBy("leaf").agg(F.count("*").alias("n"), F.count_if("home").alias("homes"))
+        large = written(sizes.filter(F.col("homes") > most), "sizes")
+        done = large.isEmpty()
+        ready = rows if done else rows.join(large, "leaf", "left_anti")
+        links.append(ready.groupBy("leaf").applyInArrow(compare, "a long, b long"))
+        if done:
+            break
+        rows, solid = divided(rows, large, radius, leaf_home, leaf_most)
+        links.append(ball_links(solid, radius))
+        most = leaf_most
+    out = links[0]
+    for more in links[1:]:
+        out = out.union(more)
+    return out
+
+
+def ball_links(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """Links (a, b) that connect what pairs within ``radius`` (2 at most) bits connect, through neighbours at 1 bit."""
+    keys = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(64)])
+    near = prints.select("print", "node", F.explode(keys).alias("bit"))
+    near = near.select("print", "node", F.col("print").bitwiseXOR(F.col("bit")).alias("key"))
+    least = near.groupBy("key").agg(F.min(F.struct("print", "node")).alias("x"))
+    wide = near.join(least, "key").filter(F.col("print") != F.col("x.print"))
+    if radius < 2:
+        wide = wide.filter(F.bit_count(F.col("print").bitwiseXOR(F.col("x.print"))) <= radius)
+    return wide.select(F.col("node").alias("a"), F.col("x.node").alias("b"))
 
 
 def near_duplicates(
@@ -335,7 +374,7 @@ def near_duplicates(
 def roots_of(rows: DataFrame, radius: int = 2) -> DataFrame:
     """(fingerprint, root): the component of each distinct fingerprint of ``rows``, by its least member."""
     prints = written(rows.select("fingerprint").distinct(), "prints")
-    links = hamming_links(prints.select(F.lit(0).alias("kind"), "fingerprint", F.col("fingerprint").alias("node")), radius)
+    links = hamming_links(prints.select("fingerprint", F.col("fingerprint").alias("node")), radius)
     placed = prints.join(connected_components(links).withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     return written(placed.withColumn("root", F.coalesce("root", "fingerprint")), "roots")
 
@@ -349,8 +388,11 @@ def components_of(rows: DataFrame, radius: int = 2) -> DataFrame:
     return rows.join(found, "fingerprint").select("id", "fingerprint", "component_id")
 
 
-def band_keys(texts: list[bytes | None]) -> list[np.ndarray]:
-    """(text, key) arrays of each band: MinHash over the five-word shingles of the texts that have words.
+# --- near copies of a lower similarity ------------------------------------------------------------
+
+
+def prints_and_bands(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A SimHash of the five-word shingles of each text, and BANDS keys of its MinHash values (0 without words).
 
     Two texts of Jaccard similarity J share a key of some band with chance 1 - (1 - J^5)^20, whatever their
     length and wherever they differ: 0.9996 at 0.8.
@@ -359,92 +401,121 @@ def band_keys(texts: list[bytes | None]) -> list[np.ndarray]:
     counts = np.fromiter(map(len, found), np.int64, len(found))
     full = np.flatnonzero(counts)
     flat = np.fromiter((h for x in found for h in x), np.uint64, int(counts.sum()))
-    starts = np.cumsum(counts[full]) - counts[full]
-    draws = np.random.default_rng(SEED).integers(1 << 64, size=(BANDS * BAND_ROWS, 2), dtype=np.uint64)
-    out = []
-    for band in range(BANDS):
-        key = np.full(len(full), band, np.uint64)
-        for a, b in draws[band * BAND_ROWS : (band + 1) * BAND_ROWS]:
-            if len(full):
+    keys = np.zeros((len(texts), BANDS), np.uint64)
+    if len(full):
+        starts = np.cumsum(counts[full]) - counts[full]
+        draws = np.random.default_rng(SEED).integers(1 << 64, size=(BANDS * BAND_ROWS, 2), dtype=np.uint64)
+        for band in range(BANDS):
+            key = np.full(len(full), band, np.uint64)
+            for a, b in draws[band * BAND_ROWS : (band + 1) * BAND_ROWS]:
                 key = _mixed(key ^ np.minimum.reduceat(flat * (a | np.uint64(1)) + b, starts), 0)
-        out.append(key)
-    return [full, *out]
+            keys[full, band] = key
+    return majorities(flat, counts), keys
 
 
-def alike(a: bytes | None, b: bytes | None) -> bool:
+def alike(a: bytes | None, b: bytes | None, sets: dict | None = None) -> bool:
     """Whether two texts share four fifths or more of the five-word shingles of both; texts without words don't."""
-    x, y = (set(shingle_hashes((t or b"").lower().split(), NEAR_SHINGLE)) for t in (a, b))
+    sets = {} if sets is None else sets
+    for t in (a, b):
+        if t not in sets:
+            sets[t] = set(shingle_hashes((t or b"").lower().split(), NEAR_SHINGLE))
+    x, y = sets[a], sets[b]
     both = len(x & y)
     return both > 0 and 5 * both >= NEAR_FIFTHS * (len(x) + len(y) - both)
 
 
-def similar_links(rows: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes of ``rows`` (node, text; already written down) whose texts are ``alike``.
+def judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, near) for distinct (a, b) pairs of nodes; near: their ``texts`` (node, text) are ``alike``."""
 
-    Texts that share a band's key are compared, word by word, with one representative of the key, which each band
-    draws in its own order; those unlike it are grouped once more among themselves. Equal texts get no links.
-    """
-    firsts = rows.groupBy(F.xxhash64("text")).agg(F.min("node").alias("node")).select("node")
-    lone = rows.join(firsts, "node", "left_semi").select("node", "text")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(slices(batches, "ta", 8 << 20), "tb", 8 << 20):
+            sets: dict = {}
+            near = [alike(x, y, sets) for x, y in zip(as_bytes(batch.column("ta")), as_bytes(batch.column("tb")))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], ["a", "b", "near"])
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
-            full, *found = band_keys(as_bytes(batch.column("text")))
-            node = batch.column("node").take(pa.array(full))
-            for band, key in enumerate(found):
-                columns = [pa.array(np.full(len(full), band, np.int32)), pa.array(key.view(np.int64)), node]
-                yield pa.RecordBatch.from_arrays(columns, ["band", "key", "node"])
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "ta", 8 << 20):
-            texts = zip(as_bytes(batch.column("ta")), as_bytes(batch.column("tb")))
-            near = pa.array([alike(x, y) for x, y in texts], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), near], ["a", "b", "near"])
-
-    left, links = written(lone.mapInArrow(keys, "band int, key long, node long"), "bands"), None
-    texts = rows.select("node", "text")
-    for _ in range(ROUNDS):
-        drawn = F.struct(F.xxhash64("node", "band").alias("draw"), "node")
-        least = left.groupBy("band", "key").agg(F.min(drawn)["node"].alias("b"), F.count("*").alias("n")).filter("n > 1")
-        met = written(left.withColumnRenamed("node", "a").join(least.drop("n"), ["band", "key"]).filter("a <> b"), "met")
-        pairs = met.select("a", "b").distinct()
-        pairs = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-        judged = written(pairs.mapInArrow(judge, "a long, b long, near boolean"), "judged")
-        good = judged.filter("near").select("a", "b")
-        links = good if links is None else links.union(good)
-        left = met.join(judged.filter("not near"), ["a", "b"], "left_semi").select("band", "key", F.col("a").alias("node"))
+    full = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    return written(full.mapInArrow(run, "a long, b long, near boolean"), "judged")
+
+
+def similar_links(classes: DataFrame, texts_of, radius: int = 2) -> DataFrame:
+    """Links (a, b) between nodes whose texts are ``alike``, each of them verified.
+
+    ``classes``: (node, print, keys) rows, already written down, one for each distinct text; ``texts_of``
+    gives (node, text) for a table of nodes. Candidates are what the fingerprint tree links, and texts
+    that share a band's key with a representative of it: of even bands the one that shares most keys, of odd
+    bands one drawn by its hash. Texts unlike it get another representative, at last under keys that one
+    and two more bands refine, which part them from texts that are only somewhat alike.
+    """
+    prints = written(classes.groupBy(F.col("print").alias("fingerprint")).agg(F.min("node").alias("node"), F.count("*").alias("n")), "prints")
+    same = classes.withColumnRenamed("node", "a").join(prints.filter("n > 1"), classes["print"] == prints["fingerprint"])
+    close = same.select("a", F.col("node").alias("b")).filter("a <> b").union(hamming_links(prints.select("fingerprint", "node"), radius))
+
+    bands = classes.select("node", F.posexplode("keys").alias("band", "key")).filter("key <> 0")
+    shared = bands.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    left = written(bands.join(shared, ["band", "key"]), "bands")
+    weight = left.groupBy("node").agg(F.sum("n").alias("weight"))
+    left = written(left.drop("n").join(weight, "node"), "bands")
+    close = written(close, "close")
+    texts = written(texts_of(left.select("node").union(close.select("a")).union(close.select("b")).distinct()), "texts")
+    links = judged(close.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), texts).filter("near").select("a", "b")
+    for i in range(ROUNDS):
+        if i > 1:  # one more band refines the key
+            again = left.join(classes.select("node", "keys"), "node")
+            left = again.withColumn("key", F.xxhash64("key", F.element_at("keys", (F.col("band") + (i - 1)) % BANDS + 1))).drop("keys")
+        draw = F.xxhash64("node", "band", F.lit(i))
+        order = F.struct(F.when(F.col("band") % 2 == 0, -F.col("weight")).otherwise(F.lit(0)).alias("w"), draw.alias("draw"), "node")
+        least = left.groupBy("band", "key").agg(F.min(order)["node"].alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        met = written(left.withColumnRenamed("node", "a").join(least, ["band", "key"]).filter("a <> b"), "met")
+        found = judged(met.select("a", "b").distinct(), texts)
+        links = links.union(found.filter("near").select("a", "b"))
+        left = met.join(found.filter("not near"), ["a", "b"], "left_semi").select("band", "key", F.col("a").alias("node"), "weight")
+        if found.filter("not near").isEmpty():
+            break
     return links
 
 
-def one_of_each(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, radius: int = 2, more: int = WORD_PRINTS
-) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """The rows of ``docs`` that stay when one row of each group of near duplicates is kept: the one with the least id.
 
-    Rows are linked if their shingle fingerprints, or two of the same number of their ``more`` word
-    fingerprints, differ in at most ``radius`` bits, or if their texts are ``alike`` (see similar_links);
-    groups are what links reach. Rows with an id come
-    before rows without; equal ids are told apart by a hash of the whole row, and of rows that repeat as a
-    whole one stays. Null, empty and blank texts are one group. All columns stay, whatever their names.
+    Rows are linked if their texts are equal, or ``alike``: of the five-word shingles of both, four fifths or
+    more are shared (see similar_links, which verifies every link); groups are what links reach. Rows
+    with an id come before rows without; equal ids are told apart by a hash of the whole row, and of
+    rows that repeat as a whole one stays. Null, empty and blank texts are one group. An empty table
+    gives no rows. All columns stay, whatever their names.
     """
-    hashed = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    rows = hashed.select(F.col(id_col).alias("id"), "_row", F.col(text_col).alias("text"))
-    rows = with_fingerprint(rows, "text", k, "prints", more).withColumn("node", F.monotonically_increasing_id())
-    rows = written(rows.select("node", "id", "_row", "text", "prints" if more else F.array("prints").alias("prints")), "fingerprints")
-    every = rows.select("node", F.posexplode("prints").alias("kind", "fingerprint"))
-    prints = written(every.groupBy("kind", "fingerprint").agg(F.min("node").alias("node"), F.count("*").alias("n")), "prints")
-    copies = every.withColumnRenamed("node", "a").join(prints.filter("n > 1"), ["kind", "fingerprint"])
-    copies = copies.select("a", F.col("node").alias("b")).filter("a <> b")
-    links = copies.union(hamming_links(prints.select("kind", "fingerprint", "node"), radius)).union(similar_links(rows.select("node", "text")))
-    found = connected_components(links)
-    placed = rows.select("node", "id", "_row").join(found, "node", "left")
-    first = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "_row")).alias("first")
-    kept = placed.groupBy(F.coalesce("root", "node").alias("root")).agg(first)
-    kept = written(kept.select(F.col("first.id").alias("_id"), F.col("first._row").alias("_kept")), "kept")
-    same = (hashed["_row"] == kept["_kept"]) & hashed[id_col].eqNullSafe(kept["_id"])
+    row_col = free_name("_row", docs.columns)
+    hashed = docs.withColumn(row_col, F.xxhash64(*docs.columns))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    digest = F.unhex(F.md5(F.when(text.rlike("[^ \\t-\\r]"), text).otherwise("").cast("binary")))
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 8 << 20):
+            prints, keys = prints_and_bands(as_bytes(batch.column("text")))
+            offsets = np.arange(len(prints) + 1, dtype=np.int32) * BANDS
+            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel()))
+            kept = [batch.column(c) for c in ("id", "row", "digest")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(prints.view(np.int64)), listed], ["id", "row", "digest", "print", "keys"])
+
+    rows = hashed.select(F.col(id_col).alias("id"), F.col(row_col).alias("row"), digest.alias("digest"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = written(rows.mapInArrow(prepare, f"id {kind}, row long, digest binary, print long, keys array<long>"), "fingerprints")
+    # one row for each distinct text: what is known of it, and the first of its rows
+    first = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row")).alias("first")
+    classes = rows.groupBy("digest").agg(first, F.first("print").alias("print"), F.first("keys").alias("keys"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        wanted = classes.select("node", "digest").join(nodes, "node", "left_semi")
+        return docs.select(digest.alias("digest"), F.col(text_col).alias("text")).join(wanted, "digest").groupBy("node").agg(F.first("text").alias("text"))
+
+    found = connected_components(similar_links(classes.select("node", "print", "keys"), texts_of, radius))
+    placed = classes.select("node", "first").join(found, "node", "left")
+    kept = placed.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    kept = written(kept.select(F.col("first.id").alias("kept_id"), F.col("first.row").alias("kept_row")), "kept")
+    same = (hashed[row_col] == kept["kept_row"]) & hashed[id_col].eqNullSafe(kept["kept_id"])
     out = hashed.join(kept, same, "left_semi")
-    repeated = rows.groupBy("id", "_row").count().filter("count > 1").select("_row").distinct()
+    repeated = rows.groupBy("id", "row").count().filter("count > 1").select(F.col("row").alias(row_col)).distinct()
     if not repeated.isEmpty():  # only rows that repeat as a whole are brought together
-        once = out.join(repeated, "_row", "left_semi").dropDuplicates(["_row", id_col])
-        out = out.join(repeated, "_row", "left_anti").unionByName(once)
-    return out.drop("_row")
+        once = out.join(repeated, row_col, "left_semi").dropDuplicates([row_col, id_col])
+        out = out.join(repeated, row_col, "left_anti").unionByName(once)
+    return out.drop(row_col)

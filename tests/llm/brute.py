@@ -28,41 +28,44 @@ def simhash(text, k=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def word_simhashes(text, n=16, short=40):
-    mask = (1 << 64) - 1
+def shingles(text, k=5):
     words = SPACED.findall(lower(text))
-    kept = {w for w in words if len(w.encode()) > 3} if len(words) >= short else set()
-    out = []
-    for i in range(n):
-        hashes = []
-        for w in kept if len(kept) >= short // 2 else {" ".join(words)}:
-            x = xxhash.xxh64_intdigest(w.encode(), 42) + 0x9E3779B97F4A7C15 * (i + 1) & mask
-            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
-            x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
-            hashes.append(x ^ x >> 31)
-        out.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
-    return out
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
-def components(prints, radius=2):
-    """prints: (id, fingerprint or several) -> component id of each row."""
-    prints = [(i, p if isinstance(p, list) else [p]) for i, p in prints]
-    root = list(range(len(prints)))
+def groups(ids, same):
+    """Component id (the least id, or None) of each row, where same(i, j) links rows."""
+    root = list(range(len(ids)))
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i, (_, a) in enumerate(prints):
+    for i in range(len(ids)):
         for j in range(i):
-            if any((x ^ y).bit_count() <= radius for x, y in zip(a, prints[j][1])):
+            if find(i) != find(j) and same(i, j):
                 root[find(i)] = find(j)
     least = defaultdict(list)
-    for i, (id_, _) in enumerate(prints):
+    for i, id_ in enumerate(ids):
         if id_ is not None:
             least[find(i)].append(id_)
-    return [min(least[find(i)], default=None) for i in range(len(prints))]
+    return [min(least[find(i)], default=None) for i in range(len(ids))]
+
+
+def components(prints, radius=2):
+    """prints: (id, fingerprint) -> component id of each row."""
+    return groups([i for i, _ in prints], lambda i, j: (prints[i][1] ^ prints[j][1]).bit_count() <= radius)
+
+
+def near_copies(rows):
+    """rows: (id, text) -> group of each; texts are near if four fifths of their five-word shingles are shared."""
+    sets = [shingles(t) for _, t in rows]
+
+    def same(i, j):
+        return 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+
+    return groups([i for i, _ in rows], same)
 
 
 def decontaminate(text, items, window=10):

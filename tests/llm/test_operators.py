@@ -105,7 +105,7 @@ def test_links_connect_what_pairs_connect(spark, most):
     near = [v ^ np.uint64(1 << int(a)) ^ np.uint64(1 << int(b)) for v, a, b in zip(x[:200], rng.integers(0, 64, 200), rng.integers(0, 64, 200))]
     prints = np.unique(np.concatenate([x, chain, near]).astype(np.uint64))
     df = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fingerprint long")
-    df = df.select(F.lit(3).alias("kind"), "fingerprint", F.col("fingerprint").alias("node"))
+    df = df.union(df).distinct().select("fingerprint", F.col("fingerprint").alias("node"))
     links = simhash_vptree.hamming_links(df, 2, leaf_home=16, leaf_most=most)
     root = {r["node"]: r["root"] for r in connected_components(links).collect()}
     groups = brute.components([(int(p), int(p) & (1 << 64) - 1) for p in prints.view(np.int64)])
@@ -148,18 +148,36 @@ def test_near_copies_go(spark, sf):
 
 
 def test_one_of_each_keeps_the_least_id(spark, odd_docs, empty_docs):
-    rows = table(odd_docs)
-    prints = [(i, [brute.simhash(t), *brute.word_simhashes(t)]) for i, t in rows]
-    kept = simhash_vptree.one_of_each(odd_docs)
-    assert kept.columns == odd_docs.columns
+    named = odd_docs.withColumn("_row", F.col("source")).withColumn("kept_id", F.lit(1)).withColumn("digest", F.lit("x"))
+    rows = table(named)
+    kept = simhash_vptree.one_of_each(named)
+    assert kept.columns == named.columns
     groups = defaultdict(list)
-    for (i, _), g in zip(prints, brute.components([(n, p) for n, (_, p) in enumerate(prints)])):
+    for (i, _), g in zip(rows, brute.near_copies([(n, t) for n, (_, t) in enumerate(rows)])):
         groups[g].append(i)
     want = [min(filter(lambda i: i is not None, g), default=None) for g in groups.values()]
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
+    assert kept.filter("_row is not null").count() > 0
     assert simhash_vptree.one_of_each(empty_docs).count() == 0
 
 
+def test_undivided_balls_are_linked(spark):
+    ball = [0, *(1 << i for i in range(63)), *((1 << i) | 1 for i in range(1, 63)), (1 << 40) - 1]
+    df = spark.createDataFrame([(x, x) for x in ball], "print long, node long")
+    root = {r["node"]: r["root"] for r in connected_components(simhash_vptree.ball_links(df)).collect()}
+    assert {root[x] for x in ball[:-1]} == {0} and ball[-1] not in root
+
+
+def test_spanning_links_connect_the_same():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 200):
+        a, b = rng.integers(0, 100, n), rng.integers(0, 100, n)
+        kept = simhash_vptree.spanning(a, b)
+        one, two = (dict(zip(*(x.tolist() for x in simhash_vptree.forest(p, q)))) for p, q in ((a, b), (a[kept], b[kept])))
+        assert {x: one[x] for x in two} == two and all(x in two or one[x] == x for x in one)
+        assert len(kept) == len(one) - len(set(one.values()))
+
+
 # --- 3 ------------------------------------------------------------------------------------------------
 
 URLS = [None, "", "nothing", "http://com", "http://COM/", "https://a.example.com/en/x?q#f", "x://www.example.com/en/", "http://net/es/1", "http://a.net/fr/"]
