@@ -180,16 +180,15 @@ t(template, label, phrase, grams, place, g) AS (VALUES """
     + """),
 places AS (SELECT r, i - 1 AS p, w[i] || ' ' || w[i + 1] AS g FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM d)),
 votes AS (
-  SELECT r, template, label, phrase, grams, p - place AS diagonal, count(*) AS votes, min(p) AS low, max(p) AS high
+  SELECT r, template, label, phrase, grams, p - place AS diagonal, count(*) AS votes, min(p) AS low, list(DISTINCT place) AS places
   FROM places JOIN t USING (g) GROUP BY ALL HAVING CASE WHEN phrase THEN count(*) = grams ELSE count(*) > 1 END),
-steps AS (
-  SELECT *, CASE WHEN NOT phrase AND diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= 4 THEN 0 ELSE 1 END AS step
-  FROM votes),
-marked AS (SELECT *, sum(step) OVER (PARTITION BY r, template ORDER BY diagonal) AS stretch FROM steps),
-spans AS (
-  SELECT r, label, phrase, least(sum(votes) / grams, 1.0) AS coverage, min(low) AS low, (max(high) - min(low) + 1) / grams AS length
-  FROM marked GROUP BY r, template, label, phrase, grams, stretch),
-rated AS (SELECT *, phrase OR (coverage >= 0.5 AND length BETWEEN 0.5 AND 2.0) AS verified FROM spans),
+dealt AS (
+  SELECT *, CASE WHEN phrase THEN diagonal ELSE floor((diagonal + half * 16) / 32) END AS stretch
+  FROM votes, (VALUES (0), (1)) h(half) WHERE NOT phrase OR half = 0),
+rated AS (
+  SELECT r, label, phrase, min(low) AS low, len(list_distinct(flatten(list(places)))) / grams AS coverage,
+    phrase OR coverage >= 0.5 AS verified
+  FROM dealt GROUP BY r, template, label, phrase, grams, half, stretch),
 found AS (
   SELECT r, count_if(phrase) AS n_base, min(low) FILTER (phrase) AS first_word, max(low) FILTER (phrase) AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels,
