@@ -2,8 +2,9 @@
 
 A sketch keeps every 5-word shingle hash below a fixed fraction of the hash space, so its size follows
 the document's and sketches of very unequal documents still estimate how much of the smaller one the
-larger one holds. Sketches merge by union. A text with words but no hash below the fraction keeps its
-least hash, so short texts compare by that.
+larger one holds. Sketches merge by union. A text of few shingles keeps all of them, and its sketch says so:
+two sketches are compared, and merged, below the lower of their thresholds only, so a hash that one of them
+may have left out never counts. Where nothing lies below it, nothing is known, and only equal sketches are alike.
 
 ``neighbours`` pairs each document with the next one in descending id order. Texts are shuffled once,
 into buckets of the composite order (id, text hash); the bucket borders are rows' own keys, and the
@@ -26,73 +27,114 @@ from readloom.llm.common import slices
 
 SEED = 42
 SHINGLE = 5
-#: The share of the hash space that is kept.
-FRACTION = 1 / 8
+#: The share of the hash space that is kept, as 1 / SCALE, and shingles of which a text keeps all.
+SCALE, WHOLE = 4, 512
+#: Rows whose keys are looked at to choose bucket borders, and buckets, at most.
+BORDER_ROWS, BUCKETS = 200_000, 20_000
 
 
-def sketch_of(text: str | None, fraction: float = FRACTION, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes; words are runs of anything but ASCII white space, A-Z lower-cased."""
+def sketch_of(text: str | None, scale: int = SCALE, k: int = SHINGLE, whole: int = WHOLE) -> tuple[int, np.ndarray]:
+    """The scale (1: all hashes are kept) and the sorted distinct hashes below 1 / scale of the hash space.
+
+    Words are runs of anything but ASCII white space, with A-Z lower-cased; a text of fewer than k words is one
+    shingle, one without words none.
+    """
     words = (text or "").encode().lower().split()
     if not words:
-        return np.empty(0, np.uint64)
+        return 1, np.empty(0, np.uint64)
     joined = b" ".join(words)
-    if len(words) <= k:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(sizes) - 1
     starts = (ends - sizes + 1).tolist()
     digest = xxhash.xxh64_intdigest
-    n = len(words) - k + 1
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist())), np.uint64, n)
-    kept = hashes[hashes < np.uint64(int(fraction * (1 << 64)))]
-    return np.unique(kept) if len(kept) else hashes.min(keepdims=True)
+    n = max(1, len(words) - k + 1)
+    hashes = np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[-n:].tolist())), np.uint64, n))
+    if len(hashes) <= whole:
+        return 1, hashes
+    return scale, below(hashes, scale)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the smaller one's shingles that the larger one has; 1 if both have none."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
+def below(hashes: np.ndarray, scale: int) -> np.ndarray:
+    return hashes if scale == 1 else hashes[hashes < np.uint64((1 << 64) // scale)]
 
 
-def as_text(sketch: np.ndarray) -> str:
-    """16 hexadecimal digits a hash, in ascending order."""
-    return sketch.astype(">u8").tobytes().hex()
+def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[float, int]:
+    """Estimated share of the smaller one's shingles that the larger one has, and the hashes it rests on.
+
+    Without a hash of either below the lower threshold nothing is known: 1 for equal sketches, else 0.
+    """
+    scale = max(a[0], b[0])
+    x, y = below(a[1], scale), below(b[1], scale)
+    n = min(len(x), len(y))
+    if not n:
+        return float(a[0] == b[0] and len(a[1]) == len(b[1]) and bool((a[1] == b[1]).all())), 0
+    return len(np.intersect1d(x, y, assume_unique=True)) / n, n
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fraction: float = FRACTION, k: int = SHINGLE) -> DataFrame:
-    """(id, sketch): each row's kept hashes as sorted 16-digit hexadecimal strings. No shuffle.
+def as_text(sketch: tuple[int, np.ndarray]) -> str:
+    """The scale, a colon, and 16 hexadecimal digits a hash, in ascending order."""
+    return f"{sketch[0]}:{sketch[1].astype('>u8').tobytes().hex()}"
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scale: int = SCALE, k: int = SHINGLE, whole: int = WHOLE) -> DataFrame:
+    """(id, scale, sketch): each row's kept hashes as sorted 16-digit hexadecimal strings. No shuffle.
 
     Null, empty and blank texts have an empty sketch. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
-            found = [as_text(sketch_of(t, fraction, k)) for t in batch.column("text").to_pylist()]
-            out = [[x[i : i + 16] for i in range(0, len(x), 16)] for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.string()))], ["id", "sketch"])
+            found = [sketch_of(t, scale, k, whole) for t in batch.column("text").to_pylist()]
+            listed = [h.astype(">u8").tobytes().hex() for _, h in found]
+            out = [[x[i : i + 16] for i in range(0, len(x), 16)] for x in listed]
+            columns = [batch.column("id"), pa.array([f[0] for f in found], pa.int32()), pa.array(out, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "scale", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, sketch array<string>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, scale int, sketch array<string>").withColumnRenamed("id", id_col)
+
+
+def last_of(scale: Column) -> Column:
+    """The last hash that a sketch of this scale (a power of two) can keep, as 16 hexadecimal digits."""
+    ones = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), F.log2(scale).cast("int"))
+    return F.lower(F.lpad(F.hex(ones), 16, "0"))
 
 
 def merged(sketches_: DataFrame, by: str) -> DataFrame:
-    """Sketches of groups: the union of their documents' (hashes are made distinct before they meet)."""
-    flat = sketches_.select(by, F.explode("sketch").alias("h")).distinct()
-    return flat.groupBy(by).agg(F.sort_array(F.collect_list("h")).alias("sketch"))
+    """(group, scale, sketch): the union of its documents' sketches below the lowest of their thresholds.
+
+    Hashes are made distinct before they meet.
+    """
+    scales = sketches_.groupBy(by).agg(F.max("scale").alias("scale"))
+    flat = sketches_.select(by, F.explode_outer("sketch").alias("h")).distinct().join(scales, by)
+    kept = F.when(F.col("h") <= last_of(F.col("scale")), F.col("h"))
+    return flat.groupBy(by).agg(F.max("scale").alias("scale"), F.sort_array(F.collect_list(kept)).alias("sketch"))
+
 
+def containment(a: Column, b: Column, a_scale: Column | None = None, b_scale: Column | None = None) -> Column:
+    """Estimated share of a's shingles that b has, of two sketch columns; null if a has none below both thresholds.
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has, of two sketch columns; null if a has none."""
+    Without scales both are taken to be of one scale.
+    """
+    if a_scale is not None and b_scale is not None:
+        last = last_of(F.greatest(a_scale, b_scale))
+        a = F.filter(a, lambda h: h <= last)
     return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(a))
 
 
 def _borders(keys: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """First keys of about ``buckets`` even ranges, in order; one pair of numbers for each range."""
-    ranges = keys.repartitionByRange(buckets, "k", "h")
-    firsts = ranges.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("k", "h")).alias("f")).collect()
-    firsts = sorted((r["f"]["k"], r["f"]["h"]) for r in firsts)
+    """First keys of about ``buckets`` even ranges, in order, from at most ``BORDER_ROWS`` rows' keys.
+
+    The number of rows decides how many of them are drawn, by a hash of their keys, so what reaches the driver
+    doesn't grow with the table.
+    """
+    n, least = keys.agg(F.count("*"), F.min(F.struct("k", "h"))).first()
+    share = min(1.0, BORDER_ROWS / 2 / max(1, n))
+    drawn = keys.filter(F.pmod(F.xxhash64("k", "h"), F.lit(1 << 30)) <= int(share * (1 << 30)))
+    drawn = drawn.distinct().limit(BORDER_ROWS).collect()  # twice the rows that are expected: the limit is never met
+    drawn = sorted({*((r["k"], r["h"]) for r in drawn), *([tuple(least)] if n else [])})
+    firsts = drawn[:: max(1, -(-len(drawn) // min(buckets, BUCKETS)))]
     return np.array([k for k, _ in firsts], np.int64), np.array([h for _, h in firsts], np.int64)
 
 
@@ -105,15 +147,19 @@ def bucket_of(k: np.ndarray, h: np.ndarray, fk: np.ndarray, fh: np.ndarray) -> n
     return out
 
 
-def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fraction: float = FRACTION, k: int = SHINGLE) -> DataFrame:
+def neighbours(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scale: int = SCALE, k: int = SHINGLE, whole: int = WHOLE
+) -> DataFrame:
     """Each document's sketch beside that of its edited text and of the next document's text.
 
     The next document is the one with the next lower id (rows with one id follow by a hash of their
     text; null ids come last); after the last comes the first, so a single row is its own next. The
     edited text is the text with its last floor(n/3) code points replaced by the first as many (or
     all) of the next one's. Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited and near_next. Null texts count as empty; an empty table gives no rows; other columns
-    are ignored.
+    near_edited and near_next (see ``likeness``), and known_edited and known_next, the hashes that they rest
+    on: where it is 0 nothing is known, and the likeness is 1 for equal sketches, else 0. Null texts count
+    as empty; an empty table gives no rows; other columns are ignored. Rows that are equal in id and text
+    are read as one stream, in bounded memory, but in one task.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     # ascending k is descending id, nulls last (~id doesn't overflow)
@@ -145,28 +191,29 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for id_, text, seam in zip(*columns):
                 if held is None and seam:
                     continue  # a copy of the seam row that ended this bucket
-                own = sketch_of(text, fraction, k)
+                own = sketch_of(text, scale, k, whole)
                 if held is not None:
-                    out.append(_row(*held, text, own, fraction, k))
+                    out.append(_row(*held, text, own, scale, k, whole))
                 held = None if seam else (id_, text, own)
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2))],
-                    ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2, *[pa.int64()] * 2))],
+                    ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "known_edited", "known_next"],
                 )
 
     dealt = rows.mapInArrow(deal, "id long, k long, h long, text string, bucket int, seam boolean")
     streams = dealt.repartition("bucket").sortWithinPartitions("bucket", "seam", "k", "h", "text")
     found = streams.mapInArrow(
         compare,
-        "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+        "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, known_edited long, known_next long",
     )
     return found.withColumnRenamed("id", id_col)
 
 
-def _row(id_: int, text: str, own: np.ndarray, after: str, next_: np.ndarray, fraction: float, k: int) -> tuple:
+def _row(id_: int, text: str, own: tuple, after: str, next_: tuple, scale: int, k: int, whole: int) -> tuple:
     cut = len(text) // 3
     edited = text[: len(text) - cut] + after[:cut]
-    changed = sketch_of(edited, fraction, k)
+    changed = sketch_of(edited, scale, k, whole)
     sha = hashlib.sha256(edited.encode()).hexdigest()
-    return id_, len(text), sha, as_text(own), as_text(changed), likeness(own, changed), likeness(own, next_)
+    (near_edited, known_edited), (near_next, known_next) = likeness(own, changed), likeness(own, next_)
+    return id_, len(text), sha, as_text(own), as_text(changed), near_edited, near_next, known_edited, known_next

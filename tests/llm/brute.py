@@ -113,6 +113,33 @@ def language_model(docs, mu):
     return held, out
 
 
+def scaled(text, scale=4, whole=512):
+    """(scale, hashes) of a text's five-word shingles: all of them if they are few, else those below the fraction."""
+    hashes = sorted({xxhash.xxh64_intdigest(g.encode(), 42) for g in shingles(text)})
+    return (1, hashes) if len(hashes) <= whole else (scale, [h for h in hashes if h * scale < 1 << 64])
+
+
+def scaled_likeness(a, b):
+    scale = max(a[0], b[0])
+    x, y = ({h for h in s[1] if h * scale < 1 << 64} for s in (a, b))
+    n = min(len(x), len(y))
+    return (len(x & y) / n, n) if n else (float(a == b), 0)
+
+
+def neighbour_rows(rows):
+    """rows: (id, text), ids distinct -> id, n_chars, sha, fingerprints, likenesses and what they rest on."""
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: -r[0])
+    out = []
+    for (i, t), (_, after) in zip(order, [*order[1:], *order[:1]]):
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + after[:cut]
+        a, b, c = map(scaled, (t, edited, after))
+        shown = [f"{s}:" + "".join(f"{h:016x}" for h in hashes) for s, hashes in (a, b)]
+        (near, n), (next_, m) = scaled_likeness(a, b), scaled_likeness(a, c)
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), *shown, near, next_, n, m))
+    return out
+
+
 def rule_of(url, rules):
     host = path = ""
     if url is not None and "://" in url:
