@@ -17,7 +17,7 @@ from readloom.llm import (
     token_trees,
     url_rules,
 )
-from readloom.llm.common import table
+from readloom.llm.common import table, written
 
 #: Pages of one archive file.
 ARCHIVE_PAGES = 1_000
@@ -222,9 +222,10 @@ def edits(text):
 
 
 def op8_token_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", edits(F.col("text")))
-    found = token_trees.recount(docs)
-    sha = F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256")
+    """Trees are stored first; the edits are applied to what is stored."""
+    trees = written(token_trees.count(table(spark, sf_dir, "documents")), "trees")
+    found = token_trees.resume(trees.withColumn("edits", edits(F.col("text"))))
+    sha = F.sha2(F.col("text").cast("binary"), 256).alias("edited_sha256")
     return found.select("doc_id", "n_tokens", "edited_tokens", "edited_chars", "recoded_chars", sha)
 
 

@@ -4,7 +4,10 @@ A leaf is a run of whole pre-tokens; it starts at a blank between two letters or
 pre-tokenisation begins a new pre-token, whatever stands further away. Nodes hold the characters and
 tokens below them. An edit is located by descending the character sums; only the leaves that it
 touches, and one character of context on either side, are encoded again, and their sums are updated
-up to the root. Trees are plain arrays, so they can be stored beside the texts between runs.
+up to the root. What an edit leaves is cut into leaves again, so no leaf grows with the edits.
+
+``count`` builds the trees; they are plain arrays, stored beside the texts. ``resume`` takes stored trees and
+edits and encodes nothing but what the edits touch.
 """
 
 from __future__ import annotations
@@ -41,16 +44,11 @@ class TokenTree:
 
     @classmethod
     def build(cls, text: str, count, leaf: int = LEAF) -> TokenTree:
-        sizes = leaf_sizes(text, leaf)
-        half = 1 << (len(sizes) - 1).bit_length()
-        chars, tokens = [0] * 2 * half, [0] * 2 * half
-        at = 0
-        for i, n in enumerate(sizes):
-            chars[half + i], tokens[half + i] = n, count(text[at : at + n])
+        sizes, at, counts = leaf_sizes(text, leaf), 0, []
+        for n in sizes:
+            counts.append(count(text[at : at + n]))
             at += n
-        for i in range(half - 1, 0, -1):
-            chars[i], tokens[i] = chars[2 * i] + chars[2 * i + 1], tokens[2 * i] + tokens[2 * i + 1]
-        return cls(chars, tokens)
+        return cls(*laid_out(sizes, counts))
 
     def leaf_at(self, place: int) -> tuple[int, int]:
         """The leaf that holds the character ``place``, and where it starts."""
@@ -70,7 +68,12 @@ class TokenTree:
             self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
             node //= 2
 
-    def edit(self, text: str, start: int, removed: int, inserted: str, count) -> tuple[str, int]:
+    def leaves(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of the leaves that aren't empty (of an empty text: of its one leaf)."""
+        full = [i for i in range(self.half, 2 * self.half) if self.chars[i]] or [self.half]
+        return [self.chars[i] for i in full], [self.tokens[i] for i in full]
+
+    def edit(self, text: str, start: int, removed: int, inserted: str, count, leaf: int = LEAF) -> tuple[str, int]:
         """The edited text and how many characters were encoded again; the sums follow."""
         n = len(text)
         start = min(max(start, 0), n)
@@ -84,56 +87,107 @@ class TokenTree:
             high = at + self.chars[last]
         new = text[:start] + inserted + text[end:]
         region = new[low : len(new) - (n - high)]
-        for node in range(first + 1, last + 1):
-            if self.chars[node]:
-                self.set(node, 0, 0)
-        self.set(first, len(region), count(region))
+        sizes, at, tokens = leaf_sizes(region, leaf) if region else [0], 0, []
+        for size in sizes:
+            tokens.append(count(region[at : at + size]))
+            at += size
+        slots = last - first + 1
+        if len(sizes) <= slots:  # in place, each sum updated up to the root
+            for i in range(slots):
+                own = (sizes[i], tokens[i]) if i < len(sizes) else (0, 0)
+                if own != (self.chars[first + i], self.tokens[first + i]):
+                    self.set(first + i, *own)
+        else:  # more leaves than before: the tree is laid out anew, no other leaf is encoded
+            chars = [*self.chars[self.half : first], *sizes, *self.chars[last + 1 :]]
+            counts = [*self.tokens[self.half : first], *tokens, *self.tokens[last + 1 :]]
+            full = [i for i, c in enumerate(chars) if c]
+            self.__init__(*laid_out([chars[i] for i in full], [counts[i] for i in full]))
         return new, len(region)
 
 
-def recount(
-    docs: DataFrame,
+def laid_out(sizes: list[int], counts: list[int]) -> tuple[list[int], list[int]]:
+    """Heap-ordered sums over leaves of these characters and tokens."""
+    half = 1 << (len(sizes) - 1).bit_length()
+    chars, tokens = [0] * 2 * half, [0] * 2 * half
+    chars[half : half + len(sizes)], tokens[half : half + len(sizes)] = sizes, counts
+    for i in range(half - 1, 0, -1):
+        chars[i], tokens[i] = chars[2 * i] + chars[2 * i + 1], tokens[2 * i] + tokens[2 * i + 1]
+    return chars, tokens
+
+
+def _counter(vocabulary: str, folder: str | None):
+    encode = encoder(vocabulary, folder)
+    return lambda part: len(encode(part)) if part else 0
+
+
+def count(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, vocabulary: str = VOCABULARY, folder: str | None = None
+) -> DataFrame:
+    """(id, text, n_tokens, tree_chars, tree_tokens) of each row: its text's token count and tree, to be stored.
+
+    Null texts count as empty. Repeated rows stay; an empty table gives no rows; other columns are
+    ignored. No shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = _counter(vocabulary, folder)
+        for batch in slices(batches, "text", 4 << 20):
+            trees = [TokenTree.build(t, counted, leaf) for t in batch.column("text").to_pylist()]
+            columns = [
+                pa.array([t.tokens[1] for t in trees], pa.int64()),
+                pa.array([t.chars for t in trees], pa.list_(pa.int32())),
+                pa.array([t.tokens for t in trees], pa.list_(pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), *columns], names)
+
+    names = ["id", "text", "n_tokens", "tree_chars", "tree_tokens"]
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    out = rows.mapInArrow(run, f"id {kind}, text string, n_tokens long, tree_chars array<int>, tree_tokens array<int>")
+    return out.withColumnRenamed("id", id_col)
+
+
+def resume(
+    trees: DataFrame,
     id_col: str = "doc_id",
-    text_col: str = "text",
     edits_col: str = "edits",
     leaf: int = LEAF,
     vocabulary: str = VOCABULARY,
     folder: str | None = None,
 ) -> DataFrame:
-    """Token counts of each text before and after its edits, and the tree that is left.
-
-    ``edits_col``: array of structs (start, removed, inserted), applied in order, each to the text that
-    the one before it left; places are code points and are clipped to the text. Returns id, n_tokens,
-    edited_tokens, edited_chars, recoded_chars, edited_text, and the tree's sums tree_chars and
-    tree_tokens. Null texts count as empty, null edits and null parts of one as none. Repeated rows
-    stay; an empty table gives no rows; other columns are ignored. No shuffle.
+    """What ``count`` returned, after the edits of each row, and what they cost.
+
+    ``trees`` has the columns that ``count`` returns and ``edits_col``: an array of structs (start, removed,
+    inserted), applied in order, each to the text that the one before it left; places are code points and
+    are clipped to the text. Returns id, text (edited), n_tokens (before), edited_tokens, edited_chars,
+    recoded_chars (encoded again, over all edits), tree_chars and tree_tokens (after; they can be resumed
+    again). Null edits and null parts of one count as none. A tree that doesn't fit its text is refused.
+    Repeated rows stay; an empty table gives no rows; other columns are ignored. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, folder)
-
-        def count(part: str) -> int:
-            return len(encode(part)) if part else 0
-
+        counted = _counter(vocabulary, folder)
         for batch in slices(batches, "text", 4 << 20):
             out = []
-            for text, edits in zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist()):
+            for text, chars, tokens, edits in zip(*(batch.column(c).to_pylist() for c in ("text", "tree_chars", "tree_tokens", "edits"))):
                 text = text or ""
-                tree, recoded = TokenTree.build(text, count, leaf), 0
+                tree, recoded = TokenTree(chars, tokens), 0
+                if chars[1] != len(text):
+                    raise ValueError(f"a stored tree of {chars[1]} characters for a text of {len(text)}")
                 before = tree.tokens[1]
                 for e in edits or []:
                     if e is not None:
-                        text, n = tree.edit(text, e["start"] or 0, e["removed"] or 0, e["inserted"] or "", count)
+                        text, n = tree.edit(text, e["start"] or 0, e["removed"] or 0, e["inserted"] or "", counted, leaf)
                         recoded += n
-                out.append((before, tree.tokens[1], len(text), recoded, text, tree.chars, tree.tokens))
-            kinds = [*[pa.int64()] * 4, pa.string(), *[pa.list_(pa.int32())] * 2]
+                out.append((text, before, tree.tokens[1], len(text), recoded, tree.chars, tree.tokens))
+            kinds = [pa.string(), *[pa.int64()] * 4, *[pa.list_(pa.int32())] * 2]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], names)
 
-    names = ["id", "n_tokens", "edited_tokens", "edited_chars", "recoded_chars", "edited_text", "tree_chars", "tree_tokens"]
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(edits_col).alias("edits"))
+    names = ["id", "text", "n_tokens", "edited_tokens", "edited_chars", "recoded_chars", "tree_chars", "tree_tokens"]
+    kind = trees.schema[id_col].dataType.simpleString()
+    rows = trees.select(F.col(id_col).alias("id"), "text", "tree_chars", "tree_tokens", F.col(edits_col).alias("edits"))
     return rows.mapInArrow(
         run,
-        f"id {kind}, n_tokens long, edited_tokens long, edited_chars long, recoded_chars long, edited_text string, "
+        f"id {kind}, text string, n_tokens long, edited_tokens long, edited_chars long, recoded_chars long, "
         "tree_chars array<int>, tree_tokens array<int>",
     ).withColumnRenamed("id", id_col)
