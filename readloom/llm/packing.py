@@ -2,9 +2,11 @@
 
 1. Each document is tokenised once, where it is read, and cut into pieces of at most one sequence;
    only the pieces' lengths and digests go on (no shuffle of texts or ids).
-2. Pieces are dealt into random groups of bounded size, each packed on its own: pieces in decreasing
-   length, each into the first sequence that has room, found by descending a tournament tree over
-   the sequences' free places.
+2. A piece that fills a sequence stands alone. What is left of each document, one piece, is dealt into
+   random groups of documents, each packed on its own: pieces in decreasing length, each into the
+   first sequence that has room, found by descending a tournament tree over the sequences' free places.
+   A document's group is a hash of its id and length, whatever file it is in; a group that grows too large,
+   as many rows share both, is dealt again by row.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ from pyspark.sql import functions as F
 from readloom.llm.common import slices, written
 
 SEQUENCE = 1_024
-#: Pieces in a group, about. Larger groups leave less padding; they take more memory in a task.
+#: Documents in a group, about. Larger groups leave less padding; they take more memory in a task.
 GROUP = 16_384
 SEED = 9
 END_ID = 0
 VOCABULARY = "byte_bpe_50k"
+PIECE = ("id", "start", "length", "ids_crc32", "doc_tokens")
 
 
 @cache
@@ -129,17 +132,28 @@ def pack(
     of two. Repeated rows and null ids are packed like any other; an empty table gives no rows; other
     columns are ignored.
     """
-    cut = written(pieces(docs, id_col, text_col, size, vocabulary, folder), "pieces")
-    groups = max(1, -(-cut.count() // group))
-    dealt = cut.withColumn("grp", F.floor(F.rand(SEED) * groups).cast("long"))
+    cut = pieces(docs, id_col, text_col, size, vocabulary, folder).withColumn("row", F.monotonically_increasing_id())
+    cut = written(cut, "pieces")
     kind = cut.schema["id"].dataType.simpleString()
+    alone = cut.filter(F.col("length") == size).select(
+        *PIECE, (F.lit(1 << 62) + F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("padded")
+    )
+    rest = cut.filter(F.col("length") < size)
+    groups = max(1, -(-rest.count() // group))
+    rest = rest.withColumn("grp", F.pmod(F.xxhash64("id", "doc_tokens", F.lit(SEED)), F.lit(groups)))
+    sizes = rest.groupBy("grp").agg(F.ceil(F.count("*") / (2 * group)).alias("parts"))
+    dealt = rest.join(sizes, "grp").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
+    # 20 bits each for parts of a group and for sequences of a part
+    dealt = dealt.withColumn("grp", F.shiftleft("grp", 20) + F.col("part")).select(*PIECE, "grp")
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
+        # in an order of their own, so that the same pieces give the same sequences
+        part = part.sort_by([("length", "descending"), ("id", "ascending"), ("ids_crc32", "ascending")])
         lengths = part.column("length").to_numpy()
         bins, offsets = first_fit_decreasing(lengths, size)
         filled = np.bincount(bins, lengths).astype(np.int64)
         padded = np.where((filled & (filled - 1)) == 0, filled, size)
-        part = part.append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins))
+        part = part.append_column("sequence_id", pa.array((key[0].as_py() << 20) + bins))
         part = part.append_column("offset", pa.array(offsets))
         return part.append_column("padded", pa.array(padded[bins])).drop_columns(["grp"])
 
@@ -147,4 +161,4 @@ def pack(
         run,
         f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long",
     )
-    return packed.withColumnRenamed("id", id_col)
+    return packed.unionByName(alone).withColumnRenamed("id", id_col)
