@@ -6,8 +6,10 @@ bundle of its training texts. A text gets the language whose prototype has the h
 
 Bundling is linear, so a text's inner product with a prototype is the sum of its trigrams' inner
 products with it. These are worked out once for each distinct trigram of a batch, and texts only add
-them up. The text's own norm, by which all languages are divided alike, is that of independent
-trigram vectors: sqrt(dimensions * sum of squared counts).
+them up. The text's own norm, by which all languages are divided alike, is the expected one, that of
+independent trigram vectors: sqrt(dimensions * sum of squared counts). So the ranking of languages is that of
+the cosines, and the score is the cosine up to the ratio of the bundle's norm to its expectation, which
+a test holds within 15 % of 1 (texts of the tables: see the README).
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from readloom.llm.common import slices
 
 DIMENSIONS = 2_048
 SEED = 10
-#: Labelled rows that prototypes are learnt from, at most about so many (drawn evenly).
+#: Labelled rows that prototypes are learnt from, at most about so many, dealt evenly over the languages.
 FIT_ROWS = 20_000
 #: Predictions whose cosine is lower are no language that was learnt.
 LEAST_SCORE = 0.05
@@ -91,16 +93,28 @@ class Profile:
         return out
 
 
-def fit(docs: DataFrame, text_col: str, lang_col: str, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, text_col: str, lang_col: str, fit_rows: int = FIT_ROWS, id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """Languages, sorted, and their prototypes as unit vectors.
 
-    Learns from rows with a text and a language; of more than ``fit_rows`` such rows, from a share of
-    them drawn with a fixed seed. Bounded: one vector for each language of these rows.
+    Learns from rows with a text and a language. Each language has an even part of ``fit_rows``: of one with
+    more rows, rows are drawn by a hash of their id (whatever file they are in), of rarer ones all rows
+    stay, so no language is lost for its rarity. Rows without an id are drawn by a hash of their text.
+    Bounded: one vector for each language, of which there may be ``fit_rows`` at most.
     """
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-    n = rows.count()
-    if n > fit_rows:
-        rows = rows.filter(F.rand(SEED) < fit_rows / n)  # copies of one text are drawn one by one
+    key = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col))).otherwise(F.xxhash64(F.col(id_col)))
+    rows = docs.select(key.alias("key"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    # the number of each language's rows is counted without reading texts
+    sizes = docs.select(F.col(lang_col).cast("string").alias("lang")).filter("lang is not null").groupBy("lang").count()
+    counts = dict(sizes.limit(fit_rows + 1).collect())
+    if len(counts) > fit_rows:
+        raise ValueError(f"more than {fit_rows} languages")
+    each = fit_rows // max(1, len(counts))
+    drawn = F.lit(False)
+    often = {lang: n for lang, n in counts.items() if n > each}
+    for lang, n in sorted(often.items()):  # fewer than fit_rows / each of them
+        drawn = F.when(F.col("lang") == lang, F.pmod("key", F.lit(1 << 30)) <= int(each / n * (1 << 30))).otherwise(drawn)
+    rare = ~F.col("lang").isin(list(often)) if often else F.lit(True)
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (rare | drawn)).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
