@@ -7,9 +7,10 @@ covers its host and all subdomains. Rules and URL keys are sorted together; swee
 window carries the stack of rules that are open at the last rule's start, and at a URL key the rules
 on the stack that don't reach it are popped. The innermost rule left is the longest one that fits.
 
-Each distinct URL is judged once. The sweep is dealt into shards by a hash of the URL, so a host that
-holds a third of all rows is spread evenly, and every shard gets the rules; a rule set with more than
-``RULES_EVERYWHERE`` rules is dealt by host suffix instead, with no copies. Built-in functions only.
+Each distinct URL is judged once. Only suffixes that some rule has are swept, each on its own. A suffix that
+holds more than ``SHARD`` URLs (a host or a top level with a third of all rows) is split by a hash of the URL, and
+only that suffix's rules are copied to its parts; so the work is the same for five rules and for
+millions. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rules of which every shard may hold a copy.
-RULES_EVERYWHERE = 10_000
+from readloom.llm.common import free_name
+
+#: URL keys of one host suffix that are swept together, about.
+SHARD = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,14 +47,17 @@ def _reversed(labels: Column) -> Column:
 
 def rule_table(spark, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """(rule, verdict) rows as a table; a rule is a host and a path that starts with ``/``."""
-    return spark.createDataFrame([(r, v) for v, r in rules], "rule string, verdict string")
+    if not rules:
+        return spark.range(0).select(F.lit("").alias("rule"), F.lit("").alias("verdict"))
+    rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(v).alias("verdict")) for v, r in rules])
+    return spark.range(1).select(F.inline(rows))
 
 
 def _stacks(rules: DataFrame) -> DataFrame:
     """(key, host_key, stack): each rule's key and the rules around it, from the outermost to itself."""
     slash = F.instr("rule", "/")
-    host = F.translate(F.when(slash > 0, F.substring("rule", F.lit(1), slash - 1)).otherwise(F.col("rule")), UPPER, LOWER)
-    path = F.when(slash > 0, F.substring("rule", slash, F.length("rule"))).otherwise(F.lit(""))
+    host = F.translate(F.substring("rule", F.lit(1), slash - 1), UPPER, LOWER)
+    path = F.substring("rule", slash, F.length("rule"))
     keyed = rules.select("rule", "verdict", _reversed(F.split(host, r"\.")).alias("host_key"), path.alias("path"))
     keyed = keyed.filter("rule is not null").withColumn("key", F.concat("host_key", "path"))
     # of rules with one key, the verdict that sorts first (allow before block) stays
@@ -67,51 +73,52 @@ def _stacks(rules: DataFrame) -> DataFrame:
     return around.agg(F.sort_array(F.collect_list(entry)).alias("stack"))
 
 
-def judge(
-    pages: DataFrame,
-    rules: DataFrame,
-    url_col: str = "url",
-    default: str = "allow",
-    shards: int | None = None,
-    everywhere: int = RULES_EVERYWHERE,
-) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", shard: int = SHARD) -> DataFrame:
     """``pages`` and four columns: host, path, rule (null if none fits) and verdict.
 
     The longest fitting rule wins, by the characters of host and path together; on equal length the
-    one with the longer host. Of two verdicts for one rule, allow wins. A URL without a rule gets
-    ``default``, as does a null URL or one without ``://`` (empty host and path). Repeated URLs are
-    judged once and keep their rows; columns of ``pages`` named like the four new ones give way; empty
-    pages give no rows, empty rules the default everywhere.
+    one with the longer host. Of two verdicts for one rule, allow wins. A rule without ``/`` is refused, as it
+    would have no end to its host; a null rule is none. A URL without a rule gets ``default``, as does a
+    null URL or one without ``://`` (empty host and path). Repeated URLs are judged once and keep their
+    rows; columns of ``pages`` named like the four new ones give way, all others stay, whatever their
+    names; empty pages give no rows, empty rules the default everywhere.
     """
-    spark = pages.sparkSession
-    shards = shards or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    slash = F.instr("rule", "/")
+    labels = F.max(F.size(F.split(F.substring_index("rule", "/", 1), r"\.")))
+    endless, most = rules.agg(F.min(F.when(slash == 0, F.col("rule"))), labels).first()
+    if endless is not None:
+        raise ValueError(f"a rule is a host, a slash and the start of a path: {endless!r}")
     stacks = _stacks(rules)
-    sizes = rules.agg(F.count("*"), F.max(F.size(F.split(F.substring_index("rule", "/", 1), r"\.")))).first()
-    copies, labels = sizes[0] <= everywhere, sizes[1] or 1
 
     pages = pages.drop("host", "path", "rule", "verdict")
+    own = free_name("_url", pages.columns)
     urls = pages.select(F.col(url_col).alias("_url")).filter(F.col("_url").isNotNull()).distinct()
     urls = urls.withColumn("_host", host_of(F.col("_url"))).withColumn("_path", path_of(F.col("_url")))
     parts = F.reverse(F.split("_host", r"\."))
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.least(F.size(parts), F.lit(labels))), lambda n: F.array_join(F.slice(parts, 1, n), ".")
-    )
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(most or 1))), lambda n: F.array_join(F.slice(parts, 1, n), "."))
     keys = urls.select("_url", "_path", F.explode(suffixes).alias("host_key"))
-    shard = F.pmod(F.xxhash64("_url" if copies else "host_key"), F.lit(shards)).cast("int")
-    keys = keys.select(
-        shard.alias("shard"), F.concat("host_key", "_path").alias("key"), F.lit(1).alias("kind"), "_url", F.lit(None).alias("stack")
+    keys = keys.join(stacks.select("host_key").distinct(), "host_key", "left_semi")
+    splits = keys.groupBy("host_key").agg(F.ceil(F.count("*") / shard).cast("int").alias("splits"))
+    keys = keys.join(splits, "host_key").select(
+        "host_key",
+        F.pmod(F.xxhash64("_url"), F.col("splits")).cast("int").alias("split"),
+        F.concat("host_key", "_path").alias("key"),
+        F.lit(1).alias("kind"),
+        "_url",
+        F.lit(None).alias("stack"),
+    )
+    opened = stacks.join(splits, "host_key").select(
+        "host_key", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"), "key", F.lit(0).alias("kind"), F.lit(None).alias("_url"), "stack"
     )
-    own = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))) if copies else shard
-    opened = stacks.select(own.alias("shard"), "key", F.lit(0).alias("kind"), F.lit(None).alias("_url"), "stack")
 
-    sweep = Window.partitionBy("shard").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sweep = Window.partitionBy("host_key", "split").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = opened.union(keys).withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).filter("kind = 1")
     left = F.filter("stack", lambda r: F.startswith("key", r["key"]))
-    fits = swept.filter(F.size(left) > 0).select("_url", F.try_element_at(left, F.lit(-1)).alias("r"), F.length(F.substring_index("key", "/", 1)).alias("h"))
+    fits = swept.filter(F.size(left) > 0).select("_url", F.try_element_at(left, F.lit(-1)).alias("r"), F.length("host_key").alias("h"))
     best = fits.groupBy("_url").agg(F.max(F.struct(F.col("r.n").alias("n"), "h", "r")).alias("best"))
-    judged = best.select("_url", F.col("best.r.rule").alias("rule"), F.col("best.r.verdict").alias("verdict"))
+    judged = best.select(F.col("_url").alias(own), F.col("best.r.rule").alias("rule"), F.col("best.r.verdict").alias("verdict"))
 
-    out = pages.join(judged, pages[url_col] == judged["_url"], "left").drop("_url")
+    out = pages.join(judged, pages[url_col] == judged[own], "left").drop(own)
     return out.select(
         *[c for c in out.columns if c not in ("rule", "verdict")],
         host_of(F.col(url_col)).alias("host"),

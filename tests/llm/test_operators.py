@@ -184,14 +184,15 @@ URLS = [None, "", "nothing", "http://com", "http://COM/", "https://a.example.com
 URLS += ["http://notcom/", "http://.com/", "http://com./x", "://com/x", "http://u:p@example.com:80/en/", "http://example.com?/en/", "http://É.com/é", "a" * 5000 + "://com/" + "b" * 5000]
 
 
-@pytest.mark.parametrize("everywhere", [10_000, 0])
-def test_url_rules_equal_brute_force(spark, everywhere):
+@pytest.mark.parametrize("shard", [100_000, 7])
+def test_url_rules_equal_brute_force(spark, shard):
     rng = random.Random(5)
     hosts = ["com", "example.com", "www.example.com", "net", "a.net", "b.a.net"]
     urls = URLS + [f"http://{rng.choice(hosts)}{rng.choice(['', '/', '/en', '/en/', '/en/a/b', '/es/', '/fr/q'])}" for _ in range(200)] + ["http://com/hot"] * 100
     rules = [*queries.URL_RULES, ("block", "a.net/"), ("allow", "b.a.net/en/a/"), ("block", "com/en/"), ("allow", "com/en/")]
-    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
-    got = url_rules.judge(pages, url_rules.rule_table(spark, rules), shards=5, everywhere=everywhere)
+    pages = spark.createDataFrame([(i, u, "x", "y", "z") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string, _url string")
+    got = url_rules.judge(pages, url_rules.rule_table(spark, rules), shard=shard)
+    assert got.filter("_url = 'z'").count() == len(urls)
     want = {i: brute.rule_of(u, [r for r in rules if r != ("block", "com/en/")]) for i, u in enumerate(urls)}
     assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in got.collect()} == want
     assert got.count() == len(urls)
@@ -202,6 +203,24 @@ def test_url_rules_of_empty_tables(spark):
     pages = spark.createDataFrame([(1, "http://com/")], "page_id long, url string")
     assert url_rules.judge(pages.filter("false"), rules).count() == 0
     assert url_rules.judge(pages, none).first()["verdict"] == "allow"
+    for bare in ("example.com", ""):
+        with pytest.raises(ValueError):
+            url_rules.judge(pages, url_rules.rule_table(spark, [("block", bare), ("allow", "com/")]))
+
+
+def test_many_rules_and_a_hot_suffix(spark):
+    """Thousands of rules, and a top level that holds nearly all URLs: nothing but its own rules is copied."""
+    rules = [("block", f"site{i}.com/p{i % 7}/") for i in range(3_000)] + [("allow", "com/"), ("block", "com/hot/")]
+    urls = [f"http://a{i}.site{i}.com/p{i % 9}/x" for i in range(1_500)] + [f"http://x{i}.com/hot/{i}" for i in range(1_500)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_rules.judge(pages, url_rules.rule_table(spark, rules), shard=200)
+    by_host = {r.split("/")[0]: [] for _, r in rules}
+    for v, r in rules:
+        by_host[r.split("/")[0]].append((v, r))
+    for r in got.collect():
+        host = r["url"].split("/")[2].split(".")
+        near = [x for i in range(len(host)) for x in by_host.get(".".join(host[i:]), [])]
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == brute.rule_of(r["url"], near)
 
 
 # --- 4 ------------------------------------------------------------------------------------------------
@@ -362,14 +381,56 @@ def test_likeness_of_short_texts(spark):
 # --- 8 ------------------------------------------------------------------------------------------------
 
 
-def test_recount_equals_counting_again(spark, sf, odd_docs, empty_docs):
+def named_tokenizer():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    full = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    return lambda t: full.encode(t, add_special_tokens=False).ids
+
+
+def edited(text):
+    """The query's three edits, said again in Python."""
+    n, first = len(text), text[:24]
+    for start, removed, inserted in ((n // 2, 3, first), (n // 3, 40, ""), (0, 1, "New 2")):
+        text = text[:start] + inserted + text[start + removed :]
+    return text
+
+
+def test_token_query_equals_brute_force(spark, sf):
+    encode = named_tokenizer()
+    got = queries.op8_token_trees(spark, sf).collect()
+    want = {i: (len(encode(t)), edited(t)) for i, t in table(documents(spark, sf))}
+    assert {r["doc_id"] for r in got} == set(want) and len(got) == len(want)
+    for r in got:
+        before, after = want[r["doc_id"]]
+        assert (r["n_tokens"], r["edited_tokens"], r["edited_chars"]) == (before, len(encode(after)), len(after))
+        assert r["edited_sha256"] == hashlib.sha256(after.encode()).hexdigest()
+    assert sum(r["recoded_chars"] for r in got) < sum(r["edited_chars"] for r in got)
+
+
+def test_stored_trees_are_resumed(spark, odd_docs, empty_docs):
+    encode = named_tokenizer()
+    trees = token_trees.count(odd_docs)
+    same([(r["doc_id"], r["n_tokens"]) for r in trees.collect()], [(i, len(encode(t or ""))) for i, t in table(odd_docs)])
+    one = token_trees.resume(trees.withColumn("edits", queries.edits(F.col("text"))))
+    again = one.withColumn("edits", F.expr("array(null, named_struct('start', 5, 'removed', cast(null as int), 'inserted', 'again '), named_struct('start', null, 'removed', null, 'inserted', null))"))
+    for df in (one, token_trees.resume(again)):
+        for r in df.collect():
+            assert r["edited_tokens"] == len(encode(r["text"])) == r["tree_tokens"][1]
+            assert r["edited_chars"] == len(r["text"]) == r["tree_chars"][1]
+    assert token_trees.resume(trees.withColumn("edits", F.lit(None).cast("array<struct<start:int,removed:int,inserted:string>>"))).agg(F.sum("recoded_chars")).first()[0] == 0
+    assert token_trees.resume(token_trees.count(empty_docs).withColumn("edits", queries.edits(F.col("text")))).count() == 0
+
+
+def test_leaves_dont_grow_with_edits():
     encode = packing.encoder(packing.VOCABULARY, None)
-    for df in (documents(spark, sf), odd_docs):
-        with_edits = df.select("doc_id", "text").withColumn("edits", queries.edits(F.col("text")))
-        for r in token_trees.recount(with_edits).collect():
-            assert r["edited_tokens"] == len(encode(r["edited_text"])) == r["tree_tokens"][1]
-            assert r["edited_chars"] == len(r["edited_text"]) == r["tree_chars"][1]
-    assert token_trees.recount(empty_docs.withColumn("edits", queries.edits(F.col("text")))).count() == 0
+    text = "some words of a text " * 500
+    tree = token_trees.TokenTree.build(text, lambda s: len(encode(s)))
+    for _ in range(5):
+        text, _ = tree.edit(text, 5_000, 0, "more words here " * 500, lambda s: len(encode(s)))
+    text, recoded = tree.edit(text, 20_000, 1, "x", lambda s: len(encode(s)))
+    assert recoded < 4 * token_trees.LEAF and tree.tokens[1] == len(encode(text)) and tree.chars[1] == len(text)
 
 
 def test_random_edits():
@@ -381,7 +442,7 @@ def test_random_edits():
             for _ in range(12):
                 start, gone, new = rng.randint(0, len(now) + 2), rng.choice([0, 1, 3, 50]), "".join(rng.choices("ab '\n é1²漢", k=rng.randint(0, 5)))
                 want = now[: min(start, len(now))] + new + now[min(start, len(now)) + gone :]
-                now, recoded = tree.edit(now, start, gone, new, lambda s: len(encode(s)))
+                now, recoded = tree.edit(now, start, gone, new, lambda s: len(encode(s)), leaf)
                 assert now == want and tree.tokens[1] == len(encode(now))
                 seen += recoded < len(now)
     assert seen > 20
@@ -444,7 +505,7 @@ def test_fast_ids_equal_the_tokenizers(spark, sf):
     from tokenizers import Tokenizer
 
     full, encode = Tokenizer.from_file(path("byte_bpe_50k.json")), packing.encoder(packing.VOCABULARY, None)
-    texts = [t for _, t in table(documents(spark, sf))] + ["", " ", "\u00a0\u2003x", "a<|endoftext|>b", "🙂 ok\r\n\t x", "١٢٣ ²³ ½", "e\u0301 ﬁ"]
+    texts = [t for _, t in table(documents(spark, sf.replace("0.001", "0.01")))] + ["", " ", "\u00a0\u2003x", "a<|endoftext|>b", "🙂 ok\r\n\t x", "١٢٣ ²³ ½", "e\u0301 ﬁ"]
     for t in texts:
         assert encode(t) == full.encode(t, add_special_tokens=False).ids
 
@@ -472,6 +533,47 @@ def test_language_of_odd_rows(spark, odd_docs, empty_docs):
     assert hyperdimensional.with_language(empty_docs, *model).count() == 0
 
 
+def letter(c):
+    return np.random.default_rng((hyperdimensional.SEED, ord(c))).integers(0, 2, hyperdimensional.DIMENSIONS, dtype=np.int8).astype(int) * 2 - 1
+
+
+def bundle(text):
+    """A text's trigrams around each letter, bound and added one by one; anything else is a blank."""
+    chars = [c if c.isalpha() else " " for c in f" {text.lower()} "]
+    grams = [np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c) for a, b, c in zip(chars, chars[1:], chars[2:]) if b != " "]
+    return np.sum(grams, axis=0) if grams else np.zeros(hyperdimensional.DIMENSIONS, int)
+
+
+def test_languages_equal_bundled_vectors(spark, sf):
+    df = documents(spark, sf)
+    learnt = df.filter(hyperdimensional.training_rows(df)).filter("length(text) < 400")
+    langs, prototypes = hyperdimensional.fit(learnt, "text", "lang")
+    sums = defaultdict(int)
+    for r in learnt.collect():
+        if r["lang"] is not None and r["text"] is not None:
+            sums[r["lang"]] = sums[r["lang"]] + bundle(r["text"])
+    assert langs == sorted(sums)
+    want = np.array([sums[x] / np.linalg.norm(sums[x]) for x in langs])
+    assert np.allclose(prototypes, want, atol=1e-5)
+    ratios = []
+    for r in hyperdimensional.with_language(df.filter("length(text) < 400"), langs, prototypes).collect():
+        v = bundle(r["text"] or "")
+        if v.any():
+            cosines = want @ v / np.linalg.norm(v)
+            assert cosines[langs.index(r["lang_pred"])] >= cosines.max() - 1e-6
+            ratios.append(r["score"] / cosines.max() if cosines.max() > 0.05 else 1.0)
+        else:
+            assert r["lang_pred"] == "und" and r["score"] == 0
+    assert np.abs(np.array(ratios) - 1).mean() < 0.05 and np.abs(np.array(ratios) - 1).max() < 0.15, (np.mean(ratios), np.min(ratios), np.max(ratios))
+
+
+def test_rare_languages_are_learnt(spark):
+    rows = [(i, f"common words number {i}", "aa") for i in range(3000)] + [(5000 + i, "других слов немного", "bb") for i in range(3)] + [(None, "null id", "cc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    first, again = (hyperdimensional.fit(x, "text", "lang", fit_rows=60) for x in (df, df.repartition(7)))
+    assert first[0] == ["aa", "bb", "cc"] and np.allclose(first[1], again[1])
+
+
 def test_inner_products_are_those_of_the_vectors():
     p = hyperdimensional.Profile(["abcabc", None, "", "Été 12"])
     codes, at = p.distinct()
