@@ -2,14 +2,16 @@
 
 Windows of consecutive item words become patterns of one automaton; each document is scanned once,
 on its normalised words, and matches are mapped back to word positions and to byte offsets of the
-original text. Documents are never shuffled. The automaton is sent to the executors only while its
-patterns stay within ``AUTOMATON_BYTES``; a larger benchmark is cut into as many automata as needed,
-each with a pass of its own over what the pass before it wrote.
+original text. Documents are never shuffled nor written. The benchmark's windows are sent to every
+task, within ``WINDOW_BYTES`` (a larger benchmark is refused). One automaton holds up to ``AUTOMATON_BYTES`` of
+them; of more, each task builds one after another and lets a stretch of its texts pass each of them, so
+the corpus is still read once and a task holds one automaton at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -23,6 +25,10 @@ from readloom.llm.common import WORD_BYTES, as_bytes, slices, written
 WINDOW = 10
 #: Bytes of distinct patterns in one automaton; about 35 bytes of memory each.
 AUTOMATON_BYTES = 8 << 20
+#: Bytes of all patterns and of their lists of items (8 an entry), which the driver and every task hold.
+WINDOW_BYTES = 256 << 20
+#: Bytes of text that pass one automaton before the next is built, where there are several.
+STRETCH = 128 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -43,37 +49,67 @@ def _windows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(patterns, pa.binary())], ["item", "pattern"])
 
     rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).mapInArrow(run, "item string, pattern binary")
-    return rows.groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return rows.distinct()
+
+
+def sent_windows(windows: DataFrame, most: int = WINDOW_BYTES) -> tuple[list[bytes], list[list[int]], list[str]]:
+    """Distinct patterns, the items of each as places in the list of items, and that list, sorted; sizes are checked first."""
+    sums = windows.groupBy("pattern").agg(F.count("*").alias("n"))
+    size = sums.agg(F.sum(F.octet_length("pattern") + 8 * F.col("n"))).first()[0] or 0
+    size += windows.select("item").distinct().agg(F.sum(F.octet_length("item"))).first()[0] or 0
+    if size > most:
+        raise ValueError(f"the benchmark's windows take {size} bytes; {most} may be sent to every task. Scan with parts of the benchmark")
+    names = sorted(r[0] for r in windows.select("item").distinct().collect())
+    place = {name: i for i, name in enumerate(names)}
+    listed = windows.groupBy("pattern").agg(F.collect_list("item")).collect()
+    return [bytes(r[0]) for r in listed], [[place[x] for x in r[1]] for r in listed], names
 
 
 class _Scanner:
-    """An automaton for each Python worker, built on first use from the patterns sent to it."""
+    """Automata over parts of the patterns; a Python worker keeps the one that it built last."""
 
-    kept: dict[str, ahocorasick.Automaton] = {}
+    kept: dict[tuple[str, int], ahocorasick.Automaton] = {}
 
-    def __init__(self, patterns: list[tuple[bytes, list[str]]], key: str):
-        self.patterns, self.key = patterns, key
+    def __init__(self, patterns: list[bytes], items: list[list[int]], names: list[str], key: str, automaton_bytes: int):
+        self.patterns, self.items, self.names, self.key = patterns, items, names, key
+        ends = np.cumsum([0, *map(len, patterns)])
+        self.parts = max(1, -(-int(ends[-1]) // automaton_bytes))
+        self.of = np.minimum(ends[:-1] // max(1, automaton_bytes), self.parts - 1)
 
-    def automaton(self) -> ahocorasick.Automaton:
-        if self.key not in self.kept:
+    def automaton(self, part: int) -> ahocorasick.Automaton:
+        if (self.key, part) not in self.kept:
+            self.kept.clear()
             built = ahocorasick.Automaton()
-            for pattern, items in self.patterns:
+            for i in np.flatnonzero(self.of == part).tolist():
                 # one character for each byte; spaces on both sides keep matches to whole words
-                built.add_word(f" {pattern.decode('latin-1')} ", (pattern.count(b" ") + 1, items))
+                pattern = self.patterns[i]
+                built.add_word(f" {pattern.decode('latin-1')} ", (pattern.count(b" ") + 1, i))
             built.make_automaton()
-            self.kept.clear()
-            self.kept[self.key] = built
-        return self.kept[self.key]
+            self.kept[self.key, part] = built
+        return self.kept[self.key, part]
+
+    def scan_all(self, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int, int, int]], list[str]]]:
+        """Of each text its words, merged hit spans (first word, word after, first byte, byte after), and items that occur."""
+        found: list[set] = [set() for _ in texts]
+        for part in range(self.parts if self.patterns else 0):
+            automaton = self.automaton(part)
+            for text, hits in zip(texts, found):
+                hits.update(self.scan(text, automaton))
+        return [self.placed(text, hits) for text, hits in zip(texts, found)]
+
+    def scan(self, text: bytes | None, automaton: ahocorasick.Automaton) -> list[tuple[int, int]]:
+        """(place of the last byte in the text's words, pattern) of each match."""
+        words = words_of(text)
+        return [(end, i) for end, (_, i) in automaton.iter(f" {b' '.join(words).decode('latin-1')} ")] if words else []
 
-    def scan(self, text: bytes | None) -> tuple[int, list[tuple[int, int, int, int]], set[str]]:
-        """Words; merged hit spans (first word, word after, first byte, byte after); items that occur."""
+    def placed(self, text: bytes | None, hits: set[tuple[int, int]]) -> tuple[int, list[tuple[int, int, int, int]], list[str]]:
         words = words_of(text)
-        found = list(self.automaton().iter(f" {b' '.join(words).decode('latin-1')} ")) if words and self.patterns else []
-        if not found:
-            return len(words), [], set()
+        if not hits:
+            return len(words), [], []
+        found = sorted(hits)
         last = np.cumsum([len(w) + 1 for w in words])  # where the space after each word stands
         at = np.searchsorted(last, [end for end, _ in found]).tolist()
-        spans = sorted({(e - n + 1, e + 1) for e, (_, (n, _)) in zip(at, found)})
+        spans = sorted({(e - self.patterns[i].count(b" "), e + 1) for e, (_, i) in zip(at, found)})
         merged = [list(spans[0])]
         for a, b in spans[1:]:
             if a <= merged[-1][1]:
@@ -83,7 +119,8 @@ class _Scanner:
         octets = np.frombuffer(text.translate(WORD_BYTES), np.uint8) != 32
         edges = np.diff(np.concatenate([[0], octets.view(np.int8), [0]]))
         starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-        return len(words), [(a, b, int(starts[a]), int(ends[b - 1])) for a, b in merged], {x for _, (_, y) in found for x in y}
+        items = sorted({x for i in {i for _, i in found} for x in self.items[i]})
+        return len(words), [(a, b, int(starts[a]), int(ends[b - 1])) for a, b in merged], [self.names[x] for x in items]
 
 
 _SPAN = pa.struct([("first", pa.int32()), ("after", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
@@ -111,53 +148,49 @@ def scan(
     new = [prefix + c for c in ("n_words", "spans", "items")]
     docs = docs.drop(*new)
     windows = written(_windows(benchmark, item_col, item_text_col, window), "windows")
-    total = windows.agg(F.sum(F.octet_length("pattern"))).first()[0] or 0
-    passes = max(1, -(-total // automaton_bytes))
+    patterns, items, names = sent_windows(windows)
+    sent = docs.sparkSession.sparkContext.broadcast(_Scanner(patterns, items, names, uuid.uuid4().hex, automaton_bytes))
     at = docs.columns.index(text_col)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    hits = f"`{new[0]}` long, `{new[1]}` array<struct<first:int,after:int,start:long,end:long>>, `{new[2]}` array<string>"
-    for i in range(passes):
-        part = windows.filter(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == i) if passes > 1 else windows
-        scanner = _Scanner([(bytes(r[0]), list(r[1])) for r in part.collect()], f"{id(windows)}-{i}")
-        sent = docs.sparkSession.sparkContext.broadcast(scanner)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, again=i > 0) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, text_col, 16 << 20):
-                found = [sent.value.scan(t) for t in as_bytes(batch.column(at))]
-                spans, items = [x[1] for x in found], [x[2] for x in found]
-                if again:
-                    old = [[(s["first"], s["after"], s["start"], s["end"]) for s in x] for x in batch.column(new[1]).to_pylist()]
-                    spans = [_union(a, b) for a, b in zip(old, spans)]
-                    items = [y | set(x) for x, y in zip(batch.column(new[2]).to_pylist(), items)]
-                own = [
-                    pa.array([x[0] for x in found], pa.int64()),
-                    pa.array([[dict(zip(("first", "after", "start", "end"), s)) for s in x] for x in spans], pa.list_(_SPAN)),
-                    pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = sent.value
+        cut = slices(batches, text_col, 16 << 20)
+        for part in _stretches(cut, text_col, STRETCH if scanner.parts > 1 else 1):
+            found = scanner.scan_all([t for batch in part for t in as_bytes(batch.column(at))])
+            done = 0
+            for batch in part:
+                own = found[done : done + batch.num_rows]
+                done += batch.num_rows
+                columns = [
+                    pa.array([x[0] for x in own], pa.int64()),
+                    pa.array([[dict(zip(("first", "after", "start", "end"), s)) for s in x[1]] for x in own], pa.list_(_SPAN)),
+                    pa.array([x[2] for x in own], pa.list_(pa.string())),
                 ]
-                kept = [batch.column(n) for n in batch.schema.names if n not in new]
-                names = [n for n in batch.schema.names if n not in new]
-                yield pa.RecordBatch.from_arrays([*kept, *own], [*names, *new])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *new])
 
-        docs = docs.mapInArrow(run, f"{fields}, {hits}")
-        if i < passes - 1:
-            docs = written(docs, "scanned")
-    return docs
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    hits = f"`{new[0]}` long, `{new[1]}` array<struct<first:int,after:int,start:long,end:long>>, `{new[2]}` array<string>"
+    return docs.mapInArrow(run, f"{fields}, {hits}")
 
 
-def _union(a: list[tuple], b: list[tuple]) -> list[tuple]:
-    """Merged spans of both, which are merged each."""
-    out: list[tuple] = []
-    for s in sorted([*a, *b]):
-        if out and s[0] <= out[-1][1]:
-            if s[1] > out[-1][1]:
-                out[-1] = (out[-1][0], s[1], out[-1][2], s[3])
-        else:
-            out.append(s)
-    return out
+def _stretches(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches brought together until ``column`` holds ``most`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The columns to compare by: counts, a digest of the items, and whether anything is hit."""
+    """The columns to compare by: counts, a digest of the items, whether anything is hit, and the spans as text.
+
+    A span is first:after:start:end, words and bytes of the original text; spans are comma-joined.
+    """
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["after"] - s["first"])
     return scanned.select(
         id_col,
@@ -166,7 +199,7 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
-        "spans",
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["first"], s["after"], s["start"], s["end"])), ",").alias("spans"),
     )
 
 

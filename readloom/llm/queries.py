@@ -134,12 +134,12 @@ FROM parts p LEFT JOIN best b ON b.n = 1 AND p.page_id = b.page_id AND p.host =
 
 def op4_aho_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return aho_decontaminate.digest(aho_decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))).drop("spans")
+    return aho_decontaminate.digest(aho_decontaminate.scan(docs, table(spark, sf_dir, "benchmark")))
 
 
 OP4_SQL = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (
   SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''),
@@ -149,11 +149,20 @@ win AS (SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[i:i + 9]
 places AS (SELECT r, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k),
 grams AS (SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM places),
 found AS (SELECT r, i, k, item FROM grams JOIN win USING (k, g)),
-hits AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest(range(i, i + k)) AS x FROM found) GROUP BY r),
+hit AS (SELECT DISTINCT r, unnest(range(i, i + k)) AS x FROM found),
+hits AS (SELECT r, count(*) AS n FROM hit GROUP BY r),
+stretches AS (SELECT r, min(x) AS a, max(x) AS b FROM (SELECT r, x, x - row_number() OVER (PARTITION BY r ORDER BY x) AS run FROM hit) GROUP BY r, run),
+gaps AS (
+  SELECT r, w, regexp_split_to_array(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS s FROM d WHERE r IN (SELECT r FROM hits)),
+spans AS (
+  SELECT r, string_agg(concat_ws(':', a - 1, b, list_sum([strlen(x) FOR x IN s[:a]]) + coalesce(list_sum([strlen(x) FOR x IN w[:a - 1]]), 0),
+    list_sum([strlen(x) FOR x IN s[:b]]) + list_sum([strlen(x) FOR x IN w[:b]])), ',' ORDER BY a) AS spans
+  FROM stretches JOIN gaps USING (r) GROUP BY r),
 items AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit,
-  CAST(coalesce(t.n, 0) AS BIGINT) AS n_items, sha256(coalesce(t.list, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN hits h USING (r) LEFT JOIN items t USING (r)
+  CAST(coalesce(t.n, 0) AS BIGINT) AS n_items, sha256(coalesce(t.list, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated,
+  coalesce(spans, '') AS spans
+FROM d LEFT JOIN hits h USING (r) LEFT JOIN items t USING (r) LEFT JOIN spans USING (r)
 """
 
 
