@@ -23,70 +23,82 @@ from readloom.llm.common import table, written
 ARCHIVE_PAGES = 1_000
 
 
-def archived(pages: DataFrame) -> DataFrame:
-    """Pages as records of archive files: page_id, archive, offset, length (bytes) and payload."""
+def replicas(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages as records of archive files (page_id, archive, offset, length, digest), and a replica with planted damage.
+
+    By the digest of its page's id a record of the replica is altered, cut short, lost or joined by another.
+    Payloads are digested where they are read; only digests and lengths are brought together, to add up offsets.
+    """
+    fate = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2)
+    half = F.floor(F.length("html") / 2).cast("int")
+    changed = F.when(fate.isin("00", "01"), F.concat(F.lit("#"), F.substring("html", F.lit(2), F.length("html")))).when(
+        fate == "03", F.substring("html", F.lit(1), half)
+    )
     records = pages.select(
         "page_id",
         F.floor(F.col("page_id") / ARCHIVE_PAGES).cast("string").alias("archive"),
         F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("length"),
-        F.col("html").alias("payload"),
+        merkle_fixity.digest_of(F.col("html")).alias("digest"),
+        fate.alias("fate"),
+        F.when(fate.isin("00", "01", "03"), merkle_fixity.digest_of(changed)).alias("changed"),
     )
-    along = Window.partitionBy("archive").orderBy("page_id", F.sha2(F.coalesce("payload", F.lit("")).cast("binary"), 256))
+    along = Window.partitionBy("archive").orderBy("page_id", "digest")
     before = F.sum("length").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length")
-    return records.withColumn("offset", before)
-
-
-def damaged(records: DataFrame) -> DataFrame:
-    """A replica with planted damage: by the digest of its page's id a record is altered, cut short, lost or joined by another."""
-    fate = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2)
-    half = F.floor(F.length("payload") / 2).cast("int")
-    kept = records.filter(fate != "02").select(
-        "archive",
-        "offset",
-        F.when(fate == "03", F.floor(F.col("length") / 2)).otherwise(F.col("length")).alias("length"),
-        F.when(fate.isin("00", "01"), F.concat(F.lit("#"), F.substring("payload", F.lit(2), F.length("payload"))))
-        .when(fate == "03", F.substring("payload", F.lit(1), half))
-        .otherwise(F.col("payload"))
-        .alias("payload"),
-    )
-    stray = records.filter(fate == "04").select("archive", (F.col("offset") + 1).alias("offset"), F.lit(5).cast("long").alias("length"), F.lit("stray").alias("payload"))
-    return kept.union(stray)
+    records = written(records.withColumn("offset", before), "records")
+    length = F.when(F.col("fate") == "03", F.floor(F.col("length") / 2)).otherwise(F.col("length"))
+    kept = records.filter("fate <> '02'").select("archive", "offset", length.alias("length"), F.coalesce("changed", "digest").alias("digest"))
+    stray = records.filter("fate = '04'").select("archive", F.col("offset") + 1, F.lit(5).cast("long"), F.sha2(F.lit(b"stray"), 256))
+    return records.select("page_id", "archive", "offset", "length", "digest"), kept.union(stray)
 
 
 def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = archived(table(spark, sf_dir, "pages"))
-    return merkle_fixity.audit(records, damaged(records), keys=("page_id",))
+    primary, replica = replicas(table(spark, sf_dir, "pages"))
+    return merkle_fixity.audit(primary, replica, keys=("page_id",), digest="digest")
 
 
 OP1_SQL = """
 WITH records AS (
   SELECT page_id, CAST(page_id // 1000 AS VARCHAR) AS archive, coalesce(strlen(html), 0) AS length, html AS payload,
-    CAST(sum(coalesce(strlen(html), 0)) OVER (PARTITION BY page_id // 1000 ORDER BY page_id, sha256(coalesce(html, ''))
+    CAST(sum(coalesce(strlen(html), 0)) OVER (PARTITION BY page_id // 1000 ORDER BY page_id, coalesce(sha256(html), 'null')
       ROWS UNBOUNDED PRECEDING) - coalesce(strlen(html), 0) AS BIGINT) AS "offset",
     substr(md5(CAST(page_id AS VARCHAR)), 1, 2) AS fate
   FROM pages),
 mine AS (
-  SELECT archive, "offset", length, coalesce(sha256(payload), 'null') AS digest, count(*) AS n, min(page_id) AS page_id
-  FROM records GROUP BY ALL),
+  SELECT archive, "offset", length, coalesce(sha256(payload), 'null') AS digest, page_id FROM records),
 replica AS (
   SELECT archive, "offset", CASE WHEN fate = '03' THEN length // 2 ELSE length END AS length,
     CASE WHEN fate IN ('00', '01') THEN '#' || substr(payload, 2)
       WHEN fate = '03' THEN substr(payload, 1, length(payload) // 2) ELSE payload END AS payload
   FROM records WHERE fate <> '02'
   UNION ALL SELECT archive, "offset" + 1, 5, 'stray' FROM records WHERE fate = '04'),
+own AS (SELECT archive, "offset", length, digest, count(*) AS n FROM mine GROUP BY ALL),
 theirs AS (
   SELECT archive, "offset", length, coalesce(sha256(payload), 'null') AS digest, count(*) AS m FROM replica GROUP BY ALL),
 odd AS (
-  SELECT archive, "offset", length, digest, coalesce(n, 0) AS n, coalesce(m, 0) AS m, page_id
-  FROM mine FULL JOIN theirs USING (archive, "offset", length, digest) WHERE coalesce(n, 0) <> coalesce(m, 0)),
+  SELECT archive, "offset", length, digest, n, m, coalesce(n, 0) - coalesce(m, 0) AS over
+  FROM own FULL JOIN theirs USING (archive, "offset", length, digest) WHERE coalesce(n, 0) <> coalesce(m, 0)),
+lost AS (
+  SELECT archive, "offset", length, digest, page_id FROM mine SEMI JOIN (FROM odd WHERE m IS NULL) o USING (archive, "offset", length, digest)
+  UNION ALL SELECT archive, "offset", length, digest, NULL FROM odd, range(over) WHERE over > 0 AND m IS NOT NULL),
+more AS (SELECT archive, "offset", length, digest FROM odd, range(-over) WHERE over < 0),
+a1 AS (SELECT *, row_number() OVER (PARTITION BY archive, "offset", length ORDER BY digest, page_id) AS k FROM lost),
+b1 AS (SELECT *, row_number() OVER (PARTITION BY archive, "offset", length ORDER BY digest) AS k FROM more),
+paired AS (
+  SELECT archive, "offset", a1.length AS length, b1.length AS replica_length, a1.digest AS digest, b1.digest AS replica_digest, page_id
+  FROM a1 JOIN b1 USING (archive, "offset", length, k)),
+a2 AS (
+  SELECT *, row_number() OVER (PARTITION BY archive, "offset" ORDER BY length DESC, digest, page_id) AS j
+  FROM a1 ANTI JOIN b1 USING (archive, "offset", length, k)),
+b2 AS (
+  SELECT *, row_number() OVER (PARTITION BY archive, "offset" ORDER BY length DESC, digest) AS j
+  FROM b1 ANTI JOIN a1 USING (archive, "offset", length, k)),
 sides AS (
-  SELECT archive, "offset",
-    min(CASE WHEN n > m THEN {'length': length, 'digest': digest, 'page_id': page_id} END) AS a,
-    min(CASE WHEN m > n THEN {'length': length, 'digest': digest} END) AS b
-  FROM odd GROUP BY ALL)
-SELECT archive, "offset", a.page_id AS page_id, CAST(a.length AS BIGINT) AS length, CAST(b.length AS BIGINT) AS replica_length,
-  a.digest AS digest, b.digest AS replica_digest,
-  CASE WHEN b IS NULL THEN 'missing' WHEN a IS NULL THEN 'extra' WHEN a.length <> b.length THEN 'resized' ELSE 'altered' END AS kind
+  FROM paired UNION ALL BY NAME
+  SELECT archive, "offset", a2.length AS length, b2.length AS replica_length, a2.digest AS digest, b2.digest AS replica_digest, page_id
+  FROM a2 FULL JOIN b2 USING (archive, "offset", j))
+SELECT archive, "offset", page_id, CAST(length AS BIGINT) AS length, CAST(replica_length AS BIGINT) AS replica_length, digest, replica_digest,
+  CASE WHEN replica_digest IS NULL THEN 'missing' WHEN digest IS NULL THEN 'extra'
+    WHEN length <> replica_length THEN 'resized' ELSE 'altered' END AS kind
 FROM sides
 """
 
