@@ -93,22 +93,25 @@ def license_base(text, phrases):
     return len(words), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found}))
 
 
-def language_model(docs, mu):
+def language_model(docs, mu, boost):
     """docs: (id, text) -> (n_tokens, n_known, train_tokens, base_score, score) of each."""
     held = [id_ is not None and zlib.crc32(str(id_).encode()) % 7 == 2 for id_, _ in docs]
     tokens = [[*SPACED.findall(lower(t)), "\n"] for _, t in docs]
-    c, pairs, starts = Counter(), Counter(), 0
+    c, pairs, triples = Counter(), Counter(), Counter()
     for h, t in zip(held, tokens):
         if not h:
             c.update(t)
-            pairs.update(zip(["\r", *t], t))
-            starts += 1
-    n, v = sum(c.values()), len(c)
+            c["\r"] += 1
+            pairs.update([("\r", "\r"), *zip(["\r", *t], t)])
+            triples.update(zip(["\r", "\r", *t], ["\r", *t], t))
+    n, v = sum(c.values()) - c["\r"], len(c) - ("\r" in c)
     out = []
     for t in tokens:
         prior = [(c[w] + 1) / (n + v + 1) for w in t]
-        before = [starts, *(c[w] for w in t[:-1])]
-        joint = [(pairs[a, b] + mu * p) / (m + mu) for a, b, p, m in zip(["\r", *t], t, prior, before)]
+        joint = [
+            (boost * triples[g, h, w] + pairs[h, w] + mu * p) / (boost * pairs[g, h] + c[h] + mu)
+            for g, h, w, p in zip(["\r", "\r", *t], ["\r", *t], t, prior)
+        ]
         out.append((len(t), sum(c[w] > 0 for w in t), n, sum(map(math.log10, prior)), sum(map(math.log10, joint))))
     return held, out
 

@@ -296,32 +296,82 @@ def test_elias_fano_equals_search():
             assert (e.find(q) == [i if i < len(v) and v[i] == x else -1 for i, x in zip(at, q)]).all()
 
 
+def some_trie(rng):
+    words, ctx = np.unique(rng.integers(0, 2**62, 300)), np.unique(rng.integers(0, 2**62, 200))
+    pairs = np.unique(rng.integers(0, len(words) * len(ctx), 5_000))
+    triples = np.unique(rng.integers(0, len(pairs) * len(ctx), 20_000))
+    v2, a2, v3 = (rng.normal(size=n) for n in (len(pairs), len(pairs), len(triples)))
+    stored = Trie.build(words, np.arange(len(words)), ctx, pairs // len(ctx), pairs % len(ctx), triples // len(ctx), triples % len(ctx), v2, a2, v3)
+    return words, ctx, pairs, triples, v2, a2, v3, stored
+
+
 def test_trie_returns_quantised_values():
     rng = np.random.default_rng(1)
-    words, ctx = np.unique(rng.integers(0, 2**62, 300)), np.unique(rng.integers(0, 2**62, 200))
-    pairs = np.unique(rng.integers(0, len(words) * len(ctx), 5000))
-    values = rng.normal(size=len(pairs))
-    t = Trie(words, ctx, pairs, values)
-    got = t.values(words[pairs // len(ctx)], ctx[pairs % len(ctx)])
-    assert np.abs(got - values).max() <= t.step
-    assert np.isnan(t.values(words[:3] + 1, ctx[:3])).all() and t.bytes < 16 * len(pairs)
+    words, ctx, pairs, triples, v2, a2, v3, stored = some_trie(rng)
+    t, k = Trie(stored), len(ctx)
+    assert (t.words.find(words) == np.arange(len(words))).all() and (t.contexts.get(np.arange(k)) == ctx).all()
+    at2 = t.child(2, pairs // k, pairs % k)
+    assert (at2 == np.arange(len(pairs))).all()
+    assert (t.child(3, triples // k, triples % k) == np.arange(len(triples))).all()
+    for got, want, step in ((t.value2(at2), v2, t.scale[1]), (t.after(at2), a2, t.scale[3]), (t.value3(np.arange(len(v3))), v3, t.scale[5])):
+        assert np.abs(got - want).max() <= step
+    absent = np.setdiff1d(rng.integers(0, len(words) * k, 3_000), pairs)
+    assert (t.child(2, absent // k, absent % k) == -1).all() and (t.child(2, np.array([-1, 0]), np.array([0, -1])) == -1).all()
+    absent = np.setdiff1d(rng.integers(0, len(pairs) * k, 3_000), triples)
+    assert (t.child(3, absent // k, absent % k) == -1).all()
+    assert len(stored) < 12 * (len(pairs) + len(triples))
+
+
+@pytest.mark.parametrize("level", ["pointers2", "pointers3"])
+def test_broken_pointers_break_the_lookup(level):
+    _, ctx, pairs, triples, *_, stored = some_trie(np.random.default_rng(1))
+    t, k = Trie(stored), len(ctx)
+    old = getattr(t, level)
+    values = old.get(np.arange(len(old.low)))
+    values[1:-1] = np.sort((values[1:-1] + values[-1] // 2) % (values[-1] + 1))
+    values[len(values) // 3 :] = values[-1]
+    setattr(t, level, EliasFano.build(values))
+    parts = (2, pairs) if level == "pointers2" else (3, triples)
+    assert (t.child(parts[0], parts[1] // k, parts[1] % k) != np.arange(len(parts[1]))).mean() > 0.3
+
+
+def lm_rows(df):
+    columns = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return sorted([(str(r["doc_id"]), r["held_out"], *[r[c] for c in columns]) for r in df.collect()], key=str)
+
+
+def assert_scores(got, want):
+    assert len(got) == len(want)
+    for a, b in zip(want, got):
+        assert a[:5] == b[:5]
+        assert b[5] == pytest.approx(a[5], rel=1e-9) and b[6] == pytest.approx(a[6], rel=1e-3, abs=0.01)
 
 
 def test_language_model_equals_brute_force(spark, sf, odd_docs, empty_docs, monkeypatch):
     for df, shard in ((documents(spark, sf), 1_000_000), (odd_docs, 2_000)):
         monkeypatch.setattr(ef_trie_lm, "SHARD", shard)
         rows = table(df)
-        held, want = brute.language_model(rows, ef_trie_lm.MU)
-        got = ef_trie_lm.fit_score(df).collect()
-        left = sorted([(str(i), h, *w) for (i, _), h, w in zip(rows, held, want)], key=str)
-        right = sorted([(str(r["doc_id"]), r["held_out"], *[r[c] for c in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]) for r in got], key=str)
-        for a, b in zip(left, right):
-            assert a[:5] == b[:5]
-            assert b[5] == pytest.approx(a[5], rel=1e-9) and b[6] == pytest.approx(a[6], rel=1e-3, abs=0.01)
-        assert len(left) == len(right)
+        held, want = brute.language_model(rows, ef_trie_lm.MU, ef_trie_lm.BOOST)
+        assert_scores(lm_rows(ef_trie_lm.fit_score(df)), sorted([(str(i), h, *w) for (i, _), h, w in zip(rows, held, want)], key=str))
     assert ef_trie_lm.fit_score(empty_docs).count() == 0
 
 
+def test_stored_tries_score_other_texts(spark, sf, odd_docs, empty_docs, monkeypatch):
+    """Tries are written by one job and searched by another, of texts that the first never saw as well."""
+    df = documents(spark, sf).select("doc_id", "text")
+    monkeypatch.setattr(ef_trie_lm, "SHARD", 20_000)
+    model = ef_trie_lm.fit(df)
+    assert model.tries.count() > 1
+    whole = lm_rows(ef_trie_lm.fit_score(df))
+    assert_scores(lm_rows(ef_trie_lm.score(df, model)), whole)
+    more = df.union(odd_docs.select(F.lit(10_000) + F.col("doc_id"), "text"))
+    got = ef_trie_lm.score(more, model)
+    assert got.count() == more.count() and got.filter("score is null or score > 0").count() == 0
+    assert_scores(lm_rows(got.filter("doc_id < 10000")), whole)
+    nothing = ef_trie_lm.fit(empty_docs)
+    assert ef_trie_lm.score(df, nothing).filter("n_known > 0").count() == 0 and ef_trie_lm.score(empty_docs, model).count() == 0
+
+
 def test_model_beats_the_base_on_held_out_texts(spark, sf):
     row = ef_trie_lm.fit_score(documents(spark, sf)).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert row[0] > row[1]
