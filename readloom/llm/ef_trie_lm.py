@@ -19,7 +19,7 @@ after it where its word is, and texts are scored with one shuffle of their token
    texts. ``fit_score`` does both in one visit of a shard: the trie is built from its training tokens, and all
    tokens are looked up in it.
 
-Words are told apart by the 63 lower bits of their XXH64.
+Words are told apart by 63 bits of their XXH64, contexts of one shard, if they aren't hot, by 48 bits.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ HOT = 50_000
 #: Tokens of a shard, about, and shards that one call scores one after another, adding up as it goes.
 SHARD, BIN = 750_000, 4
 #: Bytes of text whose tokens are sent together.
-BATCH = 6 << 20
+BATCH = 8 << 20
 
 
 def _hash(word: bytes) -> int:
@@ -131,7 +131,21 @@ class Model:
         return max(1, self.tokens // self.shards // 8)
 
 
-_TOKENS = ("words", "runs", "hot1", "cold1", "hot2", "cold2", "docs")
+_TOKENS = ("hot0", "cold0", "runs", "hot1", "cold1", "hot2", "cold2", "docs")
+#: Of contexts that aren't hot, which are told apart within a shard only, so many bits of the hash are sent.
+CONTEXT_BITS = 48
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """The lower CONTEXT_BITS bits of each number."""
+    return x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, : CONTEXT_BITS // 8].tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    part = np.frombuffer(x, np.uint8).reshape(-1, CONTEXT_BITS // 8)
+    out = np.zeros((len(part), 8), np.uint8)
+    out[:, : CONTEXT_BITS // 8] = part
+    return out.view("<i8").ravel().astype(np.int64)
 
 
 def _prepared(rows: DataFrame, mu: float, boost: float) -> Model:
@@ -172,11 +186,13 @@ def _sent(rows: DataFrame, model: Model, heads: bool) -> DataFrame:
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 first = np.flatnonzero(np.diff(w[a:b], prepend=-1))
                 out["shard"].append(int(shard[a]))
-                out["words"].append(tokens.hashes[w[a:b][first]].tobytes())
+                kinds = w[a:b][first]
+                out["hot0"].append(_smallest(code[kinds]))
+                out["cold0"].append(tokens.hashes[kinds[~is_hot[kinds]]].tobytes())
                 out["runs"].append(_smallest(np.diff(first, append=b - a)))
                 for i, ctx in (("1", h[a:b]), ("2", g[a:b])):
                     out["hot" + i].append(_smallest(code[ctx]))
-                    out["cold" + i].append(tokens.hashes[ctx[~is_hot[ctx]]].tobytes())
+                    out["cold" + i].append(_packed(tokens.hashes[ctx[~is_hot[ctx]]]))
                 out["docs"].append(_smallest(doc[a:b]))
             m = len(out["shard"])
             name, extra = (task << 32) + block, int(heads)
@@ -357,11 +373,15 @@ class _Shard:
         self.known = known
         words, owners, coded, cold = [], [], ([], []), ([], [])
         cols = [group.column(c).to_pylist() for c in _TOKENS]
-        for i, (w, runs, hot1, cold1, hot2, cold2, docs) in enumerate(zip(*cols)):
-            words.append((np.frombuffer(w, np.int64), _back(runs)))
+        for i, (hot0, cold0, runs, hot1, cold1, hot2, cold2, docs) in enumerate(zip(*cols)):
+            code = _back(hot0)
+            kinds = np.empty(len(code), np.int64)
+            kinds[code > 0] = known.hot_words[code[code > 0] - 1]
+            kinds[code == 0] = np.frombuffer(cold0, np.int64)
+            words.append((kinds, _back(runs)))
             for j, (h, c) in enumerate(((hot1, cold1), (hot2, cold2))):
                 coded[j].append(_back(h))
-                cold[j].append(np.frombuffer(c, np.int64))
+                cold[j].append(_unpacked(c))
             owners.append(_back(docs) + (i << 33))  # the lowest bit tells whether the text is learnt from
         self.own = _join(owners)
         self.words, place = np.unique(_join([w for w, _ in words]), return_inverse=True)
