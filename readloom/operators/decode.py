@@ -1,7 +1,7 @@
 """Structured decoding: Viterbi paths with and without run-length bounds, penalties and comparisons.
 
-Paths are dynamic programs over one read's score matrix, so they run in Arrow batches where the reads are,
-without a shuffle; what follows (penalties, agreement) is relational.
+Paths are dynamic programs over score matrices. They run where the reads are, without a shuffle, on arrays of
+reads x labels: one step moves all reads of a stretch on by one place. What follows (penalties, agreement) is relational.
 """
 
 from __future__ import annotations
@@ -10,71 +10,94 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions.seq import let
+from readloom.functions.sizes import at_most
 
 
-def viterbi(scores: np.ndarray, moves: np.ndarray) -> list[int]:
-    """The best path of labels; of equal ones, that with the lower label at the latest place where they differ."""
-    t, k = scores.shape
-    best, back = scores[0].copy(), np.zeros((t, k), np.int64)
+#: Reads whose paths are worked out side by side.
+TOGETHER = 256
+
+
+def viterbi_batch(scores: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> list[list[int]]:
+    """The best path of labels of each read (reads x places x labels, padded beyond each read's size).
+
+    Of equal paths, that with the lower label at the latest place where they differ.
+    """
+    n, t, k = scores.shape
+    best, back = scores[:, 0].copy(), np.zeros((t, n, k), np.int16)
     for i in range(1, t):
-        through = best[:, None] + moves
-        back[i] = np.argmax(through, 0)
-        best = through[back[i], np.arange(k)] + scores[i]
-    path = [int(np.argmax(best))]
-    for i in range(t - 1, 0, -1):
-        path.append(int(back[i, path[-1]]))
-    return path[::-1]
+        through = best[:, :, None] + moves
+        come = through.argmax(1)
+        live = (sizes > i)[:, None]
+        back[i] = come
+        best = np.where(live, np.take_along_axis(through, come[:, None], 1)[:, 0] + scores[:, i], best)
+    return _traced(best.argmax(1), back, sizes)
 
 
-def bounded_viterbi(scores: np.ndarray, moves: np.ndarray, bounds: Mapping[int, tuple[int, int]]) -> list[int]:
-    """The best path whose runs of each bounded label have a length within its bounds; without any, the free path.
+def _traced(state: np.ndarray, back: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+    rows, path = np.arange(len(sizes)), np.empty((len(back), len(sizes)), np.int64)
+    for i in range(len(back) - 1, -1, -1):
+        path[i] = state
+        if i:
+            state = np.where(sizes > i, back[i, rows, state], state)
+    return [path[:size, r].tolist() for r, size in enumerate(sizes.tolist())]
+
+
+def bounded_viterbi_batch(scores: np.ndarray, sizes: np.ndarray, moves: np.ndarray, bounds: Mapping[int, tuple[int, int]]) -> list[list[int]]:
+    """The best path of each read whose runs of each bounded label have a length within its bounds; without any, the free path.
 
     States are (label, length so far). A label without bounds has one state; a bounded one has as many as its
-    upper bound, so the work follows the bounds and not the read's length squared.
+    upper bound, so the work follows the bounds and not the read's length squared. Into a label's first state leads
+    the best of the other labels' states that may be left.
     """
-    t, k = scores.shape
-    label, length = [], []
-    for j in range(k):
-        n = min(bounds[j][1], t) if j in bounds else 1
-        label += [j] * max(n, 1)
-        length += list(range(1, max(n, 1) + 1))
-    label, length = np.array(label), np.array(length)
-    low = np.array([bounds[j][0] if j in bounds else 1 for j in label])
-    free = np.array([j not in bounds for j in label])
-    may_leave, s = length >= low, len(label)
-    first = (length == 1) & np.array([j not in bounds or bounds[j][1] >= 1 for j in label])
-    best = np.where(first, scores[0][label], -np.inf)
-    back = np.zeros((t, s), np.int64)
-    grow = np.arange(s) - 1  # the state with one less of the same label
-    grow[free] = np.flatnonzero(free)
+    n, t, k = scores.shape
+    count = [max(min(bounds[j][1], t), 1) if j in bounds else 1 for j in range(k)]
+    start = np.concatenate([[0], np.cumsum(count)[:-1]])
+    label = np.repeat(np.arange(k), count)
+    length = np.arange(len(label)) - start[label] + 1
+    low = np.array([bounds[j][0] if j in bounds else 1 for j in range(k)])[label]
+    free = np.array([j not in bounds for j in range(k)])[label]
+    open_ = np.array([j not in bounds or bounds[j][1] >= 1 for j in range(k)])
+    may_leave, stay, s = length >= low, free | (length > 1), len(label)
+    grow = np.where(free, np.arange(s), np.arange(s) - 1)  # the state with one less of the same label
+    best = np.where((length == 1) & open_[label], scores[:, 0][:, label], -np.inf)
+    back = np.zeros((t, n, s), np.int16 if s < 1 << 15 else np.int32)
+    across = moves + np.where(np.eye(k, dtype=bool), -np.inf, 0.0)
+    own = moves[label, label]
+    rows, firsts = np.arange(n)[:, None], start[open_]
     for i in range(1, t):
-        new, come = np.full(s, -np.inf), np.zeros(s, np.int64)
-        stay = free | (length > 1)
-        held = best[grow] + moves[label, label]
-        new[stay], come[stay] = held[stay], grow[stay]
         out = np.where(may_leave, best, -np.inf)
-        for j in range(k):
-            enter = np.flatnonzero((label == j) & first)
-            if not len(enter):
-                continue
-            from_ = out + moves[label, j]
-            from_[label == j] = -np.inf
-            x = int(np.argmax(from_))
-            if from_[x] > new[enter[0]]:
-                new[enter[0]], come[enter[0]] = from_[x], x
-        best, back[i] = new + scores[i][label], come
+        top = np.stack([out[:, a : a + c].argmax(1) + a for a, c in zip(start, count)], 1)  # reads x labels
+        through = out[rows, top][:, :, None] + across
+        from_ = through.argmax(1)  # of each label that is entered, the label that is left
+        enter = np.take_along_axis(through, from_[:, None], 1)[:, 0]
+        new, come = np.where(stay, best[:, grow] + own, -np.inf), np.broadcast_to(grow, (n, s)).copy()
+        better = enter[:, open_] > new[:, firsts]
+        new[:, firsts] = np.where(better, enter[:, open_], new[:, firsts])
+        come[:, firsts] = np.where(better, top[rows, from_[:, open_]], come[:, firsts])
+        back[i] = come
+        best = np.where((sizes > i)[:, None], new + scores[:, i][:, label], best)
     end = np.where(may_leave, best, -np.inf)
-    state = int(np.argmax(end))
-    if not np.isfinite(end[state]):
-        return viterbi(scores, moves)
-    path = [state]
-    for i in range(t - 1, 0, -1):
-        path.append(int(back[i, path[-1]]))
-    return label[path[::-1]].tolist()
+    found = np.isfinite(end.max(1))
+    paths = [label[p].tolist() for p in _traced(end.argmax(1), back, sizes)]
+    lost = np.flatnonzero(~found)
+    for r, path in zip(lost.tolist(), viterbi_batch(scores[lost], sizes[lost], moves) if len(lost) else []):
+        paths[r] = path
+    return paths
+
+
+def viterbi(scores: np.ndarray, moves: np.ndarray) -> list[int]:
+    """One read's best path."""
+    return viterbi_batch(scores[None], np.array([len(scores)]), moves)[0]
+
+
+def bounded_viterbi(scores: np.ndarray, moves: np.ndarray, bounds: Mapping[int, tuple[int, int]]) -> list[int]:
+    """One read's best path within bounds."""
+    return bounded_viterbi_batch(scores[None], np.array([len(scores)]), moves, bounds)[0]
 
 
 def decode(
@@ -96,18 +119,40 @@ def decode(
     moves, at = np.array(transitions, float), rows.columns.index(scores)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
-    def one(x: list | None) -> list[int]:
-        if not x:
-            return []
-        m = np.array(x, float)
+    k = len(moves)
+
+    def paths_of(column: pa.ListArray) -> list[list[int]]:
+        sizes = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+        column = column.fill_null([]) if column.null_count else column
+        flat = np.asarray(column.flatten().flatten().to_numpy(zero_copy_only=False), float)
+        if len(flat) != sizes.sum() * k:
+            raise ValueError(f"each place needs {k} scores")
+        flat, starts = flat.reshape(-1, k), np.concatenate([[0], np.cumsum(sizes)])
         if strategy == "argmax":
-            return np.argmax(m, 1).tolist()
-        return bounded_viterbi(m, moves, bounds or {}) if strategy == "constrained" else viterbi(m, moves)
+            every = flat.argmax(1)
+            return [every[a:b].tolist() for a, b in zip(starts, starts[1:])]
+        found: list[list[int]] = [[] for _ in sizes]
+        order = np.argsort(sizes, kind="stable")  # reads of like length together, so that little is padded
+        order = order[sizes[order] > 0]
+        for at in range(0, len(order), TOGETHER):
+            some = order[at : at + TOGETHER]
+            block = np.zeros((len(some), int(sizes[some].max()), k))
+            for i, r in enumerate(some.tolist()):
+                block[i, : sizes[r]] = flat[starts[r] : starts[r + 1]]
+            if strategy == "constrained":
+                paths = bounded_viterbi_batch(block, sizes[some], moves, bounds or {})
+            else:
+                paths = viterbi_batch(block, sizes[some], moves)
+            for r, path in zip(some.tolist(), paths):
+                found[r] = path
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = [one(x) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paths, pa.list_(pa.int32()))], [*batch.schema.names, out])
+            for cut in range(0, batch.num_rows, 4 * TOGETHER):
+                part = batch.slice(cut, 4 * TOGETHER)
+                paths = pa.array(paths_of(part.column(at)), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, paths], [*part.schema.names, out])
 
     return rows.mapInArrow(run, f"{fields}, `{out}` array<int>")
 
@@ -116,13 +161,21 @@ def length_penalty(runs: DataFrame, bounds: DataFrame, weight: float = 1.0, norm
     """(read_id, penalty): squared shortfalls and excesses of run lengths, summed; optionally over the number of runs."""
     n = F.col("n")
     miss = F.pow(F.greatest(F.lit(0), F.col("min_len") - n), F.lit(2)) + F.pow(F.greatest(F.lit(0), n - F.col("max_len")), F.lit(2))
-    joined = runs.join(F.broadcast(bounds.limit(10_000)), "label", "left")  # one row a label of the vocabulary
+    joined = runs.join(F.broadcast(at_most(bounds, 10_000, "bounded labels")), "label", "left")
     total = F.sum(F.coalesce(miss, F.lit(0.0)))
     if normalize:
         total = F.coalesce(F.try_divide(total, F.count("min_len")), F.lit(0.0))
     return joined.groupBy("read_id").agg((total * weight).alias("penalty"))
 
 
+def length_violations(runs: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Runs (with their length n) of bounded labels that are shorter or longer than allowed; bounds that contradict themselves are refused."""
+    if not at_most(bounds, 10_000, "bounded labels").filter("min_len > max_len OR min_len < 0").isEmpty():
+        raise ValueError("a least length above the greatest one")
+    found = runs.join(F.broadcast(bounds), "label").withColumn("short", F.col("n") < F.col("min_len")).withColumn("long", F.col("n") > F.col("max_len"))
+    return found.filter("short OR long")
+
+
 def agreement(a: Column, b: Column) -> tuple[Column, Column]:
     """(share of equal places, number of differing places) of two label arrays of one length."""
     same = F.zip_with(a, b, lambda x, y: F.when(x.eqNullSafe(y), 1).otherwise(0))

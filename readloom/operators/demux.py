@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.functions.sizes import at_most
 from readloom.functions.seq import lcs_length
 from readloom.operators.runs import last_boundaries, segments, slice_of
 from readloom.schema import EXPECTED, OPTIONAL, REQUIRED
@@ -115,7 +116,7 @@ def _sharing(triples: DataFrame, sheet: DataFrame, most: int) -> DataFrame:
         lambda i: F.struct(i.alias("i"), (i * size).alias("at"), F.substring(sample, i * size + 1, F.when(i == most, F.length(sample)).otherwise(size)).alias("piece")),
     )
     pieces = sheet.withColumn("x", F.explode(cut)).select("*", "x.at", "x.piece").drop("x").withColumn("n", F.length("piece"))
-    shapes = [tuple(r) for r in pieces.select("at", "n").distinct().limit(1000).collect()]
+    shapes = [tuple(r) for r in at_most(pieces.select("at", "n").distinct(), 1000, "kinds of barcode pieces").collect()]
     read = text("")
     windows = F.array_distinct(F.flatten(F.array(*[F.array(*[F.substring(read, max(1, at + s + 1), n) for s in range(-most, most + 1)]) for at, n in shapes])))
     probe = triples.withColumn("piece", F.explode(windows))
@@ -201,3 +202,14 @@ def first_of(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 def ranked(rows: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def valid_sequence(sequence: Column) -> Column:
+    """Whether a sequence has bases, and none but A, C, G, T and N in either case."""
+    return F.coalesce(sequence.rlike("^[ACGTNacgtn]+$"), F.lit(False))
+
+
+def valid_reads(reads: DataFrame) -> DataFrame:
+    """Reads that aren't marked invalid, have a valid sequence and as many labels as bases."""
+    fits = F.size("labels") == F.length("sequence")
+    return reads.filter(~F.coalesce("is_invalid", F.lit(False)) & valid_sequence(F.col("sequence")) & fits)

@@ -1,7 +1,7 @@
 """Ensembles: weights, combination, uncertainty, diversity and calibration of several models' predictions.
 
-Predictions are long: (model, read_id, pos, label, p). All models of one place meet in one grouping, and
-normalisation over its labels reuses that partitioning.
+Predictions are long: (model, read_id, pos, label, p). All models of one place and label meet in one grouping;
+normalisation over a place's labels is a second one, of one row a label.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.functions.draws import pick
+from readloom.functions.sizes import at_most
 
 EPSILON = 1e-10
 PLACE = ("read_id", "pos")
@@ -27,7 +28,7 @@ def evidences(predictions: DataFrame, truth: DataFrame, parameters: Mapping[str,
     sizes = spark.createDataFrame(list(parameters.items()), "model string, parameters long")
     sums = right.groupBy("model").agg(F.sum(F.log(F.col("p") + EPSILON)).alias("log_likelihood"), F.count_distinct("read_id").alias("reads"))
     penalty = F.lit(factor) * F.coalesce("parameters", F.lit(0)) / 2 * F.log("reads")
-    return sums.join(F.broadcast(sizes.limit(MOST_MODELS)), "model", "left").select("model", "log_likelihood", (F.col("log_likelihood") - penalty).alias("evidence"))
+    return sums.join(F.broadcast(at_most(sizes, MOST_MODELS, "models")), "model", "left").select("model", "log_likelihood", (F.col("log_likelihood") - penalty).alias("evidence"))
 
 
 def log_priors(models: DataFrame, kind: str = "uniform", weights: Mapping[str, float] | None = None) -> DataFrame:
@@ -71,7 +72,7 @@ def performance_weights(
 
 
 def _weighted(predictions: DataFrame, weights: DataFrame) -> DataFrame:
-    return predictions.join(F.broadcast(weights.limit(MOST_MODELS)), "model", "left").withColumn("w", F.coalesce("weight", F.lit(0.0)))
+    return predictions.join(F.broadcast(at_most(weights, MOST_MODELS, "models")), "model", "left").withColumn("w", F.coalesce("weight", F.lit(0.0)))
 
 
 def average(predictions: DataFrame, weights: DataFrame, by_confidence: bool = False) -> DataFrame:
@@ -126,17 +127,47 @@ def uncertainty(predictions: DataFrame, combined: DataFrame) -> DataFrame:
     return total.join(spread, [*PLACE]).join(own, [*PLACE]).withColumn("epistemic", F.col("entropy") - F.col("aleatoric"))
 
 
+def posterior_variance(predictions: DataFrame, weights: DataFrame) -> DataFrame:
+    """(read_id, pos, label, variance): the weighted variance of the models' probabilities around their weighted mean."""
+    rows = _weighted(predictions, weights)
+    w, total = F.col("w"), F.sum("w")
+    mean = F.try_divide(F.sum(w * F.col("p")), total)
+    square = F.try_divide(F.sum(w * F.col("p") * F.col("p")), total)
+    return rows.groupBy(*PLACE, "label").agg(F.greatest(square - mean * mean, F.lit(0.0)).alias("variance"))
+
+
+def predict(predictions: DataFrame, weights: DataFrame, method: str = "probability", temperature: float | None = None) -> DataFrame:
+    """(read_id, pos, label, p, entropy) of the winning label: models combined by a method, cooled if asked for.
+
+    method: ``probability``, ``confidence``, ``logit`` or ``rank``.
+    """
+    ways = {
+        "probability": lambda: average(predictions, weights),
+        "confidence": lambda: average(predictions, weights, by_confidence=True),
+        "logit": lambda: logit_average(predictions, weights),
+        "rank": lambda: rank_average(predictions, weights),
+    }
+    if method not in ways:
+        raise ValueError(f"no such method: {method}")
+    combined = ways[method]()
+    if temperature is not None:
+        combined = with_temperature(combined, temperature)
+    first = F.max(F.struct(F.col("p").alias("p"), (-F.col("label")).alias("back"))).alias("x")
+    found = combined.groupBy(*PLACE).agg(first, _entropy(F.col("p")).alias("entropy"))
+    return found.select(*PLACE, (-F.col("x.back")).cast("int").alias("label"), F.col("x.p").alias("p"), "entropy")
+
+
 def intervals(predictions: DataFrame, weights: DataFrame, level: float = 0.95, draws: int = 100, seed: int = 7) -> DataFrame:
     """(read_id, pos, label, low, high): percentiles of averages over models resampled with replacement.
 
     A draw is a table of how often each model was picked: ``draws`` times models rows, whatever the data.
     """
-    models = sorted(r["model"] for r in weights.limit(MOST_MODELS).collect())
+    models = sorted(r["model"] for r in at_most(weights, MOST_MODELS, "models").collect())
     spark = predictions.sparkSession
     picks = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(len(models) - 1))).alias("slot"))
     picks = picks.withColumn("model", F.element_at(F.array(*map(F.lit, models)), pick(seed, len(models), F.col("draw"), F.col("slot")) + 1))
     table = picks.groupBy("draw", "model").agg(F.count("*").alias("times"))
-    rows = _weighted(predictions, weights).join(F.broadcast(table.limit(draws * len(models))), "model")
+    rows = _weighted(predictions, weights).join(F.broadcast(table), "model")
     w = F.col("w") * F.col("times")
     means = rows.groupBy(*PLACE, "label", "draw").agg(F.try_divide(F.sum(w * F.col("p")), F.sum(w)).alias("x"))
     half = (1 - level) / 2
@@ -296,7 +327,7 @@ def stacker(predictions: DataFrame, truth: DataFrame, labels: list[int]):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    models = sorted(r["model"] for r in predictions.select("model").distinct().limit(MOST_MODELS).collect())
+    models = sorted(r["model"] for r in at_most(predictions.select("model").distinct(), MOST_MODELS, "models").collect())
     cells = [(m, k) for m in models for k in labels]
 
     def wide(df: DataFrame) -> DataFrame:

@@ -100,6 +100,13 @@ def distribution(rows: DataFrame, col: str) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # a row for each distinct value
 
 
+def error_histogram(reads: DataFrame) -> DataFrame:
+    """(error_type, n, share of all reads) of reads that have an error type."""
+    n = reads.groupBy("error_type").agg(F.count("*").alias("n"))
+    every = Window.partitionBy()  # a row a type
+    return n.withColumn("share", F.col("n") / F.sum("n").over(every)).filter("error_type is not null")
+
+
 def variants(reads: DataFrame, labels: Sequence[str], seed: int = 0) -> DataFrame:
     """Reads and their corrupted forms, told apart by ``variant``: each label's segment
     lost or doubled, cut reads, and reads whose middle is shuffled."""

@@ -241,16 +241,26 @@ def sample_quality(motif: Column, m: Matrix) -> Column:
     return F.transform(letters(motif), lambda c, i: F.floor(40 * F.try_element_at(F.try_element_at(cells, i + 1), c)).cast("int"))
 
 
-def ks_statistic(scored: DataFrame, group: str = "grp", value: str = "score") -> DataFrame:
-    """One row: the largest gap between two groups' (false, true) cumulative distributions, and their sizes."""
+def ks_statistic(scored: DataFrame, group: str = "grp", value: str = "score", parts: int = 64) -> DataFrame:
+    """One row: the largest gap between two groups' (false, true) cumulative distributions, and their sizes.
+
+    Distinct values are dealt into ranges; each is summed up on its own, and the ranges before it, of which there
+    are ``parts`` at most, are added to it.
+    """
     steps = scored.groupBy(value).agg(F.count_if(~F.col(group)).alias("a"), F.count_if(F.col(group)).alias("b"))
-    # distinct values, not rows, are ordered; totals come from the same window's frame
-    upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy()
-    gap = F.abs(
-        F.try_divide(F.sum("a").over(upto), F.sum("a").over(whole)) - F.try_divide(F.sum("b").over(upto), F.sum("b").over(whole))
+    borders = scored.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)]).alias("x")).first()["x"] or []
+    ranged = steps.withColumn("part", F.size(F.filter(F.array(*[F.lit(float(x)) for x in sorted(set(borders))]), lambda x: x < F.col(value))) if borders else F.lit(0))
+    sums = ranged.groupBy("part").agg(F.sum("a").alias("pa"), F.sum("b").alias("pb"))
+    every = Window.partitionBy()  # a row a range
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(
+        "part", F.coalesce(F.sum("pa").over(before), F.lit(0)).alias("la"), F.coalesce(F.sum("pb").over(before), F.lit(0)).alias("lb"),
+        F.sum("pa").over(every).alias("ta"), F.sum("pb").over(every).alias("tb"),
     )
-    return steps.select(gap.alias("gap"), "a", "b").agg(F.max("gap").alias("ks"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+    upto = Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    along = ranged.select("part", "a", "b", F.sum("a").over(upto).alias("ca"), F.sum("b").over(upto).alias("cb")).join(F.broadcast(sums), "part")
+    gap = F.abs(F.try_divide(F.col("ca") + F.col("la"), "ta") - F.try_divide(F.col("cb") + F.col("lb"), "tb"))
+    return along.select(gap.alias("gap"), "a", "b").agg(F.max("gap").alias("ks"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
 
 
 def ks_pvalue(ks: float, n_a: int, n_b: int, terms: int = 100) -> float:

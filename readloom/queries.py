@@ -5,6 +5,7 @@ Whole numbers are long and doubles rounded to 9 digits, so that results of two e
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from readloom.functions import seq
 from readloom.operators import decode, demux, ensemble, evaluate, motif, runs, simulate
 from readloom.plans import inputs
-from readloom.sources import fasta, sinks, tables
+from readloom.sources import fasta, fastq, sinks, tables
 from readloom.streaming import demux_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -742,43 +743,77 @@ def bootstrap_intervals(spark, sf):
 
 
 def _matrices(spark, sf):
-    """(read_id, scores): the first model's log-probabilities, places by labels."""
-    rows = inputs.predictions(spark, sf).filter("model = 'm0'")
-    places = rows.groupBy("read_id", "pos").agg(F.sort_array(F.collect_list(F.struct("label", F.log("p").alias("s"))))["s"].alias("s"))
-    return places.groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("pos", "s")))["s"].alias("scores"))
+    """(model, read_id, scores): each model's log-probabilities, places by labels; rounded, ties are ties in any engine."""
+    rows = inputs.predictions(spark, sf)
+    own = F.struct("label", F.round(F.log("p"), 9).alias("s"))
+    places = rows.groupBy("model", "read_id", "pos").agg(F.sort_array(F.collect_list(own))["s"].alias("s"))
+    return places.groupBy("model", "read_id").agg(F.sort_array(F.collect_list(F.struct("pos", "s")))["s"].alias("scores"))
 
 
 def _path(df):
-    return df.select("read_id", F.array_join(F.transform("path", lambda x: x.cast("string")), "").alias("path"))
+    return df.select("model", "read_id", F.array_join(F.transform("path", lambda x: x.cast("string")), "").alias("path"))
 
 
-@query()
+_SCORES_SQL = (
+    "e AS (SELECT model, read_id, pos, label, round(ln(p), 9) AS s FROM pred), "
+    "moves(a, b, w) AS (SELECT a, b, CASE WHEN a = b THEN -0.1::DOUBLE ELSE -1.5::DOUBLE - 0.1::DOUBLE * b END FROM range(4) x(a), range(4) y(b))"
+)
+RUN_BOUNDS = {0: (2, 3), 1: (1, 2)}
+
+
+def _paths_sql(bounds: dict, name: str) -> str:
+    """``name``: (model, read_id, path), the best path by states (label, length so far), of equal ones the lower label before."""
+    low = "CASE label " + " ".join(f"WHEN {j} THEN {lo}" for j, (lo, _) in bounds.items()) + " ELSE 1 END" if bounds else "1"
+    high = "CASE label " + " ".join(f"WHEN {j} THEN {hi}" for j, (_, hi) in bounds.items()) + " ELSE 1 END" if bounds else "1"
+    free = f"b NOT IN ({', '.join(map(str, bounds))})" if bounds else "true"
+    steps = [f"{name}0 AS (SELECT model, read_id, label, 1 AS n, s AS x, label::VARCHAR AS path FROM e WHERE pos = 0)"]
+    for i in range(1, inputs.PLACES):
+        steps.append(
+            f"""{name}{i} AS (SELECT model, read_id, b AS label, n, m.v + s AS x, m.path || b AS path FROM (
+              SELECT model, read_id, b, CASE WHEN label <> b OR {free} THEN 1 ELSE n + 1 END AS n,
+                max({{'v': x + w, 'stay': {'label = b' if bounds else 'false'}, 'a': -label, 'n': -n, 'path': path}}) AS m
+              FROM (SELECT *, {low} AS low, {high} AS high FROM {name}{i - 1}) JOIN moves ON a = label
+              WHERE CASE WHEN label <> b THEN n >= low ELSE {free} OR n < high END GROUP BY ALL)
+              JOIN e USING (model, read_id) WHERE e.pos = {i} AND e.label = b)"""
+        )
+    steps.append(
+        f"{name} AS (SELECT model, read_id, max({{'x': x, 'a': -label, 'n': -n, 'path': path}}).path AS path FROM {name}{inputs.PLACES - 1} WHERE n >= {low} GROUP BY ALL)"
+    )
+    return ", ".join(steps)
+
+
+@query(f"WITH {PRED_SQL}, {_SCORES_SQL}, {_paths_sql({}, 'free')} FROM free")
 def viterbi_unconstrained(spark, sf):
     return _path(decode.decode(_matrices(spark, sf), MOVES))
 
 
-@query()
+@query(f"WITH {PRED_SQL}, {_SCORES_SQL}, {_paths_sql(RUN_BOUNDS, 'bound')} FROM bound")
 def viterbi_constrained(spark, sf):
-    return _path(decode.decode(_matrices(spark, sf), MOVES, {0: (2, 3), 1: (1, 2)}, "constrained"))
+    return _path(decode.decode(_matrices(spark, sf), MOVES, RUN_BOUNDS, "constrained"))
 
 
-@query()
+@query(
+    f"""WITH {PRED_SQL}, {_SCORES_SQL}, {_paths_sql({}, 'free')}, {_paths_sql(RUN_BOUNDS, 'bound')},
+    d AS (SELECT model, read_id, hamming(free.path, bound.path) AS n FROM free JOIN bound USING (model, read_id))
+    SELECT model, read_id, {_r(f'({inputs.PLACES} - n) / {inputs.PLACES}')} AS agreement, n AS changed FROM d"""
+)
 def decode_compare(spark, sf):
     free = decode.decode(_matrices(spark, sf), MOVES, out="free")
-    both = decode.decode(free, MOVES, {0: (2, 3), 1: (1, 2)}, "constrained", out="bound")
+    both = decode.decode(free, MOVES, RUN_BOUNDS, "constrained", out="bound")
     share, changed = decode.agreement(F.col("free"), F.col("bound"))
-    return both.select("read_id", share.alias("agreement"), changed.alias("changed"))
+    return both.select("model", "read_id", share.alias("agreement"), changed.alias("changed"))
 
 
-@query(f"WITH {PRED_SQL} SELECT read_id, string_agg(CAST(label AS VARCHAR), '' ORDER BY pos) AS path FROM (SELECT * FROM pred WHERE model = 'm0' QUALIFY row_number() OVER (PARTITION BY read_id, pos ORDER BY p DESC, label) = 1) GROUP BY read_id")
+@query(f"WITH {PRED_SQL} SELECT model, read_id, string_agg(CAST(label AS VARCHAR), '' ORDER BY pos) AS path FROM (SELECT * FROM pred QUALIFY row_number() OVER (PARTITION BY model, read_id, pos ORDER BY p DESC, label) = 1) GROUP BY ALL")
 def argmax_decode(spark, sf):
-    found = _matrices(spark, sf).select("read_id", seq.argmax_decode(F.col("scores")).alias("path"))
+    found = _matrices(spark, sf).select("model", "read_id", seq.argmax_decode(F.col("scores")).alias("path"))
     return _path(found)
 
 
-@query(f"WITH {PRED_SQL}, b AS (SELECT read_id, pos, max(p) AS p FROM pred WHERE model = 'm0' GROUP BY ALL) SELECT read_id, {_r('avg(p)')} AS confidence FROM b GROUP BY read_id")
+@query(f"WITH {PRED_SQL}, b AS (SELECT model, read_id, pos, max(p) AS p FROM pred GROUP BY ALL) SELECT model, read_id, round(avg(p), 6) AS confidence FROM b GROUP BY ALL")
 def read_confidence(spark, sf):
-    return _matrices(spark, sf).select("read_id", seq.confidence(F.col("scores"), F.size("scores"), "logits").alias("confidence"))
+    sure = seq.confidence(F.col("scores"), F.size("scores"), "logits")
+    return _matrices(spark, sf).select("model", "read_id", F.round(sure, 6).alias("confidence"))
 
 
 # --- generation ---------------------------------------------------------------------------------------
@@ -864,10 +899,10 @@ def dedupe_first(spark, sf):
     return demux.first_of(docs, "digest", "doc_id")
 
 
-@query(f"WITH {MOTIFS_SQL} SELECT left(motif, 3) AS motif FROM motifs WHERE read_id % 5 = 0 INTERSECT SELECT left(motif, 3) FROM motifs WHERE read_id % 5 = 1")
+@query(f"WITH {MOTIFS_SQL} SELECT left(motif, 3) AS motif FROM motifs WHERE read_id % 5 < 2 INTERSECT SELECT left(motif, 3) FROM motifs WHERE read_id % 5 >= 2")
 def motif_overlap(spark, sf):
     rows = inputs.motifs(spark, sf).select("read_id", F.left("motif", F.lit(3)).alias("motif"))
-    return rows.filter("read_id % 5 = 0").select("motif").intersect(rows.filter("read_id % 5 = 1").select("motif"))
+    return rows.filter("read_id % 5 < 2").select("motif").intersect(rows.filter("read_id % 5 >= 2").select("motif"))
 
 
 @query("SELECT doc_id AS read_id, CASE WHEN doc_id < CAST(floor((SELECT count(*) FROM documents) * 0.8) AS BIGINT) THEN 'train' ELSE 'val' END AS part FROM documents")
@@ -894,38 +929,34 @@ def label_vocabulary(spark, sf):
 
 def _chain_sql(combine: str) -> str:
     """The first model's places as a chain of tables v0 to v7 of (read_id, label, x), combined over the label before."""
-    steps = [
-        "e AS (SELECT read_id, pos, label, ln(p) AS s FROM pred WHERE model = 'm0')",
-        "moves(a, b, w) AS (SELECT a, b, CASE WHEN a = b THEN -0.1::DOUBLE ELSE -1.5::DOUBLE - 0.1::DOUBLE * b END FROM range(4) x(a), range(4) y(b))",
-        "v0 AS (SELECT read_id, label, s AS x FROM e WHERE pos = 0)",
-    ]
+    steps = [_SCORES_SQL, "v0 AS (SELECT model, read_id, label, s AS x FROM e WHERE pos = 0)"]
     steps += [
-        f"v{i} AS (SELECT e.read_id, e.label, {combine.format(f'v{i - 1}.x + w')} + max(e.s) AS x FROM e JOIN v{i - 1} USING (read_id) "
-        f"JOIN moves ON a = v{i - 1}.label AND b = e.label WHERE e.pos = {i} GROUP BY e.read_id, e.label)"
+        f"v{i} AS (SELECT e.model, e.read_id, e.label, {combine.format(f'v{i - 1}.x + w')} + max(e.s) AS x FROM e JOIN v{i - 1} USING (model, read_id) "
+        f"JOIN moves ON a = v{i - 1}.label AND b = e.label WHERE e.pos = {i} GROUP BY e.model, e.read_id, e.label)"
         for i in range(1, inputs.PLACES)
     ]
     return ", ".join(steps)
 
 
-@query(f"WITH {PRED_SQL}, {_chain_sql('max({})')} SELECT read_id, {_r('max(x)')} AS score FROM v{inputs.PLACES - 1} GROUP BY read_id")
+@query(f"WITH {PRED_SQL}, {_chain_sql('max({})')} SELECT model, read_id, {_r('max(x)')} AS score FROM v{inputs.PLACES - 1} GROUP BY ALL")
 def viterbi_score(spark, sf):
     """The score of each read's best path, which no other path exceeds."""
     found = decode.decode(_matrices(spark, sf), MOVES)
-    return found.select("read_id", decode.path_score(F.col("scores"), F.col("path"), MOVES).alias("score"))
+    return found.select("model", "read_id", decode.path_score(F.col("scores"), F.col("path"), MOVES).alias("score"))
 
 
 @query(
-    f"""WITH {PRED_SQL}, {TRUTH_SQL}, {_chain_sql('ln(sum(exp({})))')}, z AS (SELECT read_id, ln(sum(exp(x))) AS z FROM v{inputs.PLACES - 1} GROUP BY read_id),
-    t AS (SELECT read_id, pos, truth.label, lag(truth.label) OVER (PARTITION BY read_id ORDER BY pos) AS a, e.s FROM truth JOIN e USING (read_id, pos, label)),
-    own AS (SELECT read_id, sum(s + coalesce(w, 0)) AS x FROM t LEFT JOIN moves ON t.a = moves.a AND t.label = moves.b GROUP BY read_id)
-    SELECT read_id, {_r('z - x')} AS nll FROM z JOIN own USING (read_id)"""
+    f"""WITH {PRED_SQL}, {TRUTH_SQL}, {_chain_sql('ln(sum(exp({})))')}, z AS (SELECT model, read_id, ln(sum(exp(x))) AS z FROM v{inputs.PLACES - 1} GROUP BY ALL),
+    t AS (SELECT model, read_id, pos, truth.label, lag(truth.label) OVER (PARTITION BY model, read_id ORDER BY pos) AS a, e.s FROM truth JOIN e USING (read_id, pos, label)),
+    own AS (SELECT model, read_id, sum(s + coalesce(w, 0)) AS x FROM t LEFT JOIN moves ON t.a = moves.a AND t.label = moves.b GROUP BY ALL)
+    SELECT model, read_id, {_r('z - x')} AS nll FROM z JOIN own USING (model, read_id)"""
 )
 def chain_nll(spark, sf):
     """Negative log-likelihood of the true labels under a linear chain."""
     true = inputs.truth(spark, sf).groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("pos", "label")))["label"].alias("path"))
     both = _matrices(spark, sf).join(true, "read_id")
     own = decode.path_score(F.col("scores"), F.col("path"), MOVES)
-    return both.select("read_id", (decode.log_partition(F.col("scores"), MOVES) - own).alias("nll"))
+    return both.select("model", "read_id", (decode.log_partition(F.col("scores"), MOVES) - own).alias("nll"))
 
 
 _ANCHOR = "ACCGGG"
@@ -1124,6 +1155,12 @@ def _entries(spark, sf):
     )
 
 
+def _records(spark, sf):
+    """(name, sequence) of all reads, some of them under a name that no index has."""
+    first = F.when(F.col("read_id") % 11 == 0, "other").otherwise("r")
+    return inputs.reads(spark, sf).select(F.concat(first, F.col("read_id").cast("string")).alias("name"), "sequence")
+
+
 _ENTRIES_SQL = """entries AS (SELECT 'r' || doc_id % 190 AS name, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 64 END AS length, 60 AS line_bases,
   CASE WHEN doc_id % 9 = 0 THEN 60 ELSE 61 END AS line_width FROM documents)"""
 
@@ -1137,21 +1174,21 @@ def index_issues(spark, sf):
 
 
 @query(
-    f"""WITH {_ENTRIES_SQL}, {READS_SQL}, own AS (SELECT 'r' || read_id AS name, length(sequence) AS found FROM reads WHERE read_id % 11 <> 0)
+    f"""WITH {_ENTRIES_SQL}, {READS_SQL}, own AS (SELECT CASE WHEN read_id % 11 = 0 THEN 'other' ELSE 'r' END || read_id AS name, length(sequence) AS found FROM reads)
     SELECT name, length, found FROM entries LEFT JOIN own USING (name) WHERE found IS NULL OR found <> length"""
 )
 def index_verified(spark, sf):
-    records = inputs.reads(spark, sf).filter("read_id % 11 <> 0").select(F.concat(F.lit("r"), F.col("read_id").cast("string")).alias("name"), "sequence")
+    records = _records(spark, sf)
     return fasta.verify_index(_entries(spark, sf), records)
 
 
 @query(
     f"""WITH {READS_SQL}, wanted AS (SELECT o_orderkey, 'r' || o_custkey % 300 AS name FROM orders)
-    SELECT o_orderkey, name, sequence FROM wanted LEFT JOIN (SELECT 'r' || read_id AS name, sequence FROM reads WHERE read_id % 11 <> 0) USING (name)"""
+    SELECT o_orderkey, name, sequence FROM wanted LEFT JOIN (SELECT CASE WHEN read_id % 11 = 0 THEN 'other' ELSE 'r' END || read_id AS name, sequence FROM reads) USING (name)"""
 )
 def sequences_by_name(spark, sf):
     """A sequence for every name that is asked for, null where there is none."""
-    records = inputs.reads(spark, sf).filter("read_id % 11 <> 0").select(F.concat(F.lit("r"), F.col("read_id").cast("string")).alias("name"), "sequence")
+    records = _records(spark, sf)
     orders = inputs.table(spark, sf, "orders")
     return fasta.fetch(orders.select("o_orderkey", F.concat(F.lit("r"), (F.col("o_custkey") % 300).cast("string")).alias("name")), records)
 
@@ -1219,26 +1256,234 @@ def diversity_schedule(spark, sf):
 
 
 def _label_arrays(spark, sf):
-    """(read_id, labels): each user's first forty event types in order."""
-    rows = inputs.states(spark, sf).filter("pos < 40")
-    return rows.groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("pos", "label")))["label"].alias("labels"))
-
+    """(read_id, labels): each user's event types in order."""
+    return inputs.states(spark, sf).groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("pos", "label")))["label"].alias("labels"))
 
-_EARLY_SQL = f"{STATES_SQL}, early AS (SELECT * FROM states WHERE pos < 40), {runs_sql('early')}"
 
-
-@query(f"""WITH {_EARLY_SQL} SELECT read_id, coalesce(string_agg(n, ' ' ORDER BY "start") FILTER (label = 'view'), '') AS lengths FROM runs GROUP BY read_id""")
+@query(f"""WITH {RUNS_SQL} SELECT read_id, coalesce(string_agg(n, ' ' ORDER BY "start") FILTER (label = 'view'), '') AS lengths FROM runs GROUP BY read_id""")
 def lengths_of_label(spark, sf):
     own = runs.lengths_of(runs.run_lengths(F.col("labels")), "view")
     return _label_arrays(spark, sf).select("read_id", F.array_join(F.transform(own, lambda n: n.cast("string")), " ").alias("lengths"))
 
 
-@query(f"""WITH {_EARLY_SQL} SELECT read_id, label, "start", "end" FROM runs QUALIFY row_number() OVER (PARTITION BY read_id, label ORDER BY "start" DESC) = 1""")
+@query(f"""WITH {RUNS_SQL} SELECT read_id, label, "start", "end" FROM runs QUALIFY row_number() OVER (PARTITION BY read_id, label ORDER BY "start" DESC) = 1""")
 def last_run_of_label(spark, sf):
     found = _label_arrays(spark, sf).select("read_id", F.explode(runs.last_boundaries(runs.run_lengths(F.col("labels")))).alias("label", "at"))
     return found.select("read_id", "label", "at.start", "at.end")
 
 
+# --- files, written and read again -----------------------------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    return f"{inputs.shared_dir(spark)}/readloom/{name}-{uuid.uuid4().hex}"
+
+
+def _with_quality(spark, sf):
+    """Reads named by their number, with a quality line that may start with @ or +."""
+    quality = F.translate("sequence", "ACGT", "+@IF")
+    return inputs.reads(spark, sf).select(F.col("read_id").cast("string").alias("read_id"), "sequence", quality.alias("quality"))
+
+
+@query(f"WITH {READS_SQL} SELECT read_id::VARCHAR AS read_id, sequence, translate(sequence, 'ACGT', '+@IF') AS quality FROM reads")
+def fastq_roundtrip(spark, sf):
+    """Reads written as FASTQ by all tasks and read again, in parts, from the shared store."""
+    path = _folder(spark, "fastq")
+    fastq.record_rows(_with_quality(spark, sf)).write.text(path)
+    return fastq.read_split(spark, path).drop("file")
+
+
+@query(f"WITH {READS_SQL} SELECT read_id::VARCHAR AS read_id, 'S' || read_id % 7 AS sample, sequence FROM reads")
+def fastq_by_sample(spark, sf):
+    """Reads in a folder for each sample, compressed; the sample is read from the folder's name."""
+    path = _folder(spark, "samples")
+    named = _with_quality(spark, sf).withColumn("sample_name", F.concat(F.lit("S"), (F.col("read_id").cast("long") % 7).cast("string")))
+    fastq.write_by_sample(named, path)
+    found = fastq.read_split(spark, f"{path}/*")
+    return found.select("read_id", F.regexp_extract("file", "sample=([^/]*)/", 1).alias("sample"), "sequence")
+
+
+@query(f"WITH {READS_SQL} SELECT 'r' || read_id AS name, 'r' || read_id || ' of a document' AS header, sequence FROM reads")
+def fasta_roundtrip(spark, sf):
+    path = _folder(spark, "fasta")
+    fasta.write(inputs.reads(spark, sf).select(F.concat(F.lit("r"), F.col("read_id").cast("string")).alias("name"), F.lit("of a document").alias("note"), "sequence"), path, width=23)
+    return fasta.read_split(spark, path)
+
+
+@query(
+    f"""WITH {READS_SQL}, n AS (SELECT 'r' || read_id AS name, regexp_replace(CASE WHEN read_id % 5 = 0 THEN lower(sequence) || 'xx' ELSE left(sequence, CAST(read_id % 60 AS INTEGER)) END, '', '') AS s FROM reads)
+    SELECT name, regexp_replace(upper(s), '[^ACGT]', 'N', 'g') AS sequence FROM n WHERE length(s) BETWEEN 20 AND 64"""
+)
+def transcript_filter(spark, sf):
+    k = F.col("read_id")
+    cut = F.when(k % 5 == 0, F.concat(F.lower("sequence"), F.lit("xx"))).otherwise(F.left("sequence", (k % 60).cast("int")))
+    records = inputs.reads(spark, sf).select(F.concat(F.lit("r"), k.cast("string")).alias("name"), cut.alias("sequence"))
+    return fasta.transcripts(records, 20, 64)
+
+
+@query(f"""WITH {READS_SQL} SELECT 'r' || read_id AS name, length(sequence) AS length, read_id * 65 AS "offset", 64 AS line_bases, 65 AS line_width FROM reads""")
+def index_roundtrip(spark, sf):
+    """An index written beside a FASTA file, found by the file's name, and read again."""
+    path = _folder(spark, "index")
+    rows = inputs.reads(spark, sf).select(
+        F.concat(F.lit("r"), F.col("read_id").cast("string")).alias("name"), F.length("sequence").cast("long").alias("length"),
+        (F.col("read_id") * 65).alias("offset"), F.lit(64).alias("line_bases"), F.lit(65).alias("line_width"),
+    )
+    fasta.write_index(rows, fasta.index_path(f"{path}.fa.gz"))
+    return fasta.read_index(spark, fasta.index_path(f"{path}.fa.gz")).filter("corrupt is null").drop("corrupt")
+
+
+@query(f"WITH {PWM_SQL} SELECT pos, base, {_r('prob')} AS prob FROM pwm")
+def matrix_roundtrip(spark, sf):
+    path = _folder(spark, "matrix")
+    rows = [(i, b, float(p)) for i, row in enumerate(MOTIF) for b, p in zip("ACGT", row)]
+    sinks.write_pwm(spark.createDataFrame(rows, "pos int, base string, prob double"), path)
+    return tables.read_pwm(spark, path)
+
+
+@query(
+    """WITH p AS (SELECT 'm' || s_suppkey % 3 AS model_name, s_suppkey::VARCHAR AS sequence, s_suppkey % 5 + 1 AS f FROM supplier)
+    SELECT model_name, sequence, round(f / sum(f) OVER (PARTITION BY model_name), 9) AS frequency FROM p"""
+)
+def priors_scan(spark, sf):
+    path = _folder(spark, "priors")
+    k = F.col("s_suppkey")
+    line = F.concat_ws("\t", F.concat(F.lit("m"), (k % 3).cast("string")), k.cast("string"), (k % 5 + 1).cast("string"))
+    inputs.table(spark, sf, "supplier").select(line.alias("value")).write.text(path)
+    return tables.read_priors(spark, path)
+
+
+@query(f"WITH {SHEET_SQL} SELECT CASE WHEN k % 2 = 0 THEN sample_name END AS name, cbc AS seq FROM sheet WHERE k % 3 <> 0")
+def whitelist_scan(spark, sf):
+    """Lines with and without a name, in either case, some with letters that are no code, Windows line ends."""
+    path = _folder(spark, "whitelist")
+    k = F.col("sheet_ordinal")
+    code = F.when(k % 3 == 0, F.concat(F.lit("X!"), "cbc")).otherwise(F.lower("cbc"))
+    line = F.concat(F.when(k % 2 == 0, F.concat("sample_name", F.lit("\t"))).otherwise(""), code, F.lit("\r"))
+    inputs.sheet(spark, sf).select(line.alias("value")).write.text(path)
+    return tables.read_whitelist(spark, path)
+
+
+@query(f"WITH {SHEET_SQL} SELECT cbc AS barcode FROM sheet")
+def barcode_scan(spark, sf):
+    path = _folder(spark, "barcodes")
+    inputs.sheet(spark, sf).select(F.concat(F.lit(" "), "cbc", F.lit("\r")).alias("value")).write.text(path)
+    return tables.read_barcodes(spark, path)
+
+
+@query(f"WITH {SHEET_SQL} SELECT sample_name, cbc, i5, i7 FROM sheet")
+def sheet_scan(spark, sf):
+    path = _folder(spark, "sheet")
+    sheet = inputs.sheet(spark, sf).select("sample_name", F.lower("cbc").alias("cbc"), "i5", F.concat(F.lit(" "), "i7").alias("i7"))
+    sheet.write.csv(path, header=True, ignoreLeadingWhiteSpace=False)
+    return tables.read_samples(spark, path).drop("sheet_ordinal")
+
+
+@query("SELECT n_chars::INTEGER AS n FROM documents")
+def lengths_scan(spark, sf):
+    path = _folder(spark, "lengths")
+    lines = F.explode(F.array(F.col("n_chars").cast("string"), F.lit("not a number")))
+    inputs.table(spark, sf, "documents").select(lines.alias("value")).write.text(path)
+    return tables.read_lengths(spark, path)
+
+
+@query(f"WITH {READS_SQL} SELECT sequence, length(sequence) AS labels, CASE WHEN read_id % 4 = 0 THEN 'loss' END AS error_type FROM reads")
+def labelled_roundtrip(spark, sf):
+    """Labelled reads as text with metadata, written and read again."""
+    path = _folder(spark, "labelled")
+    reads = inputs.reads(spark, sf).withColumn("error_type", F.when(F.col("read_id") % 4 == 0, "loss"))
+    sinks.labelled_rows(reads, ["error_type"]).write.text(path)
+    return tables.read_labelled(spark, path).select("sequence", F.size("labels").alias("labels"), F.try_element_at("metadata", F.lit("error_type")).alias("error_type"))
+
+
+@query(f"WITH {READS_SQL} SELECT read_id, sequence, read_id % 4 = 0 AS is_invalid FROM reads")
+def labelled_json(spark, sf):
+    """Labelled reads as JSON, one an object a line, and the same wrapped in one object with its metadata."""
+    path = _folder(spark, "json")
+    reads = inputs.reads(spark, sf).select("read_id", "sequence", "labels", (F.col("read_id") % 4 == 0).alias("is_invalid"))
+    sinks.write_reads(reads, path, "json")
+    return tables.read_labelled_json(spark, path, "read_id long, sequence string, labels array<string>, is_invalid boolean").drop("labels")
+
+
+@query(f"WITH {RUNS_SQL} SELECT read_id, count(*) AS segments, max(\"end\") AS last FROM runs GROUP BY read_id")
+def annotation_json(spark, sf):
+    """Segments of each read as JSON lines, compressed, read again."""
+    path = _folder(spark, "annotations")
+    found = runs.long_runs(inputs.states(spark, sf)).groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label"))).alias("segments"))
+    sinks.write_jsonl(found, path)
+    back = spark.read.json(path, schema="read_id long, segments array<struct<start:long,end:long,label:string>>")
+    return back.select("read_id", F.size("segments").cast("long").alias("segments"), F.array_max(F.transform("segments", lambda s: s["end"])).alias("last"))
+
+
+# --- small functions and rules ---------------------------------------------------------------------------
+
+
+@query(f"WITH {STATES_SQL}, v AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS k FROM (SELECT DISTINCT label FROM states)) SELECT read_id, pos, list_transform(range(5), lambda i: CASE WHEN i = k THEN 1 ELSE 0 END)::VARCHAR AS hot FROM states JOIN v USING (label)")
+def one_hot(spark, sf):
+    codes = seq.map_lookup({x: str(i) for i, x in enumerate(("click", "error", "purchase", "signup", "view"))}, F.col("label"), "-1").cast("int")
+    hot = seq.one_hot(F.array(codes), 5)[0]
+    return inputs.states(spark, sf).select("read_id", "pos", F.concat(F.lit("["), F.array_join(hot.cast("array<string>"), ", "), F.lit("]")).alias("hot"))
+
+
+@query(f"WITH {SHEET_SQL} SELECT i7 || '+' || i5 || '+' || cbc AS barcode, sample_name FROM sheet")
+def barcode_keys(spark, sf):
+    return inputs.sheet(spark, sf).select(seq.barcode_key(F.col("i7"), F.col("i5"), F.col("cbc")).alias("barcode"), "sample_name")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'red' WHEN 'view' THEN 'blue' ELSE 'grey' END AS colour FROM events")
+def colour_lookup(spark, sf):
+    return inputs.table(spark, sf, "events").select("event_id", seq.map_lookup({"click": "red", "view": "blue"}, F.col("event_type"), "grey").alias("colour"))
+
+
+@query(
+    f"""WITH {READS_SQL}, r AS (SELECT read_id, CASE WHEN read_id % 6 = 0 THEN '' WHEN read_id % 6 = 1 THEN sequence || '-' ELSE sequence END AS s FROM reads)
+    SELECT read_id, s <> '' AND regexp_full_match(s, '[ACGTN]*') AS valid FROM r"""
+)
+def sequence_validity(spark, sf):
+    k = F.col("read_id")
+    s = F.when(k % 6 == 0, "").when(k % 6 == 1, F.concat("sequence", F.lit("-"))).otherwise(F.col("sequence"))
+    return inputs.reads(spark, sf).select("read_id", demux.valid_sequence(s).alias("valid"))
+
+
+@query(f"WITH {READS_SQL} SELECT read_id FROM reads WHERE read_id % 4 <> 0 AND read_id % 3 <> 0")
+def valid_reads(spark, sf):
+    """Reads that aren't marked invalid and whose labels are as long as their sequence."""
+    k = F.col("read_id")
+    marked = inputs.reads(spark, sf).select(
+        "read_id", "sequence", F.when(k % 3 == 0, F.slice("labels", 1, 10)).otherwise(F.col("labels")).alias("labels"), F.when(k % 4 == 0, True).alias("is_invalid")
+    )
+    return demux.valid_reads(marked).select("read_id")
+
+
+@query(f"WITH {RUNS_SQL}, {BOUNDS_SQL} SELECT read_id, label, \"start\", n < min_len AS short, n > max_len AS long FROM runs JOIN bounds USING (label) WHERE n < min_len OR n > max_len")
+def length_violations(spark, sf):
+    found = runs.long_runs(inputs.states(spark, sf)).withColumn("n", F.col("end") - F.col("start"))
+    return decode.length_violations(found, spark.createDataFrame(BOUNDS, "label string, min_len int, max_len int")).select("read_id", "label", "start", "short", "long")
+
+
+@query("SELECT event_type AS error_type, count(*) AS n, count(*) / (SELECT count(*) FROM events) AS share FROM events WHERE event_type <> 'view' GROUP BY event_type")
+def error_histogram(spark, sf):
+    kinds = inputs.table(spark, sf, "events").select(F.when(F.col("event_type") != "view", F.col("event_type")).alias("error_type"))
+    return evaluate.error_histogram(kinds)
+
+
+@query(
+    f"""WITH {PRED_SQL}, {WEIGHTS_SQL}, m AS (SELECT read_id, pos, label, sum(weight * p) / sum(weight) AS mean, sum(weight * p * p) / sum(weight) AS square FROM pred JOIN weights USING (model) GROUP BY ALL)
+    SELECT read_id, pos, label, {_r('greatest(square - mean * mean, 0)')} AS variance FROM m"""
+)
+def posterior_variance(spark, sf):
+    return ensemble.posterior_variance(inputs.predictions(spark, sf), _weights(spark))
+
+
+@query(
+    f"""WITH {ROUNDED_SQL} SELECT read_id, pos, max({{'p': p, 'a': -label}}).a * -1 AS label, round(max(p), 6) AS p, round(-sum(p * ln(p + 1e-10)), 6) AS entropy FROM combined GROUP BY ALL"""
+)
+def ensemble_predict(spark, sf):
+    """Models combined, the winning label with its probability, and the entropy of the place, in one call."""
+    found = ensemble.predict(inputs.predictions(spark, sf), _weights(spark))
+    return found.select("read_id", "pos", "label", F.round("p", 6).alias("p"), F.round("entropy", 6).alias("entropy"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

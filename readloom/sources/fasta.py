@@ -74,6 +74,24 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(F.split_part(header, F.lit(" "), F.lit(1)).alias("name"), header.alias("header"), seq.alias("sequence"))
 
 
+def write(records_: DataFrame, path: str, width: int = 60) -> None:
+    """Records (name, note, sequence) as FASTA, lines of ``width`` bases."""
+    head = F.concat(F.lit(">"), F.concat_ws(" ", "name", "note"))
+    lines = F.regexp_replace("sequence", rf"(.{{{width}}})(?=.)", "$1\n")
+    records_.select(F.concat_ws("\n", head, lines).alias("value")).write.mode("overwrite").text(path)
+
+
+def index_path(path: str) -> str:
+    """Where the index of a FASTA file is looked for: its name without ``.gz``, and ``.fai``."""
+    return path.removesuffix(".gz") + ".fai"
+
+
+def write_index(entries: DataFrame, path: str) -> None:
+    """Index rows as lines of five columns."""
+    columns = ("name", "length", "offset", "line_bases", "line_width")
+    entries.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in columns]).alias("value")).write.mode("overwrite").text(path)
+
+
 def index(records_: DataFrame) -> DataFrame:
     """The index rows of FASTA records; empty sequences have none."""
     n = F.length("sequence").cast("long")

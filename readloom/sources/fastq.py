@@ -65,27 +65,63 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["read_id", "sequence", "quality", "file"])
 
 
+#: Parts of input files whose line counts may be sent to every task (about 200 bytes each).
+MOST_PARTS = 500_000
+
+
 def read_split(spark: SparkSession, path: str) -> DataFrame:
-    """The same columns, from any store and split within large files: records are cut at their plus lines.
+    """The same columns, from any store that Spark reads, large files in parts; no read is shuffled.
 
-    A record spans four lines, and a quality line may start with @ or +. Text is read with the sequence as the
-    anchor: the record separator is a line of a plus, which leaves sequence before it and quality behind it.
+    Lines of each part of a file are counted first, a number a part; so each line's number in its file is known and
+    with it its place in a four-line record, whatever it starts with. Records are put together where their
+    lines are read; only those that a part's border cuts are brought together. A record that isn't one raises.
     """
-    parts = spark.read.option("lineSep", "\n+").text(path)
-    # each part is: quality of the record before, then head and sequence of the next one; order within a file
-    # matters, so whole-file reading stays the choice for files with free text after the plus
-    tagged = parts.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"), "value")
-    order = Window.partitionBy("file").orderBy("n")
-    rows = F.split("value", "\r?\n")
-    after = F.split(F.lead("value").over(order), "\r?\n")
-    named = tagged.select("file", rows.alias("own"), after.alias("after")).filter("after is not null")
-    head, seq = F.try_element_at("own", F.lit(-2)), F.try_element_at("own", F.lit(-1))
-    return named.select(
-        F.split_part(F.substring(head, F.lit(2), F.length(head)), F.lit(" "), F.lit(1)).alias("read_id"),
-        F.rtrim(seq).alias("sequence"),
-        F.try_element_at("after", F.lit(2)).alias("quality"),
-        "file",
-    )
+    def rows() -> DataFrame:
+        return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), "value")
+
+    counts = rows().groupBy("file", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    places = counts.select("file", "part", before.alias("first")).limit(MOST_PARTS + 1).collect()
+    if len(places) > MOST_PARTS:
+        raise ValueError(f"more than {MOST_PARTS} parts of files; read them in several calls")
+    sent = spark.sparkContext.broadcast({(r["file"], r["part"]): r["first"] for r in places})
+
+    def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: dict[tuple[str, int], int] = {}  # the next line of each part: a part's lines come in order, to one task
+        held: dict[tuple[str, int], dict[int, str]] = {}
+        for batch in batches:
+            done: list[tuple] = []
+            for file, part, value in zip(*(batch.column(c).to_pylist() for c in ("file", "part", "value"))):
+                line = at.get((file, part), sent.value[file, part])
+                at[file, part] = line + 1
+                record = held.setdefault((file, line // 4), {})
+                record[line % 4] = value.rstrip("\r")
+                if len(record) == 4:
+                    done.append((file, line // 4, *(record[i] for i in range(4))))
+                    del held[file, line // 4]
+            if done:
+                yield _lines_batch(done)
+        if held:
+            yield _lines_batch([(file, n, *(record.get(i) for i in range(4))) for (file, n), record in held.items()])
+
+    found = rows().mapInArrow(assembled, "file string, record long, head string, seq string, plus string, qual string")
+    whole = F.col("head").isNotNull() & F.col("seq").isNotNull() & F.col("plus").isNotNull() & F.col("qual").isNotNull()
+    cut = found.filter(~whole).groupBy("file", "record").agg(*[F.max(c).alias(c) for c in ("head", "seq", "plus", "qual")])
+    every = found.filter(whole).unionByName(cut).filter(F.coalesce(F.concat_ws("", "head", "seq", "plus", "qual"), F.lit("")) != "")
+    fine = F.startswith("head", F.lit("@")) & F.startswith("plus", F.lit("+")) & (F.length("seq") == F.length("qual"))
+    refused = F.raise_error(F.concat(F.lit("not a FASTQ record: "), F.left(F.coalesce("head", F.lit("")), F.lit(80)))).cast("string")
+    name = F.regexp_extract("head", r"^@(\S*)", 1)
+    return every.select(F.when(F.coalesce(fine, F.lit(False)), name).otherwise(refused).alias("read_id"), F.col("seq").alias("sequence"), F.col("qual").alias("quality"), "file")
+
+
+def _lines_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), *[pa.string()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["file", "record", "head", "seq", "plus", "qual"])
+
+
+def record_rows(reads: DataFrame) -> DataFrame:
+    """(value): the four lines of each read."""
+    return reads.select(F.concat_ws("\n", F.concat(F.lit("@"), F.col("read_id").cast("string")), "sequence", F.lit("+"), "quality").alias("value"))
 
 
 def write_by_sample(reads: DataFrame, path: str, compress: bool = True) -> None:

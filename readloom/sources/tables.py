@@ -83,3 +83,17 @@ def read_labelled(spark: SparkSession, path: str) -> DataFrame:
 def read_lengths(spark: SparkSession, path: str) -> DataFrame:
     """Whole numbers, one a line; other lines are skipped."""
     return spark.read.text(path).select(F.trim("value").try_cast("int").alias("n")).filter("n is not null")
+
+
+def read_labelled_json(spark: SparkSession, path: str, schema: str, wrapped: bool = False) -> DataFrame:
+    """Labelled reads of JSON lines, an object a read; ``wrapped``: files that are one object with ``reads`` and ``metadata``."""
+    if not wrapped:
+        return spark.read.json(path, schema=schema)
+    whole = spark.read.json(path, schema=f"reads array<struct<{', '.join(_typed(schema))}>>", multiLine=True)
+    return whole.select(F.inline("reads"))
+
+
+def _typed(schema: str) -> list[str]:
+    from pyspark.sql.types import StructType
+
+    return [f"`{f.name}`: {f.dataType.simpleString()}" for f in StructType.fromDDL(schema)]
