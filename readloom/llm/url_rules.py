@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from readloom.llm.common import free_name
 
 #: URL keys of one host suffix that are swept together, about.
-SHARD = 100_000
+SHARD = 25_000
+#: Host suffixes of rules (about 50 bytes each) that may be sent to every task; more are joined by shuffle.
+SENT_SUFFIXES = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -85,7 +87,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     """
     slash = F.instr("rule", "/")
     labels = F.max(F.size(F.split(F.substring_index("rule", "/", 1), r"\.")))
-    endless, most = rules.agg(F.min(F.when(slash == 0, F.col("rule"))), labels).first()
+    endless, most, n_rules = rules.agg(F.min(F.when(slash == 0, F.col("rule"))), labels, F.count("*")).first()
     if endless is not None:
         raise ValueError(f"a rule is a host, a slash and the start of a path: {endless!r}")
     stacks = _stacks(rules)
@@ -97,9 +99,13 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     parts = F.reverse(F.split("_host", r"\."))
     suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(most or 1))), lambda n: F.array_join(F.slice(parts, 1, n), "."))
     keys = urls.select("_url", "_path", F.explode(suffixes).alias("host_key"))
-    keys = keys.join(stacks.select("host_key").distinct(), "host_key", "left_semi")
+
+    def small(side: DataFrame) -> DataFrame:  # a rule has one suffix, so a hot one isn't shuffled for the few there are
+        return F.broadcast(side) if n_rules <= SENT_SUFFIXES else side
+
+    keys = keys.join(small(stacks.select("host_key").distinct()), "host_key", "left_semi")
     splits = keys.groupBy("host_key").agg(F.ceil(F.count("*") / shard).cast("int").alias("splits"))
-    keys = keys.join(splits, "host_key").select(
+    keys = keys.join(small(splits), "host_key").select(
         "host_key",
         F.pmod(F.xxhash64("_url"), F.col("splits")).cast("int").alias("split"),
         F.concat("host_key", "_path").alias("key"),

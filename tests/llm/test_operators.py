@@ -208,8 +208,10 @@ def test_url_rules_of_empty_tables(spark):
             url_rules.judge(pages, url_rules.rule_table(spark, [("block", bare), ("allow", "com/")]))
 
 
-def test_many_rules_and_a_hot_suffix(spark):
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_many_rules_and_a_hot_suffix(spark, monkeypatch, sent):
     """Thousands of rules, and a top level that holds nearly all URLs: nothing but its own rules is copied."""
+    monkeypatch.setattr(url_rules, "SENT_SUFFIXES", sent)
     rules = [("block", f"site{i}.com/p{i % 7}/") for i in range(3_000)] + [("allow", "com/"), ("block", "com/hot/")]
     urls = [f"http://a{i}.site{i}.com/p{i % 9}/x" for i in range(1_500)] + [f"http://x{i}.com/hot/{i}" for i in range(1_500)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
