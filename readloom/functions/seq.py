@@ -158,6 +158,12 @@ def map_lookup(values: Mapping[str, str], key: Column, default: str) -> Column:
     return F.coalesce(F.try_element_at(table, key), F.lit(default))
 
 
+def folded_lookup(values: Mapping[str, str], key: Column) -> Column:
+    """The value of a key as it is, else of its upper case, else of its lower case; else null. Empty values count as none."""
+    table = F.create_map(*[F.lit(x) for item in values.items() if item[1] for x in item]) if any(values.values()) else F.lit(None).cast("map<string,string>")
+    return F.coalesce(*[F.try_element_at(table, k) for k in (key, F.upper(key), F.lower(key))])
+
+
 def temperature_from_threshold(threshold: Column) -> Column:
     return 2.5 - 2 * threshold
 

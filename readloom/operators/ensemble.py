@@ -7,6 +7,7 @@ normalisation over a place's labels is a second one, of one row a label.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -247,6 +248,22 @@ def isotonic(rows: DataFrame, p: str = "p", hit: str = "hit"):
     return apply
 
 
+def calibrate_labels(predictions: DataFrame, truth: DataFrame, labels: list[int], way: str = "isotonic") -> DataFrame:
+    """Predictions (read_id, pos, label, p) calibrated one label against the rest, then made to add up to 1 at each place.
+
+    A place whose labels all come out as 0 gets equal shares. A fit is made for each of the few labels.
+    """
+    if way not in ("isotonic", "platt"):
+        raise ValueError(f"no such calibration: {way}")
+    both = predictions.join(truth.select(*PLACE, F.col("label").alias("truth")), [*PLACE]).withColumn("hit", F.col("label") == F.col("truth"))
+    fit = isotonic if way == "isotonic" else platt
+    parts = [fit(both.filter(F.col("label") == k))(predictions.filter(F.col("label") == k)).select(*PLACE, "label", "p") for k in labels]
+    rows = reduce(DataFrame.union, parts)
+    own = Window.partitionBy(*PLACE)
+    total = F.sum("p").over(own)
+    return rows.withColumn("p", F.when(total > 0, F.col("p") / total).otherwise(1 / F.count("*").over(own)))
+
+
 def temperatures(predictions: DataFrame, truth: DataFrame, low: float = 0.1, high: float = 10.0, steps: int = 100) -> DataFrame:
     """(temperature, nll) over a grid of temperatures, in one pass over the data: a grid row costs a column, not a scan."""
     grid = [low * (high / low) ** (i / (steps - 1)) for i in range(steps)]

@@ -49,6 +49,20 @@ def weighted_scores(classes: DataFrame) -> DataFrame:
     return classes.agg(F.coalesce(F.try_divide(F.sum("tp").cast("double"), w), F.lit(0.0)).alias("accuracy"), *means)
 
 
+def report(pairs: DataFrame, pad: str | int | None = None) -> DataFrame:
+    """(segment, metric, value): each segment's precision, recall, F1 and support, and the weighted scores as segment null."""
+    classes = per_class(pairs, pad)
+    own = _long(classes.select(F.col("class").cast("string").alias("segment"), "precision", "recall", "f1", "support"))
+    return own.union(_long(weighted_scores(classes).select(F.lit(None).cast("string").alias("segment"), "accuracy", "precision", "recall", "f1")))
+
+
+def _long(rows: DataFrame) -> DataFrame:
+    """A row for each column but the first, which is kept."""
+    first, *metrics = rows.columns
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+    return rows.select(first, F.explode(cells).alias("x")).select(first, "x.*")
+
+
 def matched_runs(truth: DataFrame, found: DataFrame, tolerance: int = 2) -> DataFrame:
     """True runs (read_id, label, start, end) of which a found run of the same label has both ends within ``tolerance``.
 
@@ -125,6 +139,25 @@ def degradation(accuracies: DataFrame, baseline: str = "valid") -> DataFrame:
     return accuracies.select("variant", "accuracy", (base - F.col("accuracy")).alias("degradation"), F.try_divide(F.col("accuracy"), base).alias("ratio"))
 
 
+def robustness_findings(
+    accuracies: DataFrame, least: float = 0.7, by_variant: Mapping[str, float] | None = None, groups: Mapping[str, float] | None = None
+) -> DataFrame:
+    """(rule, name, accuracy, least): what of a table (variant, accuracy) falls below its bound.
+
+    ``worst``: the variant with the least accuracy, against ``least``; ``variant``: variants with a bound of their
+    own; ``group``: the mean of all variants whose name begins with a prefix.
+    """
+    worst = accuracies.agg(F.min(F.struct("accuracy", "variant")).alias("x")).select(F.lit("worst").alias("rule"), F.col("x.variant").alias("name"), F.col("x.accuracy").alias("accuracy"), F.lit(least).alias("least"))
+    found = worst
+    for name, bound in (by_variant or {}).items():
+        own = accuracies.filter(F.col("variant") == name)
+        found = found.union(own.select(F.lit("variant"), "variant", "accuracy", F.lit(bound)))
+    for prefix, bound in (groups or {}).items():
+        own = accuracies.filter(F.startswith("variant", F.lit(prefix))).agg(F.avg("accuracy").alias("accuracy"))
+        found = found.union(own.select(F.lit("group"), F.lit(prefix), "accuracy", F.lit(bound)))
+    return found.filter(F.col("accuracy") < F.col("least"))
+
+
 def robustness_extremes(rows: DataFrame) -> DataFrame:
     """One row: the segments whose accuracy varies least and most over variants (sample variance)."""
     v = rows.groupBy("segment").agg(F.var_samp("accuracy").alias("v"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions.seq import confidence, reverse_complement
@@ -44,6 +44,28 @@ def demultiplex(reads: DataFrame, sheet: DataFrame, settings: DemuxSettings = De
     return Demultiplexed(assigned, demux.statistics(assigned), demux.issues(found))
 
 
+def validate_fastq(spark: SparkSession, path: str, predictions: DataFrame, settings: DemuxSettings = DemuxSettings()) -> DataFrame:
+    """Reads of FASTQ files with the labels predicted for them, and their validation, as one lazy plan.
+
+    ``predictions``: read_id (as in the files) and labels, perhaps scores. A read without a prediction is invalid.
+    """
+    s = settings
+    found = demux.extract(fastq.read_split(spark, path).join(predictions, "read_id", "left"))
+    names = F.transform(F.coalesce("segments", F.array().cast(found.schema["segments"].dataType)), lambda x: x["label"])
+    valid = demux.validate(names, s.expected, s.required, s.optional, s.least_match, s.reverse, s.strict)
+    if "scores" in predictions.columns:
+        valid = demux.threshold(valid, F.coalesce(confidence(F.col("scores"), F.length("sequence"), s.scores), F.lit(0.0)), s.least_confidence)
+    return found.withColumn("_v", valid).select("*", "_v.classification", "_v.orientation", "_v.issues").drop("_v")
+
+
+def write_validated(reads: DataFrame, path: str, valid: bool = True, invalid: bool = False) -> None:
+    """Valid reads and, if asked for, the others (ambiguous ones too) as FASTQ, each in a folder of its own."""
+    good = F.col("classification") == "valid"
+    for wanted, rows, name in ((valid, good, "valid"), (invalid, ~good, "invalid")):
+        if wanted:
+            fastq.record_rows(reads.filter(rows)).write.mode("overwrite").text(f"{path}/{name}")
+
+
 def write(result: Demultiplexed, path: str, compress: bool = True) -> None:
     """FASTQ by sample (reads with a quality), annotations as JSON lines, statistics as JSON."""
     reads = result.reads.persist()

@@ -36,5 +36,14 @@ class DemuxSettings:
     def read(cls, text: str) -> DemuxSettings:
         return cls.of(json.loads(text))
 
+    @classmethod
+    def read_yaml(cls, text: str) -> DemuxSettings:
+        """Settings as YAML, where a YAML library is installed; only plain values are built."""
+        try:
+            import yaml
+        except ImportError as error:
+            raise ValueError("settings as YAML need a YAML library; write them as JSON") from error
+        return cls.of(yaml.safe_load(text) or {})
+
     def write(self) -> str:
         return json.dumps(asdict(self), indent=2)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from readloom.functions import seq
 from readloom.operators import decode, demux, ensemble, evaluate, motif, runs, simulate
 from readloom.plans import inputs
+from readloom.plans.demultiplex import validate_fastq, write_validated
+from readloom.plans.settings import DemuxSettings
 from readloom.sources import fasta, fastq, sinks, tables
 from readloom.streaming import demux_stream
 
@@ -440,7 +442,24 @@ def sheet_checks(spark, sf):
 _ARCH = {"click": "UMI", "error": "XX", "purchase": "ACC", "signup": "CBC", "view": "cDNA"}
 
 
-@query()
+def _kept_sql(orders: str) -> str:
+    """The longest common subsequence of a word and an order of few letters: the longest subset that the word holds in order."""
+    from itertools import combinations
+
+    cases = []
+    for n in range(len(orders), 0, -1):
+        patterns = " OR ".join(f"regexp_matches(s, '{'.*'.join(c)}')" for c in combinations(orders, n))
+        cases.append(f"WHEN {patterns} THEN {n}")
+    return f"CASE {' '.join(cases)} ELSE 0 END"
+
+
+@query(
+    f"""WITH {RUNS_SQL}, w AS (SELECT read_id, string_agg(CASE label WHEN 'click' THEN 'U' WHEN 'purchase' THEN 'A' WHEN 'signup' THEN 'C' WHEN 'view' THEN 'D' ELSE 'X' END, '' ORDER BY "start") AS s FROM runs GROUP BY read_id),
+    k AS (SELECT read_id, s, CASE WHEN {_kept_sql('UDC')} / 3 >= 0.6 THEN 'forward' WHEN {_kept_sql('CDU')} / 3 >= 0.6 THEN 'reverse' ELSE 'unknown' END AS orientation, {_kept_sql('UADC')} / 4 AS order_score FROM w),
+    i AS (SELECT *, NOT contains(s, 'C') AS c, NOT contains(s, 'U') AS u, contains(s, 'X') AS x, orientation = 'unknown' AS o FROM k)
+    SELECT read_id, CASE WHEN c OR u OR o THEN 'invalid' WHEN x THEN 'ambiguous' ELSE 'valid' END AS classification, orientation,
+      concat_ws(';', CASE WHEN c THEN 'missing:CBC' END, CASE WHEN u THEN 'missing:UMI' END, CASE WHEN o THEN 'order' END, CASE WHEN x THEN 'unexpected:XX' END) AS issues, order_score FROM i"""
+)
 def architecture_validate(spark, sf):
     """Each user's runs, named as segments, held against an expected order (LCS fold)."""
     named = inputs.states(spark, sf).withColumn("label", seq.map_lookup(_ARCH, F.col("label"), "XX"))
@@ -1484,6 +1503,88 @@ def ensemble_predict(spark, sf):
     return found.select("read_id", "pos", "label", F.round("p", 6).alias("p"), F.round("entropy", 6).alias("entropy"))
 
 
+# --- reports ---------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {READS_SQL}, h AS (SELECT * FROM reads ORDER BY read_id LIMIT 100) SELECT 'error_type' AS kind, 'loss' AS name, count(*) AS n FROM h WHERE read_id % 4 = 0
+    UNION ALL SELECT 'label', name, n * (SELECT count(*) FROM h) FROM (VALUES {', '.join(f"('{name}', {end - start})" for name, start, end in inputs.LAYOUT)}) l(name, n)"""
+)
+def preview_counts(spark, sf):
+    """Error types and labels of the first hundred reads."""
+    return sinks.preview_counts(inputs.reads(spark, sf).withColumn("error_type", F.when(F.col("read_id") % 4 == 0, "loss")), 100)
+
+
+@query(
+    f"""WITH {CLASSES_SQL}, w AS (SELECT sum(tp) / sum(support) AS accuracy, sum("precision" * support) / sum(support) AS "precision", sum(recall * support) / sum(support) AS recall, sum(f1 * support) / sum(support) AS f1 FROM rated)
+    SELECT segment, metric, {_r('value')} AS value FROM (
+      SELECT class AS segment, unnest(['precision', 'recall', 'f1', 'support']) AS metric, unnest(["precision", recall, f1, support::DOUBLE]) AS value FROM rated
+      UNION ALL SELECT NULL, unnest(['accuracy', 'precision', 'recall', 'f1']), unnest([accuracy, "precision", recall, f1]) FROM w)"""
+)
+def evaluation_report(spark, sf):
+    """Scores by segment and in all as rows, written as JSON lines and read again."""
+    path = _folder(spark, "report")
+    sinks.write_report(evaluate.report(inputs.pairs(spark, sf)), path)
+    return spark.read.json(path, schema="segment string, metric string, value double")
+
+
+@query(
+    f"""WITH {PAIRS_SQL}, a AS (SELECT CASE WHEN read_id % 4 = 0 THEN 'valid' ELSE 'v' || read_id % 4 END AS variant, avg((truth = label)::INT) AS accuracy FROM pairs GROUP BY ALL),
+    f AS (SELECT 'worst' AS rule, arg_min(variant, accuracy) AS name, min(accuracy) AS accuracy, 0.7::DOUBLE AS least FROM a
+      UNION ALL SELECT 'variant', variant, accuracy, 0.8 FROM a WHERE variant = 'v2' UNION ALL SELECT 'group', 'v', avg(accuracy), 0.75 FROM a)
+    SELECT rule, name, {_r('accuracy')} AS accuracy, {_r('least')} AS least FROM f WHERE accuracy < least"""
+)
+def robustness_report(spark, sf):
+    return evaluate.robustness_findings(_accuracies(spark, sf, "variant"), 0.7, {"v2": 0.8}, {"v": 0.75})
+
+
+@query(
+    f"""WITH {PRED_SQL}, {WEIGHTS_SQL}, m AS (SELECT read_id, pos, label, sum(weight * p) / sum(weight) AS mean, sum(weight * p * p) / sum(weight) AS square FROM pred JOIN weights USING (model) GROUP BY ALL)
+    SELECT 'weight' AS kind, model AS name, {_r('weight')} AS value FROM weights UNION ALL SELECT 'evidence', model, {_r('ln(weight)')} FROM weights
+    UNION ALL SELECT 'variance', label::VARCHAR, round(sum(greatest(square - mean * mean, 0)), 6) FROM m GROUP BY label"""
+)
+def ensemble_results(spark, sf):
+    """Weights, evidences and variances of an ensemble, written to one folder and read again."""
+    path = _folder(spark, "ensemble")
+    weights = _weights(spark)
+    evidences = weights.select("model", F.log("weight").alias("evidence"))
+    sinks.write_ensemble(weights, evidences, path, ensemble.posterior_variance(inputs.predictions(spark, sf), weights))
+    own = spark.read.json(f"{path}/weights", schema="model string, weight double").select(F.lit("weight").alias("kind"), F.col("model").alias("name"), F.col("weight").alias("value"))
+    seen = spark.read.json(f"{path}/evidences", schema="model string, evidence double").select(F.lit("evidence"), "model", "evidence")
+    spread = spark.read.parquet(f"{path}/variance").groupBy("label").agg(F.round(F.sum("variance"), 6).alias("v")).select(F.lit("variance"), F.col("label").cast("string"), "v")
+    return own.union(seen).union(spread)
+
+
+@query(
+    f"""WITH {READS_SQL} SELECT CASE WHEN read_id % 5 = 0 THEN 'invalid' ELSE 'valid' END AS kind, read_id::VARCHAR AS read_id, sequence, translate(sequence, 'ACGT', '+@IF') AS quality FROM reads"""
+)
+def fastq_validate(spark, sf):
+    """Reads of FASTQ files joined with predicted labels, validated, written as valid and other reads, and read again."""
+    path = _folder(spark, "validate")
+    fastq.record_rows(_with_quality(spark, sf)).write.text(f"{path}/given")
+    k = F.col("read_id")
+    labels = F.when(k % 10 == 0, F.slice("labels", 1, 20)).otherwise(F.col("labels"))
+    predicted = inputs.reads(spark, sf).filter(k % 10 != 5).select(k.cast("string").alias("read_id"), labels.alias("labels"))
+    settings = DemuxSettings(expected=tuple(name for name, _, _ in inputs.LAYOUT), required=("CBC",), optional=())
+    write_validated(validate_fastq(spark, f"{path}/given", predicted, settings), path, invalid=True)
+    parts = [fastq.read_split(spark, f"{path}/{kind}").select(F.lit(kind).alias("kind"), "read_id", "sequence", "quality") for kind in ("valid", "invalid")]
+    return parts[0].union(parts[1])
+
+
+@query()
+def isotonic_by_label(spark, sf):
+    """Combined probabilities calibrated one label against the rest; tests hold it against pooled neighbours."""
+    combined = ensemble.average(inputs.predictions(spark, sf), _weights(spark)).select("read_id", "pos", "label", F.round("p", 12).alias("p"))
+    return ensemble.calibrate_labels(combined, inputs.truth(spark, sf), list(range(inputs.CLASSES)))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'c' WHEN 'view' THEN 'V' WHEN 'signup' THEN 's' END AS source FROM events")
+def folded_lookup(spark, sf):
+    """Keys in other cases than the table's; a key that it lacks has no value, nor has one whose value is empty."""
+    key = F.when(F.col("event_type") == "click", "CLICK").otherwise(F.initcap("event_type"))
+    return inputs.table(spark, sf, "events").select("event_id", seq.folded_lookup({"click": "c", "VIEW": "V", "Signup": "s", "error": ""}, key).alias("source"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

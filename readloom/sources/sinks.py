@@ -76,7 +76,7 @@ def write_reads(reads: DataFrame, path: str, kind: str = "parquet", compress: bo
 
 
 def preview(reads: DataFrame, k: int = 1000) -> DataFrame:
-    """One row over the first k reads: counts, error types, length statistics and label counts."""
+    """One row over the first k reads: counts and length statistics; ``preview_counts`` has types and labels."""
     head = reads.orderBy("read_id").limit(k)
     n = F.length("sequence")
     return head.agg(
@@ -86,3 +86,34 @@ def preview(reads: DataFrame, k: int = 1000) -> DataFrame:
         F.min(n).alias("shortest"),
         F.max(n).alias("longest"),
     )
+
+
+def preview_counts(reads: DataFrame, k: int = 1000) -> DataFrame:
+    """(kind, name, n) over the first k reads: how many have an error type, and how many places have a label."""
+    head = reads.orderBy("read_id").limit(k)
+    types = F.when(F.col("error_type").isNotNull(), F.array("error_type")).otherwise(F.array().cast("array<string>"))
+    found = F.concat(
+        F.transform(types, lambda x: F.struct(F.lit("error_type").alias("kind"), x.alias("name"))),
+        F.transform(F.coalesce("labels", F.array().cast("array<string>")), lambda x: F.struct(F.lit("label").alias("kind"), x.alias("name"))),
+    )
+    return head.select(F.explode(found).alias("x")).groupBy("x.kind", "x.name").agg(F.count("*").alias("n"))
+
+
+def write_report(report: DataFrame, path: str, kind: str = "json") -> None:
+    """Rows of a report as JSON lines, as a table with a header, or as Parquet."""
+    if kind == "json":
+        write_jsonl(report, path, compress=False)
+    elif kind == "csv":
+        report.write.mode("overwrite").csv(path, header=True)
+    elif kind == "parquet":
+        report.write.mode("overwrite").parquet(path)
+    else:
+        raise ValueError(f"no such format: {kind}")
+
+
+def write_ensemble(weights: DataFrame, evidences: DataFrame, path: str, variance: DataFrame | None = None) -> None:
+    """An ensemble's results in one folder: weights and evidences as JSON lines, variances, a row a place and label, as Parquet."""
+    write_jsonl(weights, f"{path}/weights", compress=False)
+    write_jsonl(evidences, f"{path}/evidences", compress=False)
+    if variance is not None:
+        variance.write.mode("overwrite").parquet(f"{path}/variance")
