@@ -121,11 +121,16 @@ def _entropy(p: Column) -> Column:
 
 
 def uncertainty(predictions: DataFrame, combined: DataFrame) -> DataFrame:
-    """(read_id, pos, entropy, disagreement, epistemic, aleatoric)."""
+    """(read_id, pos, entropy, disagreement, epistemic, aleatoric); the last is the mean entropy of the models at a place.
+
+    Predictions are dealt by place once; groupings by label and by place both keep to that.
+    """
     total = combined.groupBy(*PLACE).agg(_entropy(F.col("p")).alias("entropy"))
-    spread = predictions.groupBy(*PLACE, "label").agg(F.stddev_pop("p").alias("s")).groupBy(*PLACE).agg(F.avg("s").alias("disagreement"))
-    own = predictions.groupBy("model", *PLACE).agg(_entropy(F.col("p")).alias("h")).groupBy(*PLACE).agg(F.avg("h").alias("aleatoric"))
-    return total.join(spread, [*PLACE]).join(own, [*PLACE]).withColumn("epistemic", F.col("entropy") - F.col("aleatoric"))
+    cells = predictions.repartition(*PLACE).groupBy(*PLACE, "label")
+    cells = cells.agg(F.stddev_pop("p").alias("s"), _entropy(F.col("p")).alias("h"), F.collect_set("model").alias("models"))
+    n = F.size(F.array_distinct(F.flatten(F.collect_list("models"))))  # each list holds the few models only
+    own = cells.groupBy(*PLACE).agg(F.avg("s").alias("disagreement"), (F.sum("h") / n).alias("aleatoric"))
+    return total.join(own, [*PLACE]).withColumn("epistemic", F.col("entropy") - F.col("aleatoric"))
 
 
 def posterior_variance(predictions: DataFrame, weights: DataFrame) -> DataFrame:
