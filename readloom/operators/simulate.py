@@ -285,12 +285,6 @@ def transcripts(spark: SparkSession, n: int, seed: int, low: int = 200, high: in
     return rows.select("id", random_bases(size, seed, F.col("id"), "transcript").alias("seq"))
 
 
-def capped(rows: DataFrame, per_file: int, in_all: int, order: str = "read_id") -> DataFrame:
-    """The first ``per_file`` rows of each file, ``in_all`` of them together; both are what is asked for."""
-    first = Window.partitionBy("file").orderBy(order)
-    return rows.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_file).drop("_n").orderBy("file", order).limit(in_all)
-
-
 def schedule(n: int, kind: str = "increasing", seed: int = 0) -> Column:
     """Diversity of the read with a given ``read_id`` out of n: rising or falling between 0.5 and 2, drawn, or 1."""
     share = F.col("read_id") / max(1, n)
@@ -300,14 +294,3 @@ def schedule(n: int, kind: str = "increasing", seed: int = 0) -> Column:
         "random": 0.5 + 1.5 * uniform(seed, F.col("read_id"), "diversity"),
         "constant": F.lit(1.0),
     }[kind]
-
-
-def split(reads: DataFrame, n: int, fraction: float) -> tuple[DataFrame, DataFrame]:
-    """The first int(n * fraction) reads and the rest, by their number."""
-    border = int(n * fraction)
-    return reads.filter(F.col("read_id") < border), reads.filter(F.col("read_id") >= border)
-
-
-def hash_sample(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """n rows without replacement, always the same ones: the least hashes, kept by a bounded top-n."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom.functions import seq
-from readloom.operators import decode, demux, ensemble, evaluate, motif, runs, simulate
+from readloom.operators import choose, decode, demux, ensemble, evaluate, motif, runs, simulate
 from readloom.plans import inputs
 from readloom.plans.demultiplex import validate_fastq, write_validated
 from readloom.plans.settings import DemuxSettings
@@ -894,7 +894,7 @@ def mode_length(spark, sf):
 )
 def capped_per_file(spark, sf):
     rows = inputs.table(spark, sf, "documents").select(F.col("doc_id").alias("read_id"), F.col("source").alias("file"))
-    return simulate.capped(rows, 5, 60)
+    return choose.capped(rows, 5, 60)
 
 
 @query(f"WITH {READS_SQL} SELECT read_id, '1 3 4 5 7 9 10' AS codes FROM reads")
@@ -927,14 +927,13 @@ def motif_overlap(spark, sf):
 @query("SELECT doc_id AS read_id, CASE WHEN doc_id < CAST(floor((SELECT count(*) FROM documents) * 0.8) AS BIGINT) THEN 'train' ELSE 'val' END AS part FROM documents")
 def train_val_split(spark, sf):
     docs = inputs.table(spark, sf, "documents").select(F.col("doc_id").alias("read_id"))
-    train, val = simulate.split(docs, docs.count(), 0.8)
+    train, val = choose.split(docs, docs.count(), 0.8)
     return train.withColumn("part", F.lit("train")).union(val.withColumn("part", F.lit("val")))
 
 
-@query("SELECT doc_id FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 50")
+@query("SELECT doc_id FROM documents ORDER BY md5(doc_id || '-7'), doc_id LIMIT 50")
 def hash_sample(spark, sf):
-    docs = inputs.table(spark, sf, "documents").select("doc_id")
-    return docs.orderBy(inputs.digest(F.col("doc_id")), "doc_id").limit(50).select("doc_id")
+    return choose.hash_sample(inputs.table(spark, sf, "documents").select("doc_id"), 50, 7, "doc_id")
 
 
 @query("SELECT CAST(row_number() OVER (ORDER BY event_type) - 1 AS BIGINT) AS label_id, event_type AS label FROM (SELECT DISTINCT event_type FROM events)")
