@@ -12,6 +12,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader
 from readloom.sources.files import FilePartition, opened, paths
 
 SCHEMA = "name string, header string, sequence string, offset long, line_bases int, line_width int, file string"
+#: A batch is handed on at so many bases or records, whichever comes first.
+BATCH_BASES, BATCH_ROWS = 4_000_000, 10_000
 INDEX = "name string, length long, offset long, line_bases int, line_width int"
 
 
@@ -39,8 +41,19 @@ class FastaReader(DataSourceReader):
     def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string()] * 3 + [pa.int64(), pa.int32(), pa.int32(), pa.string()]
         names = [c.split()[0] for c in SCHEMA.split(", ")]
+        rows, held = [], 0
         for record in records(partition.path):
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*record, partition.path), kinds)], names)
+            rows.append((*record, partition.path))
+            held += len(record[2])
+            if held >= BATCH_BASES or len(rows) >= BATCH_ROWS:
+                yield _batch(rows, kinds, names)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows, kinds, names)
+
+
+def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names)
 
 
 def records(path: str) -> Iterator[tuple[str, str, str, int, int, int]]:

@@ -96,3 +96,17 @@ def test_reads_round_trip(spark, tmp_path):
     named = reads.withColumn("quality", F.lit("III")).withColumn("sample_name", F.lit("A"))
     fastq.write_by_sample(named, str(tmp_path / "f"), compress=False)
     assert spark.read.text(str(tmp_path / "f")).filter("sample = 'A'").count() == 4
+
+
+def test_fasta_batches_lose_no_record(spark, tmp_path, monkeypatch):
+    from readloom.sources import fasta
+    from readloom.sources.files import FilePartition
+
+    path = tmp_path / "many.fa"
+    path.write_text("".join(f">r{i}\n{'ACGT' * (i % 5)}\n" for i in range(23)))
+    monkeypatch.setattr(fasta, "BATCH_ROWS", 4)
+    monkeypatch.setattr(fasta, "BATCH_BASES", 30)
+    batches = list(fasta.FastaReader({"path": str(path)}).read(FilePartition(str(path))))
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert len(batches) > 5 and [r["name"] for r in rows] == [f"r{i}" for i in range(23)]
+    assert [r["sequence"] for r in rows] == ["ACGT" * (i % 5) for i in range(23)]
