@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom.functions.draws import uniform
-from readloom.functions.seq import let, letters
+from readloom.functions.seq import gc_content, let, letters
 from readloom.schema import IUPAC, PWM
 
 EPSILON = 1e-10
@@ -201,6 +201,24 @@ def diversity(seqs: DataFrame, col: str = "sequence") -> DataFrame:
     return h.crossJoin(mean_hamming(seqs, col)).crossJoin(unique)  # one row each
 
 
+def report(seqs: DataFrame, m: Matrix, col: str = "sequence") -> DataFrame:
+    """One row on all motifs of a column: counts, lengths (of several most frequent ones the least), GC, diversity, scores and divergence."""
+    n = F.length(col)
+    lengths = seqs.groupBy(n.alias("n")).agg(F.count("*").alias("k"))
+    mode = lengths.agg(F.min_by("n", F.struct(-F.col("k"), F.col("n"))).alias("mode_length"))
+    base = seqs.select(n.alias("n"), gc_content(F.col(col)).alias("gc"), score(F.col(col), m).alias("score")).agg(
+        F.count("*").alias("n"),
+        F.avg("n").alias("mean_length"),
+        F.stddev_pop("n").alias("std_length"),
+        F.min("n").alias("min_length"),
+        F.max("n").alias("max_length"),
+        F.avg("gc").alias("mean_gc"),
+        F.avg("score").alias("mean_score"),
+    )
+    kl = kl_divergence(frequencies(seqs, col), m).agg(F.sum("kl").alias("kl"))
+    return base.crossJoin(mode).crossJoin(diversity(seqs, col)).crossJoin(kl)  # one row each
+
+
 def top(seqs: DataFrame, k: int, col: str = "sequence") -> DataFrame:
     return seqs.groupBy(col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), col).limit(k)
 
@@ -241,25 +259,40 @@ def sample_quality(motif: Column, m: Matrix) -> Column:
     return F.transform(letters(motif), lambda c, i: F.floor(40 * F.try_element_at(F.try_element_at(cells, i + 1), c)).cast("int"))
 
 
-def ks_statistic(scored: DataFrame, group: str = "grp", value: str = "score", parts: int = 64) -> DataFrame:
-    """One row: the largest gap between two groups' (false, true) cumulative distributions, and their sizes.
+def running_counts(steps: DataFrame, value: str, counts: Sequence[str], parts: int = 64) -> DataFrame:
+    """``steps`` (distinct values and counts of them) with each count summed over all values up to the row's, ``{count}_upto``,
+    and over all rows, ``{count}_all``.
 
-    Distinct values are dealt into ranges; each is summed up on its own, and the ranges before it, of which there
-    are ``parts`` at most, are added to it.
+    Values are dealt into ranges; each is summed up on its own, and the ranges before it, of which there are ``parts`` at
+    most, are added to it. Null values come first, as in the order of a window.
     """
-    steps = scored.groupBy(value).agg(F.count_if(~F.col(group)).alias("a"), F.count_if(F.col(group)).alias("b"))
-    borders = scored.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)]).alias("x")).first()["x"] or []
-    ranged = steps.withColumn("part", F.size(F.filter(F.array(*[F.lit(float(x)) for x in sorted(set(borders))]), lambda x: x < F.col(value))) if borders else F.lit(0))
-    sums = ranged.groupBy("part").agg(F.sum("a").alias("pa"), F.sum("b").alias("pb"))
+    borders = steps.agg(F.percentile_approx(F.col(value).cast("double"), [i / parts for i in range(1, parts)]).alias("x")).first()["x"] or []
+    below = F.filter(F.array(*[F.lit(float(x)) for x in sorted(set(borders))]), lambda x: x < F.col(value)) if borders else None
+    ranged = steps.withColumn("_part", F.when(F.col(value).isNull(), -1).otherwise(F.size(below) if borders else F.lit(0)))
     every = Window.partitionBy()  # a row a range
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(
-        "part", F.coalesce(F.sum("pa").over(before), F.lit(0)).alias("la"), F.coalesce(F.sum("pb").over(before), F.lit(0)).alias("lb"),
-        F.sum("pa").over(every).alias("ta"), F.sum("pb").over(every).alias("tb"),
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_part").agg(*[F.sum(c).alias(c) for c in counts]).select(
+        "_part",
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}_before") for c in counts],
+        *[F.sum(c).over(every).alias(f"{c}_all") for c in counts],
     )
-    upto = Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    along = ranged.select("part", "a", "b", F.sum("a").over(upto).alias("ca"), F.sum("b").over(upto).alias("cb")).join(F.broadcast(sums), "part")
-    gap = F.abs(F.try_divide(F.col("ca") + F.col("la"), "ta") - F.try_divide(F.col("cb") + F.col("lb"), "tb"))
+    upto = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    along = ranged.withColumns({f"_{c}_own": F.sum(c).over(upto) for c in counts}).join(F.broadcast(sums), "_part")
+    sums_ = [(F.col(f"_{c}_own") + F.col(f"_{c}_before")).alias(f"{c}_upto") for c in counts]
+    return along.select(*steps.columns, *sums_, *[f"{c}_all" for c in counts])
+
+
+def cumulative(rows: DataFrame, value: str) -> DataFrame:
+    """(value, n, share): every distinct value, its count, and the share of rows with a value up to it; nulls have no part."""
+    steps = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+    return running_counts(steps, value, ("n",)).select(value, "n", (F.col("n_upto") / F.col("n_all")).alias("share"))
+
+
+def ks_statistic(scored: DataFrame, group: str = "grp", value: str = "score", parts: int = 64) -> DataFrame:
+    """One row: the largest gap between two groups' (false, true) cumulative distributions, and their sizes."""
+    steps = scored.groupBy(value).agg(F.count_if(~F.col(group)).alias("a"), F.count_if(F.col(group)).alias("b"))
+    along = running_counts(steps, value, ("a", "b"), parts)
+    gap = F.abs(F.try_divide(F.col("a_upto"), "a_all") - F.try_divide(F.col("b_upto"), "b_all"))
     return along.select(gap.alias("gap"), "a", "b").agg(F.max("gap").alias("ks"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
 
 

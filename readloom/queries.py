@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from readloom.functions import seq
 from readloom.operators import choose, decode, demux, ensemble, evaluate, motif, runs, simulate
 from readloom.plans import inputs
-from readloom.plans.demultiplex import validate_fastq, write_validated
+from readloom.plans.demultiplex import Demultiplexed, validate_fastq, write_validated
+from readloom.plans.demultiplex import write as write_demultiplexed
 from readloom.plans.settings import DemuxSettings
 from readloom.sources import fasta, fastq, sinks, tables
 from readloom.streaming import demux_stream
@@ -404,13 +405,14 @@ def barcode_assign(spark, sf):
     return demux.assign(inputs.coded(spark, sf), inputs.sheet(spark, sf)).select("read_id", "sample_name", "match", "distance")
 
 
-@query(
-    f"""WITH {ASSIGNED_SQL} SELECT sample_name, count(*) AS total, count_if(classification = 'valid')::BIGINT AS valid, count_if(classification <> 'valid')::BIGINT AS invalid,
+SUMMARY_SQL = f"""WITH {ASSIGNED_SQL} SELECT sample_name, count(*) AS total, count_if(classification = 'valid')::BIGINT AS valid, count_if(classification <> 'valid')::BIGINT AS invalid,
       count_if(classification = 'ambiguous')::BIGINT AS ambiguous, count_if(classification = 'valid' AND match = 'exact')::BIGINT AS exact,
       count_if(classification = 'valid' AND match = 'corrected')::BIGINT AS corrected, count_if(classification = 'valid' AND match = 'none')::BIGINT AS no_match,
       {_r("count_if(classification = 'valid') / count(*)")} AS valid_rate, {_r("count_if(classification = 'valid' AND match <> 'none') / count(*)")} AS assignment_rate
     FROM assigned GROUP BY ROLLUP (sample_name)"""
-)
+
+
+@query(SUMMARY_SQL)
 def demux_summary(spark, sf):
     return demux.statistics(demux.assign(inputs.coded(spark, sf), inputs.sheet(spark, sf)))
 
@@ -1584,6 +1586,87 @@ def folded_lookup(spark, sf):
     return inputs.table(spark, sf, "events").select("event_id", seq.folded_lookup({"click": "c", "VIEW": "V", "Signup": "s", "error": ""}, key).alias("source"))
 
 
+@query(f"WITH {SHEET_SQL} SELECT sample_name AS model, cbc AS first, cbc || '>' || i5 AS parts, 2::BIGINT AS n FROM sheet")
+def orders_scan(spark, sf):
+    """Lists of segments written as text, read as lists; quotes of either kind."""
+    path = _folder(spark, "orders")
+    quote = F.when(F.col("sheet_ordinal") % 2 == 0, "'").otherwise('"')
+    item = [F.concat(quote, c, quote) for c in ("cbc", "i5")]
+    given = inputs.sheet(spark, sf).select(F.col("sample_name").alias("model"), F.concat(F.lit("["), item[0], F.lit(", "), item[1], F.lit("]")).alias("segments"))
+    given.write.csv(path, sep="\t", header=True)
+    back = tables.read_orders(spark, path, ["segments"])
+    return back.select("model", F.get("segments", 0).alias("first"), F.array_join("segments", ">").alias("parts"), F.size("segments").cast("long").alias("n"))
+
+
+@query(
+    f"""WITH {PRED_SQL}, {TRUTH_SQL} SELECT model, count(*) AS cells, count_if(pred.label = truth.label) AS places, {_r("sum(CASE WHEN pred.label = truth.label THEN p END)")} AS p_true
+    FROM pred JOIN truth USING (read_id, pos) GROUP BY model"""
+)
+def validation_scan(spark, sf):
+    """Arrays of probabilities with true labels, written, read as predictions and truth, and joined again."""
+    path = _folder(spark, "validation")
+    listed = inputs.predictions(spark, sf).groupBy("model", "read_id", "pos").agg(F.sort_array(F.collect_list(F.struct("label", "p")))["p"].alias("probs"))
+    listed.join(inputs.truth(spark, sf), ["read_id", "pos"]).write.parquet(path)
+    predictions, truth = tables.read_validation(spark, path)
+    right = F.col("label") == F.col("true")
+    joined = predictions.join(truth.withColumnRenamed("label", "true"), ["read_id", "pos"])
+    return joined.groupBy("model").agg(F.count("*").alias("cells"), F.count_if(right).alias("places"), F.sum(F.when(right, F.col("p"))).alias("p_true"))
+
+
+def _written_demux(spark, sf):
+    """A demultiplexing result in its files: annotations and statistics."""
+    path = _folder(spark, "demultiplexed")
+    found = demux.assign(inputs.coded(spark, sf), inputs.sheet(spark, sf))
+    none = {c: F.lit(None).cast("string") for c in ("segments", "orientation", "issues")}
+    write_demultiplexed(Demultiplexed(found.withColumns(none), demux.statistics(found), found.limit(0)), path)
+    return path
+
+
+@query(SUMMARY_SQL)
+def statistics_sink(spark, sf):
+    counts = ("total", "valid", "invalid", "ambiguous", "exact", "corrected", "no_match")
+    schema = ", ".join(["sample_name string", *(f"{c} long" for c in counts), "valid_rate double", "assignment_rate double"])
+    return spark.read.json(f"{_written_demux(spark, sf)}/statistics", schema=schema)
+
+
+@query(f"WITH {ASSIGNED_SQL} SELECT read_id, classification, sample_name, match, distance FROM assigned")
+def annotation_sink(spark, sf):
+    schema = "read_id long, classification string, sample_name string, match string, distance long"
+    return spark.read.json(f"{_written_demux(spark, sf)}/annotations", schema=schema)
+
+
+@query(f"""WITH {MOTIFS_SQL} SELECT read_id, 6::BIGINT AS n, true AS allowed, translate(motif, 'CGT', '') AS kept FROM motifs""")
+def iupac_resolved(spark, sf):
+    """Three of four bases become codes; each is resolved to a base that it stands for, the fourth stays."""
+    given = inputs.motifs(spark, sf).select("read_id", "motif", F.translate("motif", "CGT", "BKY").alias("codes"))
+    found = given.select("*", seq.iupac_resolve(F.col("codes"), 7, F.col("read_id")).alias("resolved"))
+    fits = F.zip_with(seq.letters(F.col("codes")), seq.letters(F.col("resolved")), lambda c, b: F.instr(F.element_at(F.create_map(*map(F.lit, ("A", "A", "B", "CGT", "K", "GT", "Y", "CT"))), c), b) > 0)
+    kept = F.array_join(F.zip_with(seq.letters(F.col("codes")), seq.letters(F.col("resolved")), lambda c, b: F.when(c == "A", b).otherwise("")), "")
+    return found.select("read_id", F.length("resolved").cast("long").alias("n"), F.forall(fits, lambda x: x).alias("allowed"), kept.alias("kept"))
+
+
+@query(
+    f"""WITH {SCORED_SQL} SELECT DISTINCT round(score, 9) AS score, count(*) OVER (PARTITION BY round(score, 9)) AS n, {_r("cume_dist() OVER (ORDER BY round(score, 9))")} AS share FROM scored"""
+)
+def cumulative_scores(spark, sf):
+    return motif.cumulative(_scored(spark, sf).select(F.round("score", 9).alias("score")), "score")
+
+
+@query(
+    f"""WITH {SCORED_SQL}, {FREQ_SQL[len(PLACED_SQL) + 2:]}, e AS (SELECT pos, sum(-freq * ln(freq + 1e-10)) / ln(4) AS h FROM freqs GROUP BY pos),
+    b AS (SELECT pos, coalesce(freq, 0) + 1e-10 AS p, prob + 1e-10 AS q FROM pwm LEFT JOIN freqs USING (pos, base)),
+    s AS (SELECT p / sum(p) OVER (PARTITION BY pos) AS p, q / sum(q) OVER (PARTITION BY pos) AS q FROM b)
+    SELECT count(*) AS n, 6.0::DOUBLE AS mean_length, 0.0::DOUBLE AS std_length, 6::BIGINT AS min_length, 6::BIGINT AS max_length, 6::BIGINT AS mode_length,
+      {_r("avg(length(translate(motif, 'AT', '')) / 6)")} AS mean_gc, (SELECT {_r("avg(score)")} FROM scored) AS mean_score,
+      (SELECT {_r("avg(h)")} FROM e) AS mean_entropy, (SELECT {_r("min(h)")} FROM e) AS min_entropy, (SELECT {_r("max(h)")} FROM e) AS max_entropy,
+      (SELECT {_r("avg(d)")} FROM (SELECT 1 - sum(n * (n - 1)) / (sum(n) * (sum(n) - 1)) AS d FROM freqs GROUP BY pos)) AS mean_distance,
+      {_r("count(DISTINCT motif) / count(*)")} AS uniqueness, (SELECT {_r("sum(p * ln(p / q))")} FROM s) AS kl
+    FROM motifs"""
+)
+def motif_report(spark, sf):
+    return motif.report(inputs.motifs(spark, sf), MATRIX, "motif")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -68,6 +68,18 @@ def read_orders(spark: SparkSession, path: str, columns: Sequence[str]) -> DataF
     return rows.withColumns(as_json)
 
 
+def read_validation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Predictions (model, read_id, pos, label, p) and truth (read_id, pos, label) of a Parquet table.
+
+    Its rows are (model, read_id, pos, label, probs): the true label and an array with a probability for each label.
+    """
+    rows = spark.read.parquet(path)
+    if missing := [c for c in ("model", "read_id", "pos", "label", "probs") if c not in rows.columns]:
+        raise ValueError(f"the validation set has no column {', '.join(missing)}")
+    predictions = rows.select("model", "read_id", "pos", F.posexplode("probs").alias("label", "p"))
+    return predictions, rows.select("read_id", "pos", "label").distinct()
+
+
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """(read_id, sequence, labels, metadata) of two or three tab-separated columns; labels by comma or blank."""
     x = F.split("value", "\t")
