@@ -1599,7 +1599,7 @@ def orders_scan(spark, sf):
 
 
 @query(
-    f"""WITH {PRED_SQL}, {TRUTH_SQL} SELECT model, count(*) AS cells, count_if(pred.label = truth.label) AS places, {_r("sum(CASE WHEN pred.label = truth.label THEN p END)")} AS p_true
+    f"""WITH {PRED_SQL}, {TRUTH_SQL} SELECT model, count(*) AS cells, count_if(pred.label = truth.label)::BIGINT AS places, {_r("sum(CASE WHEN pred.label = truth.label THEN p END)")} AS p_true
     FROM pred JOIN truth USING (read_id, pos) GROUP BY model"""
 )
 def validation_scan(spark, sf):
