@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from readloom.llm import (
     aho_decontaminate,
     ef_trie_lm,
+    histogram_shards,
     hyperdimensional,
     license_diagonals,
     merkle_fixity,
     packing,
+    periodic_runs,
     scaled_sketch,
     simhash_vptree,
+    target_resampling,
     token_trees,
     url_rules,
 )
@@ -262,6 +265,115 @@ def op10_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~learnt).alias("held_out"), "lang_pred", "score")
 
 
+def planted_repeats(text, id_):
+    """Of one text in ten, by the CRC-32 of its id, words from some place on repeat with a period; both are the CRC's. Others stay."""
+    h = F.crc32(id_.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size(words)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    tail = F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int"))
+    repeated = F.slice(F.concat(F.slice(words, F.lit(1), a), F.flatten(tail)), F.lit(1), n)
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted_repeats(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic_runs.with_runs(docs)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), lines.alias("lines"), "collapsed")
+    return found.select(
+        "doc_id",
+        "n_runs",
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(-1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join("lines", "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _crc32_sql(digits: str) -> str:
+    """CRC-32 in SQL of a column of hexadecimal digits, which fold, the lower of each byte first, through the 16 remainders of four bits."""
+    steps = []
+    for n in range(16):
+        for _ in range(4):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        steps.append(n)
+    values = f"[instr('123456789ABCDEF', substr({digits}, i - 1 + 2 * (i % 2), 1)) FOR i IN range(1, strlen({digits}) + 1)]"
+    fold = f"list_reduce(list_prepend(4294967295, {values}), lambda c, d: xor(c >> 4, ({steps})[(xor(c, d) & 15) + 1]))"
+    return f"xor({fold}, 4294967295)"
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP12_SQL = (
+    r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all("""
+    + _LOWER
+    + r""", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all("""
+    + _LOWER
+    + r""", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+mine AS (SELECT r, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS f FROM d),
+theirs AS (SELECT unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS f FROM b),
+hashed AS MATERIALIZED (SELECT f, """
+    + _crc32_sql("x")
+    + """ % 10000 AS bucket FROM (SELECT f, hex(f) AS x FROM (SELECT DISTINCT f FROM mine UNION SELECT DISTINCT f FROM theirs))),
+own AS (SELECT bucket, count(*) AS s FROM mine JOIN hashed USING (f) GROUP BY bucket),
+wanted AS (SELECT bucket, count(*) AS t FROM theirs JOIN hashed USING (f) GROUP BY bucket),
+sums AS (SELECT CAST((SELECT count(*) FROM mine) + 10000 AS DOUBLE) AS s_all, CAST((SELECT count(*) FROM theirs) + 10000 AS DOUBLE) AS t_all),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * s_all / ((s + 1.0::DOUBLE) * t_all))) AS BIGINT) AS gain
+  FROM own LEFT JOIN wanted USING (bucket), sums),
+weighed AS (
+  SELECT r, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM mine JOIN hashed USING (f) JOIN gain USING (bucket) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(w) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features,
+    coalesce((total - ((total % n) + n) % n) // n, 0) AS weight,
+    CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS noise
+  FROM d LEFT JOIN weighed USING (r)),
+placed AS (
+  SELECT r, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS place, count(*) OVER () AS n
+  FROM scored WHERE n_words >= 20 AND doc_id IS NOT NULL)
+SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(weight + noise AS BIGINT) AS score,
+  CASE WHEN place <= 25 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (r)
+"""
+)
+
+
+def op13_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = histogram_shards.shard(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+OP13_SQL = (
+    """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 8 AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS own, md5(coalesce(text, '')) || own AS key FROM documents),
+hashed AS (SELECT text, """
+    + _crc32_sql("x")
+    + """ AS crc FROM (SELECT text, hex(text) AS x FROM (SELECT DISTINCT text FROM d))),
+summed AS (SELECT r, sum(size) OVER (ORDER BY key, r ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM d),
+dealt AS (
+  SELECT d.*, CAST(24 * before // total AS INTEGER) AS shard,
+    CAST('0x' || substr(own, 1, 15) AS BIGINT) % CAST(ceil(count(*) OVER (PARTITION BY 24 * before // total) / 8192.0) AS BIGINT) AS deal
+  FROM d JOIN summed USING (r))
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY deal, key, r) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM dealt JOIN hashed USING (text)
+"""
+)
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -276,9 +388,19 @@ def queries() -> dict:
             op8_token_trees,
             op9_packing,
             op10_hyperdimensional,
+            op11_periodic_runs,
+            op12_target_resampling,
+            op13_histogram_shards,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_merkle_fixity": OP1_SQL, "op3_url_rules": OP3_SQL, "op4_aho_decontaminate": OP4_SQL, "op5_license_diagonals": OP5_SQL}
+    return {
+        "op1_merkle_fixity": OP1_SQL,
+        "op3_url_rules": OP3_SQL,
+        "op4_aho_decontaminate": OP4_SQL,
+        "op5_license_diagonals": OP5_SQL,
+        "op12_target_resampling": OP12_SQL,
+        "op13_histogram_shards": OP13_SQL,
+    }
