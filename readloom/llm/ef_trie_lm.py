@@ -156,6 +156,11 @@ def _prepared(rows: DataFrame, mu: float, boost: float) -> Model:
     return Model(None, arrays, n, v, int(dict(hot).get(END, 0)), max(1, -(-n * 7 // 6 // SHARD)), mu, boost)
 
 
+def head_shard(name: int, shards: int) -> int:
+    """The group, below 0, of a batch's head."""
+    return -1 - xxhash.xxh64_intdigest(name.to_bytes(8, "little")) % shards
+
+
 def _sent(rows: DataFrame, model: Model, heads: bool) -> DataFrame:
     """Rows (shard, block, tokens...) of the texts; with ``heads`` also a row for each batch with its ids and sizes."""
     kind = rows.schema["id"].dataType.simpleString()
@@ -200,8 +205,8 @@ def _sent(rows: DataFrame, model: Model, heads: bool) -> DataFrame:
             none = [None] * m
             yield pa.RecordBatch.from_arrays(
                 [
-                    # the heads, one for each batch, are spread as shards of their own
-                    pa.array([*out["shard"], -1 - block % shards][: m + extra], pa.int64()),
+                    # the heads, one for each batch, are spread as shards of their own, by the batch's full name
+                    pa.array([*out["shard"], head_shard(name, shards)][: m + extra], pa.int64()),
                     pa.array(np.full(m + extra, name)),
                     *(pa.array([*out[c], None][: m + extra], pa.binary()) for c in _TOKENS),
                     pa.array([*none, batch.column("id").to_pylist()][: m + extra], pa.list_(batch.column("id").type)),

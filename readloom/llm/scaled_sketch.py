@@ -1,10 +1,10 @@
 """Document fingerprints (operator 7): threshold-scaled sketches.
 
-A sketch keeps every 5-word shingle hash below a fixed fraction of the hash space, so its size follows
-the document's and sketches of very unequal documents still estimate how much of the smaller one the
-larger one holds. Sketches merge by union. A text of few shingles keeps all of them, and its sketch says so:
-two sketches are compared, and merged, below the lower of their thresholds only, so a hash that one of them
-may have left out never counts. Where nothing lies below it, nothing is known, and only equal sketches are alike.
+A sketch keeps every shingle hash below one fixed fraction of the hash space, for all texts alike, so its size follows
+the document's, and sketches of very unequal documents still estimate how much of the smaller one the larger one holds.
+Sketches merge by union, and what is in both of two sketches is in the sketch of the intersection: no sketch needs to know
+how another one was made. Shingles are stretches of bytes, one at each byte, so that short texts have enough of them for a
+fraction to be left; they are hashed as arrays, many texts at once.
 
 ``neighbours`` pairs each document with the next one in descending id order. Texts are shuffled once,
 into buckets of the composite order (id, text hash); the bucket borders are rows' own keys, and the
@@ -19,107 +19,115 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm.common import slices
 
-SEED = 42
-SHINGLE = 5
-#: The share of the hash space that is kept, as 1 / SCALE, and shingles of which a text keeps all.
-SCALE, WHOLE = 4, 512
+#: Bytes of a shingle, a multiple of 8.
+SHINGLE = 16
+#: The share of the hash space that is kept, as 1 / SCALE. A hash has ``BITS`` bits, shown as ``BITS`` / 4 hexadecimal digits.
+SCALE, BITS = 4, 48
+#: Bytes of text that are hashed at once.
+BATCH = 4 << 20
 #: Rows whose keys are looked at to choose bucket borders, and buckets, at most.
 BORDER_ROWS, BUCKETS = 200_000, 20_000
 
 
-def sketch_of(text: str | None, scale: int = SCALE, k: int = SHINGLE, whole: int = WHOLE) -> tuple[int, np.ndarray]:
-    """The scale (1: all hashes are kept) and the sorted distinct hashes below 1 / scale of the hash space.
+def _odd(i: int) -> np.uint64:
+    """The i-th of the odd multipliers: digits of a hash of its number."""
+    return np.uint64(int.from_bytes(hashlib.sha256(f"multiplier {i}".encode()).digest()[:8], "little") | 1)
 
-    Words are runs of anything but ASCII white space, with A-Z lower-cased; a text of fewer than k words is one
-    shingle, one without words none.
+
+def hashes_of(data: np.ndarray, k: int = SHINGLE) -> np.ndarray:
+    """A hash of ``BITS`` bits of the k bytes at each place: a sum of products of 8-byte words, mixed by shifts and products."""
+    n = len(data) - k + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for i in range(0, k, 8):
+        words = np.ndarray((n,), "<u8", data.data, offset=i, strides=(1,))  # overlapping words, one at each byte
+        out += words * _odd(i // 8)
+    for shift, i in ((33, 100), (29, 101)):
+        out ^= out >> np.uint64(shift)
+        out *= _odd(i)
+    out ^= out >> np.uint64(32)
+    return out >> np.uint64(64 - BITS)
+
+
+def normal(text: str | None) -> bytes:
+    """A text's words (runs of anything but ASCII white space) with A-Z lower-cased, joined by one space."""
+    return b" ".join((text or "").encode().lower().split())
+
+
+def sketches_of(texts: list[str | None], scale: int = SCALE, k: int = SHINGLE) -> list[np.ndarray]:
+    """Of each text the sorted distinct shingle hashes below 1 / scale of the hash space.
+
+    A text of fewer than k bytes, but not none, is one shingle, filled up with zeros.
     """
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 1, np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(sizes) - 1
-    starts = (ends - sizes + 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    n = max(1, len(words) - k + 1)
-    hashes = np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[-n:].tolist())), np.uint64, n))
-    if len(hashes) <= whole:
-        return 1, hashes
-    return scale, below(hashes, scale)
-
-
-def below(hashes: np.ndarray, scale: int) -> np.ndarray:
-    return hashes if scale == 1 else hashes[hashes < np.uint64((1 << 64) // scale)]
-
-
-def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[float, int]:
+    parts = [normal(t) for t in texts]
+    sizes = np.fromiter((max(len(p), k) if p else 0 for p in parts), np.int64, len(parts))
+    data = np.frombuffer(b"".join(p if len(p) >= k or not p else p.ljust(k, b"\0") for p in parts), np.uint8)
+    hashes = hashes_of(data, k)
+    at = np.flatnonzero(hashes < np.uint64((1 << BITS) // scale))
+    ends = np.cumsum(sizes)
+    own = np.searchsorted(ends, at, side="right")
+    within = at + k <= ends[own] if len(at) else np.empty(0, bool)  # no shingle goes on over a text's end
+    at, own = at[within], own[within]
+    found = hashes[at]
+    order = np.lexsort((found, own))
+    found, own = found[order], own[order]
+    first = np.ones(len(found), bool)
+    first[1:] = (found[1:] != found[:-1]) | (own[1:] != own[:-1])
+    return np.split(found[first], np.searchsorted(own[first], np.arange(1, len(parts)))) if parts else []
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
     """Estimated share of the smaller one's shingles that the larger one has, and the hashes it rests on.
 
-    Without a hash of either below the lower threshold nothing is known: 1 for equal sketches, else 0.
+    Where one has no hash nothing is known: 1 for two empty sketches, else 0.
     """
-    scale = max(a[0], b[0])
-    x, y = below(a[1], scale), below(b[1], scale)
-    n = min(len(x), len(y))
+    n = min(len(a), len(b))
     if not n:
-        return float(a[0] == b[0] and len(a[1]) == len(b[1]) and bool((a[1] == b[1]).all())), 0
-    return len(np.intersect1d(x, y, assume_unique=True)) / n, n
+        return float(len(a) == len(b)), 0
+    return len(np.intersect1d(a, b, assume_unique=True)) / n, n
+
+
+def as_text(sketch: np.ndarray) -> str:
+    """``BITS`` / 4 hexadecimal digits a hash, in ascending order."""
+    octets = sketch.astype(">u8").view(np.uint8).reshape(-1, 8)
+    return octets[:, 8 - BITS // 8 :].tobytes().hex()
 
 
-def as_text(sketch: tuple[int, np.ndarray]) -> str:
-    """The scale, a colon, and 16 hexadecimal digits a hash, in ascending order."""
-    return f"{sketch[0]}:{sketch[1].astype('>u8').tobytes().hex()}"
+def listed(sketch: np.ndarray) -> list[str]:
+    every, n = as_text(sketch), BITS // 4
+    return [every[i : i + n] for i in range(0, len(every), n)]
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scale: int = SCALE, k: int = SHINGLE, whole: int = WHOLE) -> DataFrame:
-    """(id, scale, sketch): each row's kept hashes as sorted 16-digit hexadecimal strings. No shuffle.
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scale: int = SCALE, k: int = SHINGLE) -> DataFrame:
+    """(id, sketch): each row's kept hashes as sorted hexadecimal strings. No shuffle.
 
     Null, empty and blank texts have an empty sketch. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
-            found = [sketch_of(t, scale, k, whole) for t in batch.column("text").to_pylist()]
-            listed = [h.astype(">u8").tobytes().hex() for _, h in found]
-            out = [[x[i : i + 16] for i in range(0, len(x), 16)] for x in listed]
-            columns = [batch.column("id"), pa.array([f[0] for f in found], pa.int32()), pa.array(out, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "scale", "sketch"])
+        for batch in slices(batches, "text", BATCH):
+            found = [listed(x) for x in sketches_of(batch.column("text").to_pylist(), scale, k)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.string()))], ["id", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, scale int, sketch array<string>").withColumnRenamed("id", id_col)
-
-
-def last_of(scale: Column) -> Column:
-    """The last hash that a sketch of this scale (a power of two) can keep, as 16 hexadecimal digits."""
-    ones = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), F.log2(scale).cast("int"))
-    return F.lower(F.lpad(F.hex(ones), 16, "0"))
+    return rows.mapInArrow(run, f"id {kind}, sketch array<string>").withColumnRenamed("id", id_col)
 
 
 def merged(sketches_: DataFrame, by: str) -> DataFrame:
-    """(group, scale, sketch): the union of its documents' sketches below the lowest of their thresholds.
-
-    Hashes are made distinct before they meet.
-    """
-    scales = sketches_.groupBy(by).agg(F.max("scale").alias("scale"))
-    flat = sketches_.select(by, F.explode_outer("sketch").alias("h")).distinct().join(scales, by)
-    kept = F.when(F.col("h") <= last_of(F.col("scale")), F.col("h"))
-    return flat.groupBy(by).agg(F.max("scale").alias("scale"), F.sort_array(F.collect_list(kept)).alias("sketch"))
+    """(group, sketch): the union of its documents' sketches. Hashes are made distinct before they meet."""
+    flat = sketches_.select(by, F.explode_outer("sketch").alias("h")).distinct()
+    return flat.groupBy(by).agg(F.sort_array(F.collect_list("h")).alias("sketch"))
 
 
-def containment(a: Column, b: Column, a_scale: Column | None = None, b_scale: Column | None = None) -> Column:
-    """Estimated share of a's shingles that b has, of two sketch columns; null if a has none below both thresholds.
-
-    Without scales both are taken to be of one scale.
-    """
-    if a_scale is not None and b_scale is not None:
-        last = last_of(F.greatest(a_scale, b_scale))
-        a = F.filter(a, lambda h: h <= last)
+def containment(a: Column, b: Column) -> Column:
+    """Estimated share of a's shingles that b has, of two sketch columns of one scale; null if a has none."""
     return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(a))
 
 
@@ -147,9 +155,7 @@ def bucket_of(k: np.ndarray, h: np.ndarray, fk: np.ndarray, fh: np.ndarray) -> n
     return out
 
 
-def neighbours(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scale: int = SCALE, k: int = SHINGLE, whole: int = WHOLE
-) -> DataFrame:
+def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scale: int = SCALE, k: int = SHINGLE) -> DataFrame:
     """Each document's sketch beside that of its edited text and of the next document's text.
 
     The next document is the one with the next lower id (rows with one id follow by a hash of their
@@ -157,7 +163,7 @@ def neighbours(
     edited text is the text with its last floor(n/3) code points replaced by the first as many (or
     all) of the next one's. Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited and near_next (see ``likeness``), and known_edited and known_next, the hashes that they rest
-    on: where it is 0 nothing is known, and the likeness is 1 for equal sketches, else 0. Null texts count
+    on: where it is 0 nothing is known, and the likeness is 1 for two empty sketches, else 0. Null texts count
     as empty; an empty table gives no rows; other columns are ignored. Rows that are equal in id and text
     are read as one stream, in bounded memory, but in one task.
     """
@@ -184,22 +190,21 @@ def neighbours(
                 )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in slices(batches, "text", 8 << 20):
-            out: list[tuple] = []
-            columns = (batch.column(c).to_pylist() for c in ("id", "text", "seam"))
-            for id_, text, seam in zip(*columns):
-                if held is None and seam:
+        held: tuple[int | None, str] | None = None
+        for batch in slices(batches, "text", BATCH):
+            texts = [held[1] if held else ""]  # each text once, after the one that waits for its next
+            paired: list[tuple[int | None, int, int]] = []  # id, own text, next text
+            waiting = (held[0], 0) if held else None
+            for id_, text, seam in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "seam"))):
+                if waiting is None and seam:
                     continue  # a copy of the seam row that ended this bucket
-                own = sketch_of(text, scale, k, whole)
-                if held is not None:
-                    out.append(_row(*held, text, own, scale, k, whole))
-                held = None if seam else (id_, text, own)
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2, *[pa.int64()] * 2))],
-                    ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "known_edited", "known_next"],
-                )
+                texts.append(text)
+                if waiting is not None:
+                    paired.append((*waiting, len(texts) - 1))
+                waiting = None if seam else (id_, len(texts) - 1)
+            held = (waiting[0], texts[waiting[1]]) if waiting else None
+            if paired:
+                yield _rows(texts, paired, scale, k)
 
     dealt = rows.mapInArrow(deal, "id long, k long, h long, text string, bucket int, seam boolean")
     streams = dealt.repartition("bucket").sortWithinPartitions("bucket", "seam", "k", "h", "text")
@@ -210,10 +215,22 @@ def neighbours(
     return found.withColumnRenamed("id", id_col)
 
 
-def _row(id_: int, text: str, own: tuple, after: str, next_: tuple, scale: int, k: int, whole: int) -> tuple:
-    cut = len(text) // 3
-    edited = text[: len(text) - cut] + after[:cut]
-    changed = sketch_of(edited, scale, k, whole)
-    sha = hashlib.sha256(edited.encode()).hexdigest()
-    (near_edited, known_edited), (near_next, known_next) = likeness(own, changed), likeness(own, next_)
-    return id_, len(text), sha, as_text(own), as_text(changed), near_edited, near_next, known_edited, known_next
+def _rows(texts: list[str], paired: list[tuple[int | None, int, int]], scale: int, k: int) -> pa.RecordBatch:
+    own = sketches_of(texts, scale, k)
+    cuts = [(texts[i], texts[j], len(texts[i]) // 3) for _, i, j in paired]
+    edited = [text[: len(text) - cut] + after[:cut] for text, after, cut in cuts]
+    changed = sketches_of(edited, scale, k)
+    near_edited = [likeness(own[i], c) for (_, i, _), c in zip(paired, changed)]
+    near_next = [likeness(own[i], own[j]) for _, i, j in paired]
+    columns = {
+        "id": pa.array([id_ for id_, _, _ in paired], pa.int64()),
+        "n_chars": pa.array([len(texts[i]) for _, i, _ in paired], pa.int64()),
+        "edited_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
+        "fingerprint": pa.array([as_text(own[i]) for _, i, _ in paired]),
+        "edited_fingerprint": pa.array([as_text(c) for c in changed]),
+        "near_edited": pa.array([x for x, _ in near_edited], pa.float64()),
+        "near_next": pa.array([x for x, _ in near_next], pa.float64()),
+        "known_edited": pa.array([n for _, n in near_edited], pa.int64()),
+        "known_next": pa.array([n for _, n in near_next], pa.int64()),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))

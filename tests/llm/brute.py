@@ -116,17 +116,23 @@ def language_model(docs, mu, boost):
     return held, out
 
 
-def scaled(text, scale=4, whole=512):
-    """(scale, hashes) of a text's five-word shingles: all of them if they are few, else those below the fraction."""
-    hashes = sorted({xxhash.xxh64_intdigest(g.encode(), 42) for g in shingles(text)})
-    return (1, hashes) if len(hashes) <= whole else (scale, [h for h in hashes if h * scale < 1 << 64])
+def scaled(text, scale=4, k=16, bits=48):
+    """Sorted distinct hashes below 1 / scale of the hash space, of the k bytes at each byte of a text."""
+    odd = lambda i: int.from_bytes(hashlib.sha256(f"multiplier {i}".encode()).digest()[:8], "little") | 1
+    data, full = b" ".join(w.encode() for w in SPACED.findall(lower(text))), (1 << 64) - 1
+    out = set()
+    for i in range(max(1, len(data) - k + 1)) if data else ():
+        part = data[i : i + k].ljust(k, b"\0")
+        h = sum(int.from_bytes(part[j : j + 8], "little") * odd(j // 8) for j in range(0, k, 8)) & full
+        for shift, m in ((33, 100), (29, 101)):
+            h = (h ^ h >> shift) * odd(m) & full
+        out.add((h ^ h >> 32) >> 64 - bits)
+    return sorted(h for h in out if h < (1 << bits) // scale)
 
 
 def scaled_likeness(a, b):
-    scale = max(a[0], b[0])
-    x, y = ({h for h in s[1] if h * scale < 1 << 64} for s in (a, b))
-    n = min(len(x), len(y))
-    return (len(x & y) / n, n) if n else (float(a == b), 0)
+    n = min(len(a), len(b))
+    return (len(set(a) & set(b)) / n if n else float(len(a) == len(b))), n
 
 
 def neighbour_rows(rows):
@@ -137,7 +143,7 @@ def neighbour_rows(rows):
         cut = len(t) // 3
         edited = t[: len(t) - cut] + after[:cut]
         a, b, c = map(scaled, (t, edited, after))
-        shown = [f"{s}:" + "".join(f"{h:016x}" for h in hashes) for s, hashes in (a, b)]
+        shown = ["".join(f"{h:012x}" for h in hashes) for hashes in (a, b)]
         (near, n), (next_, m) = scaled_likeness(a, b), scaled_likeness(a, c)
         out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), *shown, near, next_, n, m))
     return out
@@ -156,3 +162,38 @@ def rule_of(url, rules):
             fits.append((len(rule), len(h), rule, verdict))
     best = max(fits, default=(0, 0, None, "allow"))
     return host, path, best[2], best[3]
+
+
+def planted(text, id_):
+    """Words of a text; of one in ten, by its id's CRC-32, those from some place on repeat."""
+    words = SPACED.findall(text or "")
+    h = zlib.crc32(str(id_).encode())
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def runs(words, least_length, exponent):
+    """(start, length, period) of every longest stretch with a smallest period."""
+    out, n = [], len(words)
+    for q in range(1, n // exponent + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            length = j - i + q
+            if j > i and length >= max(least_length, exponent * q):
+                part = words[i : i + length]
+                if all(part[p:] != part[:-p] for p in range(1, q)):
+                    out.append((i, length, q))
+            i = max(j, i + 1)
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def without_repeats(words, found):
+    gone = {i for a, n, p in found for i in range(a + p, a + n)}
+    return [w for i, w in enumerate(words) if i not in gone]
