@@ -90,22 +90,18 @@ class _Scanner:
 
     def scan_all(self, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int, int, int]], list[str]]]:
         """Of each text its words, merged hit spans (first word, word after, first byte, byte after), and items that occur."""
+        joined = [b" ".join(words_of(t)).decode("latin-1") for t in texts]
         found: list[set] = [set() for _ in texts]
         for part in range(self.parts if self.patterns else 0):
             automaton = self.automaton(part)
-            for text, hits in zip(texts, found):
-                hits.update(self.scan(text, automaton))
-        return [self.placed(text, hits) for text, hits in zip(texts, found)]
+            for words, hits in zip(joined, found):
+                hits.update((end, i) for end, (_, i) in automaton.iter(f" {words} "))
+        return [self.placed(text, words, hits) for text, words, hits in zip(texts, joined, found)]
 
-    def scan(self, text: bytes | None, automaton: ahocorasick.Automaton) -> list[tuple[int, int]]:
-        """(place of the last byte in the text's words, pattern) of each match."""
-        words = words_of(text)
-        return [(end, i) for end, (_, i) in automaton.iter(f" {b' '.join(words).decode('latin-1')} ")] if words else []
-
-    def placed(self, text: bytes | None, hits: set[tuple[int, int]]) -> tuple[int, list[tuple[int, int, int, int]], list[str]]:
-        words = words_of(text)
+    def placed(self, text: bytes | None, joined: str, hits: set[tuple[int, int]]) -> tuple[int, list[tuple[int, int, int, int]], list[str]]:
         if not hits:
-            return len(words), [], []
+            return joined.count(" ") + bool(joined), [], []
+        words = joined.split(" ")
         found = sorted(hits)
         last = np.cumsum([len(w) + 1 for w in words])  # where the space after each word stands
         at = np.searchsorted(last, [end for end, _ in found]).tolist()
