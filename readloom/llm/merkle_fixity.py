@@ -173,6 +173,8 @@ def audit(
 
 _VERSION = "WARC/1.0\r\n"
 _BETWEEN = "\r\n\r\n"
+#: What every version line starts with, and what it is after that.
+_MARK, _NUMBER = "WARC/", r"^\d+\.\d+\r\n"
 
 
 def warc_records(spark: SparkSession, path: str, keep_block: bool = False) -> DataFrame:
@@ -181,16 +183,17 @@ def warc_records(spark: SparkSession, path: str, keep_block: bool = False) -> Da
     Files are read by Spark's own readers, from any store, large ones in parts. offset and length are the
     record's place in its file, headers and the blank lines after it included (of a compressed file: of what it
     unpacks to); digest is the SHA-256 of its block. whole is false where the block's length isn't the
-    header's Content-Length: in a file that was cut short, or where the block itself holds two line ends and a
-    version line, at which it is cut (both parts are then rows that aren't whole). Only digests and lengths are brought together by
-    file, to add up offsets. Header names count in any letter case; missing headers are null. Files without
-    records give no rows; bytes that aren't UTF-8 stay as they are.
+    header's Content-Length: in a file that was cut short, or where the block itself holds two line ends and the start of a
+    version line, at which it is cut (both parts are then rows that aren't whole). Records of any version, mixed ones too, are
+    told apart; a file that doesn't start with a version line is refused. Only digests and lengths are brought together by
+    file, to add up offsets. Header names count in any letter case; missing headers are null. Empty files
+    give no rows; bytes that aren't UTF-8 stay as they are.
     """
     # a record ends where two line ends and the next version line stand; what stands before is whole
-    parts = spark.read.option("lineSep", _BETWEEN + _VERSION).text(path).select(
+    parts = spark.read.option("lineSep", _BETWEEN + _MARK).text(path).select(
         F.col("_metadata.file_path").alias("archive"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("n"), "value"
     )
-    body = F.when(F.startswith("value", F.lit(_VERSION)), F.substring("value", F.lit(len(_VERSION) + 1), F.length("value"))).otherwise(F.col("value"))
+    body = F.when(F.startswith("value", F.lit(_MARK)), F.substring("value", F.lit(len(_MARK) + 1), F.length("value"))).otherwise(F.col("value"))
     parts = parts.select("*", body.alias("body")).withColumn("cut", F.instr("body", _BETWEEN))
     head = F.when(F.col("cut") > 0, F.substring("body", F.lit(1), F.col("cut") - 1)).otherwise(F.col("body"))
     after = F.when(F.col("cut") > 0, F.substring("body", F.col("cut") + len(_BETWEEN), F.length("body"))).otherwise(F.lit(""))
@@ -207,14 +210,16 @@ def warc_records(spark: SparkSession, path: str, keep_block: bool = False) -> Da
     found = parts.withColumn("block", F.when(fits, F.col("after")).otherwise(block))
     rest = F.octet_length("after") - F.octet_length("block")
     found = found.select(
-        "archive", "part", "n", (F.col("bytes") - rest + len(_VERSION) + len(_BETWEEN)).cast("long").alias("length"),
+        "archive", "part", "n", (F.col("bytes") - rest + len(_MARK) + len(_BETWEEN)).cast("long").alias("length"), F.rlike("head", F.lit(_NUMBER)).alias("versioned"),
         header("warc-type").alias("type"), header("warc-record-id").alias("id"), header("warc-target-uri").alias("url"),
         digest_of(F.col("block")).alias("digest"), F.coalesce(F.octet_length("block") == stated, F.lit(False)).alias("whole"),
         *(["block"] if keep_block else []),
     )
-    found = found.filter("length > 14 or type is not null")
+    found = found.filter(f"length > {len(_MARK) + len(_BETWEEN)} or type is not null")
     along = Window.partitionBy("archive").orderBy("part", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return found.withColumn("offset", F.sum("length").over(along) - F.col("length")).drop("part", "n")
+    found = found.withColumn("offset", F.sum("length").over(along) - F.col("length"))
+    refused = F.raise_error(F.concat(F.lit("not a WARC file: "), "archive")).cast("long")
+    return found.withColumn("offset", F.when((F.col("offset") == 0) & ~F.col("versioned"), refused).otherwise(F.col("offset"))).drop("part", "n", "versioned")
 
 
 def write_warc(records: DataFrame, path: str, archive: str = "archive", order: str = "offset", url: str = "url", block: str = "payload") -> None:

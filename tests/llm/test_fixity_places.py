@@ -80,3 +80,25 @@ def test_cut_warc_records_are_marked(spark, tmp_path):
     assert [r["whole"] for r in merkle_fixity.warc_records(spark, str(short)).orderBy("offset").collect()] == [False, False, False]
     (tmp_path / "none.warc").write_bytes(b"")
     assert merkle_fixity.warc_records(spark, str(tmp_path / "none.warc")).count() == 0
+
+
+def _warc(version: str, n: int, body: str = "body", end: str = "\r\n") -> str:
+    return end.join([f"WARC/{version}", "WARC-Type: resource", f"WARC-Record-ID: <urn:{version}:{n}>", f"Content-Length: {len(body)}", "", body, "", ""])
+
+
+def test_records_of_any_version(spark, tmp_path):
+    texts = [_warc(v, i, b) for i, (v, b) in enumerate([("1.1", "one"), ("1.0", ""), ("1.1", "a\r\n\r\nb"), ("0.18", "z")])]
+    (tmp_path / "mixed.warc").write_bytes("".join(texts).encode())
+    (tmp_path / "empty.warc").write_bytes(b"")
+    found = sorted(merkle_fixity.warc_records(spark, str(tmp_path), keep_block=True).collect(), key=lambda r: r["offset"])
+    assert [r["id"] for r in found] == ["<urn:1.1:0>", "<urn:1.0:1>", "<urn:1.1:2>", "<urn:0.18:3>"]
+    assert [r["length"] for r in found] == [len(t) for t in texts] and all(r["whole"] for r in found)
+    assert [r["offset"] for r in found] == [sum(map(len, texts[:i])) for i in range(4)]
+    assert [r["block"] for r in found] == ["one", "", "a\r\n\r\nb", "z"]
+
+
+def test_files_that_are_no_warc_are_refused(spark, tmp_path):
+    for i, text in enumerate(("just text", _warc("1.0", 1, end="\n"), "junk\r\n" + _warc("1.1", 1))):
+        (tmp_path / f"{i}.warc").write_bytes(text.encode())
+        with pytest.raises(Exception, match="not a WARC file"):
+            merkle_fixity.warc_records(spark, str(tmp_path / f"{i}.warc")).collect()
