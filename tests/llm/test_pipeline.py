@@ -45,3 +45,24 @@ def test_packing_stage(spark, sf, odd_docs, empty_docs):
     out = corpus_pipeline.pack(spark, odd_docs, sf)
     assert out.select("doc_id").distinct().count() == odd_docs.select("doc_id").distinct().count()
     assert corpus_pipeline.pack(spark, empty_docs, sf).count() == 0
+
+
+def test_stages_leave_columns_of_any_name_alone(spark, sf, odd_docs):
+    names = ("_lang_pred", "_lang_score", "_n_words", "_spans", "_items", "__spans", "__n_words")
+    docs = odd_docs
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(f"mine {i}"))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, sf)
+        assert out.dtypes == docs.dtypes
+        assert {tuple(r) for r in out.select(*names).distinct().collect()} == {tuple(f"mine {i}" for i in range(len(names)))}
+
+
+def test_decontamination_with_odd_items(spark, sf, odd_docs, tmp_path):
+    items = [("a", None), ("b", ""), (None, "one"), ("c", " ... "), ("c", "gnu general public license apache license cc by mit license")]
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = corpus_pipeline.decontaminate(spark, odd_docs, str(tmp_path))
+    want = [i for i, t in ((r["doc_id"], r["text"]) for r in odd_docs.collect()) if not brute.decontaminate(t, items)[-1]]
+    assert sorted(map(str, want)) == sorted(str(r["doc_id"]) for r in left.collect()) and len(want) < odd_docs.count()
+    spark.createDataFrame([], "item_id string, text string").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert corpus_pipeline.decontaminate(spark, odd_docs, str(tmp_path / "none")).count() == odd_docs.count()
