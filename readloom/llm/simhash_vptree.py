@@ -39,6 +39,8 @@ TRIALS = 8
 MOST_COPIED = 0.75
 #: Near copies of the stage: words of a shingle, least similarity in fifths, bands of so many MinHash values, rounds of representatives.
 NEAR_SHINGLE, NEAR_FIFTHS, BANDS, BAND_ROWS, ROUNDS = 5, 4, 20, 5, 4
+#: Bytes of text of the stage that a task works on at once.
+BATCH = 2 << 20
 
 _LANES = np.zeros((256, 2), np.uint64)
 for _b in range(256):
@@ -428,7 +430,7 @@ def judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, near) for distinct (a, b) pairs of nodes; near: their ``texts`` (node, text) are ``alike``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(slices(batches, "ta", 8 << 20), "tb", 8 << 20):
+        for batch in slices(slices(batches, "ta", BATCH), "tb", BATCH):
             sets: dict = {}
             near = [alike(x, y, sets) for x, y in zip(as_bytes(batch.column("ta")), as_bytes(batch.column("tb")))]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], ["a", "b", "near"])
@@ -489,7 +491,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digest = F.unhex(F.md5(F.when(text.rlike("[^ \\t-\\r]"), text).otherwise("").cast("binary")))
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", BATCH):
             prints, keys = prints_and_bands(as_bytes(batch.column("text")))
             offsets = np.arange(len(prints) + 1, dtype=np.int32) * BANDS
             listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel()))
