@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.functions.sizes import at_most
 from readloom.functions.seq import lcs_length
+from readloom.functions.sizes import at_most
+from readloom.operators import membership
 from readloom.operators.runs import last_boundaries, segments, slice_of
 from readloom.schema import EXPECTED, OPTIONAL, REQUIRED
 
@@ -78,9 +79,14 @@ def edit_distance(read: Column, sample: Column) -> Column:
     return F.when(F.coalesce(F.length(read), F.lit(0)) == 0, F.length(sample)).otherwise(F.levenshtein(read, sample))
 
 
-def exact(reads: DataFrame, sheet: DataFrame) -> DataFrame:
-    """Reads with the sample whose three barcodes are equal; of sheet rows with one triple the last counts."""
+def exact(reads: DataFrame, sheet: DataFrame, probe: bool = False) -> DataFrame:
+    """Reads with the sample whose three barcodes are equal; of sheet rows with one triple the last counts.
+
+    ``probe``: a filter of the sheet's triples goes before the join, for sheets of millions that few reads match.
+    """
     last = sheet.groupBy("cbc", "i5", "i7").agg(F.max_by("sample_name", "sheet_ordinal").alias("sample_name"))
+    if probe:
+        return membership.probed(reads, last, ["cbc", "i5", "i7"])
     return reads.join(last, ["cbc", "i5", "i7"], "left")
 
 
@@ -209,6 +215,18 @@ def valid_sequence(sequence: Column) -> Column:
     return F.coalesce(sequence.rlike("^[ACGTNacgtn]+$"), F.lit(False))
 
 
+def sequence_findings(sequence: Column, length: Column | None = None, trimmed: bool = False) -> Column:
+    """What is wrong with a sequence: ``length`` (not the index entry's; of a trimmed one, longer), ``unknown`` (over half N), ``bases``.
+
+    A null sequence has the wrong length and no valid bases; an empty one has nothing to be unknown.
+    """
+    n = F.length(sequence)
+    unfit = F.lit(False) if length is None else F.coalesce((n > length) if trimmed else (n != length), F.lit(True))
+    unknown = n - F.length(F.replace(sequence, F.lit("N"))) > n / 2
+    checks = (("length", unfit), ("unknown", F.coalesce(unknown, F.lit(False))), ("bases", F.coalesce(sequence.rlike("[^ACGTN]"), F.lit(True))))
+    return F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks]))
+
+
 def valid_reads(reads: DataFrame) -> DataFrame:
     """Reads that aren't marked invalid, have a valid sequence and as many labels as bases."""
     fits = F.size("labels") == F.length("sequence")

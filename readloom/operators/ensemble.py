@@ -7,7 +7,6 @@ normalisation over a place's labels is a second one, of one row a label.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +19,8 @@ EPSILON = 1e-10
 PLACE = ("read_id", "pos")
 #: Models of an ensemble, at most; bounds every table with a row for each.
 MOST_MODELS = 10_000
+#: Numbers of all draws and models in one plan.
+MOST_DRAWN = 20_000
 
 
 def evidences(predictions: DataFrame, truth: DataFrame, parameters: Mapping[str, int], factor: float = 1.0) -> DataFrame:
@@ -77,8 +78,11 @@ def _weighted(predictions: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def average(predictions: DataFrame, weights: DataFrame, by_confidence: bool = False) -> DataFrame:
-    """(read_id, pos, label, p): weighted mean of probabilities, each model's optionally times its highest one."""
-    rows = _weighted(predictions, weights)
+    """(read_id, pos, label, p): weighted mean of probabilities, each model's optionally times its highest one.
+
+    Here and below rows are dealt by place once; windows and groupings by place and more keep to that.
+    """
+    rows = _weighted(predictions, weights).repartition(*PLACE)
     if by_confidence:
         rows = rows.withColumn("w", F.col("w") * F.max("p").over(Window.partitionBy("model", *PLACE)))
     sums = rows.groupBy(*PLACE, "label").agg(F.sum(F.col("w") * F.col("p")).alias("x"))
@@ -88,7 +92,8 @@ def average(predictions: DataFrame, weights: DataFrame, by_confidence: bool = Fa
 
 def logit_average(predictions: DataFrame, weights: DataFrame) -> DataFrame:
     """softmax over labels of the weighted sum of log-probabilities."""
-    sums = _weighted(predictions, weights).groupBy(*PLACE, "label").agg(F.sum(F.col("w") * F.log(F.col("p") + EPSILON)).alias("x"))
+    rows = _weighted(predictions, weights).repartition(*PLACE)
+    sums = rows.groupBy(*PLACE, "label").agg(F.sum(F.col("w") * F.log(F.col("p") + EPSILON)).alias("x"))
     own = Window.partitionBy(*PLACE)
     powers = sums.withColumn("e", F.exp(F.col("x") - F.max("x").over(own)))
     return powers.select(*PLACE, "label", (F.col("e") / F.sum("e").over(own)).alias("p"))
@@ -98,7 +103,8 @@ def rank_average(predictions: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted mean of the labels' ranks within each model (equal ones share their mean rank), normalised."""
     own = Window.partitionBy("model", *PLACE)
     rank = F.rank().over(own.orderBy("p")) + (F.count("*").over(Window.partitionBy("model", *PLACE, "p")) - 1) / 2
-    sums = _weighted(predictions.withColumn("r", rank), weights).groupBy(*PLACE, "label").agg(F.sum(F.col("w") * F.col("r")).alias("x"))
+    rows = _weighted(predictions, weights).repartition(*PLACE).withColumn("r", rank)
+    sums = rows.groupBy(*PLACE, "label").agg(F.sum(F.col("w") * F.col("r")).alias("x"))
     place = Window.partitionBy(*PLACE)
     return sums.select(*PLACE, "label", F.try_divide(F.col("x"), F.sum("x").over(place)).alias("p"))
 
@@ -147,6 +153,16 @@ def predict(predictions: DataFrame, weights: DataFrame, method: str = "probabili
 
     method: ``probability``, ``confidence``, ``logit`` or ``rank``.
     """
+    found = combined(predictions, weights, method)
+    if temperature is not None:
+        found = with_temperature(found, temperature)
+    first = F.max(F.struct(F.col("p").alias("p"), (-F.col("label")).alias("back"))).alias("x")
+    found = found.groupBy(*PLACE).agg(first, _entropy(F.col("p")).alias("entropy"))
+    return found.select(*PLACE, (-F.col("x.back")).cast("int").alias("label"), F.col("x.p").alias("p"), "entropy")
+
+
+def combined(predictions: DataFrame, weights: DataFrame, method: str = "probability") -> DataFrame:
+    """(read_id, pos, label, p) by one of the averages."""
     ways = {
         "probability": lambda: average(predictions, weights),
         "confidence": lambda: average(predictions, weights, by_confidence=True),
@@ -155,30 +171,53 @@ def predict(predictions: DataFrame, weights: DataFrame, method: str = "probabili
     }
     if method not in ways:
         raise ValueError(f"no such method: {method}")
-    combined = ways[method]()
-    if temperature is not None:
-        combined = with_temperature(combined, temperature)
-    first = F.max(F.struct(F.col("p").alias("p"), (-F.col("label")).alias("back"))).alias("x")
-    found = combined.groupBy(*PLACE).agg(first, _entropy(F.col("p")).alias("entropy"))
-    return found.select(*PLACE, (-F.col("x.back")).cast("int").alias("label"), F.col("x.p").alias("p"), "entropy")
+    return ways[method]()
+
+
+def normalised(cells: DataFrame) -> DataFrame:
+    """(read_id, pos, label, p) whose p add up to 1 at each place."""
+    own = Window.partitionBy(*PLACE)
+    return cells.select(*PLACE, "label", (F.col("p") / F.sum("p").over(own)).alias("p"))
 
 
 def intervals(predictions: DataFrame, weights: DataFrame, level: float = 0.95, draws: int = 100, seed: int = 7) -> DataFrame:
     """(read_id, pos, label, low, high): percentiles of averages over models resampled with replacement.
 
-    A draw is a table of how often each model was picked: ``draws`` times models rows, whatever the data.
+    A draw says how often each model was picked: ``draws`` times models numbers, whatever the data, within the plan. A place's
+    models are brought together once and every draw is an expression over them.
     """
     models = sorted(r["model"] for r in at_most(weights, MOST_MODELS, "models").collect())
+    if draws * len(models) > MOST_DRAWN:
+        raise ValueError(f"more than {MOST_DRAWN} numbers of draws and models")
     spark = predictions.sparkSession
     picks = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(len(models) - 1))).alias("slot"))
-    picks = picks.withColumn("model", F.element_at(F.array(*map(F.lit, models)), pick(seed, len(models), F.col("draw"), F.col("slot")) + 1))
-    table = picks.groupBy("draw", "model").agg(F.count("*").alias("times"))
-    rows = _weighted(predictions, weights).join(F.broadcast(table), "model")
-    w = F.col("w") * F.col("times")
-    means = rows.groupBy(*PLACE, "label", "draw").agg(F.try_divide(F.sum(w * F.col("p")), F.sum(w)).alias("x"))
+    counts = picks.groupBy("draw", pick(seed, len(models), F.col("draw"), F.col("slot")).alias("model")).agg(F.count("*").alias("times"))
+    times = np.zeros((draws, len(models)), int)
+    for r in counts.collect():
+        times[r["draw"], r["model"]] = r["times"]
+    at = F.array_position(F.array(*map(F.lit, models)), F.col("model")).cast("int")
+    rows = _weighted(predictions, weights).withColumn("at", at).filter("at > 0")
+    cells = rows.groupBy(*PLACE, "label").agg(F.collect_list(F.struct("at", "w", "p")).alias("cells"))
+    drawn = F.array(*[F.array(*map(F.lit, map(float, row))) for row in times])
+
+    def mean(own: Column) -> Column:
+        zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("w"))
+        add = lambda a, c: F.struct(
+            (a["x"] + F.element_at(own, c["at"]) * c["w"] * c["p"]).alias("x"), (a["w"] + F.element_at(own, c["at"]) * c["w"]).alias("w")
+        )
+        return F.aggregate("cells", zero, add, lambda a: F.try_divide(a["x"], a["w"]))
+
+    found = cells.select(*PLACE, "label", F.sort_array(F.filter(F.transform(drawn, mean), lambda x: x.isNotNull())).alias("x"))
     half = (1 - level) / 2
-    cut = F.percentile("x", F.array(F.lit(half), F.lit(1 - half)))
-    return means.groupBy(*PLACE, "label").agg(cut.alias("c")).select(*PLACE, "label", F.col("c")[0].alias("low"), F.col("c")[1].alias("high"))
+    return found.select(*PLACE, "label", _quantile(F.col("x"), half).alias("low"), _quantile(F.col("x"), 1 - half).alias("high"))
+
+
+def _quantile(ordered: Column, share: float) -> Column:
+    """Of a sorted array, on the straight line between the two values around it; null of an empty one."""
+    place = (F.size(ordered) - 1) * share
+    below, above = F.floor(place).cast("int"), F.ceil(place).cast("int")
+    a, b = F.get(ordered, below), F.get(ordered, above)
+    return F.when(below == above, a).otherwise((above - place) * a + (place - below) * b)
 
 
 def diversity(predictions: DataFrame, metric: str = "disagreement") -> DataFrame:
@@ -224,51 +263,6 @@ def brier(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     return both.agg((F.sum(miss) / F.count_distinct(*PLACE)).alias("brier"))
 
 
-def platt(rows: DataFrame, p: str = "p", hit: str = "hit"):
-    """A logistic model of ``hit`` on the log-odds of p; returns a function that calibrates a DataFrame."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    def features(df: DataFrame) -> DataFrame:
-        x = F.least(F.greatest(F.col(p), F.lit(EPSILON)), F.lit(1 - EPSILON))
-        return VectorAssembler(inputCols=["_logit"], outputCol="_features").transform(df.withColumn("_logit", F.log(x / (1 - x))))
-
-    model = LogisticRegression(featuresCol="_features", labelCol="_hit", regParam=0.0).fit(features(rows).withColumn("_hit", F.col(hit).cast("double")))
-    a, b = float(model.coefficients[0]), float(model.intercept)
-    return lambda df: df.withColumn(p, 1 / (1 + F.exp(-(a * F.log(F.greatest(F.col(p), F.lit(EPSILON)) / F.greatest(1 - F.col(p), F.lit(EPSILON))) + b))))
-
-
-def isotonic(rows: DataFrame, p: str = "p", hit: str = "hit"):
-    """A non-decreasing step model of ``hit`` on p; returns a function that calibrates a DataFrame."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
-
-    to = VectorAssembler(inputCols=[p], outputCol="_features")
-    model = IsotonicRegression(featuresCol="_features", labelCol="_hit").fit(to.transform(rows.withColumn("_hit", F.col(hit).cast("double"))))
-
-    def apply(df: DataFrame) -> DataFrame:
-        out = model.transform(to.transform(df)).withColumn(p, F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0)))
-        return out.drop("_features", "prediction")
-
-    return apply
-
-
-def calibrate_labels(predictions: DataFrame, truth: DataFrame, labels: list[int], way: str = "isotonic") -> DataFrame:
-    """Predictions (read_id, pos, label, p) calibrated one label against the rest, then made to add up to 1 at each place.
-
-    A place whose labels all come out as 0 gets equal shares. A fit is made for each of the few labels.
-    """
-    if way not in ("isotonic", "platt"):
-        raise ValueError(f"no such calibration: {way}")
-    both = predictions.join(truth.select(*PLACE, F.col("label").alias("truth")), [*PLACE]).withColumn("hit", F.col("label") == F.col("truth"))
-    fit = isotonic if way == "isotonic" else platt
-    parts = [fit(both.filter(F.col("label") == k))(predictions.filter(F.col("label") == k)).select(*PLACE, "label", "p") for k in labels]
-    rows = reduce(DataFrame.union, parts)
-    own = Window.partitionBy(*PLACE)
-    total = F.sum("p").over(own)
-    return rows.withColumn("p", F.when(total > 0, F.col("p") / total).otherwise(1 / F.count("*").over(own)))
-
-
 def temperatures(predictions: DataFrame, truth: DataFrame, low: float = 0.1, high: float = 10.0, steps: int = 100) -> DataFrame:
     """(temperature, nll) over a grid of temperatures, in one pass over the data: a grid row costs a column, not a scan."""
     grid = [low * (high / low) ** (i / (steps - 1)) for i in range(steps)]
@@ -338,29 +332,3 @@ def agreement(predictions: DataFrame, first: str) -> DataFrame:
     won = winners(predictions, ("model", *PLACE))
     base = won.filter(F.col("model") == first).select(*PLACE, F.col("label").alias("base"))
     return won.join(base, [*PLACE]).groupBy("model").agg(F.bool_and(F.col("label") == F.col("base")).alias("same"))
-
-
-def stacker(predictions: DataFrame, truth: DataFrame, labels: list[int]):
-    """A multinomial logistic model on all models' probabilities; returns a function that combines predictions.
-
-    Features are ordered by model and label, when learning and when combining alike.
-    """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    models = sorted(r["model"] for r in at_most(predictions.select("model").distinct(), MOST_MODELS, "models").collect())
-    cells = [(m, k) for m in models for k in labels]
-
-    def wide(df: DataFrame) -> DataFrame:
-        columns = [F.coalesce(F.max(F.when((F.col("model") == m) & (F.col("label") == k), F.col("p"))), F.lit(0.0)).alias(f"c{i}") for i, (m, k) in enumerate(cells)]
-        return VectorAssembler(inputCols=[f"c{i}" for i in range(len(cells))], outputCol="_features").transform(df.groupBy(*PLACE).agg(*columns))
-
-    rows = wide(predictions).join(truth.select(*PLACE, F.col("label").cast("double").alias("_label")), [*PLACE])
-    model = LogisticRegression(featuresCol="_features", labelCol="_label", family="multinomial").fit(rows)
-
-    def combine(df: DataFrame) -> DataFrame:
-        out = model.transform(wide(df)).select(*PLACE, F.posexplode(vector_to_array("probability")).alias("label", "p"))
-        return out.filter(F.col("label").isin(*labels))
-
-    return combine

@@ -8,8 +8,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.functions.sizes import at_most
 from readloom.operators.runs import duplicate_segment, remove_segment, shuffle_middle, truncate
 
+#: Labels with bounds, which are sent to every task.
+MOST_BOUNDS = 100_000
+
 
 def confusion(pairs: DataFrame, normalize: bool = False) -> DataFrame:
     """(truth, label, n) and, if asked for, each count's share of its truth."""
@@ -87,20 +91,28 @@ def matched_boundaries(found: DataFrame, truth: DataFrame, tolerance: int = 3) -
 
 
 def satisfaction(runs: DataFrame, bounds: DataFrame) -> DataFrame:
-    """One row for each bounded label: runs, share within bounds, share equal to the lower bound, and their lengths."""
+    """One row for each bounded label: runs, share within bounds, share equal to the lower bound, and their lengths.
+
+    Bounds, a row a label, go to the runs, which are added up where they are: no run is shuffled, however common its label.
+    """
     n = F.col("n")
-    joined = bounds.join(runs.select("label", "n"), "label", "left")
+    bounds = at_most(bounds.select("label", "min_len", "max_len").distinct(), MOST_BOUNDS, "bounded labels")
+    joined = runs.select("label", "n").join(F.broadcast(bounds), "label")
     ok = n.between(F.col("min_len"), F.col("max_len"))
-    return joined.groupBy("label", "min_len", "max_len").agg(
+    found = joined.groupBy("label", "min_len", "max_len").agg(
         F.count("n").alias("runs"),
-        F.coalesce(F.avg(ok.cast("double")), F.lit(0.0)).alias("satisfied"),
-        F.coalesce(F.avg((n == F.col("min_len")).cast("double")), F.lit(0.0)).alias("exact"),
+        F.avg(ok.cast("double")).alias("satisfied"),
+        F.avg((n == F.col("min_len")).cast("double")).alias("exact"),
         F.count_if(~ok).alias("violations"),
         F.avg("n").alias("mean"),
         F.stddev_pop("n").alias("std"),
         F.min("n").alias("shortest"),
         F.max("n").alias("longest"),
     )
+    every = bounds.join(found, ["label", "min_len", "max_len"], "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("runs", "violations")]
+    shares = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("satisfied", "exact")]
+    return every.select("label", "min_len", "max_len", counts[0], *shares, counts[1], "mean", "std", "shortest", "longest")
 
 
 def length_statistics(rows: DataFrame, n: str = "n", by: Sequence[str] = ()) -> DataFrame:

@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom.functions import seq
-from readloom.operators import choose, decode, demux, ensemble, evaluate, motif, runs, simulate
+from readloom.operators import calibrate, choose, decode, demux, ensemble, evaluate, motif, runs, simulate
 from readloom.plans import inputs
 from readloom.plans.demultiplex import Demultiplexed, validate_fastq, write_validated
 from readloom.plans.demultiplex import write as write_demultiplexed
 from readloom.plans.settings import DemuxSettings
+from readloom.schema import IUPAC
 from readloom.sources import fasta, fastq, sinks, tables
 from readloom.streaming import demux_stream
 
@@ -548,13 +549,13 @@ def boundary_accuracy(spark, sf):
 
 
 @query(
-    f"""WITH {STATES_SQL}, m AS (SELECT read_id, pos, lag(label) OVER (PARTITION BY read_id ORDER BY pos) AS b, label FROM states),
-    t AS (SELECT read_id, pos FROM m WHERE b <> label AND pos % 3 = 0), f AS (SELECT read_id, pos FROM m WHERE b <> label AND pos % 4 = 1)
-    SELECT read_id, pos FROM f WHERE EXISTS (SELECT 1 FROM t WHERE t.read_id = f.read_id AND abs(t.pos - f.pos) <= 3)"""
+    f"""WITH {PAIRS_SQL}, m AS (SELECT read_id, pos, truth <> lag(truth) OVER w AS t, label <> lag(label) OVER w AS f FROM pairs WINDOW w AS (PARTITION BY read_id ORDER BY pos))
+    SELECT read_id, pos FROM m WHERE f AND EXISTS (SELECT 1 FROM m t WHERE t.t AND t.read_id = m.read_id AND abs(t.pos - m.pos) <= 3)"""
 )
 def boundary_precision(spark, sf):
-    marks = runs.boundaries(inputs.states(spark, sf))
-    return evaluate.matched_boundaries(marks.filter("pos % 4 = 1").select("read_id", "pos"), marks.filter("pos % 3 = 0").select("read_id", "pos"))
+    pairs = inputs.pairs(spark, sf)
+    found, truth = (runs.boundaries(pairs.select("read_id", "pos", F.col(c).alias("label"))) for c in ("label", "truth"))
+    return evaluate.matched_boundaries(found.select("read_id", "pos"), truth.select("read_id", "pos"))
 
 
 def _bounds(spark):
@@ -731,16 +732,6 @@ def temperature_grid(spark, sf):
     return ensemble.temperatures(combined, inputs.truth(spark, sf), steps=10)
 
 
-@query(
-    f"""WITH m(model, kind, accuracy, loss) AS (VALUES ('m0', 'a', 0.9, 0.2), ('m1', 'b', 0.8, 0.5), ('m2', 'a', 0.6, 0.9)),
-    w AS (SELECT model, greatest(pow(accuracy, 2.0) * CASE kind WHEN 'a' THEN 1.1 ELSE 1 END, 0.05) AS w FROM m) SELECT model, {_r('w / sum(w) OVER ()')} AS weight FROM w"""
-)
-def performance_weights(spark, sf):
-    rows = [("m0", "a", 0.9, 0.2), ("m1", "b", 0.8, 0.5), ("m2", "a", 0.6, 0.9)]
-    models = spark.createDataFrame(rows, "model string, kind string, accuracy double, loss double")
-    return ensemble.performance_weights(models, "accuracy", 2.0, {"a": 0.1}, 0.05)
-
-
 @query(
     f"""WITH {PRED_SQL}, w AS (SELECT * FROM pred QUALIFY row_number() OVER (PARTITION BY model, read_id, pos ORDER BY p DESC, label) = 1)
     SELECT a.model, bool_and(a.label = b.label) AS same FROM w a JOIN w b ON b.model = 'm0' AND a.read_id = b.read_id AND a.pos = b.pos GROUP BY a.model"""
@@ -752,7 +743,7 @@ def model_agreement(spark, sf):
 @query()
 def stacked(spark, sf):
     p, t = inputs.predictions(spark, sf), inputs.truth(spark, sf)
-    return ensemble.stacker(p, t, list(range(inputs.CLASSES)))(p)
+    return calibrate.stacked(p, calibrate.fit_stack(p, t, list(range(inputs.CLASSES))))
 
 
 @query()
@@ -996,27 +987,41 @@ def motif_distances(spark, sf):
     )
 
 
-@query(f"WITH {PWM_SQL} SELECT pos, base, {_r('ln(prob + 1e-10) - ln(0.25)')} AS prob FROM pwm")
+ESTIMATED_SQL = FREQ_SQL + """, grid AS (SELECT pos, b.base FROM (SELECT DISTINCT pos FROM freqs), (VALUES ('A'), ('C'), ('G'), ('T')) b(base)),
+  cells AS (SELECT pos, base, coalesce(n, 0) + 1 AS x FROM grid LEFT JOIN freqs USING (pos, base)),
+  pwm AS (SELECT pos, base, x / sum(x) OVER (PARTITION BY pos) AS prob FROM cells)"""
+
+
+def _estimated(spark, sf) -> list[dict[str, float]]:
+    """The matrix of the table's motifs: a row a position."""
+    return motif.matrix(motif.estimate(inputs.motifs(spark, sf), "motif"))
+
+
+@query(f"WITH {ESTIMATED_SQL} SELECT pos, base, {_r('ln(prob + 1e-10) - ln(0.25)')} AS prob FROM pwm")
 def log_odds_table(spark, sf):
-    return motif.table(spark, motif.log_odds(MATRIX))
+    return motif.table(spark, motif.log_odds(_estimated(spark, sf)))
 
 
 @query(
-    f"""WITH c(pos, code) AS (VALUES (0, 'A'), (1, 'C'), (2, 'C'), (3, 'CG'), (4, 'CG'), (5, 'ACG')), b(base) AS (VALUES ('A'), ('C'), ('G'), ('T'))
-    SELECT pos, base, {_r("(CASE WHEN contains(code, base) THEN 1.0::DOUBLE / length(code) ELSE 0 END + 0.1::DOUBLE) / 1.4::DOUBLE")} AS prob FROM c, b"""
+    f"""WITH {ESTIMATED_SQL}, c AS (SELECT pos, string_agg(base, '' ORDER BY base) FILTER (prob >= 0.25) AS code FROM pwm GROUP BY pos)
+    SELECT pos, base, {_r("(CASE WHEN contains(code, base) THEN 1.0::DOUBLE / length(code) ELSE 0 END + 0.1::DOUBLE) / 1.4::DOUBLE")} AS prob
+    FROM c, (VALUES ('A'), ('C'), ('G'), ('T')) b(base)"""
 )
 def pattern_matrix(spark, sf):
-    return motif.table(spark, motif.from_pattern("ACCSSV", 0.1))
+    """The matrix of the pattern that the table's motifs have: at each place the code of all bases that are as frequent as chance."""
+    codes = {bases: code for code, bases in IUPAC.items()}
+    pattern = "".join(codes["".join(b for b in "ACGT" if p[b] >= 0.25)] for p in _estimated(spark, sf))
+    return motif.table(spark, motif.from_pattern(pattern, 0.1))
 
 
 @query(
-    f"""WITH {PWM_SQL}, x AS (SELECT pos, base, exp(ln(prob + 1e-10) / 0.5) AS x FROM pwm), n AS (SELECT pos, base, x / sum(x) OVER (PARTITION BY pos) AS p FROM x),
+    f"""WITH {ESTIMATED_SQL}, x AS (SELECT pos, base, exp(ln(prob + 1e-10) / 0.5) AS x FROM pwm), n AS (SELECT pos, base, x / sum(x) OVER (PARTITION BY pos) AS p FROM x),
     h AS (SELECT *, -sum(p * ln(p + 1e-10)) OVER (PARTITION BY pos) / ln(4) AS h FROM n),
-    m AS (SELECT *, CASE WHEN h < 0.3 THEN least(0.5, (0.3 - h) / greatest(1e-10, 1 - h)) ELSE 0 END AS mix FROM h)
+    m AS (SELECT *, CASE WHEN h < 0.9995 THEN least(0.5, (0.9995 - h) / greatest(1e-10, 1 - h)) ELSE 0 END AS mix FROM h)
     SELECT pos, base, {_r('(1 - mix) * p + mix / 4')} AS prob FROM m"""
 )
 def tempered_matrix(spark, sf):
-    return motif.table(spark, motif.tempered(MATRIX, 0.5, 0.3))
+    return motif.table(spark, motif.tempered(_estimated(spark, sf), 0.5, 0.9995))
 
 
 @query()
@@ -1056,49 +1061,63 @@ def _hits(spark, sf):
 @query()
 def platt_calibrated(spark, sf):
     rows = _hits(spark, sf)
-    return ensemble.platt(rows)(rows).select("read_id", "pos", "p")
+    rows = rows.withColumn("label", F.lit(0))
+    return calibrate.with_platt(rows, calibrate.fit_platt(rows)).select("read_id", "pos", "p")
 
 
 @query()
 def isotonic_calibrated(spark, sf):
     rows = _hits(spark, sf)
-    return ensemble.isotonic(rows)(rows).select("read_id", "pos", "p")
+    rows = rows.withColumn("label", F.lit(0))
+    return calibrate.with_isotonic(rows, calibrate.isotonic_blocks(rows)).select("read_id", "pos", "p")
 
 
-_KINDS = [("m0", 10), ("m1", 20), ("m2", 40)]
+_MODEL_SQL = f"""{PRED_SQL}, {TRUTH_SQL}, w AS (SELECT * FROM pred QUALIFY row_number() OVER (PARTITION BY model, read_id, pos ORDER BY p DESC, label) = 1),
+  scores AS (SELECT model, avg((w.label = truth.label)::INT) AS accuracy, avg(p) AS confidence FROM w JOIN truth USING (read_id, pos) GROUP BY model)"""
 
 
-@query(
-    f"""WITH m(model, k, given) AS (VALUES ('m0', 10, 2), ('m1', 20, 1), ('m2', 40, 1)) SELECT model, {_r('ln(1 / 3)')} AS uniform,
-    {_r('ln(1.0::DOUBLE * given / sum(given) OVER ())')} AS informative, {_r('ln((1.0::DOUBLE / k) / sum(1.0::DOUBLE / k) OVER ())')} AS adaptive FROM m"""
-)
-def model_priors(spark, sf):
-    models = spark.createDataFrame(_KINDS, "model string, parameters long")
-    given = {"m0": 2.0, "m1": 1.0, "m2": 1.0}
-    out = models.select("model")
-    for kind in ("uniform", "informative", "adaptive"):
-        out = out.join(ensemble.log_priors(models, kind, given).withColumnRenamed("log_prior", kind), "model")
-    return out
+def _model_scores(spark, sf):
+    won = ensemble.winners(inputs.predictions(spark, sf), ("model", "read_id", "pos"))
+    both = won.join(inputs.truth(spark, sf).withColumnRenamed("label", "truth"), ["read_id", "pos"])
+    return both.groupBy("model").agg(F.avg((F.col("label") == F.col("truth")).cast("int")).alias("accuracy"), F.avg("p").alias("confidence"))
+
+
+_KINDS_SQL = _MODEL_SQL + """, lost AS (SELECT model, avg(-ln(p + 1e-10)) AS loss, count_if(p > 0.5) AS k FROM pred JOIN truth USING (read_id, pos, label) GROUP BY model),
+  m AS (SELECT model, CASE model WHEN 'm1' THEN 'b' ELSE 'a' END AS kind, accuracy, loss, k + 1 AS k FROM scores JOIN lost USING (model))"""
+
+
+def _kinds(spark, sf):
+    """(model, kind, accuracy, loss, parameters) of each model: its mean loss, and one more than the true labels it is sure of."""
+    right = inputs.predictions(spark, sf).join(inputs.truth(spark, sf), ["read_id", "pos", "label"])
+    lost = right.groupBy("model").agg(F.avg(-F.log(F.col("p") + 1e-10)).alias("loss"), (F.count_if(F.col("p") > 0.5) + 1).alias("parameters"))
+    kind = F.when(F.col("model") == "m1", "b").otherwise("a").alias("kind")
+    return _model_scores(spark, sf).join(lost, "model").select("model", kind, "accuracy", "loss", "parameters")
 
 
 @query(
-    f"""WITH m(model, loss) AS (VALUES ('m0', 0.2::DOUBLE), ('m1', 0.5::DOUBLE), ('m2', 0.9::DOUBLE)),
-    w AS (SELECT model, greatest(pow(max(loss) OVER () - loss, 2), 0.05) AS w FROM m) SELECT model, {_r('w / sum(w) OVER ()')} AS weight FROM w"""
+    f"""WITH {_KINDS_SQL}, v AS (SELECT model, greatest(pow(accuracy, 2.0) * CASE kind WHEN 'a' THEN 1.1 ELSE 1 END, 0.05) AS w FROM m)
+    SELECT model, {_r('w / sum(w) OVER ()')} AS weight FROM v"""
 )
-def loss_weights(spark, sf):
-    rows = [("m0", "a", 0.9, 0.2), ("m1", "b", 0.8, 0.5), ("m2", "a", 0.6, 0.9)]
-    models = spark.createDataFrame(rows, "model string, kind string, accuracy double, loss double")
-    return ensemble.performance_weights(models, "loss", 2.0, least=0.05)
+def performance_weights(spark, sf):
+    return ensemble.performance_weights(_kinds(spark, sf), "accuracy", 2.0, {"a": 0.1}, 0.05)
 
 
-_MODEL_SQL = f"""{PRED_SQL}, {TRUTH_SQL}, w AS (SELECT * FROM pred QUALIFY row_number() OVER (PARTITION BY model, read_id, pos ORDER BY p DESC, label) = 1),
-  scores AS (SELECT model, avg((w.label = truth.label)::INT) AS accuracy, avg(p) AS confidence FROM w JOIN truth USING (read_id, pos) GROUP BY model)"""
+@query(f"WITH {_KINDS_SQL}, v AS (SELECT model, greatest(pow(max(loss) OVER () - loss, 2), 1e-6) AS w FROM m) SELECT model, {_r('w / sum(w) OVER ()')} AS weight FROM v")
+def loss_weights(spark, sf):
+    return ensemble.performance_weights(_kinds(spark, sf), "loss", 2.0, least=1e-6)
 
 
-def _model_scores(spark, sf):
-    won = ensemble.winners(inputs.predictions(spark, sf), ("model", "read_id", "pos"))
-    both = won.join(inputs.truth(spark, sf).withColumnRenamed("label", "truth"), ["read_id", "pos"])
-    return both.groupBy("model").agg(F.avg((F.col("label") == F.col("truth")).cast("int")).alias("accuracy"), F.avg("p").alias("confidence"))
+@query(
+    f"""WITH {_KINDS_SQL} SELECT model, {_r('ln(1 / 3)')} AS uniform, {_r('ln(accuracy / sum(accuracy) OVER ())')} AS informative,
+    {_r('ln((1.0::DOUBLE / k) / sum(1.0::DOUBLE / k) OVER ())')} AS adaptive FROM m"""
+)
+def model_priors(spark, sf):
+    models = _kinds(spark, sf)
+    given = {r["model"]: r["accuracy"] for r in models.collect()}  # a row a model
+    out = models.select("model")
+    for kind in ("uniform", "informative", "adaptive"):
+        out = out.join(ensemble.log_priors(models, kind, given).withColumnRenamed("log_prior", kind), "model")
+    return out
 
 
 @query(f"WITH {_MODEL_SQL} SELECT model, {_r('accuracy')} AS accuracy, {_r('confidence')} AS confidence, row_number() OVER (ORDER BY accuracy DESC, model) AS rank FROM scores")
@@ -1327,7 +1346,7 @@ def fastq_by_sample(spark, sf):
 def fasta_roundtrip(spark, sf):
     path = _folder(spark, "fasta")
     fasta.write(inputs.reads(spark, sf).select(F.concat(F.lit("r"), F.col("read_id").cast("string")).alias("name"), F.lit("of a document").alias("note"), "sequence"), path, width=23)
-    return fasta.read_split(spark, path)
+    return fasta.read_split(spark, path).select("name", "header", "sequence")
 
 
 @query(
@@ -1353,11 +1372,10 @@ def index_roundtrip(spark, sf):
     return fasta.read_index(spark, fasta.index_path(f"{path}.fa.gz")).filter("corrupt is null").drop("corrupt")
 
 
-@query(f"WITH {PWM_SQL} SELECT pos, base, {_r('prob')} AS prob FROM pwm")
+@query(f"WITH {ESTIMATED_SQL} SELECT pos, base, {_r('prob')} AS prob FROM pwm")
 def matrix_roundtrip(spark, sf):
     path = _folder(spark, "matrix")
-    rows = [(i, b, float(p)) for i, row in enumerate(MOTIF) for b, p in zip("ACGT", row)]
-    sinks.write_pwm(spark.createDataFrame(rows, "pos int, base string, prob double"), path)
+    sinks.write_pwm(motif.estimate(inputs.motifs(spark, sf), "motif"), path)
     return tables.read_pwm(spark, path)
 
 
@@ -1576,7 +1594,7 @@ def fastq_validate(spark, sf):
 def isotonic_by_label(spark, sf):
     """Combined probabilities calibrated one label against the rest; tests hold it against pooled neighbours."""
     combined = ensemble.average(inputs.predictions(spark, sf), _weights(spark)).select("read_id", "pos", "label", F.round("p", 12).alias("p"))
-    return ensemble.calibrate_labels(combined, inputs.truth(spark, sf), list(range(inputs.CLASSES)))
+    return calibrate.calibrate_labels(combined, inputs.truth(spark, sf))
 
 
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN 'c' WHEN 'view' THEN 'V' WHEN 'signup' THEN 's' END AS source FROM events")
@@ -1668,8 +1686,12 @@ def motif_report(spark, sf):
 
 
 def queries() -> dict[str, Query]:
+    from readloom import scale_queries  # noqa: F401  adds to the register
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from readloom import scale_queries  # noqa: F401
+
     return dict(SQL)

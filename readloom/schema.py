@@ -76,9 +76,9 @@ IUPAC = {
     "N": "ACGT",
 }
 
-# The four encodings of bases in use; what isn't listed gets ``other``.
+# The three encodings of bases in use; what isn't listed gets ``other``. In training arrays U counts as A.
 ENCODINGS = {
-    "training": ({"A": 0, "C": 1, "G": 2, "T": 3, "N": 4, "U": 3}, 4),
+    "training": ({"A": 0, "C": 1, "G": 2, "T": 3, "N": 4, "U": 0}, 4),
     "demux": ({"A": 0, "C": 1, "G": 2, "T": 3, "N": 4}, 0),
     "one_based": ({"A": 1, "C": 2, "G": 3, "T": 4, "N": 0}, 0),
 }

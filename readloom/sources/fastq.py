@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from readloom.sources.files import FilePartition, lines, paths
+from readloom.sources.files import FilePartition, lines, paths, stretches
 
 SCHEMA = "read_id string, sequence string, quality string, file string"
 BATCH = 4_096
 
 
 class FastqSource(DataSource):
-    """``spark.read.format("fastq").load(path or glob or folder)``; option ``max_reads`` stops each file early."""
+    """``spark.read.format("fastq").load(path or glob or folder)``; option ``max_reads`` stops each file early.
+
+    For files of this machine, a task each; ``read_split`` reads files in parts and from any store.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -87,22 +92,16 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
     sent = spark.sparkContext.broadcast({(r["file"], r["part"]): r["first"] for r in places})
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: dict[tuple[str, int], int] = {}  # the next line of each part: a part's lines come in order, to one task
-        held: dict[tuple[str, int], dict[int, str]] = {}
+        own: _Part | None = None  # a part's lines come in order, to one task
         for batch in batches:
-            done: list[tuple] = []
-            for file, part, value in zip(*(batch.column(c).to_pylist() for c in ("file", "part", "value"))):
-                line = at.get((file, part), sent.value[file, part])
-                at[file, part] = line + 1
-                record = held.setdefault((file, line // 4), {})
-                record[line % 4] = value.rstrip("\r")
-                if len(record) == 4:
-                    done.append((file, line // 4, *(record[i] for i in range(4))))
-                    del held[file, line // 4]
-            if done:
-                yield _lines_batch(done)
-        if held:
-            yield _lines_batch([(file, n, *(record.get(i) for i in range(4))) for (file, n), record in held.items()])
+            for file, part, lines in stretches(batch):
+                if own is None or (own.file, own.part) != (file, part):
+                    if own is not None:
+                        yield from own.close()
+                    own = _Part(file, part, sent.value[file, part])
+                yield from own.feed(lines)
+        if own is not None:
+            yield from own.close()
 
     found = rows().mapInArrow(assembled, "file string, record long, head string, seq string, plus string, qual string")
     whole = F.col("head").isNotNull() & F.col("seq").isNotNull() & F.col("plus").isNotNull() & F.col("qual").isNotNull()
@@ -114,9 +113,48 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
     return every.select(F.when(F.coalesce(fine, F.lit(False)), name).otherwise(refused).alias("read_id"), F.col("seq").alias("sequence"), F.col("qual").alias("quality"), "file")
 
 
-def _lines_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), *[pa.string()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["file", "record", "head", "seq", "plus", "qual"])
+_COLUMNS = ("head", "seq", "plus", "qual")
+
+
+class _Part:
+    """One part's lines, in order, by four; lines of records that its borders cut are handed on one by one."""
+
+    def __init__(self, file: str, part: int, line: int):
+        self.file, self.part, self.line = file, part, line
+        self.left: pa.Array | None = None
+
+    def _batch(self, records: pa.Array, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        n = len(records)
+        values = [columns.get(c, pa.nulls(n, pa.string())) for c in _COLUMNS]
+        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(self.file), n), records, *values], ["file", "record", *_COLUMNS])
+
+    def _lone(self, lines: pa.Array) -> Iterator[pa.RecordBatch]:
+        for i in range(len(lines)):
+            yield self._batch(pa.array([self.line // 4]), {_COLUMNS[self.line % 4]: lines.slice(i, 1)})
+            self.line += 1
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self.left is not None:
+            yield from self._lone(self.left)
+            self.left = None
+
+    def feed(self, lines: pa.Array) -> Iterator[pa.RecordBatch]:
+        if pc.any(pc.ends_with(lines, "\r")).as_py():
+            lines = pc.ascii_rtrim(lines, "\r")
+        if self.left is not None:
+            lines, self.left = pa.concat_arrays([self.left, lines]), None
+        else:
+            before = min(-self.line % 4, len(lines))
+            yield from self._lone(lines.slice(0, before))
+            lines = lines.slice(before)
+        n = len(lines) // 4
+        if n:
+            at = np.arange(0, 4 * n, 4)
+            records = pa.array(self.line // 4 + np.arange(n))
+            yield self._batch(records, {c: lines.take(pa.array(at + i)) for i, c in enumerate(_COLUMNS)})
+            self.line += 4 * n
+        if len(lines) > 4 * n:
+            self.left = lines.slice(4 * n)
 
 
 def record_rows(reads: DataFrame) -> DataFrame:

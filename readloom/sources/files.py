@@ -1,4 +1,4 @@
-"""Text records straight from Spark's own file reader: splittable, from any store that Spark reads."""
+"""Helpers of the sources: files of this machine, and lines that Spark's text reader gives in parts."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import os
 from collections.abc import Iterator
 from typing import IO
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql.datasource import InputPartition
 
 
@@ -27,10 +29,21 @@ def paths(pattern: str, default: str) -> list[str]:
 
 
 def opened(path: str) -> IO[str]:
-    return gzip.open(path, "rt") if path.endswith(".gz") else open(path, encoding="utf-8")
+    return gzip.open(path, "rt", encoding="utf-8", newline="\n") if path.endswith(".gz") else open(path, encoding="utf-8", newline="\n")
 
 
 def lines(path: str) -> Iterator[str]:
     with opened(path) as file:
         for line in file:
             yield line.rstrip("\r\n")
+
+
+def stretches(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.Array]]:
+    """(file, part, lines) of a batch's stretches of one part."""
+    if not batch.num_rows:
+        return
+    files = batch.column("file").dictionary_encode()
+    code, part = files.indices.to_numpy(), batch.column("part").to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (part[1:] != part[:-1])]))
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), batch.num_rows]):
+        yield files.dictionary[int(code[a])].as_py(), int(part[a]), batch.column("value").slice(a, b - a)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +58,21 @@ def write_jsonl(rows: DataFrame, path: str, compress: bool = True) -> None:
     json_rows(rows).write.mode("overwrite").option("compression", "gzip" if compress else "none").text(path)
 
 
+def write_json_lists(rows: DataFrame, path: str) -> None:
+    """Files that are one indented list each, of the rows that a task has; a task without rows writes an empty list."""
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = "["
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([held])], ["value"])
+                held = value + ","
+        yield pa.RecordBatch.from_arrays([pa.array([held.removesuffix(",") if held != "[" else held, "]"])], ["value"])
+
+    text = F.to_json(F.struct(*rows.columns), {"pretty": "true"}).alias("value")
+    rows.select(text).mapInArrow(lists, "value string").write.mode("overwrite").option("compression", "none").text(path)
+
+
 def labelled_rows(reads: DataFrame, metadata: list[str] | None = None) -> DataFrame:
     """sequence, labels joined by blanks and, if asked for, columns as JSON, separated by tabs."""
     parts = ["sequence", F.array_join("labels", " ")]

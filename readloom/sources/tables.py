@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom.schema import IUPAC
+from readloom.sources import json_arrays
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -62,10 +65,18 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_orders(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """A table whose list columns hold JSON arrays; they are parsed, never evaluated."""
+    """A table whose list columns hold arrays, as JSON or with single quotes; they are parsed, never evaluated.
+
+    A value that is neither is refused; a missing one is null.
+    """
     rows = spark.read.csv(path, sep="\t", header=True)
-    as_json = {c: F.from_json(F.translate(F.col(c), "'", '"'), "array<string>") for c in columns}
-    return rows.withColumns(as_json)
+
+    def parsed(c: str):
+        found = F.coalesce(F.from_json(F.col(c), "array<string>"), F.from_json(F.translate(F.col(c), "'", '"'), "array<string>"))
+        refused = F.raise_error(F.concat(F.lit(f"{c} is no list: "), F.left(F.col(c), F.lit(80)))).cast("array<string>")
+        return F.when(F.trim(F.col(c)) == "", None).when(F.col(c).isNotNull() & found.isNull(), refused).otherwise(found)
+
+    return rows.withColumns({c: parsed(c) for c in columns})
 
 
 def read_validation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -97,15 +108,32 @@ def read_lengths(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").try_cast("int").alias("n")).filter("n is not null")
 
 
-def read_labelled_json(spark: SparkSession, path: str, schema: str, wrapped: bool = False) -> DataFrame:
-    """Labelled reads of JSON lines, an object a read; ``wrapped``: files that are one object with ``reads`` and ``metadata``."""
+def read_labelled_json(spark: SparkSession, path: str, schema: str, wrapped: bool | None = None) -> DataFrame:
+    """Labelled reads of JSON: lines with an object a read, or files that are one array of them, bare or as ``reads`` of an object.
+
+    ``wrapped``: False for lines, True for arrays; unless it is given, the first file's first characters tell. Arrays may be laid out in any
+    way and are read in parts. A read that isn't an object of JSON is refused.
+    """
+    if wrapped is None:
+        head = spark.read.option("lineSep", "}").text(path).select(F.ltrim(F.regexp_replace(F.left("value", F.lit(4_096)), r"\s+", " ")).alias("h")).filter("h <> ''").first()
+        wrapped = head is not None and bool(re.match(r'\[|\{ ?"(reads|metadata)" ?: ?[\[{]', head["h"])) and not _is_lines(spark, path)
     if not wrapped:
-        return spark.read.json(path, schema=schema)
-    whole = spark.read.json(path, schema=f"reads array<struct<{', '.join(_typed(schema))}>>", multiLine=True)
-    return whole.select(F.inline("reads"))
+        return spark.read.json(path, schema=schema, mode="FAILFAST")
+    parsed = F.from_json("value", schema, {"mode": "FAILFAST"})
+    return json_arrays.elements(spark, path, "reads").select(parsed.alias("x")).select("x.*")
+
 
+def _is_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first line with text is an object of its own with a sequence."""
+    line = spark.read.text(path).filter("trim(value) <> ''").select(F.left("value", F.lit(1 << 20)).alias("v")).first()
+    try:
+        found = json.loads(line["v"])
+    except ValueError:
+        return False
+    return isinstance(found, dict) and "sequence" in found
 
-def _typed(schema: str) -> list[str]:
-    from pyspark.sql.types import StructType
 
-    return [f"`{f.name}`: {f.dataType.simpleString()}" for f in StructType.fromDDL(schema)]
+def read_invalid(spark: SparkSession, path: str) -> DataFrame:
+    """(sequence, labels, label_regions, metadata) of invalid reads, however they were written; regions are lists of (start, end)."""
+    schema = "sequence string, labels array<string>, label_regions map<string, array<array<int>>>, metadata map<string, string>"
+    return read_labelled_json(spark, path, schema)

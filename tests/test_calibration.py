@@ -38,7 +38,7 @@ def pooled(rows):
 def test_isotonic_by_label_equals_pooled_neighbours(spark):
     import random
 
-    from readloom.operators import ensemble
+    from readloom.operators import calibrate
 
     rng = random.Random(5)
     rows, truth = [], []
@@ -49,7 +49,7 @@ def test_isotonic_by_label_equals_pooled_neighbours(spark):
     own = {i: t for i, _, t in truth}
     steps = [pooled([(p, float(own[i] == k)) for i, _, c, p in rows if c == k]) for k in range(3)]
     given = spark.createDataFrame(rows, "read_id long, pos int, label int, p double")
-    found = ensemble.calibrate_labels(given, spark.createDataFrame(truth, "read_id long, pos int, label int"), [0, 1, 2])
+    found = calibrate.calibrate_labels(given, spark.createDataFrame(truth, "read_id long, pos int, label int"))
     got = {(r["read_id"], r["label"]): r["p"] for r in found.collect()}
     assert len(got) == len(rows)
     for i in range(150):

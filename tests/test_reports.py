@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from readloom import __main__ as command
 from readloom.functions import seq
-from readloom.operators import ensemble, evaluate
+from readloom.operators import calibrate, evaluate
 from readloom.plans import inputs
 from readloom.plans.demultiplex import validate_fastq
 from readloom.plans.settings import DemuxSettings
@@ -29,7 +29,7 @@ def test_unknown_formats_and_ways_are_refused(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.write_report(rows, str(tmp_path / "x"), "pickle")
     with pytest.raises(ValueError):
-        ensemble.calibrate_labels(rows, rows.drop("p"), [0], "other")
+        calibrate.calibrate_labels(rows, rows.drop("p"), "other")
 
 
 def test_preview_counts_of_reads_without_labels(spark):
