@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 import argparse
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from readloom.operators import demux, ensemble, evaluate, simulate
+from readloom.plans import ensembles
 from readloom.plans.demultiplex import demultiplex, write
-from readloom.plans.settings import DemuxSettings
+from readloom.plans.settings import AllSettings, DemuxSettings
 from readloom.queries import LAYOUT
 from readloom.sources import sinks, tables
 
 
-def _settings(path: str | None) -> DemuxSettings:
+def _settings(path: str | None) -> AllSettings:
+    """A file with a section for each plan, or with the settings of demultiplexing alone."""
     if not path:
-        return DemuxSettings()
-    text = Path(path).read_text()
-    return DemuxSettings.read_yaml(text) if path.endswith((".yaml", ".yml")) else DemuxSettings.read(text)
+        return AllSettings()
+    try:
+        return AllSettings.load(path)
+    except ValueError as problem:
+        if "unknown settings" not in str(problem):
+            raise
+        return AllSettings(demux=DemuxSettings.load(path))
 
 
 def main(args: list[str] | None = None) -> None:
@@ -46,6 +51,12 @@ def main(args: list[str] | None = None) -> None:
     verb.add_argument("--method", choices=("probability", "confidence", "logit", "rank"), default="probability")
     verb.add_argument("--temperature", type=float)
     verb.add_argument("--variance", action="store_true")
+    verb = verbs.add_parser("ensemble", help="as combine, with weights and calibration learnt from predictions whose truth is known")
+    verb.add_argument("validation", help="Parquet: model, read_id, pos, label, probs (a probability for each label)")
+    verb.add_argument("predictions", help="Parquet: model, read_id, pos, label, p")
+    verb.add_argument("out")
+    verb.add_argument("--settings", help="JSON or YAML file with a section ensemble")
+    verb.add_argument("--labels", type=int, nargs="*")
     verb = verbs.add_parser("simulate", help="labelled reads")
     verb.add_argument("out")
     verb.add_argument("--reads", type=int, default=1000)
@@ -56,7 +67,7 @@ def main(args: list[str] | None = None) -> None:
     a = parser.parse_args(args)
     spark = SparkSession.builder.appName(f"readloom {a.verb}").getOrCreate()
     if a.verb == "demux":
-        settings = _settings(a.settings)
+        settings = _settings(a.settings).demux
         write(demultiplex(spark.read.parquet(a.reads), tables.read_samples(spark, a.sheet), settings), a.out)
     elif a.verb == "check-sheet":
         demux.sheet_issues(tables.read_samples(spark, a.sheet)).show(100, truncate=False)
@@ -77,6 +88,9 @@ def main(args: list[str] | None = None) -> None:
         ensemble.predict(predictions, weights, a.method, a.temperature).write.mode("overwrite").parquet(f"{a.out}/predictions")
         if a.variance:
             ensemble.posterior_variance(predictions, weights).write.mode("overwrite").parquet(f"{a.out}/variance")
+    elif a.verb == "ensemble":
+        known, truth = tables.read_validation(spark, a.validation)
+        ensembles.write(ensembles.combine_models(known, truth, spark.read.parquet(a.predictions), _settings(a.settings).ensemble, a.labels), a.out)
     else:
         reads = simulate.generate(spark, a.reads, LAYOUT, a.seed, a.errors)
         sinks.write_reads(simulate.corrupt(reads, a.seed, a.invalid) if a.invalid else reads, a.out, a.format)

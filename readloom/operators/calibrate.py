@@ -254,16 +254,30 @@ def with_platt(predictions: DataFrame, curves: dict[int, tuple[float, float]]) -
 
 
 def calibrate_labels(predictions: DataFrame, truth: DataFrame, way: str = "isotonic") -> DataFrame:
-    """Predictions (read_id, pos, label, p) calibrated one label against the rest, then made to add up to 1 at each place.
+    """Predictions (read_id, pos, label, p) calibrated by themselves one label against the rest, as ``calibrated`` does."""
+    if way not in ("isotonic", "platt"):
+        raise ValueError(f"no such calibration: {way}")
+    return calibrated(predictions, truth, predictions, way)
+
+
+def calibrated(known: DataFrame, truth: DataFrame, predictions: DataFrame, way: str) -> DataFrame:
+    """``predictions`` (read_id, pos, label, p) by what ``known`` ones and their truth teach: none, isotonic, platt or temperature.
 
-    All labels are fitted at once. A place whose labels all come out as 0 gets equal shares.
+    The first two calibrate one label against the rest, all labels at once, and then make p add up to 1 at each place; a place whose
+    labels all come out as 0 gets equal shares.
     """
-    if way not in ("isotonic", "platt"):
+    if way not in ("none", "isotonic", "platt", "temperature"):
         raise ValueError(f"no such calibration: {way}")
     picked = predictions.select(*PLACE, "label", "p")
-    both = _with_truth(picked, truth).select("label", "p", (F.col("label") == F.col("truth")).alias("hit"))
-    rows = with_isotonic(picked, isotonic_blocks(both)) if way == "isotonic" else with_platt(picked, fit_platt(both))
+    if way == "none":
+        return picked
     own = Window.partitionBy(*PLACE)
+    if way == "temperature":
+        inverse = 1 / fit_temperature(known, truth).temperature
+        x = picked.withColumn("_x", F.log(F.col("p") + EPSILON) * inverse).withColumn("_e", F.exp(F.col("_x") - F.max("_x").over(own)))
+        return x.select(*PLACE, "label", (F.col("_e") / F.sum("_e").over(own)).alias("p"))
+    both = _with_truth(known, truth).select("label", "p", (F.col("label") == F.col("truth")).alias("hit"))
+    rows = with_isotonic(picked, isotonic_blocks(both)) if way == "isotonic" else with_platt(picked, fit_platt(both))
     total = F.sum("p").over(own)
     return rows.withColumn("p", F.when(total > 0, F.col("p") / total).otherwise(1 / F.count("*").over(own)))
 

@@ -5,13 +5,12 @@ Whole numbers are long and doubles rounded to 9 digits, so that results of two e
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.functions import seq
+from readloom.functions import scratch, seq
 from readloom.operators import calibrate, choose, decode, demux, ensemble, evaluate, motif, runs, simulate
 from readloom.plans import inputs
 from readloom.plans.demultiplex import Demultiplexed, validate_fastq, write_validated
@@ -1315,7 +1314,7 @@ def last_run_of_label(spark, sf):
 
 
 def _folder(spark, name: str) -> str:
-    return f"{inputs.shared_dir(spark)}/readloom/{name}-{uuid.uuid4().hex}"
+    return scratch.place(spark, name)
 
 
 def _with_quality(spark, sf):

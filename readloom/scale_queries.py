@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from readloom.functions import seq
 from readloom.operators import calibrate, combine, demux, ensemble, heavy, membership, quantiles
-from readloom.plans import inputs
+from readloom.plans import ensembles, inputs
+from readloom.plans.settings import EnsembleSettings
 from readloom.queries import (
     ASSIGNED_SQL,
     CODED_SQL,
@@ -226,3 +227,15 @@ def stacked_shape(spark, sf):
     places = out.groupBy("read_id", "pos").agg(F.sum("p").alias("p"), F.count("*").alias("n"))
     return places.agg(F.sum("n").alias("cells"), F.count("*").alias("places"), F.bool_and(F.abs(F.col("p") - 1) < 1e-9).alias("adds_up"))
 
+
+
+@query(
+    f"""WITH {_SHARP_SQL}, e AS (SELECT read_id, pos, label, p FROM calm), w AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY read_id, pos ORDER BY round(p, 9) DESC, label) = 1),
+    h AS (SELECT read_id, pos, -sum(p * ln(p + 1e-10)) AS entropy FROM e GROUP BY ALL) SELECT read_id, pos, label, round(p, 6) AS p, round(entropy, 5) AS entropy FROM w JOIN h USING (read_id, pos)"""
+)
+def ensemble_path(spark, sf):
+    """The whole path for one model that is given as it is: weight 1, no calibration, its labels and entropies."""
+    sharp, truth = _sharp(spark, sf)
+    given = sharp.select(F.lit("m").alias("model"), "read_id", "pos", "label", F.round("p", 9).alias("p"))
+    found = ensembles.combine_models(given, truth, given, EnsembleSettings(method="voting"))
+    return found.labels.select("read_id", "pos", "label", F.round("p", 6).alias("p"), F.round("entropy", 5).alias("entropy"))

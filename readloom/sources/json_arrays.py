@@ -88,7 +88,7 @@ def _summed(states: list[_State], sums: list[_Sum], data: bytes, key: re.Pattern
         own.delta = state.depth
 
 
-_PARTS = "file string, part long, parity boolean, deltas array<long>, leasts array<long>, keys array<array<array<long>>>"
+_PARTS = "file string, part long, head string, parity boolean, deltas array<long>, leasts array<long>, keys array<array<array<long>>>"
 
 
 def _texts(spark: SparkSession, path: str) -> DataFrame:
@@ -105,20 +105,22 @@ def _summaries(spark: SparkSession, path: str, key: bytes) -> DataFrame:
     pattern = re.compile(rb'"' + re.escape(key) + rb'"\s*:\s*\[')
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, states, sums = None, [], []
+        own, states, sums, head = None, [], [], ""
 
         def done() -> pa.RecordBatch:
-            row = [[own[0]], [own[1]], [states[0].inside], [[s.delta for s in sums]], [[s.least for s in sums]], [[s.keys for s in sums]]]
-            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.list_(pa.int64())))]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds)], ["file", "part", "parity", "deltas", "leasts", "keys"])
+            row = [[own[0]], [own[1]], [head], [states[0].inside], [[s.delta for s in sums]], [[s.least for s in sums]], [[s.keys for s in sums]]]
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.list_(pa.int64())))]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds)], [c.split()[0] for c in _PARTS.split(", ")])
 
         for batch in batches:
             for file, part, lines in stretches(batch):
                 if own != (file, part):
                     if own is not None:
                         yield done()
-                    own, states, sums = (file, part), [_State(False, 0), _State(True, 0)], [_Sum(False), _Sum(True)]
-                _summed(states, sums, _bytes(lines), pattern)
+                    own, head, states, sums = (file, part), "", [_State(False, 0), _State(True, 0)], [_Sum(False), _Sum(True)]
+                data = _bytes(lines)
+                head = head or data.lstrip(b"\xef\xbb\xbf \t\r\n")[:1].decode("latin-1")
+                _summed(states, sums, data, pattern)
         if own is not None:
             yield done()
 
@@ -201,16 +203,14 @@ def elements(spark: SparkSession, path: str, key: str | None = None) -> DataFram
     have no elements. Refused are files that end within their array, arrays with elements that aren't objects, and files
     that start with neither a bracket nor, if ``key`` is given, a brace.
     """
-    first = _texts(spark, path).filter("part = 0").withColumn("n", F.monotonically_increasing_id())
-    head = F.left(F.ltrim(F.regexp_replace(F.left("value", F.lit(4_096)), r"^[\x{FEFF}\s]+", "")), F.lit(1))
-    heads = {r["file"]: r["head"] for r in first.groupBy("file").agg(F.min_by(head, "n").alias("head")).collect()}
-    level = {file: 1 if h == "[" else 2 for file, h in heads.items()}
-    for file, h in heads.items():
-        if h and h != "[" and (h != "{" or key is None):
-            raise ValueError(f"{file} is not an array")
     parts = _summaries(spark, path, (key or "").encode()).limit(MOST_PARTS + 1).collect()
     if len(parts) > MOST_PARTS:
         raise ValueError(f"more than {MOST_PARTS} parts of files; read them in several calls")
+    heads = {r["file"]: r["head"] for r in sorted(parts, key=lambda r: -r["part"])}  # each file's first part comes last
+    level = {file: 1 if h == "[" else 2 for file, h in heads.items()}
+    for file, h in heads.items():
+        if h not in ("", "}", "[") and (h != "{" or key is None):
+            raise ValueError(f"{file} is not an array")
     sent = spark.sparkContext.broadcast((_starts(parts, level), level))
     pattern = re.compile(rb'"' + re.escape((key or "").encode()) + rb'"\s*:\s*\[')
 
