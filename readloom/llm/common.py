@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from readloom.functions import scratch
+
 #: A-Z are lower-cased, every other ASCII byte that is no digit or letter becomes a space; bytes of
 #: non-ASCII characters stay. The length never changes, so offsets are those of the original bytes.
 WORD_BYTES = bytes(
@@ -22,26 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+def written(df: DataFrame, tag: str, replaces: DataFrame | None = None) -> DataFrame:
+    """Cuts the lineage: writes ``df`` as Parquet into the shared folder and reads it back.
 
-    Only where the setting is absent (tests, local runs) a temporary folder of this machine stands in.
+    ``replaces``: an earlier such table that nothing needs any more once this one is there; it is removed. The rest goes
+    when the process ends.
     """
-    there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    if not there:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        there = tempfile.mkdtemp(prefix="readloom-")
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there.rstrip("/")
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as Parquet into the shared folder and reads it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/readloom/{tag}-{uuid.uuid4().hex}"
+    path = scratch.place(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    if replaces is not None:
+        scratch.remove(replaces.written_at)
+    return out
 
 
 def free_name(name: str, taken: list[str]) -> str:

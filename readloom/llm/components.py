@@ -57,7 +57,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if seen == before or not seen[0]:
             break
         before = seen
-        now = written(_small_star(_large_star(now, seen[0]), seen[0]), "edges")
+        now = written(_small_star(_large_star(now, seen[0]), seen[0]), "edges", replaces=now)
     else:
         raise RuntimeError(f"components didn't settle within {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(

@@ -456,10 +456,11 @@ def similar_links(classes: DataFrame, texts_of, radius: int = 2) -> DataFrame:
     shared = bands.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     left = written(bands.join(shared, ["band", "key"]), "bands")
     weight = left.groupBy("node").agg(F.sum("n").alias("weight"))
-    left = written(left.drop("n").join(weight, "node"), "bands")
+    left = written(left.drop("n").join(weight, "node"), "bands", replaces=left)
     close = written(close, "close")
     texts = written(texts_of(left.select("node").union(close.select("a")).union(close.select("b")).distinct()), "texts")
     links = judged(close.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), texts).filter("near").select("a", "b")
+    met: DataFrame | None = None
     for i in range(ROUNDS):
         if i > 1:  # one more band refines the key
             again = left.join(classes.select("node", "keys"), "node")
@@ -467,7 +468,7 @@ def similar_links(classes: DataFrame, texts_of, radius: int = 2) -> DataFrame:
         draw = F.xxhash64("node", "band", F.lit(i))
         order = F.struct(F.when(F.col("band") % 2 == 0, -F.col("weight")).otherwise(F.lit(0)).alias("w"), draw.alias("draw"), "node")
         least = left.groupBy("band", "key").agg(F.min(order)["node"].alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        met = written(left.withColumnRenamed("node", "a").join(least, ["band", "key"]).filter("a <> b"), "met")
+        met = written(left.withColumnRenamed("node", "a").join(least, ["band", "key"]).filter("a <> b"), "met", replaces=met)
         found = judged(met.select("a", "b").distinct(), texts)
         links = links.union(found.filter("near").select("a", "b"))
         left = met.join(found.filter("not near"), ["a", "b"], "left_semi").select("band", "key", F.col("a").alias("node"), "weight")
