@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from readloom.sources.files import FilePartition, opened, paths, stretches
+from readloom.sources.files import FilePartition, opened, part_lines, part_table, paths, stretches
 
 SCHEMA = "name string, header string, sequence string, offset long, line_bases int, line_width int, file string"
 #: A batch is handed on at so many bases or records, whichever comes first.
@@ -85,42 +85,34 @@ def _record(header: str, parts: list[str], *numbers: int) -> tuple:
 
 #: Parts of input files whose summaries may be sent to every task (about 250 bytes each).
 MOST_PARTS = 500_000
-_PIECE = "file string, record long, part long, header string, sequence string, offset long, line_bases int, line_width int, whole boolean"
-_PIECE_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-
-
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of files with the file and its part; only the line feed is taken off, so bytes can be added up."""
-    rows = spark.read.option("lineSep", "\n").text(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.col("_metadata.file_size").alias("size"), "value")
+_PIECE = "key long, record long, header string, sequence string, offset long, line_bases int, line_width int, whole boolean"
+_PIECE_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
 
 
 def part_summaries(spark: SparkSession, path: str) -> DataFrame:
-    """(file, part, at, records, size): where each part's first line starts and how many records start before it.
+    """(key, file, part, at, records, size): where each part's first line starts and how many records start before it.
 
     A part is summed up by its bytes and headers; sums of all parts before give it its place, whatever task reads it.
     """
-    sums = _lines(spark, path).groupBy("file", "part").agg(
-        F.sum(F.octet_length("value").cast("long") + 1).alias("bytes"), F.count_if(F.startswith("value", F.lit(">"))).alias("headers"), F.max("size").alias("size")
-    )
+    own = [F.sum(F.octet_length("value").cast("long") + 1).alias("bytes"), F.count_if(F.startswith("value", F.lit(">"))).alias("headers")]
+    sums = part_table(spark, path, *own, line_end="\n")  # only the line feed is taken off, so bytes add up
     before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return sums.select("file", "part", (F.sum("bytes").over(before) - F.col("bytes")).alias("at"), (F.sum("headers").over(before) - F.col("headers")).alias("records"), "size")
+    at, records = (F.sum(c).over(before) - F.col(c) for c in ("bytes", "headers"))
+    return sums.select("key", "file", "part", at.alias("at"), records.alias("records"), "size")
 
 
 class _Part:
     """One part's lines, in order: records that start and end in it are handed on whole, what its borders cut as pieces."""
 
-    def __init__(self, file: str, part: int, at: int, records: int, size: int):
-        self.file, self.part, self.at, self.record = file, part, at, records
-        # a compressed file's size says nothing of its text
-        self.end = at + (1 << 62) if file.endswith(".gz") else size
+    def __init__(self, key: int, at: int, records: int, end: int):
+        self.key, self.at, self.record, self.end = key, at, records, end
         self.header: str | None = None
         self.texts: list[bytes] = []
         self.numbers: tuple[int | None, int | None, int | None] = (None, None, None)
 
     def _batch(self, records: list, headers: list, texts, offsets: list, bases: list, widths: list, whole: bool) -> pa.RecordBatch:
         n = len(records)
-        columns = [[self.file] * n, records, [self.part] * n, headers, texts, offsets, bases, widths, [whole] * n]
+        columns = [[self.key] * n, records, headers, texts, offsets, bases, widths, [whole] * n]
         return pa.RecordBatch.from_arrays(
             [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, _PIECE_KINDS)], [c.split()[0] for c in _PIECE.split(", ")]
         )
@@ -192,21 +184,23 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
     places = part_summaries(spark, path).limit(MOST_PARTS + 1).collect()
     if len(places) > MOST_PARTS:
         raise ValueError(f"more than {MOST_PARTS} parts of files; read them in several calls")
-    sent = spark.sparkContext.broadcast({(r["file"], r["part"]): (r["at"], r["records"], r["size"]) for r in places})
+    # a compressed file's size says nothing of its text
+    sent = spark.sparkContext.broadcast({r["key"]: (r["at"], r["records"], 1 << 62 if r["file"].endswith(".gz") else r["size"]) for r in places})
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: _Part | None = None  # a part's lines come in order, to one task
         for batch in batches:
-            for file, part, lines in stretches(batch):
-                if own is None or (own.file, own.part) != (file, part):
+            for key, lines in stretches(batch):
+                if own is None or own.key != key:
                     if own is not None:
                         yield from own.close(False)
-                    own = _Part(file, part, *sent.value[file, part])
+                    own = _Part(key, *sent.value[key])
                 yield from own.feed(lines)
         if own is not None:
             yield from own.close(False)
 
-    pieces = _lines(spark, path).select("file", "part", "value").mapInArrow(assembled, _PIECE)
+    files = spark.createDataFrame([(r["key"], r["file"], r["part"]) for r in places], "key long, file string, part long")
+    pieces = part_lines(spark, path, "\n").mapInArrow(assembled, _PIECE).join(F.broadcast(files), "key").drop("key")
     cut = pieces.filter("not whole").groupBy("file", "record").agg(
         F.max("header").alias("header"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "sequence"))), lambda x: x["sequence"]), "").alias("sequence"),

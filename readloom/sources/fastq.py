@@ -6,12 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from readloom.sources.files import FilePartition, lines, paths, stretches
+from readloom.sources.files import FilePartition, lines, part_lines, part_table, paths, stretches
 
 SCHEMA = "read_id string, sequence string, quality string, file string"
 BATCH = 4_096
@@ -81,32 +80,32 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
     with it its place in a four-line record, whatever it starts with. Records are put together where their
     lines are read; only those that a part's border cuts are brought together. A record that isn't one raises.
     """
-    def rows() -> DataFrame:
-        return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), "value")
-
-    counts = rows().groupBy("file", "part").agg(F.count("*").alias("n"))
+    counts = part_table(spark, path, F.count("*").alias("n"), F.min("line").alias("line"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    places = counts.select("file", "part", before.alias("first")).limit(MOST_PARTS + 1).collect()
+    places = counts.select("key", "file", "n", "line", before.alias("first")).limit(MOST_PARTS + 1).collect()
     if len(places) > MOST_PARTS:
         raise ValueError(f"more than {MOST_PARTS} parts of files; read them in several calls")
-    sent = spark.sparkContext.broadcast({(r["file"], r["part"]): r["first"] for r in places})
+    sent = spark.sparkContext.broadcast({r["key"]: r["first"] for r in places})
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: _Part | None = None  # a part's lines come in order, to one task
         for batch in batches:
-            for file, part, lines in stretches(batch):
-                if own is None or (own.file, own.part) != (file, part):
-                    if own is not None:
-                        yield from own.close()
-                    own = _Part(file, part, sent.value[file, part])
+            for key, lines in stretches(batch):
+                if own is None or own.key != key:
+                    own = _Part(key, sent.value[key])
                 yield from own.feed(lines)
-        if own is not None:
-            yield from own.close()
 
-    found = rows().mapInArrow(assembled, "file string, record long, head string, seq string, plus string, qual string")
-    whole = F.col("head").isNotNull() & F.col("seq").isNotNull() & F.col("plus").isNotNull() & F.col("qual").isNotNull()
-    cut = found.filter(~whole).groupBy("file", "record").agg(*[F.max(c).alias(c) for c in ("head", "seq", "plus", "qual")])
-    every = found.filter(whole).unionByName(cut).filter(F.coalesce(F.concat_ws("", "head", "seq", "plus", "qual"), F.lit("")) != "")
+    files = F.broadcast(spark.createDataFrame(places, "key long, file string, n long, line long, first long"))
+    whole = part_lines(spark, path).mapInArrow(assembled, "key long, head string, seq string, plus string, qual string").join(files.select("key", "file"), "key")
+    # a part's lines before its first whole record, and after its last one
+    edges = part_lines(spark, path, None, F.monotonically_increasing_id().alias("at")).join(files, "key")
+    at, end = F.col("at") - F.col("line"), F.col("first") + F.col("n")
+    edges = edges.filter((at < F.pmod(-F.col("first"), F.lit(4))) | (at >= F.col("n") - end % 4))
+    number = F.col("first") + at
+    lines_of = [F.max(F.when(number % 4 == i, F.col("value"))).alias(c) for i, c in enumerate(_COLUMNS)]
+    cut = edges.groupBy("file", F.floor(number / 4).alias("record")).agg(*lines_of).select("file", *_COLUMNS)
+    cut = cut.filter(F.coalesce(F.concat_ws("", *_COLUMNS), F.lit("")) != "")  # blank lines at a file's end
+    every = whole.filter("head <> '' or seq <> '' or plus <> '' or qual <> ''").select("file", *_COLUMNS).union(cut)
     fine = F.startswith("head", F.lit("@")) & F.startswith("plus", F.lit("+")) & (F.length("seq") == F.length("qual"))
     refused = F.raise_error(F.concat(F.lit("not a FASTQ record: "), F.left(F.coalesce("head", F.lit("")), F.lit(80)))).cast("string")
     name = F.regexp_extract("head", r"^@(\S*)", 1)
@@ -117,42 +116,23 @@ _COLUMNS = ("head", "seq", "plus", "qual")
 
 
 class _Part:
-    """One part's lines, in order, by four; lines of records that its borders cut are handed on one by one."""
+    """One part's lines, in order: those of records that are whole in it, by four."""
 
-    def __init__(self, file: str, part: int, line: int):
-        self.file, self.part, self.line = file, part, line
+    def __init__(self, key: int, line: int):
+        self.key, self.skip = key, -line % 4
         self.left: pa.Array | None = None
 
-    def _batch(self, records: pa.Array, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-        n = len(records)
-        values = [columns.get(c, pa.nulls(n, pa.string())) for c in _COLUMNS]
-        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(self.file), n), records, *values], ["file", "record", *_COLUMNS])
-
-    def _lone(self, lines: pa.Array) -> Iterator[pa.RecordBatch]:
-        for i in range(len(lines)):
-            yield self._batch(pa.array([self.line // 4]), {_COLUMNS[self.line % 4]: lines.slice(i, 1)})
-            self.line += 1
-
-    def close(self) -> Iterator[pa.RecordBatch]:
-        if self.left is not None:
-            yield from self._lone(self.left)
-            self.left = None
-
     def feed(self, lines: pa.Array) -> Iterator[pa.RecordBatch]:
-        if pc.any(pc.ends_with(lines, "\r")).as_py():
-            lines = pc.ascii_rtrim(lines, "\r")
+        if self.skip:
+            skipped = min(self.skip, len(lines))
+            self.skip, lines = self.skip - skipped, lines.slice(skipped)
         if self.left is not None:
             lines, self.left = pa.concat_arrays([self.left, lines]), None
-        else:
-            before = min(-self.line % 4, len(lines))
-            yield from self._lone(lines.slice(0, before))
-            lines = lines.slice(before)
         n = len(lines) // 4
         if n:
             at = np.arange(0, 4 * n, 4)
-            records = pa.array(self.line // 4 + np.arange(n))
-            yield self._batch(records, {c: lines.take(pa.array(at + i)) for i, c in enumerate(_COLUMNS)})
-            self.line += 4 * n
+            columns = [lines.take(pa.array(at + i)) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(self.key, pa.int64()), n), *columns], ["key", *_COLUMNS])
         if len(lines) > 4 * n:
             self.left = lines.slice(4 * n)
 

@@ -10,6 +10,8 @@ from typing import IO
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import InputPartition
 
 
@@ -38,12 +40,30 @@ def lines(path: str) -> Iterator[str]:
             yield line.rstrip("\r\n")
 
 
-def stretches(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.Array]]:
-    """(file, part, lines) of a batch's stretches of one part."""
+def _key() -> Column:
+    return F.xxhash64("_metadata.file_path", "_metadata.file_block_start")
+
+
+def part_lines(spark: SparkSession, path: str, line_end: str | None = None, *more: Column) -> DataFrame:
+    """(key, value): lines of files and a number of the part of a file that each is in, which is cheaper to send along than its name."""
+    reader = spark.read if line_end is None else spark.read.option("lineSep", line_end)
+    return reader.text(path).select(_key().alias("key"), "value", *more)
+
+
+def part_table(spark: SparkSession, path: str, *sums: Column, line_end: str | None = None) -> DataFrame:
+    """(key, file, part, size, ...): a row for each part of a file with sums over its lines (value, and line, a rising number)."""
+    reader = spark.read if line_end is None else spark.read.option("lineSep", line_end)
+    places = ("_metadata.file_path", "_metadata.file_block_start", "_metadata.file_size")
+    rows = reader.text(path).select(_key().alias("key"), *places, "value", F.monotonically_increasing_id().alias("line"))
+    places = [F.first(c).alias(name) for c, name in (("file_path", "file"), ("file_block_start", "part"), ("file_size", "size"))]
+    return rows.groupBy("key").agg(*places, *sums)
+
+
+def stretches(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array]]:
+    """(key, lines) of a batch's stretches of one part."""
     if not batch.num_rows:
         return
-    files = batch.column("file").dictionary_encode()
-    code, part = files.indices.to_numpy(), batch.column("part").to_numpy()
-    first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (part[1:] != part[:-1])]))
+    key = batch.column("key").to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     for a, b in zip(first.tolist(), [*first[1:].tolist(), batch.num_rows]):
-        yield files.dictionary[int(code[a])].as_py(), int(part[a]), batch.column("value").slice(a, b - a)
+        yield int(key[a]), batch.column("value").slice(a, b - a)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.sources.files import stretches
+from readloom.sources.files import part_lines, part_table, stretches
 
 #: Parts whose sums may be held by the driver and sent to every task (some 200 bytes each).
 MOST_PARTS = 500_000
@@ -88,12 +88,7 @@ def _summed(states: list[_State], sums: list[_Sum], data: bytes, key: re.Pattern
         own.delta = state.depth
 
 
-_PARTS = "file string, part long, head string, parity boolean, deltas array<long>, leasts array<long>, keys array<array<array<long>>>"
-
-
-def _texts(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("lineSep", "}").text(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), "value")
+_PARTS = "key long, head string, parity boolean, deltas array<long>, leasts array<long>, keys array<array<array<long>>>"
 
 
 def _bytes(lines: pa.Array) -> bytes:
@@ -108,34 +103,35 @@ def _summaries(spark: SparkSession, path: str, key: bytes) -> DataFrame:
         own, states, sums, head = None, [], [], ""
 
         def done() -> pa.RecordBatch:
-            row = [[own[0]], [own[1]], [head], [states[0].inside], [[s.delta for s in sums]], [[s.least for s in sums]], [[s.keys for s in sums]]]
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.list_(pa.int64())))]
+            row = [[own], [head], [states[0].inside], [[s.delta for s in sums]], [[s.least for s in sums]], [[s.keys for s in sums]]]
+            kinds = [pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.list_(pa.int64())))]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds)], [c.split()[0] for c in _PARTS.split(", ")])
 
         for batch in batches:
-            for file, part, lines in stretches(batch):
-                if own != (file, part):
+            for key_, lines in stretches(batch):
+                if own != key_:
                     if own is not None:
                         yield done()
-                    own, head, states, sums = (file, part), "", [_State(False, 0), _State(True, 0)], [_Sum(False), _Sum(True)]
+                    own, head, states, sums = key_, "", [_State(False, 0), _State(True, 0)], [_Sum(False), _Sum(True)]
                 data = _bytes(lines)
                 head = head or data.lstrip(b"\xef\xbb\xbf \t\r\n")[:1].decode("latin-1")
                 _summed(states, sums, data, pattern)
         if own is not None:
             yield done()
 
-    return _texts(spark, path).mapInArrow(run, _PARTS)
+    places = part_table(spark, path, line_end="}").select("key", "file", "part")
+    return part_lines(spark, path, "}").mapInArrow(run, _PARTS).join(places, "key")
 
 
-def _starts(parts: list, level: dict[str, int]) -> dict[tuple[str, int], tuple[bool, int, int, bool]]:
-    """The state that each part starts in: a string open, the depth, the part that an open element started in, and whether in the array."""
+def _starts(parts: list, level: dict[str, int]) -> dict[int, tuple[tuple[bool, int, int, bool], int, str, int]]:
+    """(start, level, file, part) of each part; start is the state that it starts in: a string open, the depth, the part that an open element started in, and whether in the array."""
     out, last = {}, None
     for r in sorted(parts, key=lambda r: (r["file"], r["part"])):
         if last is None or last[0] != r["file"]:
             _ended(last)
             last = [r["file"], False, 0, r["part"], level[r["file"]] == 1]
         file, inside, depth, opened, reading = last
-        out[file, r["part"]] = (inside, depth, opened, reading)
+        out[r["key"]] = ((inside, depth, opened, reading), level[file], file, r["part"])
         low = depth + r["leasts"][inside]
         if level[file] == 2:
             reading = reading and low > 1
@@ -211,34 +207,35 @@ def elements(spark: SparkSession, path: str, key: str | None = None) -> DataFram
     for file, h in heads.items():
         if h not in ("", "}", "[") and (h != "{" or key is None):
             raise ValueError(f"{file} is not an array")
-    sent = spark.sparkContext.broadcast((_starts(parts, level), level))
+    sent = spark.sparkContext.broadcast(_starts(parts, level))
     pattern = re.compile(rb'"' + re.escape((key or "").encode()) + rb'"\s*:\s*\[')
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, levels = sent.value
-        own, at = None, None
+        own, at, part = None, None, 0
 
         def rows(found: list[tuple[bool, bytes]], opened: int) -> pa.RecordBatch:
-            columns = ([at[0]] * len(found), [at[1]] * len(found), [opened] * len(found), [w for w, _ in found], [t for _, t in found])
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-            return pa.RecordBatch.from_arrays([*arrays[:4], arrays[4].cast(pa.string())], ["file", "part", "opened", "whole", "value"])
+            n = len(found)
+            whole, texts = zip(*found)
+            columns = [pa.array([at] * n, pa.int64()), pa.array([opened] * n, pa.int64()), pa.array(whole, pa.bool_()), pa.array(texts, pa.binary()).cast(pa.string())]
+            return pa.RecordBatch.from_arrays(columns, ["key", "opened", "whole", "value"])
 
         def rest() -> Iterator[pa.RecordBatch]:
             if own is not None and own.held is not None:
-                yield rows([(False, b"".join(own.held))], own.opened if own.cut else at[1])
+                yield rows([(False, b"".join(own.held))], own.opened if own.cut else part)
 
         for batch in batches:
-            for file, part, lines in stretches(batch):
-                if at != (file, part):
+            for key_, lines in stretches(batch):
+                if at != key_:
                     yield from rest()
-                    at, own = (file, part), _Cutter(starts[file, part], levels[file], pattern, file)
+                    start, level_, file, part = sent.value[key_]
+                    at, own = key_, _Cutter(start, level_, pattern, file)
                 opened = own.opened
                 if found := list(own.feed(_bytes(lines))):
                     yield rows(found, opened)
         yield from rest()
 
-    found = _texts(spark, path).mapInArrow(cut, "file string, part long, opened long, whole boolean, value string")
+    files = spark.createDataFrame([(r["key"], r["file"], r["part"]) for r in parts], "key long, file string, part long")
+    found = part_lines(spark, path, "}").mapInArrow(cut, "key long, opened long, whole boolean, value string").join(F.broadcast(files), "key")
     pieces = found.filter("not whole").groupBy("file", "opened").agg(F.sort_array(F.collect_list(F.struct("part", "value"))).alias("x"))
     joined = pieces.select("file", F.array_join(F.transform("x", lambda p: p["value"]), "").alias("value"))
     return found.filter("whole").select("file", "value").union(joined)
