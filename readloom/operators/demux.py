@@ -180,6 +180,11 @@ def issues(validated: DataFrame, k: int = 10) -> DataFrame:
     return flat.groupBy("issue").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "issue").limit(k)
 
 
+def architecture_counts(validated: DataFrame) -> DataFrame:
+    """(classification, orientation, n): how many reads came out in each way."""
+    return validated.groupBy("classification", "orientation").agg(F.count("*").alias("n"))
+
+
 def sheet_issues(sheet: DataFrame, cbc_lengths: Sequence[int] = (6, 8, 10, 16), index_length: int = 8) -> DataFrame:
     """One row for each rule that the sheet breaks: (rule, subject, n)."""
     names = sheet.groupBy("sample_name").count().filter("count > 1").select(F.lit("duplicate_name").alias("rule"), F.col("sample_name").alias("subject"), F.col("count").alias("n"))

@@ -96,6 +96,11 @@ def best_match(seq: Column, m: Matrix, start: Column | int = 0, end: Column | No
     return let(F.array_max(found), shown)
 
 
+def detected(best: Column, least: float = 0.7) -> Column:
+    """Whether a best match counts as the motif: there is one, and its score reaches ``least``."""
+    return F.coalesce((best["pos"] >= 0) & (best["score"] >= least), F.lit(False))
+
+
 def probabilities(seq: Column, m: Matrix) -> Column:
     """struct of log_likelihood, mean, least, geometric_mean and weighted (by the positions' entropy).
 

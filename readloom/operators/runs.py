@@ -90,6 +90,13 @@ def slice_of(seq: Column, boundaries: Column, label: str) -> Column:
     return F.substring(seq, at["start"] + 1, at["end"] - at["start"])
 
 
+def instances(sequence: Column, runs: Column, label: str) -> Column:
+    """The bases of every run of a label, in order: structs (start, end, bases)."""
+    own = F.filter(runs, lambda r: r["label"] == label)
+    bases = lambda r: F.substring(sequence, r["start"] + 1, r["end"] - r["start"])
+    return F.transform(own, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), bases(r).alias("bases")))
+
+
 def lengths_of(runs: Column, label: str) -> Column:
     return F.transform(F.filter(runs, lambda r: r["label"] == label), lambda r: r["end"] - r["start"])
 

@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from readloom.functions import seq
-from readloom.operators import calibrate, combine, demux, ensemble, heavy, membership, quantiles
+from readloom.operators import calibrate, combine, demux, ensemble, heavy, membership, motif, quantiles, runs
 from readloom.plans import ensembles, inputs
 from readloom.plans.settings import EnsembleSettings
 from readloom.queries import (
     ASSIGNED_SQL,
     CODED_SQL,
     COMBINED_SQL,
+    MATRIX,
     MOTIFS_SQL,
     PRED_SQL,
     READS_SQL,
     ROUNDED_SQL,
+    SQL,
     TRUTH_SQL,
     _folder,
     _r,
     _weights,
     _with_quality,
+    architecture_validate,
     query,
 )
 from readloom.sources import fasta, fastq, ranges, register, sinks, tables
@@ -115,6 +118,45 @@ def base_encode_training(spark, sf):
     return rows.select("read_id", "motif", F.array_join(F.transform(seq.encode(F.col("motif"), "training"), lambda x: x.cast("string")), "").alias("codes"))
 
 
+@query(f"SELECT read_id, CASE WHEN score >= 0.85 THEN pos END AS pos, score >= 0.85 AS detected FROM ({SQL['pwm_best_match']})")
+def motif_detected(spark, sf):
+    """Whether a read has the motif, and where."""
+    best = motif.best_match(F.col("sequence"), MATRIX)
+    found = inputs.reads(spark, sf).select("read_id", best.alias("m")).select("read_id", "m", motif.detected(F.col("m"), 0.85).alias("detected"))
+    return found.select("read_id", F.when(F.col("detected"), F.col("m.pos")).alias("pos"), "detected")
+
+
+@query(
+    f"""WITH {READS_SQL}, x AS (SELECT read_id, sequence, unnest([8, 16, 44]) AS start, unnest([12, 22, 60]) AS "end" FROM reads WHERE read_id % 3 <> 0)
+    SELECT read_id, start, "end", substr(sequence, start + 1, "end" - start) AS bases FROM x"""
+)
+def motif_instances(spark, sf):
+    """The bases of every run of one label; some reads have none, some several."""
+    label = lambda i: F.when((i < 12) & (i >= 8) | (i >= 16) & (i < 22) | (i >= 44) & (i < 60), "ACC").otherwise("cDNA")
+    labels = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.col("read_id") % 3 == 0, "cDNA").otherwise(label(i)))
+    reads = inputs.reads(spark, sf).select("read_id", "sequence", labels.alias("labels"))
+    found = reads.select("read_id", F.explode(runs.instances(F.col("sequence"), runs.segments(F.col("labels"), F.length("sequence")), "ACC")).alias("x"))
+    return found.select("read_id", "x.*")
+
+
+@query(f"SELECT classification, orientation, count(*) AS n FROM ({SQL['architecture_validate']}) GROUP BY ALL")
+def architecture_counts(spark, sf):
+    """How many reads each classification and orientation has."""
+    return demux.architecture_counts(architecture_validate(spark, sf))
+
+
+@query(f"WITH {READS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY read_id // 40 ORDER BY read_id) AS n FROM reads) SELECT read_id // 40 AS part, read_id::VARCHAR AS read_id FROM r WHERE n <= 7")
+def fastq_first_of_each_file(spark, sf):
+    """The first seven reads of each file."""
+    path = _folder(spark, "capped")
+    rows = _with_quality(spark, sf).withColumn("part", F.floor(F.col("read_id").cast("long") / 40))
+    lines = F.concat_ws("\n", F.concat(F.lit("@"), "read_id"), "sequence", F.lit("+"), "quality")
+    dealt = rows.select(lines.alias("value"), "part", F.col("read_id").cast("long").alias("at")).repartition("part").sortWithinPartitions("part", "at")
+    dealt.select("value", "part").write.partitionBy("part").text(path)
+    found = fastq.read_split(spark, f"{path}/*", most_per_file=7)
+    return found.select(F.regexp_extract("file", "part=([0-9]+)/", 1).cast("long").alias("part"), "read_id")
+
+
 # --- counts and membership ----------------------------------------------------------------------------
 
 

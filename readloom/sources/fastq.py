@@ -73,13 +73,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 MOST_PARTS = 500_000
 
 
-def read_split(spark: SparkSession, path: str) -> DataFrame:
+def read_split(spark: SparkSession, path: str, most_per_file: int | None = None) -> DataFrame:
     """The same columns, from any store that Spark reads, large files in parts; no read is shuffled.
 
     Lines of each part of a file are counted first, a number a part; so each line's number in its file is known and
     with it its place in a four-line record, whatever it starts with. Records are put together where their
     lines are read; only those that a part's border cuts are brought together. A record that isn't one raises.
+    ``most_per_file``: only so many records from the start of each file.
     """
+    most = 1 << 62 if most_per_file is None else most_per_file
     counts = part_table(spark, path, F.count("*").alias("n"), F.min("line").alias("line"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     places = counts.select("key", "file", "n", "line", before.alias("first")).limit(MOST_PARTS + 1).collect()
@@ -92,7 +94,7 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for key, lines in stretches(batch):
                 if own is None or own.key != key:
-                    own = _Part(key, sent.value[key])
+                    own = _Part(key, sent.value[key], most)
                 yield from own.feed(lines)
 
     files = F.broadcast(spark.createDataFrame(places, "key long, file string, n long, line long, first long"))
@@ -103,6 +105,7 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
     edges = edges.filter((at < F.pmod(-F.col("first"), F.lit(4))) | (at >= F.col("n") - end % 4))
     number = F.col("first") + at
     lines_of = [F.max(F.when(number % 4 == i, F.col("value"))).alias(c) for i, c in enumerate(_COLUMNS)]
+    edges = edges.filter(F.floor(number / 4) < most)
     cut = edges.groupBy("file", F.floor(number / 4).alias("record")).agg(*lines_of).select("file", *_COLUMNS)
     cut = cut.filter(F.coalesce(F.concat_ws("", *_COLUMNS), F.lit("")) != "")  # blank lines at a file's end
     every = whole.filter("head <> '' or seq <> '' or plus <> '' or qual <> ''").select("file", *_COLUMNS).union(cut)
@@ -118,8 +121,9 @@ _COLUMNS = ("head", "seq", "plus", "qual")
 class _Part:
     """One part's lines, in order: those of records that are whole in it, by four."""
 
-    def __init__(self, key: int, line: int):
+    def __init__(self, key: int, line: int, most: int):
         self.key, self.skip = key, -line % 4
+        self.room = most - (line + self.skip) // 4  # records of the file that are still wanted
         self.left: pa.Array | None = None
 
     def feed(self, lines: pa.Array) -> Iterator[pa.RecordBatch]:
@@ -128,12 +132,13 @@ class _Part:
             self.skip, lines = self.skip - skipped, lines.slice(skipped)
         if self.left is not None:
             lines, self.left = pa.concat_arrays([self.left, lines]), None
-        n = len(lines) // 4
-        if n:
+        n = min(len(lines) // 4, self.room)
+        if n > 0:
+            self.room -= n
             at = np.arange(0, 4 * n, 4)
             columns = [lines.take(pa.array(at + i)) for i in range(4)]
             yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(self.key, pa.int64()), n), *columns], ["key", *_COLUMNS])
-        if len(lines) > 4 * n:
+        if self.room > 0 and len(lines) > 4 * n:
             self.left = lines.slice(4 * n)
 
 

@@ -95,6 +95,8 @@ def test_fastq_in_parts_of_any_size(spark, tmp_path, parts, size, end):
     parts(size)
     got = fastq.read_split(spark, str(tmp_path)).collect()
     assert sorted((r["read_id"], r["sequence"], r["quality"]) for r in got) == sorted(want)
+    few = fastq.read_split(spark, str(tmp_path), most_per_file=130).collect()
+    assert sorted(r["read_id"] for r in few) == sorted(f"r{f}.{i}" for f in range(3) for i in range(130))
 
 
 def array_texts(rng, rows):
