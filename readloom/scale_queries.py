@@ -272,12 +272,13 @@ def stacked_shape(spark, sf):
 
 
 @query(
-    f"""WITH {_SHARP_SQL}, e AS (SELECT read_id, pos, label, p FROM calm), w AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY read_id, pos ORDER BY round(p, 9) DESC, label) = 1),
-    h AS (SELECT read_id, pos, -sum(p * ln(p + 1e-10)) AS entropy FROM e GROUP BY ALL) SELECT read_id, pos, label, round(p, 6) AS p, round(entropy, 5) AS entropy FROM w JOIN h USING (read_id, pos)"""
+    f"""WITH {_SHARP_SQL}, e AS (SELECT read_id, pos, label, p / (sum(p) OVER (PARTITION BY read_id, pos) + 1e-10) AS p FROM calm),
+    w AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY read_id, pos ORDER BY p DESC, label) = 1),
+    h AS (SELECT read_id, pos, -sum(p * ln(p + 1e-10)) AS entropy FROM e GROUP BY ALL)
+    SELECT read_id, pos, label, {_r('p')} AS p, {_r('entropy')} AS entropy FROM w JOIN h USING (read_id, pos)"""
 )
 def ensemble_path(spark, sf):
     """The whole path for one model that is given as it is: weight 1, no calibration, its labels and entropies."""
     sharp, truth = _sharp(spark, sf)
-    given = sharp.select(F.lit("m").alias("model"), "read_id", "pos", "label", F.round("p", 9).alias("p"))
-    found = ensembles.combine_models(given, truth, given, EnsembleSettings(method="voting"))
-    return found.labels.select("read_id", "pos", "label", F.round("p", 6).alias("p"), F.round("entropy", 5).alias("entropy"))
+    given = sharp.select(F.lit("m").alias("model"), "read_id", "pos", "label", "p")
+    return ensembles.combine_models(given, truth, given, EnsembleSettings(method="voting")).labels
