@@ -69,7 +69,8 @@ def test_platt_leaves_no_gradient(spark, sf):
     assert abs(sum(r * x for r, x in rest)) / len(rest) < 1e-3
 
 
-def test_stacked_leaves_no_gradient(spark, sf):
+def test_stacked_is_right_on_average(spark, sf):
+    """Reads are scored by models that didn't see them, so the labels' shares are met but for chance (tests/test_fits.py has the gradients)."""
     from readloom.plans import inputs
 
     truth = {(r["read_id"], r["pos"]): r["label"] for r in inputs.truth(spark, sf).collect()}
@@ -79,4 +80,4 @@ def test_stacked_leaves_no_gradient(spark, sf):
         rest[r["label"]] = rest.get(r["label"], 0) + r["p"] - (truth[place] == r["label"])
         sums[place] = sums.get(place, 0) + r["p"]
     assert set(sums) == set(truth) and all(abs(s - 1) < 1e-6 for s in sums.values())
-    assert all(abs(x) / len(truth) < 1e-3 for x in rest.values())
+    assert all(abs(x) / len(truth) < 0.02 for x in rest.values())
