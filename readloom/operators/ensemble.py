@@ -6,9 +6,10 @@ normalisation over a place's labels is a second one, of one row a label.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +20,8 @@ EPSILON = 1e-10
 PLACE = ("read_id", "pos")
 #: Models of an ensemble, at most; bounds every table with a row for each.
 MOST_MODELS = 10_000
-#: Numbers of all draws and models in one plan.
-MOST_DRAWN = 20_000
+#: Numbers of all draws and models that are sent to every task.
+MOST_DRAWN = 1_000_000
 
 
 def evidences(predictions: DataFrame, truth: DataFrame, parameters: Mapping[str, int], factor: float = 1.0) -> DataFrame:
@@ -183,8 +184,8 @@ def normalised(cells: DataFrame) -> DataFrame:
 def intervals(predictions: DataFrame, weights: DataFrame, level: float = 0.95, draws: int = 100, seed: int = 7) -> DataFrame:
     """(read_id, pos, label, low, high): percentiles of averages over models resampled with replacement.
 
-    A draw says how often each model was picked: ``draws`` times models numbers, whatever the data, within the plan. A place's
-    models are brought together once and every draw is an expression over them.
+    A draw says how often each model was picked: ``draws`` times models numbers, whatever the data. A place's
+    models are brought together once; the draws are a product of matrices there.
     """
     models = sorted(r["model"] for r in at_most(weights, MOST_MODELS, "models").collect())
     if draws * len(models) > MOST_DRAWN:
@@ -198,26 +199,33 @@ def intervals(predictions: DataFrame, weights: DataFrame, level: float = 0.95, d
     at = F.array_position(F.array(*map(F.lit, models)), F.col("model")).cast("int")
     rows = _weighted(predictions, weights).withColumn("at", at).filter("at > 0")
     cells = rows.groupBy(*PLACE, "label").agg(F.collect_list(F.struct("at", "w", "p")).alias("cells"))
-    drawn = F.array(*[F.array(*map(F.lit, map(float, row))) for row in times])
-
-    def mean(own: Column) -> Column:
-        zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("w"))
-        add = lambda a, c: F.struct(
-            (a["x"] + F.element_at(own, c["at"]) * c["w"] * c["p"]).alias("x"), (a["w"] + F.element_at(own, c["at"]) * c["w"]).alias("w")
-        )
-        return F.aggregate("cells", zero, add, lambda a: F.try_divide(a["x"], a["w"]))
-
-    found = cells.select(*PLACE, "label", F.sort_array(F.filter(F.transform(drawn, mean), lambda x: x.isNotNull())).alias("x"))
-    half = (1 - level) / 2
-    return found.select(*PLACE, "label", _quantile(F.col("x"), half).alias("low"), _quantile(F.col("x"), 1 - half).alias("high"))
-
-
-def _quantile(ordered: Column, share: float) -> Column:
-    """Of a sorted array, on the straight line between the two values around it; null of an empty one."""
-    place = (F.size(ordered) - 1) * share
-    below, above = F.floor(place).cast("int"), F.ceil(place).cast("int")
-    a, b = F.get(ordered, below), F.get(ordered, above)
-    return F.when(below == above, a).otherwise((above - place) * a + (place - below) * b)
+    kinds = [predictions.schema[c].dataType.simpleString() for c in (*PLACE, "label")]
+    half, names = (1 - level) / 2, [*PLACE, "label"]
+    drawn = times.T.astype(float)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = batch.column("cells")
+            rows_ = np.repeat(np.arange(batch.num_rows), np.diff(cell.offsets.to_numpy()))
+            flat = cell.flatten()
+            at_, w, p = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("at", "w", "p"))
+            sums, weight = np.zeros((batch.num_rows, len(models))), np.zeros((batch.num_rows, len(models)))
+            np.add.at(sums, (rows_, at_ - 1), w * p)
+            np.add.at(weight, (rows_, at_ - 1), w)
+            total = weight @ drawn
+            # a draw in which no model of the place was picked says nothing
+            with np.errstate(divide="ignore", invalid="ignore"):
+                x = np.where(total > 0, (sums @ drawn) / total, np.nan)
+            low, high = np.full(len(x), np.nan), np.full(len(x), np.nan)
+            gaps = np.isnan(x)
+            for some, percentile in ((~gaps.any(axis=1), np.percentile), (gaps.any(axis=1) & ~gaps.all(axis=1), np.nanpercentile)):
+                if some.any():
+                    low[some], high[some] = percentile(x[some], [100 * half, 100 * (1 - half)], axis=1)
+            columns = [batch.column(c) for c in names] + [pa.array(v, pa.float64(), from_pandas=True) for v in (low, high)]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "low", "high"])
+
+    fields = ", ".join(f"{c} {k}" for c, k in zip(names, kinds))
+    return cells.mapInArrow(cut, f"{fields}, low double, high double")
 
 
 def diversity(predictions: DataFrame, metric: str = "disagreement") -> DataFrame:

@@ -27,8 +27,9 @@ def summaries(rows: DataFrame, col: str, counters: int = COUNTERS) -> DataFrame:
         held: dict[str, int] = {}
         off = 0
         for batch in batches:
-            for x in pc.value_counts(batch.column(0).drop_null()).to_pylist():
-                held[x["values"]] = held.get(x["values"], 0) + x["counts"]
+            counted = pc.value_counts(batch.column(0).drop_null())
+            for value, n in zip(counted.field("values").to_pylist(), counted.field("counts").to_pylist()):
+                held[value] = held.get(value, 0) + n
             if len(held) > 2 * counters:
                 cut = sorted(held.values(), reverse=True)[counters]
                 held = {v: n - cut for v, n in held.items() if n > cut}
