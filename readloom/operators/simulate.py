@@ -142,30 +142,42 @@ def fragments(rows: DataFrame, transcripts: DataFrame, seed: int, low: int, high
 
 
 def sequencing_errors(reads: DataFrame, seed: int, rate: float, substitution: float = 0.7, insertion: float = 0.15) -> DataFrame:
-    """Substituted bases (ERROR_SUB), bases put in after one (ERROR_INS), and bases left out, by shares of ``rate``."""
-    row = F.col("read_id")
-    bases, labels = letters(F.col("sequence")), F.col("labels")
-    places = F.when(F.size(bases) > 0, F.sequence(F.lit(0), F.size(bases) - 1)).otherwise(F.array().cast("array<int>"))
-
-    def one(i: Column) -> Column:
-        base, label = F.get(bases, i), F.get(labels, i)
-        u, kind = uniform(seed, row, "error", i), uniform(seed, row, "kind", i)
-        other = F.substring(F.replace(F.lit(BASES), base, F.lit("")), pick(seed, 3, row, "base", i) + 1, F.lit(1))
-        extra = F.substring(F.lit(BASES), pick(seed, 4, row, "base", i) + 1, F.lit(1))
-
-        def pair(b: Column, v: Column) -> Column:
-            return F.struct(b.alias("b"), v.alias("v"))
-
-        return (
-            F.when(u >= rate, F.array(pair(base, label)))
-            .when(kind < substitution, F.array(pair(other, F.lit("ERROR_SUB"))))
-            .when(kind < substitution + insertion, F.array(pair(base, label), pair(extra, F.lit("ERROR_INS"))))
-            .otherwise(F.array().cast("array<struct<b:string,v:string>>"))
-        )
-
-    made = reads.withColumn("_x", F.flatten(F.transform(places, one)))
-    new = {"sequence": F.array_join(F.transform("_x", lambda x: x["b"]), ""), "labels": F.transform("_x", lambda x: x["v"])}
-    return made.withColumns(new).drop("_x", "quality")
+    """Substituted bases (ERROR_SUB), bases put in after one (ERROR_INS), and bases left out, by shares of ``rate``.
+
+    The places of errors are drawn first; what lies between them is copied in stretches, so the work grows with a read's length.
+    """
+    row, text, at = F.col("read_id"), F.coalesce("sequence", F.lit("")), F.col("_at")
+    n = F.length(text)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    # places without a label have a null one
+    labels = F.coalesce("labels", F.array().cast("array<string>"))
+    labels = F.when(F.size(labels) < n, F.concat(labels, F.array_repeat(F.lit(None).cast("string"), n - F.size(labels)))).otherwise(labels)
+    made = reads.withColumns({"_text": text, "_labels": labels, "_at": F.filter(places, lambda i: uniform(seed, row, "error", i) < rate)})
+    text, labels, n = F.col("_text"), F.col("_labels"), F.length("_text")
+
+    def before(i: Column, k: Column) -> Column:
+        """Where the stretch begins that ends before the k-th error, at i."""
+        return F.coalesce(F.get(at, k - 1) + 1, F.lit(0))
+
+    def one(which: str, i: Column, k: Column) -> Column:
+        start, kind, base = before(i, k), uniform(seed, row, "kind", i), F.substring(text, i + 1, F.lit(1))
+        if which == "text":
+            other = F.substring(F.replace(F.lit(BASES), base, F.lit("")), pick(seed, 3, row, "base", i) + 1, F.lit(1))
+            extra = F.substring(F.lit(BASES), pick(seed, 4, row, "base", i) + 1, F.lit(1))
+            changed = (other, F.concat(base, extra), F.lit(""))
+            stretch = F.substring(text, start + 1, i - start)
+        else:
+            own = F.slice(labels, i + 1, F.lit(1))
+            changed = (F.array(F.lit("ERROR_SUB")), F.concat(own, F.array(F.lit("ERROR_INS"))), F.array().cast("array<string>"))
+            stretch = F.slice(labels, start + 1, i - start)
+        return F.concat(stretch, F.when(kind < substitution, changed[0]).when(kind < substitution + insertion, changed[1]).otherwise(changed[2]))
+
+    rest = F.coalesce(F.get(at, F.size(at) - 1) + 1, F.lit(0))
+    new = {
+        "sequence": F.concat(F.array_join(F.transform(at, lambda i, k: one("text", i, k)), ""), F.substring(text, rest + 1, n - rest)),
+        "labels": F.concat(F.flatten(F.transform(at, lambda i, k: one("labels", i, k))), F.slice(labels, rest + 1, n - rest)),
+    }
+    return made.withColumns(new).drop("_text", "_labels", "_at", "quality")
 
 
 # --- architectural corruption -------------------------------------------------------------------------
