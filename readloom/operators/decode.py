@@ -52,10 +52,10 @@ def bounded_viterbi_batch(scores: np.ndarray, sizes: np.ndarray, moves: np.ndarr
 
     States are (label, length so far). A label without bounds has one state; a bounded one has as many as its
     upper bound, so the work follows the bounds and not the read's length squared. Into a label's first state leads
-    the best of the other labels' states that may be left.
+    the best of the other labels' states that may be left; of equal sums that of the lower label, then of the lesser length.
     """
     n, t, k = scores.shape
-    count = [max(min(bounds[j][1], t), 1) if j in bounds else 1 for j in range(k)]
+    count = np.array([max(min(bounds[j][1], t), 1) if j in bounds else 1 for j in range(k)])
     start = np.concatenate([[0], np.cumsum(count)[:-1]])
     label = np.repeat(np.arange(k), count)
     length = np.arange(len(label)) - start[label] + 1
@@ -69,16 +69,28 @@ def bounded_viterbi_batch(scores: np.ndarray, sizes: np.ndarray, moves: np.ndarr
     across = moves + np.where(np.eye(k, dtype=bool), -np.inf, 0.0)
     own = moves[label, label]
     rows, firsts = np.arange(n)[:, None], start[open_]
+    far = np.abs(moves[np.isfinite(moves)]).max(initial=0.0)
     for i in range(1, t):
         out = np.where(may_leave, best, -np.inf)
         top = np.stack([out[:, a : a + c].argmax(1) + a for a, c in zip(start, count)], 1)  # reads x labels
-        through = out[rows, top][:, :, None] + across
+        best_of = out[rows, top]
+        through = best_of[:, :, None] + across
         from_ = through.argmax(1)  # of each label that is entered, the label that is left
         enter = np.take_along_axis(through, from_[:, None], 1)[:, 0]
+        left = top[rows, from_]
+        # a sum may be as great from a state of less length whose own score is lower in its last bits only
+        with np.errstate(invalid="ignore"):  # a label that can't be left has no such state
+            least = best_of - 4 * np.spacing(np.abs(best_of) + far)
+        some = np.flatnonzero(((out >= least[:, label]) & (np.arange(s) < top[:, label])).any(1))
+        if len(some):
+            at = start[from_[some]][:, :, None] + np.minimum(np.arange(count.max()), count[from_[some]][:, :, None] - 1)
+            sums = out[some[:, None, None], at] + across[from_[some], np.arange(k)][:, :, None]
+            first = (sums == enter[some][:, :, None]).argmax(2)
+            left[some] = np.take_along_axis(at, first[:, :, None], 2)[:, :, 0]
         new, come = np.where(stay, best[:, grow] + own, -np.inf), np.broadcast_to(grow, (n, s)).copy()
         better = enter[:, open_] > new[:, firsts]
         new[:, firsts] = np.where(better, enter[:, open_], new[:, firsts])
-        come[:, firsts] = np.where(better, top[rows, from_[:, open_]], come[:, firsts])
+        come[:, firsts] = np.where(better, left[:, open_], come[:, firsts])
         back[i] = come
         best = np.where((sizes > i)[:, None], new + scores[:, i][:, label], best)
     end = np.where(may_leave, best, -np.inf)
