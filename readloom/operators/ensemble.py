@@ -20,6 +20,9 @@ EPSILON = 1e-10
 PLACE = ("read_id", "pos")
 #: Models of an ensemble, at most; bounds every table with a row for each.
 MOST_MODELS = 10_000
+#: Digits of combined probabilities: models added up in another order differ beyond them, so ties are ties in any order.
+#: Three more are rounded first, so that halves of the last digit go one way.
+DIGITS = 12
 #: Numbers of all draws and models that are sent to every task.
 MOST_DRAWN = 1_000_000
 
@@ -154,7 +157,7 @@ def predict(predictions: DataFrame, weights: DataFrame, method: str = "probabili
 
     method: ``probability``, ``confidence``, ``logit`` or ``rank``.
     """
-    found = combined(predictions, weights, method)
+    found = combined(predictions, weights, method).withColumn("p", F.round(F.round("p", DIGITS + 3), DIGITS))
     if temperature is not None:
         found = with_temperature(found, temperature)
     first = F.max(F.struct(F.col("p").alias("p"), (-F.col("label")).alias("back"))).alias("x")
