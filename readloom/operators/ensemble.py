@@ -20,6 +20,8 @@ EPSILON = 1e-10
 PLACE = ("read_id", "pos")
 #: Models of an ensemble, at most; bounds every table with a row for each.
 MOST_MODELS = 10_000
+#: Rows of predictions that one task groups by place, about; some 100 bytes each while they are sorted.
+TASK_ROWS = 1_000_000
 #: Digits of combined probabilities: models added up in another order differ beyond them, so ties are ties in any order.
 #: Three more are rounded first, so that halves of the last digit go one way.
 DIGITS = 12
@@ -81,14 +83,20 @@ def _weighted(predictions: DataFrame, weights: DataFrame) -> DataFrame:
     return predictions.join(F.broadcast(at_most(weights, MOST_MODELS, "models")), "model", "left").withColumn("w", F.coalesce("weight", F.lit(0.0)))
 
 
+def _by_place(predictions: DataFrame, weights: DataFrame) -> DataFrame:
+    """Weighted rows dealt by place to as many tasks as their number asks for, so that a task's share doesn't grow with them."""
+    least = int(predictions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _weighted(predictions, weights).repartition(max(least, -(-predictions.count() // TASK_ROWS)), *PLACE)
+
+
 def average(predictions: DataFrame, weights: DataFrame, by_confidence: bool = False) -> DataFrame:
     """(read_id, pos, label, p): weighted mean of probabilities, each model's optionally times its highest one.
 
     Here and below rows are dealt by place once; windows and groupings by place and more keep to that.
     """
-    rows = _weighted(predictions, weights).repartition(*PLACE)
+    rows = _by_place(predictions, weights)
     if by_confidence:
-        rows = rows.withColumn("w", F.col("w") * F.max("p").over(Window.partitionBy("model", *PLACE)))
+        rows = rows.withColumn("w", F.col("w") * F.max("p").over(Window.partitionBy(*PLACE, "model")))
     sums = rows.groupBy(*PLACE, "label").agg(F.sum(F.col("w") * F.col("p")).alias("x"))
     own = Window.partitionBy(*PLACE)
     return sums.select(*PLACE, "label", (F.col("x") / (F.sum("x").over(own) + EPSILON)).alias("p"))
@@ -96,7 +104,7 @@ def average(predictions: DataFrame, weights: DataFrame, by_confidence: bool = Fa
 
 def logit_average(predictions: DataFrame, weights: DataFrame) -> DataFrame:
     """softmax over labels of the weighted sum of log-probabilities."""
-    rows = _weighted(predictions, weights).repartition(*PLACE)
+    rows = _by_place(predictions, weights)
     sums = rows.groupBy(*PLACE, "label").agg(F.sum(F.col("w") * F.log(F.col("p") + EPSILON)).alias("x"))
     own = Window.partitionBy(*PLACE)
     powers = sums.withColumn("e", F.exp(F.col("x") - F.max("x").over(own)))
@@ -105,9 +113,9 @@ def logit_average(predictions: DataFrame, weights: DataFrame) -> DataFrame:
 
 def rank_average(predictions: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted mean of the labels' ranks within each model (equal ones share their mean rank), normalised."""
-    own = Window.partitionBy("model", *PLACE)
-    rank = F.rank().over(own.orderBy("p")) + (F.count("*").over(Window.partitionBy("model", *PLACE, "p")) - 1) / 2
-    rows = _weighted(predictions, weights).repartition(*PLACE).withColumn("r", rank)
+    own = Window.partitionBy(*PLACE, "model")
+    rank = F.rank().over(own.orderBy("p")) + (F.count("*").over(Window.partitionBy(*PLACE, "model", "p")) - 1) / 2
+    rows = _by_place(predictions, weights).withColumn("r", rank)
     sums = rows.groupBy(*PLACE, "label").agg(F.sum(F.col("w") * F.col("r")).alias("x"))
     place = Window.partitionBy(*PLACE)
     return sums.select(*PLACE, "label", F.try_divide(F.col("x"), F.sum("x").over(place)).alias("p"))
@@ -145,7 +153,7 @@ def uncertainty(predictions: DataFrame, combined: DataFrame) -> DataFrame:
 
 def posterior_variance(predictions: DataFrame, weights: DataFrame) -> DataFrame:
     """(read_id, pos, label, variance): the weighted variance of the models' probabilities around their weighted mean."""
-    rows = _weighted(predictions, weights)
+    rows = _by_place(predictions, weights)
     w, total = F.col("w"), F.sum("w")
     mean = F.try_divide(F.sum(w * F.col("p")), total)
     square = F.try_divide(F.sum(w * F.col("p") * F.col("p")), total)

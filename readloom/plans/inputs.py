@@ -26,8 +26,8 @@ def digest(key: Column, suffix: str = "") -> Column:
 
 def digit(text: Column, i: Column | int) -> Column:
     """The value, 0 to 15, of a digest's i-th digit (from 0)."""
-    at = i + 1 if isinstance(i, Column) else F.lit(i + 1)
-    return F.conv(F.substring(text, at, F.lit(1)), 16, 10).cast("int")
+    code = F.ascii(F.substring(text, i + 1 if isinstance(i, Column) else F.lit(i + 1), F.lit(1)))
+    return code - F.when(code < 58, 48).otherwise(87)
 
 
 def as_bases(text: Column) -> Column:
@@ -66,10 +66,16 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), F.explode(F.array(*map(F.lit, MODELS))).alias("model"))
     cells = docs.select("model", "read_id", F.md5(F.concat(F.col("read_id").cast("string"), F.lit("-"), "model").cast("binary")).alias("h"))
     places = F.sequence(F.lit(0), F.lit(PLACES * CLASSES - 1))
-    long = cells.select("model", "read_id", "h", F.explode(places).alias("i"))
-    w = long.select("model", "read_id", F.floor(F.col("i") / CLASSES).cast("int").alias("pos"), (F.col("i") % CLASSES).alias("label"), (1 + digit(F.col("h"), F.col("i"))).alias("w"))
-    own = Window.partitionBy("model", "read_id", "pos")
-    return w.select("model", "read_id", "pos", "label", (F.col("w") / F.sum("w").over(own)).alias("p"))
+    listed = cells.select("model", "read_id", F.transform(places, lambda i: 1 + digit(F.col("h"), i)).alias("w"))
+
+    def total(i: Column) -> Column:
+        first = i - i % CLASSES
+        return sum((F.get("w", first + k) for k in range(1, CLASSES)), F.get("w", first))
+
+    # a place's labels are neighbours in the digest, so their sum needs no grouping
+    shares = F.transform("w", lambda w, i: w / total(i))
+    long = listed.select("model", "read_id", F.posexplode(shares).alias("i", "p"))
+    return long.select("model", "read_id", F.floor(F.col("i") / CLASSES).cast("int").alias("pos"), (F.col("i") % CLASSES).alias("label"), "p")
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
