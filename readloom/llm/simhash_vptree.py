@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.llm.common import as_bytes, free_name, slices, written
@@ -39,6 +39,9 @@ TRIALS = 8
 MOST_COPIED = 0.75
 #: Near copies of the stage: words of a shingle, least similarity in fifths, bands of so many MinHash values, rounds of representatives.
 NEAR_SHINGLE, NEAR_FIFTHS, BANDS, BAND_ROWS, ROUNDS = 5, 4, 20, 5, 4
+#: One of so many texts is counted for the order of shingles; those in so many counted ones come last, of so many the count is known.
+#: Any order gives the same links; a better one compares fewer texts.
+COUNTED, FREQUENT, MOST_FREQUENT = 16, 3, 262_144
 #: Bytes of text of the stage that a task works on at once.
 BATCH = 2 << 20
 
@@ -446,7 +449,8 @@ def similar_links(classes: DataFrame, texts_of, radius: int = 2) -> DataFrame:
     gives (node, text) for a table of nodes. Candidates are what the fingerprint tree links, and texts
     that share a band's key with a representative of it: of even bands the one that shares most keys, of odd
     bands one drawn by its hash. Texts unlike it get another representative, at last under keys that one
-    and two more bands refine, which part them from texts that are only somewhat alike.
+    and two more bands refine, which part them from texts that are only somewhat alike. These links join most
+    of what is alike in few comparisons; ``rest_links`` gives what they leave apart.
     """
     prints = written(classes.groupBy(F.col("print").alias("fingerprint")).agg(F.min("node").alias("node"), F.count("*").alias("n")), "prints")
     same = classes.withColumnRenamed("node", "a").join(prints.filter("n > 1"), classes["print"] == prints["fingerprint"])
@@ -477,11 +481,85 @@ def similar_links(classes: DataFrame, texts_of, radius: int = 2) -> DataFrame:
     return links
 
 
+def shingle_prefix(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first of a text's distinct shingles, rare ones first: two texts that are ``alike`` have one of these in common.
+
+    Of n shingles alike texts share four fifths or more, so they can't differ in all of the first n - ceil(4 n / 5) + 1
+    in an order that is the same for all texts. ``shingles`` and ``frequent`` (with ``counts``) are sorted.
+    """
+    n = len(shingles)
+    first = n - -(-NEAR_FIFTHS * n // 5) + 1 if n else 0
+    if n and len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        count = np.where(frequent[at] == shingles, counts[at], 0)
+        if count.any():
+            shingles = shingles[np.argsort(count, kind="stable")]
+    return shingles[:first]
+
+
+def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
+    """The distinct five-word shingles of each text, sorted."""
+    return [np.unique(np.array(shingle_hashes((t or b"").lower().split(), NEAR_SHINGLE), np.uint64)) for t in texts]
+
+
+def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts), sorted: those that are in several of the (digest, text) rows that are counted, most of them at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", BATCH):
+            sets = shingle_sets(as_bytes(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["key"])
+
+    counted = texts.filter(F.pmod(F.xxhash64("digest"), F.lit(COUNTED)) == 0).dropDuplicates(["digest"])
+    found = counted.select("text").mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
+    found = found.orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).toPandas()
+    keys, counts = found["key"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def rest_links(texts: DataFrame, placed: DataFrame, texts_of) -> DataFrame:
+    """Links (a, b) between ``alike`` texts of different components, whatever led to these: none is left out.
+
+    ``texts``: (digest, text) rows; ``placed``: (digest, node, root), one row for each distinct text. Alike texts share
+    a shingle of their prefixes (see shingle_prefix). Under such a shingle the texts of its most common component are compared with
+    all others, and these with each other, but never two of that component: it is linked already. A pair of
+    which too few shingles are left after the one they share isn't compared.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", BATCH):
+            sets = shingle_sets(as_bytes(batch.column("text")))
+            firsts = [shingle_prefix(x, *sent.value) for x in sets]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in firsts])]).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts).view(np.int64)))
+            sizes = pa.array([len(x) for x in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), sizes, listed], ["digest", "size", "keys"])
+
+    # copies have one prefix
+    firsts = texts.mapInArrow(run, "digest binary, size int, keys array<long>").groupBy("digest").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
+    rows = firsts.join(placed, "digest").select("node", "root", "size", F.posexplode("keys").alias("at", "key"))
+    own = Window.partitionBy("key")  # one exchange, where a grouping and a join would take two
+    rows = rows.withColumn("low", F.min("root").over(own)).withColumn("high", F.max("root").over(own))
+    rows = written(rows.filter("low <> high").drop("low", "high"), "prefixes")
+    common = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("common"))
+    minor = rows.join(common, "key").filter("root <> common").select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "size", "at")])
+    both = F.col("size") + F.col("size_a")
+    most = F.least(F.col("size") - F.col("at"), F.col("size_a") - F.col("at_a"))  # shared ones, this one and those after it
+    enough = (5 + NEAR_FIFTHS) * most >= NEAR_FIFTHS * both
+    near_size = 5 * F.least("size", "size_a") >= NEAR_FIFTHS * F.greatest("size", "size_a")
+    met = minor.join(rows, "key").filter((F.col("root") != F.col("root_a")) & near_size & enough)
+    pairs = written(met.select(F.greatest("node", "node_a").alias("a"), F.least("node", "node_a").alias("b")).distinct(), "pairs")
+    wanted = written(texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), "texts")
+    return judged(pairs, wanted).filter("near").select("a", "b")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """The rows of ``docs`` that stay when one row of each group of near duplicates is kept: the one with the least id.
 
     Rows are linked if their texts are equal, or ``alike``: of the five-word shingles of both, four fifths or
-    more are shared (see similar_links, which verifies every link); groups are what links reach. Rows
+    more are shared (see similar_links and rest_links: every link is verified, none is left out); groups are what links reach. Rows
     with an id come before rows without; equal ids are told apart by a hash of the whole row, and of
     rows that repeat as a whole one stays. Null, empty and blank texts are one group. An empty table
     gives no rows. All columns stay, whatever their names.
@@ -512,6 +590,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return docs.select(digest.alias("digest"), F.col(text_col).alias("text")).join(wanted, "digest").groupBy("node").agg(F.first("text").alias("text"))
 
     found = connected_components(similar_links(classes.select("node", "print", "keys"), texts_of, radius))
+    placed = classes.select("digest", "node").join(found, "node", "left").select("digest", "node", F.coalesce("root", "node").alias("root"))
+    rest = rest_links(docs.select(digest.alias("digest"), F.col(text_col).alias("text")), written(placed, "placed"), texts_of)
+    if not rest.isEmpty():
+        found = connected_components(found.toDF("a", "b").union(rest))
     placed = classes.select("node", "first").join(found, "node", "left")
     kept = placed.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = written(kept.select(F.col("first.id").alias("kept_id"), F.col("first.row").alias("kept_row")), "kept")
