@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyspark import SparkContext
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: All that this process writes for its own use is in one folder of this name, which goes when the process ends.
 RUN = uuid.uuid4().hex
@@ -37,6 +37,13 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written into this run's folder and read from there: what uses it more than once computes it once."""
+    path = place(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove(path: str) -> None:
     """Removes a path through the store that it is on."""
     jvm = SparkContext._gateway.jvm

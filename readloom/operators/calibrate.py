@@ -16,6 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.functions.scratch import kept
 from readloom.functions.sizes import at_most
 
 EPSILON = 1e-10
@@ -136,13 +137,11 @@ def isotonic_blocks(rows: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.rec.fromarrays([batch.column("label").to_numpy(), batch.column("p").to_numpy()], names="label,p")
-            found, at = np.unique(keys, return_inverse=True)
-            hits = np.bincount(at, batch.column("hit").to_numpy(zero_copy_only=False), len(found)).astype(np.int64)
-            n = np.bincount(at, minlength=len(found))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found["label"], pa.int32()), pa.array(found["p"]), pa.array(found["p"]), pa.array(n), pa.array(hits)], ["label", "low", "high", "n", "hits"]
-            )
+            label, p, hit = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "p", "hit"))
+            order = np.lexsort((p, label))
+            low = pa.array(p[order])
+            rows = [pa.array(label[order], pa.int32()), low, low, pa.array(np.ones(len(p), np.int64)), pa.array(hit[order].astype(np.int64))]
+            yield from _same(pa.table(rows, ["label", "low", "high", "n", "hits"])).to_batches()
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # blocks so far, few
@@ -175,29 +174,61 @@ def _same(table: pa.Table) -> pa.Table:
     return pa.table({"label": pa.array(label[at], pa.int32()), "low": low[at], "high": high[at], "n": sums[0], "hits": sums[1]})
 
 
-def with_isotonic(predictions: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``predictions`` with p by its label's steps: straight lines between blocks, the outer values beyond them; other labels keep theirs. No shuffle."""
-    found = at_most(blocks, MOST_BLOCKS, "isotonic blocks").toPandas().sort_values(["label", "low"])
+def _steps(blocks: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of each label: places and values of its steps' corners. The blocks are computed once; too many are refused."""
+    found = blocks.limit(MOST_BLOCKS + 1).toPandas().sort_values(["label", "low"])
+    if len(found) > MOST_BLOCKS:
+        raise ValueError(f"more than {MOST_BLOCKS} isotonic blocks")
     value = (found["hits"] / found["n"]).to_numpy()
     steps: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for label, at in found.reset_index(drop=True).groupby("label").indices.items():
         steps[int(label)] = (found[["low", "high"]].to_numpy()[at].ravel(), np.repeat(value[at], 2))
-    sent = predictions.sparkSession.sparkContext.broadcast(steps)
+    return steps
+
+
+def _stepped(label: pa.Array, p: pa.Array, steps: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    label, p = label.to_numpy(zero_copy_only=False), p.to_numpy(zero_copy_only=False).copy()
+    for k in np.unique(label):
+        if k in steps:
+            own = label == k
+            p[own] = np.interp(p[own], *steps[k])
+    return p
+
+
+def with_isotonic(predictions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``predictions`` with p by its label's steps: straight lines between blocks, the outer values beyond them; other labels keep theirs. No shuffle."""
+    sent = predictions.sparkSession.sparkContext.broadcast(_steps(blocks))
     columns = predictions.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in predictions.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label, p = batch.column("label").to_numpy(zero_copy_only=False), batch.column("p").to_numpy(zero_copy_only=False).copy()
-            for k in np.unique(label):
-                if k in sent.value:
-                    own = label == k
-                    p[own] = np.interp(p[own], *sent.value[k])
+            p = _stepped(batch.column("label"), batch.column("p"), sent.value)
             yield pa.RecordBatch.from_arrays([pa.array(p) if c == "p" else batch.column(c) for c in columns], columns)
 
     return predictions.mapInArrow(run, fields)
 
 
+def _isotonic_shares(places: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(read_id, pos, label, p) from places (read_id, pos, cells): p by the labels' steps, made to add up to 1 within each place. No shuffle."""
+    sent = places.sparkSession.sparkContext.broadcast(_steps(blocks))
+    given = places.select(*PLACE, F.col("cells.label").alias("label"), F.col("cells.p").alias("p"))
+    kinds = [given.schema[c].dataType.simpleString() for c in PLACE]
+    kind = given.schema["label"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, n = batch.column("label").flatten(), np.diff(batch.column("p").offsets.to_numpy())
+            p = _stepped(label, batch.column("p").flatten(), sent.value)
+            at = np.repeat(np.arange(batch.num_rows), n)
+            total = np.bincount(at, p, batch.num_rows)[at]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                p = np.where(total <= 0, 1 / n[at], p / total)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in PLACE), label, pa.array(p)], [*PLACE, "label", "p"])
+
+    return given.mapInArrow(run, f"read_id {kinds[0]}, pos {kinds[1]}, label {kind}, p double")
+
+
 # --- logistic curves --------------------------------------------------------------------------------
 
 
@@ -260,6 +291,18 @@ def calibrate_labels(predictions: DataFrame, truth: DataFrame, way: str = "isoto
     return calibrated(predictions, truth, predictions, way)
 
 
+def _isotonic(known: DataFrame, truth: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Predictions are brought together by place and written once; from there they are calibrated where they are read, and learnt from if they are the ``known`` ones."""
+    cells = predictions.select(*PLACE, F.struct("label", F.col("p").cast("double").alias("p")).alias("cell")).groupBy(*PLACE).agg(F.collect_list("cell").alias("cells"))
+    if known is not predictions:
+        both = _with_truth(known, truth).select("label", "p", (F.col("label") == F.col("truth")).alias("hit"))
+        return _isotonic_shares(kept(cells, "places"), isotonic_blocks(both))
+    truths = truth.groupBy(*PLACE).agg(F.collect_list("label").alias("truths"))
+    places = kept(cells.join(truths, [*PLACE], "left"), "places")
+    both = places.select("cells", F.explode("truths").alias("truth")).select("truth", F.inline("cells"))
+    return _isotonic_shares(places, isotonic_blocks(both.select("label", "p", (F.col("label") == F.col("truth")).alias("hit"))))
+
+
 def calibrated(known: DataFrame, truth: DataFrame, predictions: DataFrame, way: str) -> DataFrame:
     """``predictions`` (read_id, pos, label, p) by what ``known`` ones and their truth teach: none, isotonic, platt or temperature.
 
@@ -276,8 +319,10 @@ def calibrated(known: DataFrame, truth: DataFrame, predictions: DataFrame, way:
         inverse = 1 / fit_temperature(known, truth).temperature
         x = picked.withColumn("_x", F.log(F.col("p") + EPSILON) * inverse).withColumn("_e", F.exp(F.col("_x") - F.max("_x").over(own)))
         return x.select(*PLACE, "label", (F.col("_e") / F.sum("_e").over(own)).alias("p"))
+    if way == "isotonic":
+        return _isotonic(known, truth, predictions)
     both = _with_truth(known, truth).select("label", "p", (F.col("label") == F.col("truth")).alias("hit"))
-    rows = with_isotonic(picked, isotonic_blocks(both)) if way == "isotonic" else with_platt(picked, fit_platt(both))
+    rows = with_platt(picked, fit_platt(both))
     total = F.sum("p").over(own)
     return rows.withColumn("p", F.when(total > 0, F.col("p") / total).otherwise(1 / F.count("*").over(own)))
 

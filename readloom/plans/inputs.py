@@ -65,17 +65,13 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, read_id, pos, label, p): three models' probabilities of four labels at eight places."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), F.explode(F.array(*map(F.lit, MODELS))).alias("model"))
     cells = docs.select("model", "read_id", F.md5(F.concat(F.col("read_id").cast("string"), F.lit("-"), "model").cast("binary")).alias("h"))
-    places = F.sequence(F.lit(0), F.lit(PLACES * CLASSES - 1))
-    listed = cells.select("model", "read_id", F.transform(places, lambda i: 1 + digit(F.col("h"), i)).alias("w"))
-
-    def total(i: Column) -> Column:
-        first = i - i % CLASSES
-        return sum((F.get("w", first + k) for k in range(1, CLASSES)), F.get("w", first))
-
+    # digits are taken after the rows are made, so that counting rows takes none
+    long = cells.select("model", "read_id", "h", F.explode(F.array(*map(F.lit, range(PLACES * CLASSES)))).alias("i"))
+    first = F.col("i") - F.col("i") % CLASSES
     # a place's labels are neighbours in the digest, so their sum needs no grouping
-    shares = F.transform("w", lambda w, i: w / total(i))
-    long = listed.select("model", "read_id", F.posexplode(shares).alias("i", "p"))
-    return long.select("model", "read_id", F.floor(F.col("i") / CLASSES).cast("int").alias("pos"), (F.col("i") % CLASSES).alias("label"), "p")
+    total = sum((1 + digit(F.col("h"), first + k) for k in range(1, CLASSES)), 1 + digit(F.col("h"), first))
+    p = (1 + digit(F.col("h"), F.col("i"))) / total
+    return long.select("model", "read_id", F.floor(F.col("i") / CLASSES).cast("int").alias("pos"), (F.col("i") % CLASSES).alias("label"), p.alias("p"))
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
