@@ -1066,8 +1066,7 @@ def platt_calibrated(spark, sf):
 
 @query()
 def isotonic_calibrated(spark, sf):
-    rows = _hits(spark, sf)
-    rows = rows.withColumn("label", F.lit(0))
+    rows = scratch.kept(_hits(spark, sf).withColumn("label", F.lit(0)), "hits")
     return calibrate.with_isotonic(rows, calibrate.isotonic_blocks(rows)).select("read_id", "pos", "p")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from readloom import queries
 from readloom.operators import calibrate
 
 
@@ -38,3 +39,9 @@ def test_known_and_other_predictions_agree(spark):
     other = calibrate.calibrated(given, truth, given.filter("true"), "isotonic").collect()
     found = [{tuple(r)[:3]: r["p"] for r in rows} for rows in (own, other)]
     assert len(own) == len(other) and found[0] == pytest.approx(found[1])
+
+
+def test_hits_are_computed_once(spark, sf, monkeypatch):
+    seen, hits = spark.sparkContext.accumulator(0), queries._hits
+    monkeypatch.setattr(queries, "_hits", lambda *a: counted(hits(*a), seen))
+    assert queries.queries()["isotonic_calibrated"](spark, sf).count() == seen.value
